@@ -304,3 +304,39 @@ dims AS (SELECT max(len(embedding)) AS dim FROM embeddings)
 SELECT label, CAST(d AS INTEGER) AS feature, round(CAST(max(x) AS DOUBLE), 6) AS value FROM e GROUP BY label, d
 UNION ALL
 SELECT label, CAST(d + (SELECT dim FROM dims) AS INTEGER), round(avg(CAST(x AS DOUBLE)), 6) FROM e GROUP BY label, d"""
+
+ORACLE_SQL["score_table"] = "WITH" + LOGIT_CTE + "\nSELECT vec_id, target, pred, round(loss, 6) AS loss FROM sc"
+
+ORACLE_SQL["io_csv_roundtrip"] = ORACLE_SQL["index_aligned_join"]
+
+ORACLE_SQL["io_indexed_roundtrip"] = ORACLE_SQL["union_corpora"].replace(
+    "corpus, Data,", "Data,", 1).replace("row_id,", "row_id,", 1)
+
+ORACLE_SQL["io_lines_roundtrip"] = """
+SELECT regexp_replace(text, '\\n', '', 'g') AS Data, 1 AS Sentiment FROM documents
+WHERE length(regexp_replace(text, '\\n', '', 'g')) > 0"""
+
+ORACLE_SQL["io_positional_roundtrip"] = """
+SELECT d.text AS text, CAST(l.quality AS VARCHAR) AS labels FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+
+ORACLE_SQL["io_stop_words"] = "WITH" + VOCAB_CTE + "\nSELECT token AS word FROM vocab WHERE id < 24"
+
+ORACLE_SQL["results_roundtrip"] = "WITH" + EVENTS_CTE + f""",
+grid(run, model, dataset, classes, optimizer) AS (VALUES
+    {",".join(f"({i}, '{r[0]}', '{r[1]}', {r[2]}, '{r[11]}')" for i, r in enumerate(RUN_GRID))}),
+per AS (SELECT user_id % {len(RUN_GRID)} AS run, count(*) AS n_events, avg(ok) AS test_acc FROM em GROUP BY 1)
+SELECT model, CAST(classes AS INTEGER) AS classes, dataset, optimizer, 'CrossEntropyLoss' AS loss_function,
+       n_events, round(test_acc, 6) AS test_acc
+FROM grid JOIN per ON grid.run = per.run WHERE dataset = 'ProthomAlo'"""
+
+ORACLE_SQL["report_roundtrip"] = ORACLE_SQL["classification_report"]
+
+ORACLE_SQL["stream_clean_comment"] = ORACLE_SQL["clean_comment"]
+
+ORACLE_SQL["stream_label_counts"] = "SELECT quality AS Sentiment, count(*) AS n_rows FROM labels GROUP BY quality"
+
+ORACLE_SQL["sql_functions"] = "WITH" + BOOK_CTE + rf""",
+c3 AS (SELECT doc_id, regexp_replace(text, '{_EMOJI}', '', 'g') AS t3 FROM documents),
+c5 AS (SELECT doc_id, regexp_replace(trim(regexp_replace(t3, '[^.\x{{0964}} {KEEP}]', '', 'g')),
+                                     '{DEFAULT_DROP_CLASS}', '', 'g') AS tc FROM c3)
+SELECT book.doc_id, t7 AS t8_book, tc AS t9_comment FROM book JOIN c5 ON book.doc_id = c5.doc_id"""

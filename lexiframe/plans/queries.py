@@ -452,3 +452,168 @@ def q_max_pool(spark: SparkSession, sf: str) -> DataFrame:
     pv = pooled_vectors(emb, "embedding", ["label"])
     return pv.select("label", F.posexplode("features").alias("feature", "value")).select(
         "label", F.col("feature").cast("int").alias("feature"), F.round("value", 6).alias("value"))
+
+
+# ---------------------------------------------------------------- models (M*)
+
+@register("score_table")
+def q_score_table(spark: SparkSession, sf: str) -> DataFrame:
+    """M1: plug-in scorer over Arrow batches (test scorer: logits = first dims)."""
+    from ..operators.models import LinearScorer, score_table
+    emb = read_table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("target"), "embedding")
+    dim = int(emb.agg(F.max(F.size("embedding"))).first()[0])
+    s = score_table(emb, "embedding", ["vec_id"], LinearScorer.leading_dims(dim, N_LOGITS), target="target")
+    return s.select("vec_id", "target", "pred", F.round("loss", 6).alias("loss"))
+
+
+@register("train_frozen")
+def q_train_frozen(spark: SparkSession, sf: str) -> DataFrame:
+    """M2 + A7/A8: classifier on stored vectors (train split), report on the test split."""
+    from ..operators.models import train_frozen
+    emb = read_table(spark, sf, "embeddings")
+    sp = D.train_test_split(emb, "vec_id", TEST_SHARE, TEST_SEED)
+    _, scored = train_frozen(sp, "embedding", "label")
+    test = scored.where(F.col("split") == "test").select(F.col("label").cast("int").alias("target"), "pred")
+    return _rounded_report(A.classification_report(A.confusion(test)))
+
+
+@register("train_text")
+def q_train_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Text pipeline on cleaned documents with class weights, saved,
+    reloaded and evaluated on the test split."""
+    from ..operators.models import load_model, save_model, text_pipeline
+    from ..session import scratch_path
+    clean = book_cleaned(spark, sf).select("doc_id", F.col("t5_final").alias("text_clean"))
+    lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    data = D.train_test_split(clean.join(lab, "doc_id"), "doc_id", TEST_SHARE, TEST_SEED)
+    train = data.where(F.col("split") == "train")
+    w = A.class_weights(train, "label").select("label", "weight")
+    train = train.join(F.broadcast(w), "label")
+    model = text_pipeline(stop=FIXTURE_STOP_WORDS).fit(train.sortWithinPartitions("doc_id"))
+    path = scratch_path(spark, "text-model")
+    save_model(model, path)
+    scored = load_model(path).transform(data.where(F.col("split") == "test"))
+    test = scored.select(F.col("label").cast("int").alias("target"), F.col("prediction").cast("int").alias("pred"))
+    return _rounded_report(A.classification_report(A.confusion(test), TWO_CLASS_NAMES))
+
+
+# ---------------------------------------------------------------- sources and sinks (S*, K*)
+
+@register("io_csv_roundtrip")
+def q_io_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Labelled texts (with newlines and quotes) written as CSV with a header and read back."""
+    from ..session import scratch_path
+    from ..sources import read_csv_header, write_csv
+    path = scratch_path(spark, "csv")
+    write_csv(q_index_aligned_join(spark, sf), path)
+    return read_csv_header(spark, path, "doc_id long, Data string, Sentiment int")
+
+
+@register("io_indexed_roundtrip")
+def q_io_indexed_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """A renumbered corpus written with its row index and read back by index."""
+    from ..session import scratch_path
+    from ..sources import read_csv_indexed, write_csv_indexed
+    path = scratch_path(spark, "indexed")
+    write_csv_indexed(q_union_corpora(spark, sf).select("row_id", "Data", "Sentiment"), path)
+    return read_csv_indexed(spark, path)
+
+
+@register("io_lines_roundtrip")
+def q_io_lines_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """One text per line (newlines deleted first, T1), read back as column ``Data`` with a constant label."""
+    from ..session import scratch_path
+    from ..sources import read_lines
+    path = scratch_path(spark, "lines")
+    docs = read_table(spark, sf, "documents")
+    docs.select(T.delete_newlines("text").alias("value")).write.mode("overwrite").text(path)
+    return P.add_label(read_lines(spark, path), 1)
+
+
+@register("io_positional_roundtrip")
+def q_io_positional_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Fields bound by position (header names ignored), labels kept as strings."""
+    from ..session import scratch_path
+    from ..sources import read_positional_csv, write_csv
+    path = scratch_path(spark, "positional")
+    lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("Sentiment"))
+    docs = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("Data"))
+    write_csv(docs.join(lab, "doc_id").select("Data", "Sentiment"), path)
+    return read_positional_csv(spark, path)
+
+
+@register("io_stop_words")
+def q_io_stop_words(spark: SparkSession, sf: str) -> DataFrame:
+    """A stop list derived from the corpus (its 20 most frequent tokens) written
+    as a CRLF text file, then read back word by word."""
+    from ..session import scratch_path
+    from ..sources import read_stop_words
+    path = scratch_path(spark, "stopwords")
+    top = vocab_table(spark, sf).where(F.col("id") < 4 + 20)
+    top.select(F.col("token").alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    return read_stop_words(spark, path)
+
+
+@register("results_roundtrip")
+def q_results_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Run results with their constants written under (model, classes,
+    dataset) partitions; one dataset read back with partition pruning."""
+    from ..session import scratch_path
+    from ..sources import read_partitioned, write_partitioned
+    path = scratch_path(spark, "results")
+    res = P.attach_constants(run_results(spark, sf), {"loss_function": "CrossEntropyLoss"})
+    write_partitioned(res, path)
+    back = read_partitioned(spark, path, dataset="ProthomAlo")
+    return back.select("model", "classes", "dataset", "optimizer", "loss_function",
+                       F.col("n_events").cast("long").alias("n_events"), F.round("test_acc", 6).alias("test_acc"))
+
+
+@register("report_roundtrip")
+def q_report_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """K4: the classification report written under its run key and read back."""
+    from ..session import scratch_path
+    from ..sources import read_partitioned, write_partitioned
+    path = scratch_path(spark, "report")
+    rep = q_classification_report(spark, sf).withColumns(
+        {"model": F.lit("synthetic"), "classes": F.lit(2), "dataset": F.lit("documents")})
+    write_partitioned(rep, path)
+    return read_partitioned(spark, path, model="synthetic").select(
+        "class", "precision", "recall", "f1_score", "support")
+
+
+# ---------------------------------------------------------------- streaming and SQL surface
+
+@register("stream_clean_comment")
+def q_stream_clean_comment(spark: SparkSession, sf: str) -> DataFrame:
+    """T9 on a file stream (availableNow trigger, Parquet sink): equals the batch result."""
+    from ..streaming.stream import clean_comment_stream, run_available, source
+    s = source(spark, sf, "documents")
+    out = run_available(clean_comment_stream(s, ["doc_id"], KEEP), "stream-clean")
+    return spark.read.parquet(out)
+
+
+@register("stream_label_counts")
+def q_stream_label_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """A1 as a streaming aggregation (complete mode, written per micro-batch)."""
+    from ..session import scratch_path
+    from ..streaming.stream import label_counts_stream, source
+    path = scratch_path(spark, "stream-counts")
+    s = source(spark, sf, "labels").select(F.col("quality").alias("Sentiment"))
+
+    def sink(batch: DataFrame, _epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(path + "/data")
+
+    q = (label_counts_stream(s, "Sentiment").writeStream.outputMode("complete").foreachBatch(sink)
+         .option("checkpointLocation", path + "/_checkpoint").trigger(availableNow=True).start())
+    q.awaitTermination(600)
+    return spark.read.parquet(path + "/data")
+
+
+@register("sql_functions")
+def q_sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """P5 via SQL: the cleaners registered as SQL-bodied functions and called from spark.sql."""
+    from ..functions.sql import register_sql_functions
+    register_sql_functions(spark, KEEP, FIXTURE_STOP_WORDS, prefix="lf_")
+    read_table(spark, sf, "documents").createOrReplaceTempView("lf_documents")
+    return spark.sql("SELECT doc_id, lf_t8_clean_book(text) AS t8_book, lf_t9_clean_comment(text) AS t9_comment "
+                     "FROM lf_documents")
