@@ -7,13 +7,13 @@ BOOK_STOP_WORDS = [
     "এবং", "থেকে", "ও", "এ", "কি", "কোন", "আমি", "আর",
 ]
 
-# --- fixed values: character ranges (Java / RE2 ``\x{...}`` syntax) ---
+# --- fixed values: character ranges, as inclusive code-point intervals ---
 # Bengali Unicode block U+0980..U+09FF (code points 2432..2559).
-BENGALI_RANGE = r"\x{0980}-\x{09FF}"
+BENGALI_RANGES = ((0x0980, 0x09FF),)
 # Bengali danda, kept by the comment cleaner although it lies outside the block.
-DANDA = r"\x{0964}"
-# Latin letters used as the keep range on the (non-Bengali) driver fixtures.
-LATIN_RANGE = r"A-Za-z\x{00C0}-\x{017F}"
+DANDA_CP = 0x0964
+# Latin letters A-Z, a-z, U+00C0..U+017F: the keep range on the (non-Bengali) driver fixtures.
+LATIN_RANGES = ((0x41, 0x5A), (0x61, 0x7A), (0x00C0, 0x017F))
 
 # --- fixed values: emoji / symbol class of the comment cleaner, 18 entries in
 # source order (12 ranges, 6 single characters; one range appears twice) ---

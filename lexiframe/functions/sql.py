@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from .constants import BENGALI_RANGE, DEFAULT_DROP_CLASS, DANDA
+from .charsets import CharSet, as_charset
+from .constants import BENGALI_RANGES, DANDA_CP, DEFAULT_DROP_CLASS
 from .text import emoji_pattern
 
 
@@ -13,23 +14,24 @@ def _lit(s: str) -> str:
     return "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def register_sql_functions(spark: SparkSession, keep: str = BENGALI_RANGE,
+def register_sql_functions(spark: SparkSession, keep: CharSet = CharSet(BENGALI_RANGES),
                            stop: list[str] | None = None, prefix: str = "") -> list[str]:
     """Register ``{prefix}t1_delete_newlines``, ``t2_replace_outside``,
     ``t3_remove_emojis``, ``t4_keep_only``, ``t5_drop_chars``, ``t7_remove_stop``,
     ``t8_clean_book``, ``t9_clean_comment``, ``a3_argmax``; return their names."""
+    keep = as_charset(keep)
     stop_arr = "array(" + ", ".join(_lit(w) for w in (stop or [])) + ")"
     ws = r"[\\t\\n\\x{000B}\\f\\r\\x{001C}-\\x{001F} \\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
     defs = {
         "t1_delete_newlines": "(x STRING) RETURNS STRING RETURN regexp_replace(x, '\\n', '')",
-        "t2_replace_outside": f"(x STRING) RETURNS STRING RETURN regexp_replace(x, {_lit('[^' + keep + ']')}, ' ')",
+        "t2_replace_outside": f"(x STRING) RETURNS STRING RETURN regexp_replace(x, {_lit(keep.complement_class())}, ' ')",
         "t3_remove_emojis": f"(x STRING) RETURNS STRING RETURN regexp_replace(x, {_lit(emoji_pattern())}, '')",
         "t4_keep_only": ("(x STRING) RETURNS STRING RETURN trim(regexp_replace(x, "
-                         f"{_lit('[^.' + DANDA + ' ' + keep + ']')}, ''))"),
+                         f"{_lit(keep.union('.', DANDA_CP, ' ').complement_class())}, ''))"),
         "t5_drop_chars": f"(x STRING) RETURNS STRING RETURN regexp_replace(x, {_lit(DEFAULT_DROP_CLASS)}, '')",
         "t6_tokenize": f"(x STRING) RETURNS ARRAY<STRING> RETURN filter(split(x, '{ws}'), t -> t <> '')",
-        "t7_remove_stop": (f"(x STRING) RETURNS STRING RETURN array_join(filter({prefix}t6_tokenize(x), "
-                           f"t -> NOT array_contains({stop_arr}, t)), ' ')"),
+        "t7_remove_stop": (f"(x STRING) RETURNS STRING RETURN array_join(filter(split(x, ' '), "
+                           f"t -> t <> '' AND NOT array_contains({stop_arr}, t)), ' ')"),
         "t8_clean_book": (f"(x STRING) RETURNS STRING RETURN "
                           f"{prefix}t7_remove_stop({prefix}t2_replace_outside({prefix}t1_delete_newlines(x)))"),
         "t9_clean_comment": (f"(x STRING) RETURNS STRING RETURN "

@@ -15,11 +15,14 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .charsets import CharSet, as_charset
 from .constants import (
-    BENGALI_RANGE, BOOK_STOP_WORDS, DANDA, DEFAULT_DROP_CLASS, EMOJI_CLASS_ENTRIES,
+    BENGALI_RANGES, BOOK_STOP_WORDS, DANDA_CP, DEFAULT_DROP_CLASS, EMOJI_CLASS_ENTRIES,
     PY_WHITESPACE,
 )
 
+BENGALI = CharSet(BENGALI_RANGES)
+
 ColumnLike = Column | str
 
 
@@ -32,9 +35,9 @@ def delete_newlines(c: ColumnLike) -> Column:
     return F.regexp_replace(_c(c), "\n", "")
 
 
-def replace_outside(c: ColumnLike, keep: str = BENGALI_RANGE) -> Column:
+def replace_outside(c: ColumnLike, keep: CharSet = BENGALI) -> Column:
     """Replace every character outside ``keep`` by one space, 1:1, no collapsing."""
-    return F.regexp_replace(_c(c), f"[^{keep}]", " ")
+    return F.regexp_replace(_c(c), as_charset(keep).complement_class(), " ")
 
 
 def emoji_pattern() -> str:
@@ -46,14 +49,14 @@ def remove_emojis(c: ColumnLike) -> Column:
     return F.regexp_replace(_c(c), emoji_pattern(), "")
 
 
-def keep_only(c: ColumnLike, keep: str = BENGALI_RANGE, extra: str = "." + DANDA + " ",
+def keep_only(c: ColumnLike, keep: CharSet = BENGALI, extra: str = "." + chr(DANDA_CP) + " ",
               collapse_spaces: bool = False) -> Column:
     """T4 / F2: keep ``keep`` plus ``extra`` (full stop, danda, space), delete the rest, trim.
 
     The original cleaner computes a space-collapsed string and discards it, so
     inner runs of spaces survive; ``collapse_spaces=True`` applies the collapse.
     """
-    out = F.regexp_replace(_c(c), f"[^{extra}{keep}]", "")
+    out = F.regexp_replace(_c(c), as_charset(keep).union(*extra).complement_class(), "")
     if collapse_spaces:
         out = F.regexp_replace(out, " +", " ")
     return F.trim(out)
@@ -71,9 +74,14 @@ def drop_chars(c: ColumnLike, chars: Iterable[str] | None = None,
     return F.regexp_replace(_c(c), pattern, "")
 
 
-def tokenize(c: ColumnLike) -> Column:
-    """Whitespace tokenise like Python's ``str.split()`` (blank -> empty array)."""
-    return F.filter(F.split(_c(c), PY_WHITESPACE + "+"), lambda t: t != "")
+def tokenize(c: ColumnLike, spaces_only: bool = False) -> Column:
+    """Whitespace tokenise like Python's ``str.split()`` (blank -> empty array).
+
+    ``spaces_only`` splits on the space character alone, which is exact after
+    T2 (it has mapped every other whitespace character to a space) and cheaper.
+    """
+    sep = " " if spaces_only else PY_WHITESPACE + "+"
+    return F.filter(F.split(_c(c), sep), lambda t: t != "")
 
 
 def _not_stop(stop: list[str]):
@@ -82,7 +90,8 @@ def _not_stop(stop: list[str]):
     return lambda t: ~t.isin(stop)
 
 
-def remove_stop_words(c: ColumnLike, stop: Iterable[str] = BOOK_STOP_WORDS) -> Column:
+def remove_stop_words(c: ColumnLike, stop: Iterable[str] = BOOK_STOP_WORDS,
+                      spaces_only: bool = False) -> Column:
     """Tokenise, drop tokens found in ``stop`` (exact match), re-join with one space.
 
     Order and duplicates are kept (``array_except`` would de-duplicate). A list
@@ -91,20 +100,23 @@ def remove_stop_words(c: ColumnLike, stop: Iterable[str] = BOOK_STOP_WORDS) -> C
     :func:`lexiframe.operators.shape.remove_stop_words_table`.
     """
     stop = list(dict.fromkeys(stop))
-    toks = tokenize(c)
+    toks = tokenize(c, spaces_only)
     pred = _not_stop(stop)
     if pred is not None:
         toks = F.filter(toks, pred)
     return F.array_join(toks, " ")
 
 
-def clean_book(c: ColumnLike, keep: str = BENGALI_RANGE,
+def clean_book(c: ColumnLike, keep: CharSet = BENGALI,
                stop: Iterable[str] = BOOK_STOP_WORDS) -> Column:
-    """Book-review cleaner = T1 -> T2 -> T7 (T5 is applied later by the caller)."""
-    return remove_stop_words(replace_outside(delete_newlines(c), keep), stop)
+    """Book-review cleaner = T1 -> T2 -> T7 (T5 is applied later by the caller).
+
+    ``keep`` must not contain whitespace, so T2 leaves spaces as the only separator.
+    """
+    return remove_stop_words(replace_outside(delete_newlines(c), keep), stop, spaces_only=True)
 
 
-def clean_comment(c: ColumnLike, keep: str = BENGALI_RANGE,
+def clean_comment(c: ColumnLike, keep: CharSet = BENGALI,
                   chars: Iterable[str] | None = None, pattern: str = DEFAULT_DROP_CLASS) -> Column:
     """Comment cleaner = T3 -> T4 -> T5."""
     return drop_chars(keep_only(remove_emojis(c), keep), chars, pattern)

@@ -3,10 +3,13 @@
 These definitions are shared by the Spark plans and (as SQL text) by the
 oracles, so both sides compute the same synthetic columns.
 """
-from ..functions.constants import LATIN_RANGE
+from ..functions.charsets import CharSet
+from ..functions.constants import LATIN_RANGES
 
 # Keep range of the script-specific cleaners on the en/fr/de/es driver text.
-KEEP = LATIN_RANGE
+KEEP = CharSet(LATIN_RANGES)
+# The same set as the body of a regex class, for the SQL oracles.
+KEEP_SQL = KEEP.members()
 # Stop list used on the driver text (a parameter of T7; the Bengali list is
 # the default of the library functions).
 FIXTURE_STOP_WORDS = [

@@ -11,7 +11,7 @@ from ..functions.constants import (
     VALID_SEED, VALID_TRAIN_SHARE,
 )
 from .fixtures import (
-    FIXTURE_STOP_WORDS, HEAD_ROWS, KEEP, N_LOGITS, PEEK_POSITIONS, PRED_SQL, RAW_NEWS_LABEL_SQL,
+    FIXTURE_STOP_WORDS, HEAD_ROWS, KEEP_SQL as KEEP, N_LOGITS, PEEK_POSITIONS, PRED_SQL, RAW_NEWS_LABEL_SQL,
     TWO_CLASS_NAMES, VOCAB_SIZE,
 )
 

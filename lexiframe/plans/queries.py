@@ -22,7 +22,7 @@ from ..operators import encode as E
 from ..operators import evaluate as A
 from ..operators import shape as P
 from ..operators import splits as D
-from ..session import read_table
+from ..session import materialize, read_table, spread
 from .fixtures import (
     FIXTURE_STOP_WORDS, HEAD_ROWS, KEEP, N_LOGITS, PEEK_POSITIONS, PRED_SQL, RAW_NEWS_LABEL_SQL,
     TWO_CLASS_NAMES, VOCAB_SIZE,
@@ -47,11 +47,11 @@ def _ids_text(c) -> F.Column:
 
 def book_cleaned(spark: SparkSession, sf: str) -> DataFrame:
     """T1 -> T2 -> T6/T7 -> T5 on every document, one column per stage."""
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return (docs.select("doc_id", T.delete_newlines("text").alias("t1_no_newlines"))
             .withColumn("t2_keep_range", T.replace_outside("t1_no_newlines", KEEP))
-            .withColumn("n_tokens", F.size(T.tokenize("t2_keep_range")).cast("int"))
-            .withColumn("t7_no_stop", T.remove_stop_words("t2_keep_range", FIXTURE_STOP_WORDS))
+            .withColumn("n_tokens", F.size(T.tokenize("t2_keep_range", spaces_only=True)).cast("int"))
+            .withColumn("t7_no_stop", T.remove_stop_words("t2_keep_range", FIXTURE_STOP_WORDS, spaces_only=True))
             .withColumn("t5_final", T.drop_chars("t7_no_stop"))
             .withColumn("is_empty", T.is_empty("t5_final")))
 
@@ -66,7 +66,7 @@ def comment_cleaned(df: DataFrame, keys: list[str], text: str = "text") -> DataF
 
 def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """Tokens of the cleaned book text (T8 then T5)."""
-    return book_cleaned(spark, sf).select("doc_id", T.tokenize("t5_final").alias("tokens"))
+    return book_cleaned(spark, sf).select("doc_id", T.tokenize("t5_final", spaces_only=True).alias("tokens"))
 
 
 def labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -85,7 +85,7 @@ def vocab_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, sf: str, pad: bool = True) -> DataFrame:
-    toks = doc_tokens(spark, sf)
+    toks = materialize(doc_tokens(spark, sf), "tokens")
     vocab = E.build_vocab(toks, "tokens", VOCAB_SIZE)
     return E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN,
                     vocab_size_bound=VOCAB_SIZE, pad=pad)
@@ -169,13 +169,13 @@ def q_clean_book(spark: SparkSession, sf: str) -> DataFrame:
 @register("clean_comment")
 def q_clean_comment(spark: SparkSession, sf: str) -> DataFrame:
     """T3 T4 T5 T9 F2 F4 on documents."""
-    return comment_cleaned(read_table(spark, sf, "documents"), ["doc_id"])
+    return comment_cleaned(spread(read_table(spark, sf, "documents"), "doc_id"), ["doc_id"])
 
 
 @register("clean_conversations")
 def q_clean_conversations(spark: SparkSession, sf: str) -> DataFrame:
     """T9 on the second corpus (conversation turns)."""
-    return comment_cleaned(read_table(spark, sf, "conversations"), ["conv_id", "turn"])
+    return comment_cleaned(spread(read_table(spark, sf, "conversations"), "conv_id"), ["conv_id", "turn"])
 
 
 @register("label_distribution")
@@ -266,7 +266,7 @@ def q_encode(spark: SparkSession, sf: str) -> DataFrame:
 @register("decode")
 def q_decode(spark: SparkSession, sf: str) -> DataFrame:
     """Ids back to tokens (padding dropped through the mask)."""
-    toks = doc_tokens(spark, sf)
+    toks = materialize(doc_tokens(spark, sf), "tokens")
     vocab = E.build_vocab(toks, "tokens", VOCAB_SIZE)
     enc = E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN, vocab_size_bound=VOCAB_SIZE)
     dec = E.decode(enc, "doc_id", "input_ids", vocab, vocab_size_bound=VOCAB_SIZE)
@@ -282,8 +282,10 @@ def q_max_length(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _batched_input(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, n_tokens, split): a narrow key table, written once because
+    batching reads it three times (key range, histogram, rows)."""
     enc = encoded(spark, sf, pad=False).select("doc_id", "n_tokens")
-    return enc.join(test_split(spark, sf), "doc_id")
+    return materialize(enc.join(test_split(spark, sf), "doc_id"), "batch-keys")
 
 
 @register("bucket_batches")
@@ -296,14 +298,14 @@ def q_bucket_batches(spark: SparkSession, sf: str) -> DataFrame:
 @register("sequential_batches")
 def q_sequential_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed-size batches in key order."""
-    b = E.sequential_batches(test_split(spark, sf), "doc_id", BATCH_SIZE)
+    b = E.sequential_batches(materialize(test_split(spark, sf), "split-keys"), "doc_id", BATCH_SIZE)
     return b.select("doc_id", "split", "batch_id")
 
 
 @register("random_batches")
 def q_random_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed-size batches in seeded random order."""
-    b = E.random_batches(test_split(spark, sf), "doc_id", BATCH_SIZE, VALID_SEED)
+    b = E.random_batches(materialize(test_split(spark, sf), "split-keys"), "doc_id", BATCH_SIZE, VALID_SEED)
     return b.select("doc_id", "split", "batch_id")
 
 
@@ -614,6 +616,6 @@ def q_sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     """P5 via SQL: the cleaners registered as SQL-bodied functions and called from spark.sql."""
     from ..functions.sql import register_sql_functions
     register_sql_functions(spark, KEEP, FIXTURE_STOP_WORDS, prefix="lf_")
-    read_table(spark, sf, "documents").createOrReplaceTempView("lf_documents")
+    spread(read_table(spark, sf, "documents"), "doc_id").createOrReplaceTempView("lf_documents")
     return spark.sql("SELECT doc_id, lf_t8_clean_book(text) AS t8_book, lf_t9_clean_comment(text) AS t9_comment "
                      "FROM lf_documents")

@@ -62,3 +62,26 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def spread(df, key: str):
+    """Hash-partition ``df`` by ``key`` only when its scan yields fewer
+    partitions than the cluster runs tasks at once (a single large file or
+    row group). Large inputs keep their scan partitioning: no extra shuffle.
+    Hash partitioning (not round-robin) keeps retries deterministic and
+    co-locates rows for later joins and regroups on ``key``."""
+    spark = df.sparkSession
+    target = spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target, key)
+    return df
+
+
+def materialize(df, name: str):
+    """Write ``df`` as Parquet under the shared checkpoint folder and read it
+    back: the lineage is cut, later consumers scan columnar files instead of
+    recomputing the plan, and lost executors do not lose the data."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
