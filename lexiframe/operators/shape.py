@@ -116,7 +116,7 @@ def unpivot_series(df: DataFrame, key: str, series: Sequence[str],
 
 def remove_stop_words_table(df: DataFrame, key: str, text: Column | str, stop: DataFrame,
                             out: str = "text_nostop", word_col: str = "word",
-                            broadcast_limit: int = 1_000_000) -> DataFrame:
+                            broadcast_limit: int = 1_000_000, spaces_only: bool = False) -> DataFrame:
     """U4 for stop lists too large to inline: explode tokens with positions,
     anti-join the stop table, regroup in token order.
 
@@ -124,7 +124,7 @@ def remove_stop_words_table(df: DataFrame, key: str, text: Column | str, stop: D
     ``broadcast_limit``; beyond that the anti join is a shuffled join.
     """
     text = F.col(text) if isinstance(text, str) else text
-    toks = df.select(key, F.posexplode_outer(tokenize(text)).alias("_pos", "_tok"))
+    toks = df.select(key, F.posexplode_outer(tokenize(text, spaces_only)).alias("_pos", "_tok"))
     n_stop = stop.count()
     stop_side = stop.select(F.col(word_col).alias("_tok")).distinct()
     if n_stop <= broadcast_limit:
@@ -133,4 +133,5 @@ def remove_stop_words_table(df: DataFrame, key: str, text: Column | str, stop: D
     regrouped = kept.groupBy(key).agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(
             F.when(F.col("_tok").isNotNull(), F.struct("_pos", "_tok")))), lambda s: s["_tok"]), " ").alias(out))
-    return df.join(regrouped, on=key, how="left").withColumn(out, F.coalesce(F.col(out), F.lit("")))
+    filled = F.when(text.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(F.col(out), F.lit("")))
+    return df.join(regrouped, on=key, how="left").withColumn(out, filled)

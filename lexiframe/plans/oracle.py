@@ -340,3 +340,14 @@ c3 AS (SELECT doc_id, regexp_replace(text, '{_EMOJI}', '', 'g') AS t3 FROM docum
 c5 AS (SELECT doc_id, regexp_replace(trim(regexp_replace(t3, '[^.\x{{0964}} {KEEP}]', '', 'g')),
                                      '{DEFAULT_DROP_CLASS}', '', 'g') AS tc FROM c3)
 SELECT book.doc_id, t7 AS t8_book, tc AS t9_comment FROM book JOIN c5 ON book.doc_id = c5.doc_id"""
+
+ORACLE_SQL["io_review_table"] = """
+SELECT d.doc_id AS row_id, d.text AS Data, l.quality AS Sentiment FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+
+ORACLE_SQL["stop_words_table"] = "WITH" + VOCAB_CTE + """,
+stopt AS (SELECT list(token) AS sl FROM vocab WHERE id < 24)
+SELECT doc_id, array_to_string(list_filter(toks, lambda x: NOT list_contains(sl, x)), ' ') AS t7_no_stop
+FROM book, stopt"""
+
+ORACLE_SQL["split_sizes"] = "WITH" + _valid_cte("floor") + """
+SELECT split, count(*) AS n_rows, 6 AS n_cols FROM documents d JOIN d2 ON d.doc_id = d2.doc_id GROUP BY split"""

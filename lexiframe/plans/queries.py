@@ -619,3 +619,35 @@ def q_sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     spread(read_table(spark, sf, "documents"), "doc_id").createOrReplaceTempView("lf_documents")
     return spark.sql("SELECT doc_id, lf_t8_clean_book(text) AS t8_book, lf_t9_clean_comment(text) AS t9_comment "
                      "FROM lf_documents")
+
+
+@register("io_review_table")
+def q_io_review_table(spark: SparkSession, sf: str) -> DataFrame:
+    """A review sheet exported to Parquet (stored index, ``Review`` column)
+    read back with the index as ``row_id`` and the text renamed to ``Data``."""
+    from ..session import scratch_path
+    from ..sources import read_review_table
+    path = scratch_path(spark, "reviews")
+    lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("Sentiment"))
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    docs.join(lab, "doc_id").select(F.col("doc_id").alias("_idx"), F.col("text").alias("Review"), "Sentiment") \
+        .write.mode("overwrite").parquet(path)
+    return read_review_table(spark, path).select("row_id", "Data", "Sentiment")
+
+
+@register("stop_words_table")
+def q_stop_words_table(spark: SparkSession, sf: str) -> DataFrame:
+    """U4 (table form): stop words held in a table (the corpus's 20 most frequent
+    tokens) removed by an anti join on exploded tokens, regrouped in token order."""
+    stop = materialize(vocab_table(spark, sf).where(F.col("id") < 4 + 20).select(F.col("token").alias("word")),
+                       "stop-table")
+    t2 = book_cleaned(spark, sf).select("doc_id", "t2_keep_range")
+    out = P.remove_stop_words_table(t2, "doc_id", "t2_keep_range", stop, out="t7_no_stop", spaces_only=True)
+    return out.select("doc_id", "t7_no_stop")
+
+
+@register("split_sizes")
+def q_split_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """P10: shape of each split (rows, columns) of the labelled corpus."""
+    docs = read_table(spark, sf, "documents")
+    return P.shape(docs.join(_valid_split(spark, sf, "floor"), "doc_id"), "split")

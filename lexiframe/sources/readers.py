@@ -37,7 +37,7 @@ def read_review_table(spark: SparkSession, path: str, fmt: str = "parquet",
     if fmt == "csv":
         df = read_csv_indexed(spark, path, f"{text_col} string, Sentiment int")
     else:
-        df = spark.read.parquet(path)
+        df = spark.read.parquet(path).withColumnRenamed("_idx", "row_id")
     return df.withColumnRenamed(text_col, "Data")
 
 
