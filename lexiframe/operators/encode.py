@@ -122,7 +122,7 @@ def _key_coarse(df: DataFrame, key: str, max_buckets: int) -> Column:
 
 
 def sequential_batches(df: DataFrame, key: str, batch_size: int, split_col: str | None = "split",
-                       out: str = "batch_id", max_buckets: int = 1024) -> DataFrame:
+                       out: str = "batch_id", max_buckets: int = 1 << 16) -> DataFrame:
     """Batches of ``batch_size`` in key order per split; the last batch may be short."""
     parts = [split_col] if split_col else []
     r = ordered_index(df, [F.col(key)], [_key_coarse(df, key, max_buckets)], parts, "_idx")
@@ -143,7 +143,12 @@ def bucket_batches(df: DataFrame, key: str, length: str, batch_size: int,
                    split_col: str | None = "split", out: str = "batch_id",
                    max_buckets: int = 256) -> DataFrame:
     """E11 + E8: batches of near-equal length (order ``(length, key)``) and each
-    batch's padded length (its longest row)."""
+    batch's padded length (its longest row).
+
+    Buckets are (length, key range): even if every row has the same (truncated)
+    length, the key ranges split that length into buckets of bounded size; the
+    histogram has at most (distinct lengths) x ``max_buckets`` rows.
+    """
     parts = [split_col] if split_col else []
     coarse = [F.col(length), _key_coarse(df, key, max_buckets)]
     r = ordered_index(df, [F.col(length), F.col(key)], coarse, parts, "_idx")

@@ -142,15 +142,21 @@ def epoch_history(metrics: DataFrame, epoch: str = "epoch", phase: str = "phase"
                   phases: Sequence[str] = ("train", "valid"), group: Sequence[str] = ()) -> DataFrame:
     """A10: per-row metrics -> one row per epoch with loss, accuracy and
     elapsed seconds (last minus first timestamp) per phase."""
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
     per = metrics.groupBy(*group, epoch, phase).agg(
         F.avg(loss).alias("loss"), F.avg(F.col(correct).cast("double")).alias("acc"),
-        ((F.max(micros) - F.min(micros)) / 1e6).alias("secs"))
+        elapsed_seconds(F.min(ts), F.max(ts)).alias("secs"))
     wide = per.groupBy(*group, epoch).pivot(phase, list(phases)).agg(
         F.first("loss").alias("loss"), F.first("acc").alias("acc"), F.first("secs").alias("secs"))
     return wide
 
 
+def elapsed_seconds(start: Column | str, end: Column | str) -> Column:
+    """Seconds between two timestamps (microsecond precision, no time-zone conversion)."""
+    s = F.col(start) if isinstance(start, str) else start
+    e = F.col(end) if isinstance(end, str) else end
+    return F.timestamp_diff("MICROSECOND", s, e) / 1e6
+
+
 def class_weights(df: DataFrame, label: str = "Sentiment") -> DataFrame:
     """Inverse-frequency weight per class."""
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn("weight", 1.0 / F.col("n"))

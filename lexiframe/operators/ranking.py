@@ -23,17 +23,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def key_range_width(df: DataFrame, key: str, max_buckets: int = 1024) -> tuple[int, int]:
-    """(min, width) so that ``(key - min) div width`` has at most ``max_buckets`` values.
+ROWS_PER_BUCKET = 100_000
+
+
+def key_range_width(df: DataFrame, key: str, max_buckets: int = 1 << 16,
+                    rows_per_bucket: int | None = None) -> tuple[int, int]:
+    """(min, width) so that ``(key - min) div width`` has about ``n / rows_per_bucket``
+    and at most ``max_buckets`` values (a unique key puts at most ``width`` rows in a bucket).
 
     One aggregate over the key column only (pruned scan, map-side combined).
     """
-    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).first()
-    lo, hi = (r["lo"], r["hi"]) if r is not None else (None, None)
+    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
+    lo, hi, n = (r["lo"], r["hi"], r["n"]) if r is not None else (None, None, 0)
     if lo is None:
         return 0, 1
+    per = rows_per_bucket or ROWS_PER_BUCKET
+    buckets = max(1, min(max_buckets, -(-int(n) // per)))
     span = int(hi) - int(lo) + 1
-    return int(lo), max(1, -(-span // max_buckets))
+    return int(lo), max(1, -(-span // buckets))
 
 
 def range_bucket(key: str | Column, lo: int, width: int) -> Column:
@@ -42,19 +49,35 @@ def range_bucket(key: str | Column, lo: int, width: int) -> Column:
 
 
 def ordered_index(df: DataFrame, order_by: Sequence[Column | str], coarse: Sequence[Column],
-                  partition_by: Sequence[str] = (), name: str = "idx") -> DataFrame:
+                  partition_by: Sequence[str] = (), name: str = "idx",
+                  positions: Sequence[int] | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_by`` order within ``partition_by``.
 
     ``coarse`` must be monotone in ``order_by`` (rows of a smaller coarse tuple
     sort first) and of bounded cardinality. ``order_by`` must be a total order
     (end it with a unique key) for the numbering to be deterministic.
+
+    With ``positions`` only the rows at those positions are returned, and only
+    the buckets that contain them are numbered: the bucket table shrinks to at
+    most ``len(positions)`` rows per group and is broadcast, so the other rows
+    are dropped by a narrow join instead of being shuffled.
     """
     keys = list(partition_by)
     cn = [f"_cb{i}" for i in range(len(coarse))]
     b = df.select("*", *[c.alias(n) for c, n in zip(coarse, cn)])
     hist = b.groupBy(*keys, *cn).agg(F.count(F.lit(1)).alias("_cnt"))
     before = Window.partitionBy(*keys).orderBy(*cn).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hist.select(*keys, *cn, F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    offsets = hist.select(*keys, *cn, "_cnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    if positions is not None:
+        wanted = F.array(*[F.lit(int(p)) for p in positions])
+        hit = F.exists(wanted, lambda p: (p >= F.col("_off")) & (p < F.col("_off") + F.col("_cnt")))
+        offsets = F.broadcast(offsets.where(hit).drop("_cnt"))
+        joined = b.join(offsets, on=keys + cn, how="inner")
+        within = Window.partitionBy(*keys, *cn).orderBy(*order_by)
+        idx = (F.col("_off") + F.row_number().over(within) - 1).cast("long")
+        return (joined.withColumn(name, idx).where(F.col(name).isin([int(p) for p in positions]))
+                .drop(*cn, "_off"))
+    offsets = offsets.drop("_cnt")
     joined = b.join(offsets, on=keys + cn, how="inner")
     within = Window.partitionBy(*keys, *cn).orderBy(*order_by)
     return (joined.withColumn(name, (F.col("_off") + F.row_number().over(within) - 1).cast("long"))

@@ -49,16 +49,18 @@ def union_corpora(parts: Sequence[DataFrame]) -> DataFrame:
 
 
 def renumber(df: DataFrame, order_cols: Sequence[str], bucket_key: str,
-             part_col: str | None = None, name: str = "row_id", max_buckets: int = 1024) -> DataFrame:
+             part_col: str | None = None, name: str = "row_id", max_buckets: int = 1 << 16,
+             positions: Sequence[int] | None = None) -> DataFrame:
     """Number rows 0..n-1 in ``(part_col, *order_cols)`` order.
 
     ``bucket_key`` is a numeric leading order column used for range buckets
-    (width chosen so that each part has at most ``max_buckets`` buckets).
+    (about 100k rows each, at most ``max_buckets`` per part). With
+    ``positions`` only those rows are returned (P8).
     """
     lo, width = key_range_width(df, bucket_key, max_buckets)
     coarse = ([F.col(part_col)] if part_col else []) + [range_bucket(bucket_key, lo, width)]
     order = ([F.col(part_col)] if part_col else []) + [F.col(c) for c in order_cols]
-    return ordered_index(df, order, coarse, name=name)
+    return ordered_index(df, order, coarse, name=name, positions=positions)
 
 
 def index_aligned_join(left: DataFrame, right: DataFrame, key: str = "row_id") -> DataFrame:
@@ -72,8 +74,9 @@ def index_aligned_join(left: DataFrame, right: DataFrame, key: str = "row_id") -
 
 def row_at(df: DataFrame, position: int, order_cols: Sequence[str], bucket_key: str,
            name: str = "pos") -> DataFrame:
-    """The row at 0-based ``position`` in key order (``iloc``)."""
-    return renumber(df, order_cols, bucket_key, name=name).where(F.col(name) == position)
+    """The row at 0-based ``position`` in key order (``iloc``); only the
+    bucket holding it is numbered."""
+    return renumber(df, order_cols, bucket_key, name=name, positions=[position])
 
 
 def head(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:

@@ -209,7 +209,7 @@ def q_row_peek(spark: SparkSession, sf: str) -> DataFrame:
     docs = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("Data"))
     top = P.head(docs, HEAD_ROWS, ["doc_id"])
     top = P.renumber(top, ["doc_id"], "doc_id", name="pos").withColumn("kind", F.lit("head"))
-    pos = P.renumber(docs, ["doc_id"], "doc_id", name="pos").where(F.col("pos").isin(PEEK_POSITIONS)) \
+    pos = P.renumber(docs, ["doc_id"], "doc_id", name="pos", positions=PEEK_POSITIONS) \
         .withColumn("kind", F.lit("iloc"))
     return top.unionByName(pos).select("kind", "pos", "doc_id", "Data")
 
@@ -436,10 +436,9 @@ def q_run_ranking(spark: SparkSession, sf: str) -> DataFrame:
 def q_format_times(spark: SparkSession, sf: str) -> DataFrame:
     """Elapsed time texts and formatted counts per epoch and phase."""
     m = event_metrics(spark, sf)
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
     g = m.groupBy("epoch", "phase").agg(
         F.count(F.lit(1)).alias("n"), F.sum((~F.col("is_correct")).cast("long")).alias("n_err"),
-        ((F.max(micros) - F.min(micros)) / 1e6).alias("secs"))
+        A.elapsed_seconds(F.min("ts"), F.max("ts")).alias("secs"))
     mins, secs = split_minutes_seconds("secs")
     return g.select("epoch", "phase", format_count("n").alias("n_events_text"),
                     format_percent("n_err", "n").alias("error_share_text"),

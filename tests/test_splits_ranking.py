@@ -65,3 +65,24 @@ def test_split_plan_keeps_wide_rows_narrow(spark):
     df = spark.range(1000).withColumnRenamed("id", "k").withColumn("payload", F.repeat(F.lit("x"), 10))
     plan = D.train_test_split(df, "k")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_renumber_many_buckets_and_positions(spark, monkeypatch):
+    from lexiframe.operators import ranking, shape
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 37)
+    rows = [(p, k * 7 + p, k) for p in (0, 1) for k in range(500)]
+    df = spark.createDataFrame(rows, "part int, k1 long, k2 long")
+    got = shape.renumber(df, ["k1", "k2"], "k1", part_col="part")
+    want = df.withColumn("row_id", F.row_number().over(Window.orderBy("part", "k1", "k2")) - 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
+    picked = shape.renumber(df, ["k1", "k2"], "k1", part_col="part", positions=[0, 499, 500, 999])
+    assert sorted(r["row_id"] for r in picked.collect()) == [0, 499, 500, 999]
+    # the position mode never numbers rows outside the buckets it needs
+    assert shape.row_at(df, 733, ["k1", "k2"], "k1").count() == 1
+
+
+def test_duplicate_keys_empty_for_a_valid_index(spark):
+    from lexiframe.operators import shape
+    df = spark.range(50).withColumnRenamed("id", "epoch")
+    assert shape.duplicate_keys(df, "epoch").count() == 0
+    assert shape.duplicate_keys(df.union(spark.range(3).withColumnRenamed("id", "epoch")), "epoch").count() == 3
