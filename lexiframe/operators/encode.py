@@ -69,12 +69,16 @@ def encode(df: DataFrame, key: str, tokens: str | Column, vocab: DataFrame, max_
     """
     t = F.col(tokens) if isinstance(tokens, str) else tokens
     body = F.slice(t, 1, max_len - 2)
-    exploded = df.select(key, F.posexplode_outer(body).alias("_pos", "token"))
+    # Regroup by a per-row id, not by ``key``: a repeated key must not merge
+    # rows into one unbounded group. The id is assigned in the same stage as
+    # the explode, so a retried task re-emits all tokens of a row under one id.
+    rows = df.select(key, F.monotonically_increasing_id().alias("_rid"), body.alias("_body"))
+    exploded = rows.select(key, "_rid", F.posexplode_outer("_body").alias("_pos", "token"))
     lookup = _maybe_broadcast(vocab.select("token", "id"), vocab_size_bound)
     looked = exploded.join(lookup, on="token", how="left")
     entry = F.when(F.col("_pos").isNotNull(),
                    F.struct("_pos", F.coalesce(F.col("id"), F.lit(specials.unk)).alias("id")))
-    grouped = looked.groupBy(key).agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    grouped = looked.groupBy("_rid").agg(F.first(key).alias(key), F.array_sort(F.collect_list(entry)).alias("_e"))
     ids = F.concat(F.array(F.lit(specials.cls)), F.transform("_e", lambda s: s["id"]),
                    F.array(F.lit(specials.sep)))
     out = grouped.select(key, ids.alias("input_ids")).withColumn("n_tokens", F.size("input_ids"))
@@ -98,8 +102,9 @@ def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: Specia
     """Ids -> tokens (specials by name), dropping padded positions when a mask is given."""
     cols = [F.col(ids)] + ([F.col(mask)] if mask else [])
     z = F.arrays_zip(*cols)
-    exploded = df.select(key, F.posexplode_outer(z).alias("_pos", "_z"))
-    exploded = exploded.select(key, "_pos", F.col("_z")[ids].alias("_id"),
+    rows = df.select(key, F.monotonically_increasing_id().alias("_rid"), z.alias("_zz"))
+    exploded = rows.select(key, "_rid", F.posexplode_outer("_zz").alias("_pos", "_z"))
+    exploded = exploded.select(key, "_rid", "_pos", F.col("_z")[ids].alias("_id"),
                                (F.col("_z")[mask] if mask else F.lit(1)).alias("_m"))
     lookup = _maybe_broadcast(vocab.select(F.col("id").alias("_id"), "token"), vocab_size_bound)
     named = exploded.join(lookup, on="_id", how="left")
@@ -107,8 +112,9 @@ def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: Specia
                         for x in (F.lit(i), F.lit(nm))])
     tok = F.coalesce(F.col("token"), sp[F.col("_id")], F.col("_id").cast("string"))
     entry = F.when(F.col("_pos").isNotNull() & (F.col("_m") == 1), F.struct("_pos", tok.alias("t")))
-    return named.groupBy(key).agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["t"]).alias(out))
+    return named.groupBy("_rid").agg(
+        F.first(key).alias(key),
+        F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["t"]).alias(out)).drop("_rid")
 
 
 def max_length(df: DataFrame, n: str = "n_tokens") -> DataFrame:

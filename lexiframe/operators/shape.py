@@ -63,13 +63,21 @@ def renumber(df: DataFrame, order_cols: Sequence[str], bucket_key: str,
     return ordered_index(df, order, coarse, name=name, positions=positions)
 
 
-def index_aligned_join(left: DataFrame, right: DataFrame, key: str = "row_id") -> DataFrame:
+def index_aligned_join(left: DataFrame, right: DataFrame, key: str = "row_id",
+                       broadcast_limit: int = 2_000_000) -> DataFrame:
     """Re-attach columns by row key; an outer join like index alignment.
 
-    Both sides are hash-partitioned on the key once (sort-merge join); AQE
-    turns it into a shuffled-hash join or handles a skewed key at run time.
+    When the right side (labels) has at most ``broadcast_limit`` rows (counted
+    first) the wide left side is never shuffled: a broadcast left join keeps
+    every left row, and right rows without a partner come from an anti join
+    against the left *keys* only. Beyond the limit it is a plain full outer
+    join (both sides hash-partitioned once; AQE handles skew at run time).
     """
-    return left.join(right, on=key, how="full_outer")
+    if right.count() > broadcast_limit:
+        return left.join(right, on=key, how="full_outer")
+    matched = left.join(F.broadcast(right), on=key, how="left")
+    orphans = right.join(left.select(key), on=key, how="left_anti")
+    return matched.unionByName(orphans, allowMissingColumns=True)
 
 
 def row_at(df: DataFrame, position: int, order_cols: Sequence[str], bucket_key: str,
@@ -121,20 +129,26 @@ def remove_stop_words_table(df: DataFrame, key: str, text: Column | str, stop: D
                             out: str = "text_nostop", word_col: str = "word",
                             broadcast_limit: int = 1_000_000, spaces_only: bool = False) -> DataFrame:
     """U4 for stop lists too large to inline: explode tokens with positions,
-    anti-join the stop table, regroup in token order.
+    mark stop tokens by a join with the stop table, regroup the others in token
+    order. Returns ``(key, out)`` for every input row.
 
     The stop table is broadcast only when its row count is at most
-    ``broadcast_limit``; beyond that the anti join is a shuffled join.
+    ``broadcast_limit``; beyond that the anti join is a shuffled join. Rows are
+    regrouped by a per-row id (assigned in the exploding stage), so a repeated
+    key never forms one large group.
     """
     text = F.col(text) if isinstance(text, str) else text
-    toks = df.select(key, F.posexplode_outer(tokenize(text, spaces_only)).alias("_pos", "_tok"))
+    rows = df.select(key, F.monotonically_increasing_id().alias("_rid"), text.isNull().alias("_null"),
+                     tokenize(text, spaces_only).alias("_toks"))
+    toks = rows.select(key, "_rid", "_null", F.posexplode_outer("_toks").alias("_pos", "_tok"))
     n_stop = stop.count()
-    stop_side = stop.select(F.col(word_col).alias("_tok")).distinct()
+    stop_side = stop.select(F.col(word_col).alias("_tok")).distinct().withColumn("_stop", F.lit(True))
     if n_stop <= broadcast_limit:
         stop_side = F.broadcast(stop_side)
-    kept = toks.join(stop_side, on="_tok", how="left_anti")
-    regrouped = kept.groupBy(key).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(
-            F.when(F.col("_tok").isNotNull(), F.struct("_pos", "_tok")))), lambda s: s["_tok"]), " ").alias(out))
-    filled = F.when(text.isNull(), F.lit(None).cast("string")).otherwise(F.coalesce(F.col(out), F.lit("")))
-    return df.join(regrouped, on=key, how="left").withColumn(out, filled)
+    # a left join with a marker (not an anti join) so rows whose tokens are all stop words survive
+    kept = toks.join(stop_side, on="_tok", how="left")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(
+        F.when(F.col("_tok").isNotNull() & F.col("_stop").isNull(), F.struct("_pos", "_tok")))),
+        lambda s: s["_tok"]), " ")
+    g = kept.groupBy("_rid").agg(F.first(key).alias(key), F.first("_null").alias("_null"), joined.alias(out))
+    return g.select(key, F.when(F.col("_null"), F.lit(None).cast("string")).otherwise(F.col(out)).alias(out))

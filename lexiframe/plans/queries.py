@@ -641,8 +641,7 @@ def q_stop_words_table(spark: SparkSession, sf: str) -> DataFrame:
     stop = materialize(vocab_table(spark, sf).where(F.col("id") < 4 + 20).select(F.col("token").alias("word")),
                        "stop-table")
     t2 = book_cleaned(spark, sf).select("doc_id", "t2_keep_range")
-    out = P.remove_stop_words_table(t2, "doc_id", "t2_keep_range", stop, out="t7_no_stop", spaces_only=True)
-    return out.select("doc_id", "t7_no_stop")
+    return P.remove_stop_words_table(t2, "doc_id", "t2_keep_range", stop, out="t7_no_stop", spaces_only=True)
 
 
 @register("split_sizes")

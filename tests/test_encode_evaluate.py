@@ -108,3 +108,23 @@ def test_scorer_matches_sql_expressions(spark):
     b = {r["k"]: (r["p"], r["l"]) for r in ref.collect()}
     for k in a:
         assert a[k][0] == b[k][0] and a[k][1] == pytest.approx(b[k][1], rel=1e-12)
+
+
+def test_repeated_key_rows_are_encoded_separately(spark):
+    df = spark.createDataFrame([(7, "a b"), (7, "c"), (8, "")], "doc_id long, text string").withColumn(
+        "tokens", tokenize("text"))
+    vocab = E.build_vocab(df, "tokens", 10)
+    enc = E.encode(df, "doc_id", "tokens", vocab, 6, vocab_size_bound=10)
+    got = sorted((r["doc_id"], r["n_tokens"]) for r in enc.collect())
+    assert got == [(7, 3), (7, 4), (8, 2)]
+    plan = enc._jdf.queryExecution().executedPlan().toString()
+    gen = plan.index("Generate")
+    assert "monotonically_increasing_id" in plan[gen:]  # the id is computed below the generator
+
+
+def test_stop_table_keeps_null_and_order(spark):
+    from lexiframe.operators.shape import remove_stop_words_table
+    df = spark.createDataFrame([(1, "x the y the x"), (2, None), (3, "the")], "k long, t string")
+    stop = spark.createDataFrame([("the",)], "word string")
+    got = {r["k"]: r["o"] for r in remove_stop_words_table(df, "k", "t", stop, out="o").collect()}
+    assert got == {1: "x y x", 2: None, 3: ""}
