@@ -53,3 +53,10 @@ def format_percent(num: ColumnLike, den: ColumnLike, decimals: int = 2) -> Colum
         return F.concat(whole, F.lit("%"))
     frac = F.lpad((units % scale).cast("string"), decimals, "0")
     return F.concat(whole, F.lit("."), frac, F.lit("%"))
+
+
+def format_decimal(x: ColumnLike, places: int = 3) -> Column:
+    """A double as text with ``places`` decimals (``f"{x:.3f}"`` for a loss),
+    rounded half-up on its shortest decimal form rather than on binary digits."""
+    d = F.round(_c(x).cast("decimal(38,10)"), places)
+    return d.cast(f"decimal(38,{places})").cast("string")

@@ -294,6 +294,7 @@ ORACLE_SQL["format_times"] = "WITH" + EVENTS_CTE + f""",
 fu AS (SELECT *, (n_err * 20000 + n) // (2 * n) AS units FROM ep)
 SELECT epoch, phase, format('{{:,}}', n) AS n_events_text,
        CAST(units // 100 AS VARCHAR) || '.' || lpad(CAST(units % 100 AS VARCHAR), 2, '0') || '%' AS error_share_text,
+       CAST(round(CAST(loss AS DECIMAL(38, 10)), 3) AS VARCHAR) AS loss_text,
        {_hms('secs')} AS elapsed_text, CAST(trunc(secs / 60) AS INTEGER) AS minutes,
        CAST(trunc(secs - trunc(secs / 60) * 60) AS INTEGER) AS seconds
 FROM fu"""
@@ -351,3 +352,8 @@ FROM book, stopt"""
 
 ORACLE_SQL["split_sizes"] = "WITH" + _valid_cte("floor") + """
 SELECT split, count(*) AS n_rows, 6 AS n_cols FROM documents d JOIN d2 ON d.doc_id = d2.doc_id GROUP BY split"""
+
+ORACLE_SQL["label_index_apply"] = """
+WITH c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1),
+i AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS INTEGER) AS idx FROM c)
+SELECT o_orderkey, o_orderpriority AS label, idx FROM orders JOIN i ON orders.o_orderpriority = i.label"""

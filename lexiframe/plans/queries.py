@@ -17,7 +17,9 @@ from ..functions.constants import (
     TEST_SEED, TEST_SHARE, VALID_SEED, VALID_TRAIN_SHARE,
 )
 from ..functions.scoring import argmax, cross_entropy
-from ..functions.timefmt import format_count, format_elapsed, format_percent, split_minutes_seconds
+from ..functions.timefmt import (
+    format_count, format_decimal, format_elapsed, format_percent, split_minutes_seconds,
+)
 from ..operators import encode as E
 from ..operators import evaluate as A
 from ..operators import shape as P
@@ -328,6 +330,15 @@ def q_label_index(spark: SparkSession, sf: str) -> DataFrame:
             .select("source", "label", F.col("n").cast("long").alias("n"), "idx"))
 
 
+@register("label_index_apply")
+def q_label_index_apply(spark: SparkSession, sf: str) -> DataFrame:
+    """E12 applied: every order gets the index of its priority (label vocabulary
+    fitted on the orders themselves, broadcast as a bounded table)."""
+    orders = read_table(spark, sf, "orders").select("o_orderkey", F.col("o_orderpriority").alias("label"))
+    idx = E.label_index(orders.select("label"), "label")
+    return E.apply_label_index(orders, idx, "label").select("o_orderkey", "label", "idx")
+
+
 @register("argmax_accuracy")
 def q_argmax_accuracy(spark: SparkSession, sf: str) -> DataFrame:
     """Predicted class per row (first maximum) and correctness."""
@@ -438,10 +449,11 @@ def q_format_times(spark: SparkSession, sf: str) -> DataFrame:
     m = event_metrics(spark, sf)
     g = m.groupBy("epoch", "phase").agg(
         F.count(F.lit(1)).alias("n"), F.sum((~F.col("is_correct")).cast("long")).alias("n_err"),
-        A.elapsed_seconds(F.min("ts"), F.max("ts")).alias("secs"))
+        A.elapsed_seconds(F.min("ts"), F.max("ts")).alias("secs"), F.avg("loss").alias("loss"))
     mins, secs = split_minutes_seconds("secs")
     return g.select("epoch", "phase", format_count("n").alias("n_events_text"),
                     format_percent("n_err", "n").alias("error_share_text"),
+                    format_decimal("loss", 3).alias("loss_text"),
                     format_elapsed("secs").alias("elapsed_text"), mins.alias("minutes"), secs.alias("seconds"))
 
 
@@ -486,7 +498,9 @@ def q_train_text(spark: SparkSession, sf: str) -> DataFrame:
     from ..session import scratch_path
     clean = book_cleaned(spark, sf).select("doc_id", F.col("t5_final").alias("text_clean"))
     lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
-    data = D.train_test_split(clean.join(lab, "doc_id"), "doc_id", TEST_SHARE, TEST_SEED)
+    # written once: the IDF fit, the LR fit and the test transform all read it
+    data = materialize(D.train_test_split(clean.join(lab, "doc_id"), "doc_id", TEST_SHARE, TEST_SEED),
+                       "text-model-input")
     train = data.where(F.col("split") == "train")
     w = A.class_weights(train, "label").select("label", "weight")
     train = train.join(F.broadcast(w), "label")

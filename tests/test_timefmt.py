@@ -19,3 +19,9 @@ def test_counts_and_percent(spark):
     df = spark.createDataFrame([(1234567, 1, 8), (5, 1, 3)], "n long, a long, b long")
     got = [tuple(r) for r in df.select(format_count("n"), format_percent("a", "b")).collect()]
     assert got == [("1,234,567", "12.50%"), ("5", "33.33%")]
+
+
+def test_decimal_text(spark):
+    from lexiframe.functions.timefmt import format_decimal
+    df = spark.createDataFrame([(0.0025,), (1.0005,), (2.0,), (12.3456,)], "x double")
+    assert [r[0] for r in df.select(format_decimal("x", 3)).collect()] == ["0.003", "1.001", "2.000", "12.346"]
