@@ -71,8 +71,12 @@ def spread(df, key: str):
     Hash partitioning (not round-robin) keeps retries deterministic and
     co-locates rows for later joins and regroups on ``key``."""
     spark = df.sparkSession
-    target = spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    try:
+        target = spark.sparkContext.defaultParallelism
+        current = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access keep the scan partitioning
+        return df
+    if current < target:
         return df.repartition(target, key)
     return df
 

@@ -128,3 +128,11 @@ def test_stop_table_keeps_null_and_order(spark):
     stop = spark.createDataFrame([("the",)], "word string")
     got = {r["k"]: r["o"] for r in remove_stop_words_table(df, "k", "t", stop, out="o").collect()}
     assert got == {1: "x y x", 2: None, 3: ""}
+
+
+def test_confusion_total_equals_rows(spark):
+    from conftest import SF01
+    import __spark_entry__ as se
+    conf = se.queries()["confusion"](spark, SF01)
+    labels = spark.read.parquet(f"{SF01}/labels.parquet")
+    assert conf.agg(F.sum("n")).first()[0] == labels.count()
