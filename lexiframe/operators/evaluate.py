@@ -76,11 +76,16 @@ def classification_report(conf: DataFrame, names: Mapping[int, str] | None = Non
     """
     t, p = ("pred", "target") if orientation == "reference" else ("target", "pred")
     c = conf.select(F.col(t).alias("t"), F.col(p).alias("p"), F.col("n").cast("double").alias("n"))
-    true_tot = c.groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("support"))
-    pred_tot = c.groupBy(F.col("p").alias("label")).agg(F.sum("n").alias("predicted"))
-    diag = c.where(F.col("t") == F.col("p")).groupBy(F.col("t").alias("label")).agg(F.sum("n").alias("tp"))
-    per = (true_tot.join(pred_tot, "label", "full_outer").join(diag, "label", "left")
-           .na.fill(0.0, ["support", "predicted", "tp"]))
+    # every confusion cell counts once for its true label and once for its
+    # predicted label: one aggregate gives support, predicted and true positives
+    zero = F.lit(0.0)
+    cells = c.select(F.explode(F.array(
+        F.struct(F.col("t").alias("label"), F.col("n").alias("support"), zero.alias("predicted"),
+                 F.when(F.col("t") == F.col("p"), F.col("n")).otherwise(zero).alias("tp")),
+        F.struct(F.col("p").alias("label"), zero.alias("support"), F.col("n").alias("predicted"),
+                 zero.alias("tp")))).alias("cell")).select("cell.*")
+    per = cells.groupBy("label").agg(F.sum("support").alias("support"), F.sum("predicted").alias("predicted"),
+                                     F.sum("tp").alias("tp"))
 
     def ratio(a: Column, b: Column) -> Column:
         return F.when(b > 0, a / b).otherwise(F.lit(0.0))

@@ -77,9 +77,12 @@ def labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
     return docs.join(labels, "doc_id")
 
 
-def test_split(spark: SparkSession, sf: str) -> DataFrame:
+def test_split(spark: SparkSession, sf: str, written: bool = True) -> DataFrame:
+    """(doc_id, split) of D1. Consumers get it written once (a narrow key
+    table) instead of recomputing the split plan in every branch that reads it."""
     docs = read_table(spark, sf, "documents").select("doc_id")
-    return D.train_test_split(docs, "doc_id", TEST_SHARE, TEST_SEED)
+    sp = D.train_test_split(docs, "doc_id", TEST_SHARE, TEST_SEED)
+    return materialize(sp, "split-keys") if written else sp
 
 
 def vocab_table(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,7 +222,7 @@ def q_row_peek(spark: SparkSession, sf: str) -> DataFrame:
 @register("split_train_test")
 def q_split_train_test(spark: SparkSession, sf: str) -> DataFrame:
     """Exact seeded 85/15 split (test = ceil(0.15 n))."""
-    return test_split(spark, sf).select("doc_id", "split")
+    return test_split(spark, sf, written=False).select("doc_id", "split")
 
 
 def _valid_split(spark: SparkSession, sf: str, rule: str) -> DataFrame:
@@ -300,14 +303,14 @@ def q_bucket_batches(spark: SparkSession, sf: str) -> DataFrame:
 @register("sequential_batches")
 def q_sequential_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed-size batches in key order."""
-    b = E.sequential_batches(materialize(test_split(spark, sf), "split-keys"), "doc_id", BATCH_SIZE)
+    b = E.sequential_batches(test_split(spark, sf), "doc_id", BATCH_SIZE)
     return b.select("doc_id", "split", "batch_id")
 
 
 @register("random_batches")
 def q_random_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed-size batches in seeded random order."""
-    b = E.random_batches(materialize(test_split(spark, sf), "split-keys"), "doc_id", BATCH_SIZE, VALID_SEED)
+    b = E.random_batches(test_split(spark, sf), "doc_id", BATCH_SIZE, VALID_SEED)
     return b.select("doc_id", "split", "batch_id")
 
 
@@ -484,7 +487,7 @@ def q_train_frozen(spark: SparkSession, sf: str) -> DataFrame:
     """M2 + A7/A8: classifier on stored vectors (train split), report on the test split."""
     from ..operators.models import train_frozen
     emb = read_table(spark, sf, "embeddings")
-    sp = D.train_test_split(emb, "vec_id", TEST_SHARE, TEST_SEED)
+    sp = materialize(D.train_test_split(emb, "vec_id", TEST_SHARE, TEST_SEED), "frozen-input")
     _, scored = train_frozen(sp, "embedding", "label")
     test = scored.where(F.col("split") == "test").select(F.col("label").cast("int").alias("target"), "pred")
     return _rounded_report(A.classification_report(A.confusion(test)))
