@@ -43,6 +43,26 @@ def key_range_width(df: DataFrame, key: str, max_buckets: int = 1 << 16,
     return int(lo), max(1, -(-span // buckets))
 
 
+def composite_key(df: DataFrame, cols: Sequence[str]) -> Column:
+    """One integer that orders like the tuple ``cols`` of integer columns:
+    ``((c1 - min1) * span2 + (c2 - min2)) * span3 + ...``. Unique when the tuple
+    is, so range buckets over it stay bounded even when one leading value (one
+    long conversation) holds a large share of the rows.
+    """
+    aggs = [f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    r = df.agg(*aggs).first()
+    expr, total = None, 1
+    for i, c in enumerate(cols):
+        lo = int(r[f"lo{i}"] or 0)
+        span = int(r[f"hi{i}"] or 0) - lo + 1
+        part = F.col(c).cast("long") - F.lit(lo)
+        expr = part if expr is None else expr * F.lit(span) + part
+        total *= max(span, 1)
+    if total >= 1 << 62:
+        raise ValueError(f"key tuple {list(cols)} does not fit in 62 bits; renumber with a single key")
+    return expr
+
+
 def range_bucket(key: str | Column, lo: int, width: int) -> Column:
     k = F.col(key) if isinstance(key, str) else key
     return F.floor((k - F.lit(lo)) / F.lit(width)).cast("long")

@@ -143,7 +143,7 @@ def q_union_corpora(spark: SparkSession, sf: str) -> DataFrame:
         .withColumns({"_part": F.lit(1), "corpus": F.lit("conversations")})
     u = P.union_corpora([a.select("_part", "corpus", "k1", "k2", "Data", "Sentiment"),
                          b.select("_part", "corpus", "k1", "k2", "Data", "Sentiment")])
-    r = P.renumber(u, ["k1", "k2"], "k1", part_col="_part")
+    r = P.renumber(u, ["k1", "k2"], part_col="_part")
     return r.select("row_id", "corpus", "Data", "Sentiment")
 
 

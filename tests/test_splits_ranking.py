@@ -86,3 +86,18 @@ def test_duplicate_keys_empty_for_a_valid_index(spark):
     df = spark.range(50).withColumnRenamed("id", "epoch")
     assert shape.duplicate_keys(df, "epoch").count() == 0
     assert shape.duplicate_keys(df.union(spark.range(3).withColumnRenamed("id", "epoch")), "epoch").count() == 3
+
+
+def test_renumber_with_one_hot_leading_value(spark, monkeypatch):
+    # one conversation holds a third of the turns: the composite key still spreads it over buckets
+    from lexiframe.operators import ranking, shape
+    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 50)
+    rows = [(0, t) for t in range(400)] + [(c, t) for c in range(1, 200) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv long, turn long")
+    got = shape.renumber(df, ["conv", "turn"])
+    want = df.withColumn("row_id", F.row_number().over(Window.orderBy("conv", "turn")) - 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    ck = ranking.composite_key(df, ["conv", "turn"])
+    lo, width = ranking.key_range_width(df.withColumn("_ck", ck), "_ck")
+    sizes = df.withColumn("b", ranking.range_bucket(ck, lo, width)).groupBy("b").count().collect()
+    assert max(r["count"] for r in sizes) <= width
