@@ -125,3 +125,8 @@ def clean_comment(c: ColumnLike, keep: CharSet = BENGALI,
 def is_empty(c: ColumnLike) -> Column:
     """true when nothing but spaces is left (NULL stays NULL)."""
     return F.length(F.trim(_c(c))) == 0
+
+
+def tokenize_regex(c: ColumnLike, pattern: str = r"\p{L}+") -> Column:
+    """E1 (regex form): every match of ``pattern`` is a token (``regexp_extract_all``)."""
+    return F.regexp_extract_all(_c(c), F.lit(pattern), 0)

@@ -117,6 +117,37 @@ def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: Specia
         F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["t"]).alias(out)).drop("_rid")
 
 
+class RegexTokenizer:
+    """Default tokeniser plug-in: all matches of a Unicode regex (``regex`` module)."""
+
+    def __init__(self, pattern: str = r"\p{L}+"):
+        self.pattern = pattern
+
+    def __call__(self, texts):
+        import regex
+        rx = regex.compile(self.pattern)
+        return [None if t is None else rx.findall(t) for t in texts]
+
+
+def plugin_tokenize(df: DataFrame, key: str, text: str, tokenizer=None, out: str = "tokens") -> DataFrame:
+    """E1 plug-in: tokenise with any Python tokeniser (sub-word models included)
+    over Arrow batches. The tokeniser is broadcast once and called once per
+    batch with a list of texts; it returns one token list per text."""
+    from pyspark.sql import types as T
+    tok = tokenizer or RegexTokenizer()
+    bc = df.sparkSession.sparkContext.broadcast(tok)
+    key_type = df.schema[key].dataType
+    schema = T.StructType([T.StructField(key, key_type), T.StructField(out, T.ArrayType(T.StringType()))])
+
+    def run(batches):
+        fn = bc.value
+        for pdf in batches:
+            texts = pdf[text].tolist()
+            yield pdf[[key]].assign(**{out: fn(texts)})
+
+    return df.select(key, text).mapInPandas(run, schema)
+
+
 def max_length(df: DataFrame, n: str = "n_tokens") -> DataFrame:
     """Longest encoded row."""
     return df.agg(F.max(n).cast("int").alias("max_len"))

@@ -357,3 +357,8 @@ ORACLE_SQL["label_index_apply"] = """
 WITH c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1),
 i AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS INTEGER) AS idx FROM c)
 SELECT o_orderkey, o_orderpriority AS label, idx FROM orders JOIN i ON orders.o_orderpriority = i.label"""
+
+ORACLE_SQL["plugin_tokenize"] = r"""
+SELECT doc_id, CAST(len(regexp_extract_all(text, '\p{L}+')) AS INTEGER) AS n_tokens,
+       array_to_string(regexp_extract_all(text, '\p{L}+'), ' ') AS tokens FROM documents"""
+ORACLE_SQL["regex_tokenize"] = ORACLE_SQL["plugin_tokenize"]

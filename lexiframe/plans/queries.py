@@ -666,3 +666,21 @@ def q_split_sizes(spark: SparkSession, sf: str) -> DataFrame:
     """P10: shape of each split (rows, columns) of the labelled corpus."""
     docs = read_table(spark, sf, "documents")
     return P.shape(docs.join(_valid_split(spark, sf, "floor"), "doc_id"), "split")
+
+
+@register("plugin_tokenize")
+def q_plugin_tokenize(spark: SparkSession, sf: str) -> DataFrame:
+    """E1 plug-in: a Python tokeniser over Arrow batches (default: Unicode letter runs)."""
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    toks = E.plugin_tokenize(docs, "doc_id", "text")
+    return toks.select("doc_id", F.size("tokens").cast("int").alias("n_tokens"),
+                       F.array_join("tokens", " ").alias("tokens"))
+
+
+@register("regex_tokenize")
+def q_regex_tokenize(spark: SparkSession, sf: str) -> DataFrame:
+    """E1 built-in: the same tokens with ``regexp_extract_all`` (stays in the JVM)."""
+    docs = read_table(spark, sf, "documents").select("doc_id", "text")
+    toks = docs.select("doc_id", T.tokenize_regex("text").alias("tokens"))
+    return toks.select("doc_id", F.size("tokens").cast("int").alias("n_tokens"),
+                       F.array_join("tokens", " ").alias("tokens"))
