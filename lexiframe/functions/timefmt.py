@@ -42,12 +42,12 @@ def format_percent(num: ColumnLike, den: ColumnLike, decimals: int = 2) -> Colum
     """``100*num/den`` as text with ``decimals`` places and a ``%`` sign.
 
     Computed on integers (half-up on the exact ratio) so the text does not
-    depend on binary rounding of a double.
+    depend on binary rounding of a double. A zero denominator gives NULL.
     """
     scale = 10 ** decimals
     n = _c(num).cast("long")
     d = _c(den).cast("long")
-    units = F.floor((n * (200 * scale) + d) / (2 * d)).cast("long")
+    units = F.when(d != 0, F.floor((n * (200 * scale) + d) / (2 * d)).cast("long"))
     whole = _div(units, scale).cast("string")
     if decimals == 0:
         return F.concat(whole, F.lit("%"))

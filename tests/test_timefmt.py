@@ -25,3 +25,8 @@ def test_decimal_text(spark):
     from lexiframe.functions.timefmt import format_decimal
     df = spark.createDataFrame([(0.0025,), (1.0005,), (2.0,), (12.3456,)], "x double")
     assert [r[0] for r in df.select(format_decimal("x", 3)).collect()] == ["0.003", "1.001", "2.000", "12.346"]
+
+
+def test_percent_of_zero_is_null(spark):
+    df = spark.createDataFrame([(0, 0)], "a long, b long")
+    assert df.select(format_percent("a", "b")).first()[0] is None
