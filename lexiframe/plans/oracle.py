@@ -362,3 +362,25 @@ ORACLE_SQL["plugin_tokenize"] = r"""
 SELECT doc_id, CAST(len(regexp_extract_all(text, '\p{L}+')) AS INTEGER) AS n_tokens,
        array_to_string(regexp_extract_all(text, '\p{L}+'), ' ') AS tokens FROM documents"""
 ORACLE_SQL["regex_tokenize"] = ORACLE_SQL["plugin_tokenize"]
+
+_GRID_FULL = ",\n    ".join(
+    f"({i}, '{r[0]}', '{r[1]}', {r[2]}, CAST({r[7]} AS BIGINT), '{r[11]}', CAST({r[12]!r} AS DOUBLE), "
+    f"CAST({r[9]} AS BIGINT))" for i, r in enumerate(RUN_GRID))
+ORACLE_SQL["run_history_table"] = "WITH" + EVENTS_CTE + f""",
+eh AS (SELECT user_id % {len(RUN_GRID)} AS run, epoch, phase, avg(loss) AS loss, avg(ok) AS acc
+       FROM em GROUP BY 1, 2, 3),
+rh AS (SELECT run, epoch,
+              max(CASE WHEN phase = 'train' THEN loss END) AS train_loss,
+              max(CASE WHEN phase = 'train' THEN acc END) AS train_acc,
+              max(CASE WHEN phase = 'valid' THEN loss END) AS valid_loss,
+              max(CASE WHEN phase = 'valid' THEN acc END) AS valid_acc
+       FROM eh GROUP BY run, epoch),
+rt AS (SELECT user_id % {len(RUN_GRID)} AS run, avg(ok) AS test_acc, avg(loss) AS test_loss FROM em GROUP BY 1),
+grid(run, model, dataset, classes, num_classes, optimizer, learning_rate, batch_size) AS (VALUES
+    {_GRID_FULL})
+SELECT model, CAST(classes AS INTEGER) AS classes, dataset, epoch,
+       round(train_loss, 6) AS train_loss, round(train_acc, 6) AS train_acc,
+       round(valid_loss, 6) AS valid_loss, round(valid_acc, 6) AS valid_acc,
+       round(test_acc, 6) AS test_acc, round(test_loss, 6) AS test_loss,
+       num_classes, optimizer, learning_rate, batch_size, 'CrossEntropyLoss' AS loss_function
+FROM rh JOIN rt ON rh.run = rt.run JOIN grid ON rh.run = grid.run"""

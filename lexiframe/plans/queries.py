@@ -684,3 +684,28 @@ def q_regex_tokenize(spark: SparkSession, sf: str) -> DataFrame:
     toks = docs.select("doc_id", T.tokenize_regex("text").alias("tokens"))
     return toks.select("doc_id", F.size("tokens").cast("int").alias("n_tokens"),
                        F.array_join("tokens", " ").alias("tokens"))
+
+
+@register("run_history_table")
+def q_run_history_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Per run of the grid, its epoch history (train/valid loss and
+    accuracy from the run's cohort of events), test figures and run constants,
+    written under (model, classes, dataset) partitions and read back."""
+    from ..session import scratch_path
+    from ..sources import read_partitioned, write_partitioned
+    m = event_metrics(spark, sf).withColumn("run", (F.col("user_id") % len(RUN_GRID)).cast("long"))
+    hist = A.epoch_history(m, group=["run"])
+    test = m.groupBy("run").agg(F.avg(F.col("is_correct").cast("double")).alias("test_acc"),
+                                F.avg("loss").alias("test_loss"))
+    grid = spark.createDataFrame([(i, *r) for i, r in enumerate(RUN_GRID)], ["run", *RUN_GRID_COLUMNS])
+    table = (hist.join(F.broadcast(test), "run").join(F.broadcast(grid), "run")
+             .withColumnRenamed("outputs", "num_classes"))
+    table = P.attach_constants(table, {"loss_function": "CrossEntropyLoss"})
+    path = scratch_path(spark, "run-history")
+    write_partitioned(table, path)
+    back = read_partitioned(spark, path)
+    return back.select(
+        "model", "classes", "dataset", "epoch",
+        *[F.round(c, 6).alias(c) for c in ("train_loss", "train_acc", "valid_loss", "valid_acc",
+                                            "test_acc", "test_loss")],
+        "num_classes", "optimizer", "learning_rate", "batch_size", "loss_function")
