@@ -42,7 +42,10 @@ def build_vocab(df: DataFrame, tokens: str | Column, max_size: int,
     per partition.
     """
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    counts = (df.select(F.explode(t).alias("token"))
+    # explode_outer + a filter on the output: a plain explode makes Catalyst
+    # infer ``size(tokens) > 0`` and push it below the scan-side exchange,
+    # which evaluates the whole cleaning chain behind ``tokens`` twice more.
+    counts = (df.select(F.explode_outer(t).alias("token")).where(F.col("token").isNotNull())
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     if min_count > 1:
         counts = counts.where(F.col("count") >= min_count)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions import text as T
-from ..session import scratch_path
+from ..session import scratch_path, spread
 
 
 def source(spark: SparkSession, sf_dir: str, table: str, schema=None, max_files: int = 1) -> DataFrame:
@@ -53,3 +53,34 @@ def run_available(df: DataFrame, name: str, mode: str = "append", fmt: str = "pa
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return out + "/data"
+
+
+def run_available_batches(stream: DataFrame, transform, name: str, key: str | None = None,
+                          timeout_s: int = 600) -> str:
+    """Process everything available now with a batch operator per micro-batch.
+
+    ``foreachBatch`` hands each micro-batch over as a plain DataFrame: it is
+    hash-spread by ``key`` only when its scan has fewer partitions than the
+    cluster runs tasks (a micro-batch of one large file or row group), then
+    ``transform`` (the same DataFrame -> DataFrame operator as in batch) runs
+    and the result is written to the batch's own folder with overwrite, so a
+    replayed micro-batch replaces its own output (exactly-once files).
+    Returns the data folder (one ``batch=<id>`` partition per micro-batch).
+    """
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        b = spread(batch, key) if key else batch
+        transform(b).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
+
+    q: StreamingQuery = (stream.writeStream.foreachBatch(sink)
+                         .option("checkpointLocation", out + "/_checkpoint")
+                         .trigger(availableNow=True).start())
+    q.awaitTermination(timeout_s)
+    if q.isActive:
+        q.stop()
+        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    return out + "/data"

@@ -9,7 +9,9 @@ from lexiframe.functions.charsets import CharSet
 from lexiframe.functions.constants import LATIN_RANGES
 from lexiframe.operators import splits as D
 from lexiframe.session import read_table
-from lexiframe.streaming.stream import clean_comment_stream, label_counts_stream, run_available, source
+from lexiframe.streaming.stream import (
+    clean_comment_stream, label_counts_stream, run_available, run_available_batches, source,
+)
 
 
 def test_stream_cleaning_equals_batch_cleaning(spark):
@@ -22,6 +24,18 @@ def test_stream_cleaning_equals_batch_cleaning(spark):
     assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
 
 
+def test_micro_batches_spread_and_match_batch(spark):
+    keep = CharSet(LATIN_RANGES)
+    s = source(spark, SF01, "documents").select("doc_id", "text")
+    out = run_available_batches(s, lambda b: clean_comment_stream(b, ["doc_id"], keep), "t-stream-mb", "doc_id")
+    streamed = spark.read.parquet(out)
+    assert "batch" in streamed.columns
+    streamed = streamed.drop("batch")
+    batch = clean_comment_stream(read_table(spark, SF01, "documents"), ["doc_id"], keep)
+    assert streamed.count() == batch.count()
+    assert streamed.exceptAll(batch.select(*streamed.columns)).count() == 0
+
+
 def test_hash_split_runs_on_a_stream(spark):
     s = D.hash_split(source(spark, SF01, "documents").select("doc_id"), "doc_id")
     out = run_available(s, "t-stream-split")
