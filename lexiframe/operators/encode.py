@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import key_range_width, ordered_index, range_bucket
+from .ranking import ordered_index
 from .splits import seeded_hash
 
 BROADCAST_ROWS = 2_000_000  # largest lookup table that is broadcast
@@ -156,16 +156,11 @@ def max_length(df: DataFrame, n: str = "n_tokens") -> DataFrame:
     return df.agg(F.max(n).cast("int").alias("max_len"))
 
 
-def _key_coarse(df: DataFrame, key: str, max_buckets: int) -> Column:
-    lo, width = key_range_width(df, key, max_buckets)
-    return range_bucket(key, lo, width)
-
-
 def sequential_batches(df: DataFrame, key: str, batch_size: int, split_col: str | None = "split",
-                       out: str = "batch_id", max_buckets: int = 1 << 16) -> DataFrame:
+                       out: str = "batch_id") -> DataFrame:
     """Batches of ``batch_size`` in key order per split; the last batch may be short."""
     parts = [split_col] if split_col else []
-    r = ordered_index(df, [F.col(key)], [_key_coarse(df, key, max_buckets)], parts, "_idx")
+    r = ordered_index(df, [key], parts, "_idx")
     return r.withColumn(out, F.floor(F.col("_idx") / batch_size).cast("long")).drop("_idx")
 
 
@@ -173,25 +168,20 @@ def random_batches(df: DataFrame, key: str, batch_size: int, seed: int = 1234,
                    split_col: str | None = "split", out: str = "batch_id") -> DataFrame:
     """Batches in seeded pseudo-random order (``md5(seed:key)``, ties by key)."""
     parts = [split_col] if split_col else []
-    h = seeded_hash(key, seed)
-    r = ordered_index(df.withColumn("_h", h), [F.col("_h"), F.col(key)], [F.substring("_h", 1, 3)],
-                      parts, "_idx")
+    r = ordered_index(df.withColumn("_h", seeded_hash(key, seed)), ["_h", key], parts, "_idx")
     return r.withColumn(out, F.floor(F.col("_idx") / batch_size).cast("long")).drop("_idx", "_h")
 
 
 def bucket_batches(df: DataFrame, key: str, length: str, batch_size: int,
-                   split_col: str | None = "split", out: str = "batch_id",
-                   max_buckets: int = 256) -> DataFrame:
+                   split_col: str | None = "split", out: str = "batch_id") -> DataFrame:
     """E11 + E8: batches of near-equal length (order ``(length, key)``) and each
     batch's padded length (its longest row).
 
-    Buckets are (length, key range): even if every row has the same (truncated)
-    length, the key ranges split that length into buckets of bounded size; the
-    histogram has at most (distinct lengths) x ``max_buckets`` rows.
+    The range partitions are cut on the whole ``(length, key)`` tuple, so even
+    if every row has the same (truncated) length the work stays spread.
     """
     parts = [split_col] if split_col else []
-    coarse = [F.col(length), _key_coarse(df, key, max_buckets)]
-    r = ordered_index(df, [F.col(length), F.col(key)], coarse, parts, "_idx")
+    r = ordered_index(df, [length, key], parts, "_idx")
     r = r.withColumn(out, F.floor(F.col("_idx") / batch_size).cast("long")).drop("_idx")
     w = Window.partitionBy(*parts, out)
     return r.withColumn("pad_to", F.max(length).over(w).cast("int"))

@@ -1,104 +1,100 @@
 """Exact global positions without funnelling rows through one partition.
 
 ``row_number() OVER (ORDER BY k)`` without ``PARTITION BY`` moves every row to
-a single task. :func:`ordered_index` gives the same numbers with one shuffle:
-
-1. every row gets a *coarse* key, a monotone coarsening of the order whose
-   cardinality is bounded (for example ``(length, key div W)``);
-2. a histogram of the coarse keys (map-side combined, bounded size) is turned
-   into exclusive prefix sums;
-3. rows are joined to their bucket's offset on the coarse key and numbered by
-   ``row_number`` inside the bucket. The join already clusters the rows by
-   the coarse key, so the window needs no second exchange.
-
-Buckets that are *ranges of a unique key* hold at most ``W`` rows, so a hot
-value of a leading sort column (say every document truncated to the same
-length) is still spread over many buckets.
+a single task. :func:`ordered_index` gives the same numbers the way Spark's
+own global sort spreads the work:
+
+1. only the order columns (a narrow projection) are range-partitioned on the
+   *whole* order tuple with sampled bounds (``repartitionByRange``) and sorted
+   within partitions. Because the tuple ends with a unique key, the bounds cut
+   through a hot leading value (every document truncated to the same length,
+   one conversation holding a third of the turns, a dense cluster of ids among
+   sparse ones): partitions hold about the same number of rows whatever the
+   key distribution. Each row records its partition and local position, and
+   this narrow table is written once under the shared checkpoint folder, so
+   every later read sees the same partitions (the sampled bounds are never
+   recomputed) and lost executors do not lose it;
+2. a count per (partition, group) - at most ``partitions + groups`` rows, a
+   bound checked before it is broadcast - gives exclusive prefix sums;
+3. position = rows before the partition + local position (a narrow join).
+
+Wide rows are joined back by the order tuple only when the input has columns
+beyond it; with ``positions`` only the few wanted keys are joined back, by
+broadcast, so the wide rows never move.
 """
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 
-ROWS_PER_BUCKET = 100_000
-
+BROADCAST_ROWS = 2_000_000  # largest offsets / key table that is broadcast
+LOCAL_BITS = 33  # monotonically_increasing_id = partition << 33 | position in partition
 
-def key_range_width(df: DataFrame, key: str, max_buckets: int = 1 << 16,
-                    rows_per_bucket: int | None = None) -> tuple[int, int]:
-    """(min, width) so that ``(key - min) div width`` has about ``n / rows_per_bucket``
-    and at most ``max_buckets`` values (a unique key puts at most ``width`` rows in a bucket).
-
-    One aggregate over the key column only (pruned scan, map-side combined).
-    """
-    r = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi, n = (r["lo"], r["hi"], r["n"]) if r is not None else (None, None, 0)
-    if lo is None:
-        return 0, 1
-    per = rows_per_bucket or ROWS_PER_BUCKET
-    buckets = max(1, min(max_buckets, -(-int(n) // per)))
-    span = int(hi) - int(lo) + 1
-    return int(lo), max(1, -(-span // buckets))
 
+def range_partitions(df: DataFrame) -> int:
+    """Number of range partitions: the session's shuffle partition count (the
+    knob a cluster is sized with), at least the number of task slots."""
+    spark = df.sparkSession
+    try:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    except (TypeError, ValueError):
+        n = 200
+    try:
+        n = max(n, spark.sparkContext.defaultParallelism)
+    except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
+        pass
+    return max(1, n)
 
-def composite_key(df: DataFrame, cols: Sequence[str]) -> Column:
-    """One integer that orders like the tuple ``cols`` of integer columns:
-    ``((c1 - min1) * span2 + (c2 - min2)) * span3 + ...``. Unique when the tuple
-    is, so range buckets over it stay bounded even when one leading value (one
-    long conversation) holds a large share of the rows.
-    """
-    aggs = [f(c).alias(f"{n}{i}") for i, c in enumerate(cols) for f, n in ((F.min, "lo"), (F.max, "hi"))]
-    r = df.agg(*aggs).first()
-    expr, total = None, 1
-    for i, c in enumerate(cols):
-        lo = int(r[f"lo{i}"] or 0)
-        span = int(r[f"hi{i}"] or 0) - lo + 1
-        part = F.col(c).cast("long") - F.lit(lo)
-        expr = part if expr is None else expr * F.lit(span) + part
-        total *= max(span, 1)
-    if total >= 1 << 62:
-        raise ValueError(f"key tuple {list(cols)} does not fit in 62 bits; renumber with a single key")
-    return expr
 
-
-def range_bucket(key: str | Column, lo: int, width: int) -> Column:
-    k = F.col(key) if isinstance(key, str) else key
-    return F.floor((k - F.lit(lo)) / F.lit(width)).cast("long")
-
-
-def ordered_index(df: DataFrame, order_by: Sequence[Column | str], coarse: Sequence[Column],
-                  partition_by: Sequence[str] = (), name: str = "idx",
-                  positions: Sequence[int] | None = None) -> DataFrame:
+def ordered_index(df: DataFrame, order_by: Sequence[str], partition_by: Sequence[str] = (),
+                  name: str = "idx", positions: Sequence[int] | None = None,
+                  n_ranges: int | None = None) -> DataFrame:
     """Add ``name`` = 0-based position of each row in ``order_by`` order within ``partition_by``.
 
-    ``coarse`` must be monotone in ``order_by`` (rows of a smaller coarse tuple
-    sort first) and of bounded cardinality. ``order_by`` must be a total order
-    (end it with a unique key) for the numbering to be deterministic.
-
-    With ``positions`` only the rows at those positions are returned, and only
-    the buckets that contain them are numbered: the bucket table shrinks to at
-    most ``len(positions)`` rows per group and is broadcast, so the other rows
-    are dropped by a narrow join instead of being shuffled.
+    ``order_by`` (column names) must be a total order within each group (end
+    it with a unique key); rows are matched back to their position by the
+    tuple ``partition_by + order_by`` (null-safe). With ``positions`` only the
+    rows at those positions are returned.
     """
     keys = list(partition_by)
-    cn = [f"_cb{i}" for i in range(len(coarse))]
-    b = df.select("*", *[c.alias(n) for c, n in zip(coarse, cn)])
-    hist = b.groupBy(*keys, *cn).agg(F.count(F.lit(1)).alias("_cnt"))
-    before = Window.partitionBy(*keys).orderBy(*cn).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = hist.select(*keys, *cn, "_cnt", F.coalesce(F.sum("_cnt").over(before), F.lit(0)).alias("_off"))
+    cols = keys + [c for c in order_by if c not in keys]
+    n = n_ranges or range_partitions(df)
+    mask = F.lit((1 << LOCAL_BITS) - 1)
+    ranged = (df.select(*cols).repartitionByRange(n, *cols).sortWithinPartitions(*cols)
+              .select(*cols, F.spark_partition_id().alias("_p"),
+                      F.monotonically_increasing_id().bitwiseAND(mask).alias("_l")))
+    ranged = materialize(ranged, "rank-keys")
+
+    n_groups = ranged.select(*keys).distinct().count() if keys else 1
+    counts = ranged.groupBy("_p", *keys).agg(F.count(F.lit(1)).alias("_n"))
+    # rows of the same group in earlier partitions / of earlier groups in the same partition
+    earlier_parts = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    skip = (F.coalesce(F.sum("_n").over(
+        Window.partitionBy("_p").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        if keys else F.lit(0))
+    offsets = counts.select("_p", *keys, "_n", F.coalesce(F.sum("_n").over(earlier_parts), F.lit(0)).alias("_off"),
+                            skip.alias("_skip"))
     if positions is not None:
         wanted = F.array(*[F.lit(int(p)) for p in positions])
-        hit = F.exists(wanted, lambda p: (p >= F.col("_off")) & (p < F.col("_off") + F.col("_cnt")))
-        offsets = F.broadcast(offsets.where(hit).drop("_cnt"))
-        joined = b.join(offsets, on=keys + cn, how="inner")
-        within = Window.partitionBy(*keys, *cn).orderBy(*order_by)
-        idx = (F.col("_off") + F.row_number().over(within) - 1).cast("long")
-        return (joined.withColumn(name, idx).where(F.col(name).isin([int(p) for p in positions]))
-                .drop(*cn, "_off"))
-    offsets = offsets.drop("_cnt")
-    joined = b.join(offsets, on=keys + cn, how="inner")
-    within = Window.partitionBy(*keys, *cn).orderBy(*order_by)
-    return (joined.withColumn(name, (F.col("_off") + F.row_number().over(within) - 1).cast("long"))
-            .drop(*cn, "_off"))
+        hit = F.exists(wanted, lambda p: (p >= F.col("_off")) & (p < F.col("_off") + F.col("_n")))
+        # keep whole partitions (local positions count every group of the partition)
+        offsets = offsets.join(offsets.where(hit).select("_p").distinct(), "_p")
+    bound = n + n_groups
+    offsets = offsets.drop("_n")
+    offsets = F.broadcast(offsets) if bound <= BROADCAST_ROWS else offsets
+    idx = (F.col("_off") + F.col("_l") - F.col("_skip")).cast("long")
+    table = ranged.join(offsets, ["_p", *keys]).select(*cols, idx.alias(name))
+    if positions is not None:
+        table = table.where(F.col(name).isin([int(p) for p in positions]))
+    if set(df.columns) <= set(cols):
+        return table.select(*df.columns, name)
+    # wide input: attach positions by the (unique) order tuple
+    side = table.select(*[F.col(c).alias(f"_r{i}") for i, c in enumerate(cols)], name)
+    if positions is not None and len(positions) * n_groups <= BROADCAST_ROWS:
+        side = F.broadcast(side)
+    cond = [df[c].eqNullSafe(side[f"_r{i}"]) for i, c in enumerate(cols)]
+    return df.join(side, cond).drop(*[f"_r{i}" for i in range(len(cols))])

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .ranking import composite_key, key_range_width, ordered_index, range_bucket
+from .ranking import ordered_index
 
 
 def add_label(df: DataFrame, value: int, name: str = "Sentiment") -> DataFrame:
@@ -48,25 +48,14 @@ def union_corpora(parts: Sequence[DataFrame]) -> DataFrame:
     return out
 
 
-def renumber(df: DataFrame, order_cols: Sequence[str], bucket_key: str | None = None,
-             part_col: str | None = None, name: str = "row_id", max_buckets: int = 1 << 16,
-             positions: Sequence[int] | None = None) -> DataFrame:
-    """Number rows 0..n-1 in ``(part_col, *order_cols)`` order.
-
-    Range buckets (about 100k rows each, at most ``max_buckets`` per part) are
-    taken over ``bucket_key`` or, by default, over an integer composite of the
-    (integer, jointly unique) ``order_cols``. With ``positions`` only those rows
-    are returned (P8).
-    """
-    if bucket_key is None and len(order_cols) > 1:
-        df = df.withColumn("_ck", composite_key(df, order_cols))
-        bucket_key = "_ck"
-    bucket_key = bucket_key or order_cols[0]
-    lo, width = key_range_width(df, bucket_key, max_buckets)
-    coarse = ([F.col(part_col)] if part_col else []) + [range_bucket(bucket_key, lo, width)]
-    order = ([F.col(part_col)] if part_col else []) + [F.col(c) for c in order_cols]
-    out = ordered_index(df, order, coarse, name=name, positions=positions)
-    return out.drop("_ck") if "_ck" in out.columns else out
+def renumber(df: DataFrame, order_cols: Sequence[str], part_col: str | None = None,
+             name: str = "row_id", positions: Sequence[int] | None = None) -> DataFrame:
+    """Number rows 0..n-1 in ``(part_col, *order_cols)`` order (the tuple
+    must be unique). Range partitions on the whole tuple keep every task about
+    the same size, whatever the key distribution. With ``positions`` only
+    those rows are returned (P8)."""
+    order = ([part_col] if part_col else []) + list(order_cols)
+    return ordered_index(df, order, name=name, positions=positions)
 
 
 def index_aligned_join(left: DataFrame, right: DataFrame, key: str = "row_id",
@@ -86,11 +75,10 @@ def index_aligned_join(left: DataFrame, right: DataFrame, key: str = "row_id",
     return matched.unionByName(orphans, allowMissingColumns=True)
 
 
-def row_at(df: DataFrame, position: int, order_cols: Sequence[str], bucket_key: str,
-           name: str = "pos") -> DataFrame:
+def row_at(df: DataFrame, position: int, order_cols: Sequence[str], name: str = "pos") -> DataFrame:
     """The row at 0-based ``position`` in key order (``iloc``); only the
-    bucket holding it is numbered."""
-    return renumber(df, order_cols, bucket_key, name=name, positions=[position])
+    key columns are ranked, and the one wanted key is joined back by broadcast."""
+    return renumber(df, order_cols, name=name, positions=[position])
 
 
 def head(df: DataFrame, n: int, order_cols: Sequence[str]) -> DataFrame:

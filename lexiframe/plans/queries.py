@@ -213,8 +213,8 @@ def q_row_peek(spark: SparkSession, sf: str) -> DataFrame:
     """The first rows (top-k) and rows at given positions, in key order."""
     docs = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("Data"))
     top = P.head(docs, HEAD_ROWS, ["doc_id"])
-    top = P.renumber(top, ["doc_id"], "doc_id", name="pos").withColumn("kind", F.lit("head"))
-    pos = P.renumber(docs, ["doc_id"], "doc_id", name="pos", positions=PEEK_POSITIONS) \
+    top = P.renumber(top, ["doc_id"], name="pos").withColumn("kind", F.lit("head"))
+    pos = P.renumber(docs, ["doc_id"], name="pos", positions=PEEK_POSITIONS) \
         .withColumn("kind", F.lit("iloc"))
     return top.unionByName(pos).select("kind", "pos", "doc_id", "Data")
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexiframe.operators import encode as E
 from lexiframe.operators import splits as D
-from lexiframe.operators.ranking import ordered_index, range_bucket
+from lexiframe.operators.ranking import ordered_index
 
 
 @pytest.mark.parametrize("n", [11807, 2000, 1700, 7, 1])
@@ -39,10 +39,10 @@ def test_split_matches_global_rank(spark):
 
 
 def test_ordered_index_with_a_hot_leading_value(spark):
-    # a third of the rows share one length: the range buckets still keep each window small
+    # a third of the rows share one length: the range bounds cut through it
     rows = [(i, 400 if i % 3 == 0 else i % 50) for i in range(3000)]
     df = spark.createDataFrame(rows, "k long, len int")
-    got = ordered_index(df, [F.col("len"), F.col("k")], [F.col("len"), range_bucket("k", 0, 64)], name="idx")
+    got = ordered_index(df, ["len", "k"], name="idx", n_ranges=16)
     want = df.withColumn("idx", F.row_number().over(Window.orderBy("len", "k")) - 1)
     assert sorted(map(tuple, got.select("k", "idx").collect())) == sorted(map(tuple, want.select("k", "idx").collect()))
 
@@ -67,18 +67,46 @@ def test_split_plan_keeps_wide_rows_narrow(spark):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
 
 
-def test_renumber_many_buckets_and_positions(spark, monkeypatch):
-    from lexiframe.operators import ranking, shape
-    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 37)
+def test_renumber_many_ranges_and_positions(spark):
+    from lexiframe.operators import shape
     rows = [(p, k * 7 + p, k) for p in (0, 1) for k in range(500)]
     df = spark.createDataFrame(rows, "part int, k1 long, k2 long")
-    got = shape.renumber(df, ["k1", "k2"], "k1", part_col="part")
+    got = shape.renumber(df, ["k1", "k2"], part_col="part")
     want = df.withColumn("row_id", F.row_number().over(Window.orderBy("part", "k1", "k2")) - 1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select(*got.columns).collect()))
-    picked = shape.renumber(df, ["k1", "k2"], "k1", part_col="part", positions=[0, 499, 500, 999])
+    picked = shape.renumber(df, ["k1", "k2"], part_col="part", positions=[0, 499, 500, 999])
     assert sorted(r["row_id"] for r in picked.collect()) == [0, 499, 500, 999]
-    # the position mode never numbers rows outside the buckets it needs
-    assert shape.row_at(df, 733, ["k1", "k2"], "k1").count() == 1
+    assert shape.row_at(df, 733, ["part", "k1", "k2"]).collect()[0]["pos"] == 733
+
+
+def test_positions_join_back_wide_rows(spark):
+    from lexiframe.operators import shape
+    df = spark.range(2000).withColumnRenamed("id", "k").withColumn("payload", F.repeat(F.lit("x"), 5))
+    got = shape.renumber(df, ["k"], name="pos", positions=[0, 7, 1999])
+    assert sorted((r["pos"], r["k"], r["payload"]) for r in got.collect()) == [
+        (0, 0, "xxxxx"), (7, 7, "xxxxx"), (1999, 1999, "xxxxx")]
+
+
+def test_grouped_index_restarts_per_group(spark):
+    rows = [(("a", "b", "c")[i % 3], (i * 7919) % 10007) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, k long")
+    got = ordered_index(df, ["k"], ["g"], name="idx", n_ranges=7)
+    want = df.withColumn("idx", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1)
+    assert sorted(map(tuple, got.select("g", "k", "idx").collect())) == \
+        sorted(map(tuple, want.select("g", "k", "idx").collect()))
+
+
+def test_clustered_keys_keep_ranges_balanced(spark):
+    # a third of the rows sit in a dense block of ids, the rest are spread over a
+    # huge id space: range bounds on the key itself still balance the partitions
+    n = 6000
+    rows = [(i,) for i in range(n // 3)] + [(10**6 + i * 10**9,) for i in range(n - n // 3)]
+    df = spark.createDataFrame(rows, "k long")
+    got = ordered_index(df, ["k"], name="idx", n_ranges=12)
+    want = df.withColumn("idx", F.row_number().over(Window.orderBy("k")) - 1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.select("k", "idx").collect()))
+    sizes = [r["count"] for r in df.repartitionByRange(12, "k").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < n / 3
 
 
 def test_duplicate_keys_empty_for_a_valid_index(spark):
@@ -88,16 +116,14 @@ def test_duplicate_keys_empty_for_a_valid_index(spark):
     assert shape.duplicate_keys(df.union(spark.range(3).withColumnRenamed("id", "epoch")), "epoch").count() == 3
 
 
-def test_renumber_with_one_hot_leading_value(spark, monkeypatch):
-    # one conversation holds a third of the turns: the composite key still spreads it over buckets
-    from lexiframe.operators import ranking, shape
-    monkeypatch.setattr(ranking, "ROWS_PER_BUCKET", 50)
+def test_renumber_with_one_hot_leading_value(spark):
+    # one conversation holds a third of the turns: the range bounds split it
+    from lexiframe.operators import shape
     rows = [(0, t) for t in range(400)] + [(c, t) for c in range(1, 200) for t in range(4)]
     df = spark.createDataFrame(rows, "conv long, turn long")
     got = shape.renumber(df, ["conv", "turn"])
     want = df.withColumn("row_id", F.row_number().over(Window.orderBy("conv", "turn")) - 1)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    ck = ranking.composite_key(df, ["conv", "turn"])
-    lo, width = ranking.key_range_width(df.withColumn("_ck", ck), "_ck")
-    sizes = df.withColumn("b", ranking.range_bucket(ck, lo, width)).groupBy("b").count().collect()
-    assert max(r["count"] for r in sizes) <= width
+    sizes = [r["count"] for r in df.repartitionByRange(8, "conv", "turn")
+             .groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 400
