@@ -88,6 +88,16 @@ def encode(df: DataFrame, key: str, tokens: str | Column, vocab: DataFrame, max_
     return with_padding(out, max_len, specials) if pad else out
 
 
+def encoded_length(tokens: str | Column, max_len: int) -> Column:
+    """Length of the row :func:`encode` produces: one id per kept token (after
+    E6 truncation to ``max_len - 2``) plus the start and end ids (E5). It does
+    not depend on the vocabulary, so consumers that need only lengths (E8,
+    E10, E11) compute it per row, with no lookup, explode or regroup."""
+    t = F.col(tokens) if isinstance(tokens, str) else tokens
+    kept = F.when(t.isNull(), F.lit(0)).otherwise(F.least(F.size(t), F.lit(max_len - 2)))
+    return (kept + 2).cast("int")
+
+
 def with_padding(df: DataFrame, length: int | Column, specials: Specials = Specials(),
                  ids: str = "input_ids", n: str = "n_tokens") -> DataFrame:
     """Pad ids to ``length`` and add the 1/0 attention mask."""

@@ -278,19 +278,23 @@ def q_decode(spark: SparkSession, sf: str) -> DataFrame:
     return dec.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
+def encoded_lengths(spark: SparkSession, sf: str) -> DataFrame:
+    """(doc_id, n_tokens): length of each encoded row, straight from the tokens
+    (``E.encoded_length``; the vocabulary lookup cannot change a length)."""
+    return doc_tokens(spark, sf).select("doc_id", E.encoded_length("tokens", MAX_LEN).alias("n_tokens"))
+
+
 @register("max_length")
 def q_max_length(spark: SparkSession, sf: str) -> DataFrame:
     """Longest encoded row among the train rows."""
-    enc = encoded(spark, sf, pad=False).select("doc_id", "n_tokens")
     tr = test_split(spark, sf).where(F.col("split") == "train")
-    return E.max_length(enc.join(tr, "doc_id"))
+    return E.max_length(encoded_lengths(spark, sf).join(tr, "doc_id"))
 
 
 def _batched_input(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, n_tokens, split): a narrow key table, written once because
-    batching reads it three times (key range, histogram, rows)."""
-    enc = encoded(spark, sf, pad=False).select("doc_id", "n_tokens")
-    return materialize(enc.join(test_split(spark, sf), "doc_id"), "batch-keys")
+    batching reads it several times (range sample, rows, counts)."""
+    return materialize(encoded_lengths(spark, sf).join(test_split(spark, sf), "doc_id"), "batch-keys")
 
 
 @register("bucket_batches")

@@ -136,3 +136,14 @@ def test_confusion_total_equals_rows(spark):
     conf = se.queries()["confusion"](spark, SF01)
     labels = spark.read.parquet(f"{SF01}/labels.parquet")
     assert conf.agg(F.sum("n")).first()[0] == labels.count()
+
+
+def test_encoded_length_equals_encoded_size(spark):
+    from lexiframe.operators import encode as E
+    rows = [(1, ["a", "b", "zz"]), (2, []), (3, None), (4, ["a"] * 20), (5, ["b", "q", "a", "a", "b", "c", "d", "e"])]
+    df = spark.createDataFrame(rows, "k long, tokens array<string>")
+    vocab = E.build_vocab(df, "tokens", 3)
+    enc = E.encode(df, "k", "tokens", vocab, 6, pad=False)
+    want = {r["k"]: r["n_tokens"] for r in enc.collect()}
+    got = {r["k"]: r["n"] for r in df.select("k", E.encoded_length("tokens", 6).alias("n")).collect()}
+    assert got == want
