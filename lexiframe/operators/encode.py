@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranking import ordered_index
+from .ranking import ordered_index, with_row_ids
 from .splits import seeded_hash
 
 BROADCAST_ROWS = 2_000_000  # largest lookup table that is broadcast
@@ -74,8 +74,8 @@ def encode(df: DataFrame, key: str, tokens: str | Column, vocab: DataFrame, max_
     body = F.slice(t, 1, max_len - 2)
     # Regroup by a per-row id, not by ``key``: a repeated key must not merge
     # rows into one unbounded group. The id is assigned in the same stage as
-    # the explode, so a retried task re-emits all tokens of a row under one id.
-    rows = df.select(key, F.monotonically_increasing_id().alias("_rid"), body.alias("_body"))
+    # the explode and is stable under retries (``with_row_ids``).
+    rows = with_row_ids(df.select(key, body.alias("_body")), key, F.col("_body"))
     exploded = rows.select(key, "_rid", F.posexplode_outer("_body").alias("_pos", "token"))
     lookup = _maybe_broadcast(vocab.select("token", "id"), vocab_size_bound)
     looked = exploded.join(lookup, on="token", how="left")
@@ -115,7 +115,7 @@ def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: Specia
     """Ids -> tokens (specials by name), dropping padded positions when a mask is given."""
     cols = [F.col(ids)] + ([F.col(mask)] if mask else [])
     z = F.arrays_zip(*cols)
-    rows = df.select(key, F.monotonically_increasing_id().alias("_rid"), z.alias("_zz"))
+    rows = with_row_ids(df.select(key, z.alias("_zz")), key, F.col("_zz"))
     exploded = rows.select(key, "_rid", F.posexplode_outer("_zz").alias("_pos", "_z"))
     exploded = exploded.select(key, "_rid", "_pos", F.col("_z")[ids].alias("_id"),
                                (F.col("_z")[mask] if mask else F.lit(1)).alias("_m"))

@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -98,3 +98,15 @@ def ordered_index(df: DataFrame, order_by: Sequence[str], partition_by: Sequence
         side = F.broadcast(side)
     cond = [df[c].eqNullSafe(side[f"_r{i}"]) for i, c in enumerate(cols)]
     return df.join(side, cond).drop(*[f"_r{i}" for i in range(len(cols))])
+
+
+def with_row_ids(df: DataFrame, key: str, content: Column, name: str = "_rid") -> DataFrame:
+    """A per-row id that survives task retries: rows are put in a fixed order
+    inside their partition, ``(key, hash of content)``, before
+    ``monotonically_increasing_id`` numbers them. After a shuffle the arrival
+    order of rows is not fixed, so without the local sort a re-run task could
+    hand a row a different id than the attempt some reducers already read
+    (duplicating one row and losing another). Rows that tie on both are
+    identical, so swapping them changes nothing. Local sort only, no shuffle."""
+    return (df.sortWithinPartitions(key, F.xxhash64(content))
+            .withColumn(name, F.monotonically_increasing_id()))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
-from .ranking import ordered_index
+from .ranking import ordered_index, with_row_ids
 
 
 def add_label(df: DataFrame, value: int, name: str = "Sentiment") -> DataFrame:
@@ -132,8 +132,8 @@ def remove_stop_words_table(df: DataFrame, key: str, text: Column | str, stop: D
     key never forms one large group.
     """
     text = F.col(text) if isinstance(text, str) else text
-    rows = df.select(key, F.monotonically_increasing_id().alias("_rid"), text.isNull().alias("_null"),
-                     tokenize(text, spaces_only).alias("_toks"))
+    rows = with_row_ids(df.select(key, text.isNull().alias("_null"), tokenize(text, spaces_only).alias("_toks")),
+                        key, F.struct("_null", "_toks"))
     toks = rows.select(key, "_rid", "_null", F.posexplode_outer("_toks").alias("_pos", "_tok"))
     n_stop = stop.count()
     stop_side = stop.select(F.col(word_col).alias("_tok")).distinct().withColumn("_stop", F.lit(True))
