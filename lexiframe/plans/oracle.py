@@ -384,3 +384,6 @@ SELECT model, CAST(classes AS INTEGER) AS classes, dataset, epoch,
        round(test_acc, 6) AS test_acc, round(test_loss, 6) AS test_loss,
        num_classes, optimizer, learning_rate, batch_size, 'CrossEntropyLoss' AS loss_function
 FROM rh JOIN rt ON rh.run = rt.run JOIN grid ON rh.run = grid.run"""
+
+ORACLE_SQL["duplicate_keys"] = """
+SELECT conv_id, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1"""

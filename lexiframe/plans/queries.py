@@ -423,6 +423,14 @@ def q_history_long(spark: SparkSession, sf: str) -> DataFrame:
     return P.unpivot_series(h, "epoch", ["train_loss", "train_acc", "valid_loss", "valid_acc"])
 
 
+@register("duplicate_keys")
+def q_duplicate_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Key check before a column is used as the row index: conversation ids
+    occur once per turn, so each repeated id is reported with its count."""
+    conv = read_table(spark, sf, "conversations").select("conv_id")
+    return P.duplicate_keys(conv, "conv_id").select("conv_id", F.col("n").cast("long").alias("n"))
+
+
 @register("class_weights")
 def q_class_weights(spark: SparkSession, sf: str) -> DataFrame:
     """Inverse class frequency."""
