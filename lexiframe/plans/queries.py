@@ -272,7 +272,8 @@ def q_encode(spark: SparkSession, sf: str) -> DataFrame:
 def q_decode(spark: SparkSession, sf: str) -> DataFrame:
     """Ids back to tokens (padding dropped through the mask)."""
     toks = materialize(doc_tokens(spark, sf), "tokens")
-    vocab = E.build_vocab(toks, "tokens", VOCAB_SIZE)
+    # read by the lookup and the reverse lookup: written once (top-V, bounded)
+    vocab = materialize(E.build_vocab(toks, "tokens", VOCAB_SIZE), "vocab")
     enc = E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN, vocab_size_bound=VOCAB_SIZE)
     dec = E.decode(enc, "doc_id", "input_ids", vocab, vocab_size_bound=VOCAB_SIZE)
     return dec.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
