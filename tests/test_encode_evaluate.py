@@ -147,3 +147,31 @@ def test_encoded_length_equals_encoded_size(spark):
     want = {r["k"]: r["n_tokens"] for r in enc.collect()}
     got = {r["k"]: r["n"] for r in df.select("k", E.encoded_length("tokens", 6).alias("n")).collect()}
     assert got == want
+
+
+def test_hot_key_and_hot_token_against_brute_force(spark):
+    # one key holds a third of the rows (with several exact copies) and one token
+    # a third of all occurrences: every row is still encoded and stop-filtered on
+    # its own, with the same result as a per-row Python computation
+    import random
+    from lexiframe.operators.shape import remove_stop_words_table
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(900):
+        k = 0 if i % 3 == 0 else i
+        toks = [("hot" if rnd.random() < 0.34 else rnd.choice(words)) for _ in range(rnd.randint(0, 12))]
+        rows.append((k, " ".join(toks)))
+    rows += [(0, "hot w1 hot")] * 30  # exact copies under the hot key
+    df = spark.createDataFrame(rows, "k long, t string").repartition(5, "k").withColumn("tokens", tokenize("t"))
+    vocab = E.build_vocab(df, "tokens", 25)
+    ids = {r["token"]: r["id"] for r in vocab.collect()}
+    enc = E.encode(df, "k", "tokens", vocab, 8, pad=False)
+    got = sorted((r["k"], tuple(r["input_ids"])) for r in enc.collect())
+    want = sorted((k, tuple([2] + [ids.get(w, 1) for w in t.split()][:6] + [3])) for k, t in rows)
+    assert got == want
+    stop = spark.createDataFrame([("hot",), ("w3",)], "word string")
+    kept = remove_stop_words_table(df, "k", "t", stop, out="o", spaces_only=True)
+    got = sorted((r["k"], r["o"]) for r in kept.collect())
+    want = sorted((k, " ".join(w for w in t.split() if w not in ("hot", "w3"))) for k, t in rows)
+    assert got == want
