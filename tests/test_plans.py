@@ -46,3 +46,24 @@ def test_batches_number_rows_in_partitioned_windows(spark):
         if "Exchange SinglePartition" in line:
             below = "\n".join(lines[i + 1:i + 4])
             assert "HashAggregate" in below or "ShuffleQueryStage" in below
+
+
+def test_token_counts_do_not_rerun_the_cleaners(spark):
+    # a plain explode lets Catalyst infer size(tokens) > 0 and push it below the
+    # exchange, evaluating the whole regex chain again; the plan must not hold it
+    p = plan(se.queries()["vocab"](spark, SF01))
+    for line in p.splitlines():
+        if "Filter" in line:
+            assert "regexp_replace" not in line, line
+    assert p.count("regexp_replace(regexp_replace(") <= 2
+
+
+def test_rank_keys_are_range_partitioned_narrow_columns(spark):
+    from pyspark.sql import functions as F
+    from lexiframe.operators.ranking import ordered_index
+    df = spark.range(500).withColumnRenamed("id", "k").withColumn("payload", F.repeat(F.lit("x"), 50))
+    out = ordered_index(df, ["k"], name="idx", positions=[3, 250])
+    p = plan(out)
+    # the wide rows are only scanned and joined against a broadcast of the wanted keys
+    assert "SortMergeJoin" not in p and "BroadcastHashJoin" in p
+    assert sorted(r["idx"] for r in out.collect()) == [3, 250]
