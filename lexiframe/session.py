@@ -41,12 +41,18 @@ def get_session(master: str | None = None, app: str = "lexiframe",
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when it is unset (local tests) a private folder is created and set.
+    Only when it is unset on a local master (tests, one machine) a private
+    folder is created and set; on a cluster an unset folder is an error, since
+    a machine-local path would not be shared by the executors.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getCheckpointDir()
     if not d:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder on shared storage "
+                               "(intermediate tables are written there)")
         d = tempfile.mkdtemp(prefix="lexiframe-ckpt-")
         spark.sparkContext.setCheckpointDir(d)
         d = spark.sparkContext.getCheckpointDir() or d
