@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as se
-from tools.check_oracle import TABLES, digest
+from tools.check_oracle import TABLES, digest, type_diffs
 
 from conftest import SF001, SF01
 
@@ -48,6 +48,7 @@ def test_query_matches_oracle(spark, con, key):
     assert sorted(df.columns) == sorted(rel.columns)
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(rel.columns, orows)[0]
+    assert type_diffs(dict(df.dtypes), dict(zip(rel.columns, [str(t) for t in rel.types]))) == []
 
 
 @pytest.mark.parametrize("key", ["union_corpora", "split_valid_floor", "bucket_batches", "encode"])
