@@ -62,15 +62,15 @@ def index_aligned_join(left: DataFrame, right: DataFrame, key: str = "row_id",
                        broadcast_limit: int = 2_000_000) -> DataFrame:
     """Re-attach columns by row key; an outer join like index alignment.
 
+    The full outer join is written as a left join (every left row) plus the
+    right rows without a partner (an anti join against the left *keys* only).
     When the right side (labels) has at most ``broadcast_limit`` rows (counted
-    first) the wide left side is never shuffled: a broadcast left join keeps
-    every left row, and right rows without a partner come from an anti join
-    against the left *keys* only. Beyond the limit it is a plain full outer
-    join (both sides hash-partitioned once; AQE handles skew at run time).
+    first) it is broadcast, so the wide left side is never shuffled. Beyond the
+    limit both joins are shuffle joins of a kind AQE can split when one key
+    holds a large share of the rows (a full outer join cannot be split).
     """
-    if right.count() > broadcast_limit:
-        return left.join(right, on=key, how="full_outer")
-    matched = left.join(F.broadcast(right), on=key, how="left")
+    side = right if right.count() > broadcast_limit else F.broadcast(right)
+    matched = left.join(side, on=key, how="left")
     orphans = right.join(left.select(key), on=key, how="left_anti")
     return matched.unionByName(orphans, allowMissingColumns=True)
 

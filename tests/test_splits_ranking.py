@@ -138,3 +138,15 @@ def test_row_ids_do_not_depend_on_arrival_order(spark):
     b = spark.createDataFrame(list(reversed(rows)), "k long, t string").coalesce(1)
     ids = [{(r["k"], r["t"]): r["_rid"] for r in with_row_ids(d, "k", F.col("t")).collect()} for d in (a, b)]
     assert ids[0] == ids[1] and len(set(ids[0].values())) == len(rows)
+
+
+@pytest.mark.parametrize("limit", [0, 1_000_000])
+def test_index_aligned_join_equals_full_outer(spark, limit):
+    from lexiframe.operators import shape
+    left = spark.createDataFrame([(k, f"x{k}") for k in range(0, 60)] + [(None, "xn")] + [(3, "x3b")] * 30,
+                                 "row_id long, Data string")
+    right = spark.createDataFrame([(k, k % 2) for k in range(40, 90)] + [(None, 1)] + [(3, 0)] * 2,
+                                  "row_id long, Sentiment int")
+    got = shape.index_aligned_join(left, right, "row_id", broadcast_limit=limit)
+    want = left.join(right, on="row_id", how="full_outer")
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
