@@ -180,7 +180,7 @@ def q_clean_comment(spark: SparkSession, sf: str) -> DataFrame:
 @register("clean_conversations")
 def q_clean_conversations(spark: SparkSession, sf: str) -> DataFrame:
     """T9 on the second corpus (conversation turns)."""
-    return comment_cleaned(spread(read_table(spark, sf, "conversations"), "conv_id"), ["conv_id", "turn"])
+    return comment_cleaned(spread(read_table(spark, sf, "conversations"), "conv_id", "turn"), ["conv_id", "turn"])
 
 
 @register("label_distribution")

@@ -74,12 +74,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(table_path(sf_dir, name))
 
 
-def spread(df, key: str):
-    """Hash-partition ``df`` by ``key`` only when its scan yields fewer
+def spread(df, key, *more: str):
+    """Hash-partition ``df`` by its row key only when its scan yields fewer
     partitions than the cluster runs tasks at once (a single large file or
     row group). Large inputs keep their scan partitioning: no extra shuffle.
-    Hash partitioning (not round-robin) keeps retries deterministic and
-    co-locates rows for later joins and regroups on ``key``."""
+    Hash partitioning (not round-robin) keeps retries deterministic. Pass the
+    whole unique row key (e.g. conversation and turn): hashing by a column
+    that one value dominates would put that value's rows in one task."""
     spark = df.sparkSession
     try:
         target = spark.sparkContext.defaultParallelism
@@ -87,7 +88,7 @@ def spread(df, key: str):
     except Exception:  # noqa: BLE001 - sessions without RDD access keep the scan partitioning
         return df
     if current < target:
-        return df.repartition(target, key)
+        return df.repartition(target, key, *more)
     return df
 
 

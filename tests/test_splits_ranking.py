@@ -150,3 +150,13 @@ def test_index_aligned_join_equals_full_outer(spark, limit):
     got = shape.index_aligned_join(left, right, "row_id", broadcast_limit=limit)
     want = left.join(right, on="row_id", how="full_outer")
     assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
+
+
+def test_spread_by_full_row_key_splits_a_hot_conversation(spark):
+    from lexiframe.session import spread
+    rows = [(0, t) for t in range(600)] + [(c, t) for c in range(1, 301) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv long, turn long").coalesce(1)
+    out = spread(df, "conv", "turn")
+    sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert out.rdd.getNumPartitions() > 1 and max(sizes) < 600
+    assert out.count() == len(rows)
