@@ -14,20 +14,26 @@ def read_lines(spark: SparkSession, path: str, name: str = "Data") -> DataFrame:
     return spark.read.text(path).where(F.length("value") > 0).select(F.col("value").alias(name))
 
 
-def _csv(spark: SparkSession, schema: str, header: bool = True):
-    return (spark.read.schema(schema).option("header", header).option("multiLine", True)
+def _csv(spark: SparkSession, schema: str, header: bool = True, multi_line: bool = True):
+    """CSV reader options. ``multi_line`` (quoted fields holding newlines) makes
+    every file one task, since a record boundary cannot be found from an
+    arbitrary byte offset; the writers (K1, K2) emit one part file per
+    partition, so their round trips stay parallel. Pass ``multi_line=False``
+    for newline-free files to let Spark split large files."""
+    return (spark.read.schema(schema).option("header", header).option("multiLine", multi_line)
             .option("escape", '"').option("enforceSchema", True))
 
 
-def read_csv_header(spark: SparkSession, path: str, schema: str = LABELLED_SCHEMA) -> DataFrame:
+def read_csv_header(spark: SparkSession, path: str, schema: str = LABELLED_SCHEMA,
+                    multi_line: bool = True) -> DataFrame:
     """CSV with a header row; quoted fields may hold newlines and doubled quotes."""
-    return _csv(spark, schema).csv(path)
+    return _csv(spark, schema, multi_line=multi_line).csv(path)
 
 
 def read_csv_indexed(spark: SparkSession, path: str, schema: str = LABELLED_SCHEMA,
-                     keep_index: bool = True) -> DataFrame:
+                     keep_index: bool = True, multi_line: bool = True) -> DataFrame:
     """CSV whose first column is a stored row index; kept as ``row_id`` or dropped."""
-    df = _csv(spark, "_idx long, " + schema).csv(path)
+    df = _csv(spark, "_idx long, " + schema, multi_line=multi_line).csv(path)
     return df.withColumnRenamed("_idx", "row_id") if keep_index else df.drop("_idx")
 
 
