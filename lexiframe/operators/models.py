@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, IDF, StopWordsRemover, Tokenizer
@@ -40,14 +39,33 @@ class LinearScorer:
         return cls(np.eye(dim_in, k))
 
 
+def _feature_matrix(col) -> "np.ndarray":
+    """Arrow list column -> 2-D float64 matrix. Equal-length, null-free rows are
+    read straight from the flat values buffer (no per-row Python); other
+    batches fall back to stacking row by row."""
+    import pyarrow as pa
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    n = len(col)
+    lens = np.diff(col.offsets.to_numpy()) if n else np.zeros(0, dtype=np.int64)
+    if col.null_count == 0 and n and (lens == lens[0]).all():
+        start = col.offsets[0].as_py()
+        values = col.values.slice(start, int(lens.sum())).to_numpy(zero_copy_only=False)
+        return values.astype(np.float64, copy=False).reshape(n, int(lens[0]))
+    return np.vstack([np.asarray(v, dtype=np.float64) for v in col.to_pylist()])
+
+
 def score_table(df: DataFrame, features: str, keys: Sequence[str], scorer,
                 target: str | None = None) -> DataFrame:
     """M1: score every row with a plug-in scorer; prediction, loss and correctness per row.
 
-    Runs as ``mapInPandas`` (Arrow batches of
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows); the scorer is
-    broadcast once and called once per batch, vectorised with numpy.
+    Runs as ``mapInArrow`` over Arrow record batches (at most
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows): the feature matrix
+    is taken from the batch's flat value buffer, the scorer (broadcast once) is
+    called once per batch, vectorised with numpy, and the key columns pass
+    through as Arrow arrays untouched.
     """
+    import pyarrow as pa
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(scorer)
     cols = list(keys) + ([target] if target else [])
@@ -59,25 +77,43 @@ def score_table(df: DataFrame, features: str, keys: Sequence[str], scorer,
 
     def run(batches):
         sc = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
+        for rb in batches:
+            n = rb.num_rows
+            if n == 0:
                 continue
-            x = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[features]])
-            z = sc(x)
+            fcol = rb.column(features)
+            ok = ~fcol.is_null().to_numpy(zero_copy_only=False)  # null vectors score to nulls
+            if not ok.any():
+                yield pa.RecordBatch.from_arrays(
+                    [rb.column(c) for c in cols] + [pa.nulls(n, pa.list_(pa.float64())),
+                                                    pa.nulls(n, pa.int32()), pa.nulls(n, pa.float64())],
+                    names=cols + ["logits", "pred", "loss"])
+                continue
+            z_ok = np.asarray(sc(_feature_matrix(fcol if ok.all() else fcol.filter(pa.array(ok)))),
+                              dtype=np.float64)
+            k = z_ok.shape[1]
+            z = np.zeros((n, k))
+            z[ok] = z_ok
             pred = z.argmax(axis=1).astype(np.int32)
-            out = pdf[cols].copy()
-            out["logits"] = list(z)
-            out["pred"] = pred
+            loss = np.zeros(n)
+            has_loss = ok.copy()
             if target:
+                tcol = rb.column(target)
+                t = tcol.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+                has_loss &= (t >= 0) & (t < k)
                 m = z.max(axis=1)
                 lse = m + np.log(np.exp(z - m[:, None]).sum(axis=1))
-                t = pdf[target].to_numpy().astype(np.int64)
-                out["loss"] = lse - z[np.arange(len(t)), t]
+                loss = lse - z[np.arange(n), np.clip(t, 0, k - 1)]
             else:
-                out["loss"] = np.nan
-            yield out
-
-    return df.select(*cols, features).mapInPandas(run, out_schema)
+                has_loss[:] = False
+            logits = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)),
+                                              pa.array(z.reshape(-1)), mask=pa.array(~ok))
+            yield pa.RecordBatch.from_arrays(
+                [rb.column(c) for c in cols]
+                + [logits, pa.array(pred, mask=~ok), pa.array(loss, mask=~has_loss)],
+                names=cols + ["logits", "pred", "loss"])
+
+    return df.select(*cols, features).mapInArrow(run, out_schema)
 
 
 def train_frozen(df: DataFrame, features: str, label: str, split_col: str = "split",

@@ -175,3 +175,14 @@ def test_hot_key_and_hot_token_against_brute_force(spark):
     got = sorted((r["k"], r["o"]) for r in kept.collect())
     want = sorted((k, " ".join(w for w in t.split() if w not in ("hot", "w3"))) for k, t in rows)
     assert got == want
+
+
+def test_scorer_nulls_and_ragged_batches(spark):
+    from lexiframe.operators.models import LinearScorer, score_table
+    rows = [(1, [1.0, 5.0, 2.0], 1), (2, None, 0), (3, [3.0, 1.0, 0.0], None), (4, [0.0, 0.0, 9.0], 2)]
+    df = spark.createDataFrame(rows, "k long, v array<double>, target int")
+    got = {r["k"]: r for r in score_table(df, "v", ["k"], LinearScorer.leading_dims(3, 3), target="target").collect()}
+    assert got[1]["pred"] == 1 and got[4]["pred"] == 2 and got[3]["pred"] == 0
+    assert got[2]["pred"] is None and got[2]["logits"] is None and got[2]["loss"] is None
+    assert got[3]["loss"] is None and got[1]["loss"] is not None
+    assert got[1]["logits"] == [1.0, 5.0, 2.0]
