@@ -81,7 +81,9 @@ def encode(df: DataFrame, key: str, tokens: str | Column, vocab: DataFrame, max_
     looked = exploded.join(lookup, on="token", how="left")
     entry = F.when(F.col("_pos").isNotNull(),
                    F.struct("_pos", F.coalesce(F.col("id"), F.lit(specials.unk)).alias("id")))
-    grouped = looked.groupBy("_rid").agg(F.first(key).alias(key), F.array_sort(F.collect_list(entry)).alias("_e"))
+    # grouping by (key, id) is the same grouping (ids are unique) but lets an input
+    # already hash-partitioned by ``key`` regroup without a shuffle
+    grouped = looked.groupBy(key, "_rid").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
     ids = F.concat(F.array(F.lit(specials.cls)), F.transform("_e", lambda s: s["id"]),
                    F.array(F.lit(specials.sep)))
     out = grouped.select(key, ids.alias("input_ids")).withColumn("n_tokens", F.size("input_ids"))
@@ -125,8 +127,7 @@ def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: Specia
                         for x in (F.lit(i), F.lit(nm))])
     tok = F.coalesce(F.col("token"), sp[F.col("_id")], F.col("_id").cast("string"))
     entry = F.when(F.col("_pos").isNotNull() & (F.col("_m") == 1), F.struct("_pos", tok.alias("t")))
-    return named.groupBy("_rid").agg(
-        F.first(key).alias(key),
+    return named.groupBy(key, "_rid").agg(
         F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["t"]).alias(out)).drop("_rid")
 
 

@@ -144,5 +144,5 @@ def remove_stop_words_table(df: DataFrame, key: str, text: Column | str, stop: D
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(
         F.when(F.col("_tok").isNotNull() & F.col("_stop").isNull(), F.struct("_pos", "_tok")))),
         lambda s: s["_tok"]), " ")
-    g = kept.groupBy("_rid").agg(F.first(key).alias(key), F.first("_null").alias("_null"), joined.alias(out))
+    g = kept.groupBy(key, "_rid").agg(F.first("_null").alias("_null"), joined.alias(out))
     return g.select(key, F.when(F.col("_null"), F.lit(None).cast("string")).otherwise(F.col(out)).alias(out))
