@@ -218,9 +218,9 @@ def label_index(df: DataFrame, label: str, out: str = "idx") -> DataFrame:
 def apply_label_index(df: DataFrame, index: DataFrame, label: str, out: str = "idx",
                       size_bound: int | None = None) -> DataFrame:
     """Attach the label index to rows (unseen labels get ``n_labels``, like ``handleInvalid='keep'``)."""
-    bound = index.count() if size_bound is None else size_bound
+    n_labels = index.count()  # one action: the broadcast bound and the id of unseen labels
+    bound = n_labels if size_bound is None else size_bound
     side = index.select(label, out)
     side = F.broadcast(side) if bound <= BROADCAST_ROWS else side
-    n_labels = index.select(F.count(F.lit(1)).cast("int")).scalar()
     return df.join(side, on=label, how="left").withColumn(
         out, F.coalesce(F.col(out), n_labels).cast("int"))
