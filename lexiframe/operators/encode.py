@@ -223,4 +223,4 @@ def apply_label_index(df: DataFrame, index: DataFrame, label: str, out: str = "i
     side = index.select(label, out)
     side = F.broadcast(side) if bound <= BROADCAST_ROWS else side
     return df.join(side, on=label, how="left").withColumn(
-        out, F.coalesce(F.col(out), n_labels).cast("int"))
+        out, F.coalesce(F.col(out), F.lit(int(n_labels))).cast("int"))

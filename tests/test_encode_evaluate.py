@@ -186,3 +186,11 @@ def test_scorer_nulls_and_ragged_batches(spark):
     assert got[2]["pred"] is None and got[2]["logits"] is None and got[2]["loss"] is None
     assert got[3]["loss"] is None and got[1]["loss"] is not None
     assert got[1]["logits"] == [1.0, 5.0, 2.0]
+
+
+def test_apply_label_index_with_unseen_label(spark):
+    train = spark.createDataFrame([("b",), ("a",), ("b",), ("c",), ("c",), ("c",)], "label string")
+    idx = E.label_index(train, "label")
+    rows = spark.createDataFrame([(1, "c"), (2, "a"), (3, "zzz"), (4, "b")], "k long, label string")
+    got = {r["k"]: r["idx"] for r in E.apply_label_index(rows, idx, "label").collect()}
+    assert got == {1: 0, 4: 1, 2: 2, 3: 3}  # unseen label gets n_labels
