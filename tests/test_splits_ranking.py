@@ -160,3 +160,13 @@ def test_spread_by_full_row_key_splits_a_hot_conversation(spark):
     sizes = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
     assert out.rdd.getNumPartitions() > 1 and max(sizes) < 600
     assert out.count() == len(rows)
+
+
+def test_grouped_positions(spark):
+    rows = [(("a", "b", "c")[i % 3], (i * 7919) % 10007, f"p{i}") for i in range(900)]
+    df = spark.createDataFrame(rows, "g string, k long, payload string")
+    got = ordered_index(df, ["k"], ["g"], name="idx", positions=[0, 5, 299], n_ranges=7)
+    want = (df.withColumn("idx", F.row_number().over(Window.partitionBy("g").orderBy("k")) - 1)
+            .where(F.col("idx").isin(0, 5, 299)))
+    assert sorted(map(tuple, got.select("g", "k", "payload", "idx").collect())) == \
+        sorted(map(tuple, want.select("g", "k", "payload", "idx").collect()))
