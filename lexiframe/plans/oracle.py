@@ -387,3 +387,15 @@ FROM rh JOIN rt ON rh.run = rt.run JOIN grid ON rh.run = grid.run"""
 
 ORACLE_SQL["duplicate_keys"] = """
 SELECT conv_id, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1"""
+
+ORACLE_SQL["batch_padded"] = "WITH" + VOCAB_CTE + f""",
+lens AS (SELECT doc_id, CAST(least(len(toks), {MAX_LEN - 2}) + 2 AS INTEGER) AS n_tokens FROM btok),""" + SPLIT_CTE + f""",
+bb AS (SELECT lens.doc_id, split, n_tokens,
+              CAST((row_number() OVER (PARTITION BY split ORDER BY n_tokens, lens.doc_id) - 1) // {BATCH_SIZE} AS BIGINT)
+              AS batch_id
+       FROM lens JOIN d1 ON lens.doc_id = d1.doc_id),
+bp AS (SELECT *, CAST(max(n_tokens) OVER (PARTITION BY split, batch_id) AS INTEGER) AS pad_to FROM bb)
+SELECT enc.doc_id, bp.split, bp.batch_id, bp.pad_to,
+       array_to_string(list_resize(enc.ids, bp.pad_to, 0), ' ') AS input_ids,
+       array_to_string(list_resize(list_transform(enc.ids, lambda x: 1), bp.pad_to, 0), ' ') AS attention_mask
+FROM enc JOIN bp ON enc.doc_id = bp.doc_id"""

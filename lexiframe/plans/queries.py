@@ -305,6 +305,22 @@ def q_bucket_batches(spark: SparkSession, sf: str) -> DataFrame:
     return b.select("doc_id", "split", "n_tokens", "batch_id", "pad_to")
 
 
+@register("batch_padded")
+def q_batch_padded(spark: SparkSession, sf: str) -> DataFrame:
+    """E8 applied: every document's ids padded to the longest row of its
+    length-sorted batch (E11), with the attention mask (E9)."""
+    toks = materialize(doc_tokens(spark, sf), "tokens")
+    vocab = E.build_vocab(toks, "tokens", VOCAB_SIZE)
+    enc = E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN, vocab_size_bound=VOCAB_SIZE, pad=False)
+    lens = toks.select("doc_id", E.encoded_length("tokens", MAX_LEN).alias("n_tokens"))
+    keys = materialize(lens.join(test_split(spark, sf), "doc_id"), "batch-keys")
+    b = E.bucket_batches(keys, "doc_id", "n_tokens", BATCH_SIZE).select("doc_id", "split", "batch_id", "pad_to")
+    padded = E.with_padding(enc.join(b, "doc_id"), F.col("pad_to"))
+    return padded.select("doc_id", "split", "batch_id", "pad_to",
+                         _ids_text(F.col("input_ids")).alias("input_ids"),
+                         _ids_text(F.col("attention_mask")).alias("attention_mask"))
+
+
 @register("sequential_batches")
 def q_sequential_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Fixed-size batches in key order."""
