@@ -71,12 +71,6 @@ def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return book_cleaned(spark, sf).select("doc_id", T.tokenize("t5_final", spaces_only=True).alias("tokens"))
 
 
-def labelled_docs(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    labels = read_table(spark, sf, "labels")
-    return docs.join(labels, "doc_id")
-
-
 def test_split(spark: SparkSession, sf: str, written: bool = True) -> DataFrame:
     """(doc_id, split) of D1. Consumers get it written once (a narrow key
     table) instead of recomputing the split plan in every branch that reads it."""
