@@ -56,7 +56,7 @@ def run_available(df: DataFrame, name: str, mode: str = "append", fmt: str = "pa
 
 
 def run_available_batches(stream: DataFrame, transform, name: str, key: str | None = None,
-                          timeout_s: int = 600) -> str:
+                          timeout_s: int = 600, out: str | None = None) -> str:
     """Process everything available now with a batch operator per micro-batch.
 
     ``foreachBatch`` hands each micro-batch over as a plain DataFrame: it is
@@ -66,9 +66,11 @@ def run_available_batches(stream: DataFrame, transform, name: str, key: str | No
     and the result is written to the batch's own folder with overwrite, so a
     replayed micro-batch replaces its own output (exactly-once files).
     Returns the data folder (one ``batch=<id>`` partition per micro-batch).
+    Passing the ``out`` folder of an earlier run resumes from its checkpoint:
+    only data that arrived since is processed.
     """
     spark = stream.sparkSession
-    out = scratch_path(spark, name)
+    out = out or scratch_path(spark, name)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         b = spread(batch, key) if key else batch

@@ -53,3 +53,14 @@ def test_label_counts_complete_mode(spark):
     got = {r["Sentiment"]: r["n_rows"] for r in spark.table(name).collect()}
     want = {r["quality"]: r["count"] for r in read_table(spark, SF01, "labels").groupBy("quality").count().collect()}
     assert got == want
+
+
+def test_micro_batch_runner_resumes_without_duplicates(spark):
+    keep = CharSet(LATIN_RANGES)
+    s = source(spark, SF01, "conversations").select("conv_id", "turn", "text")
+    clean = lambda b: clean_comment_stream(b, ["conv_id", "turn"], keep)
+    data = run_available_batches(s, clean, "t-stream-resume", "conv_id")
+    first = spark.read.parquet(data).count()
+    again = run_available_batches(s, clean, "t-stream-resume", "conv_id", out=data[: -len("/data")])
+    assert again == data
+    assert spark.read.parquet(data).count() == first == read_table(spark, SF01, "conversations").count()
