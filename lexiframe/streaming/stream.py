@@ -7,6 +7,8 @@ under the shared checkpoint folder.
 """
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -55,12 +57,12 @@ def run_available(df: DataFrame, name: str, mode: str = "append", fmt: str = "pa
     return out + "/data"
 
 
-def run_available_batches(stream: DataFrame, transform, name: str, key: str | None = None,
+def run_available_batches(stream: DataFrame, transform, name: str, key: str | Sequence[str] | None = None,
                           timeout_s: int = 600, out: str | None = None) -> str:
     """Process everything available now with a batch operator per micro-batch.
 
     ``foreachBatch`` hands each micro-batch over as a plain DataFrame: it is
-    hash-spread by ``key`` only when its scan has fewer partitions than the
+    hash-spread by ``key`` (the whole unique row key) only when its scan has fewer partitions than the
     cluster runs tasks (a micro-batch of one large file or row group), then
     ``transform`` (the same DataFrame -> DataFrame operator as in batch) runs
     and the result is written to the batch's own folder with overwrite, so a
@@ -73,7 +75,7 @@ def run_available_batches(stream: DataFrame, transform, name: str, key: str | No
     out = out or scratch_path(spark, name)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        b = spread(batch, key) if key else batch
+        b = spread(batch, *([key] if isinstance(key, str) else key)) if key else batch
         transform(b).write.mode("overwrite").parquet(f"{out}/data/batch={batch_id}")
 
     q: StreamingQuery = (stream.writeStream.foreachBatch(sink)

@@ -59,8 +59,8 @@ def test_micro_batch_runner_resumes_without_duplicates(spark):
     keep = CharSet(LATIN_RANGES)
     s = source(spark, SF01, "conversations").select("conv_id", "turn", "text")
     clean = lambda b: clean_comment_stream(b, ["conv_id", "turn"], keep)
-    data = run_available_batches(s, clean, "t-stream-resume", "conv_id")
+    data = run_available_batches(s, clean, "t-stream-resume", ["conv_id", "turn"])
     first = spark.read.parquet(data).count()
-    again = run_available_batches(s, clean, "t-stream-resume", "conv_id", out=data[: -len("/data")])
+    again = run_available_batches(s, clean, "t-stream-resume", ["conv_id", "turn"], out=data[: -len("/data")])
     assert again == data
     assert spark.read.parquet(data).count() == first == read_table(spark, SF01, "conversations").count()
