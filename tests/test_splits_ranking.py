@@ -170,3 +170,21 @@ def test_grouped_positions(spark):
             .where(F.col("idx").isin(0, 5, 299)))
     assert sorted(map(tuple, got.select("g", "k", "payload", "idx").collect())) == \
         sorted(map(tuple, want.select("g", "k", "payload", "idx").collect()))
+
+
+def test_ordered_index_property_against_row_number(spark):
+    from hypothesis import HealthCheck, given, settings, strategies as st
+
+    @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
+    @given(st.lists(st.integers(0, 3), min_size=1, max_size=120), st.integers(1, 9), st.booleans())
+    def check(leads, n_ranges, grouped):
+        rows = [(("x", "y")[i % 2] if grouped else "x", lead, i) for i, lead in enumerate(leads)]
+        df = spark.createDataFrame(rows, "g string, lead int, k long")
+        parts = ["g"] if grouped else []
+        got = ordered_index(df, ["lead", "k"], parts, name="idx", n_ranges=n_ranges)
+        w = Window.partitionBy(*parts).orderBy("lead", "k") if parts else Window.orderBy("lead", "k")
+        want = df.withColumn("idx", F.row_number().over(w) - 1)
+        assert sorted(map(tuple, got.select("g", "lead", "k", "idx").collect())) == \
+            sorted(map(tuple, want.select("g", "lead", "k", "idx").collect()))
+
+    check()
