@@ -194,3 +194,17 @@ def test_apply_label_index_with_unseen_label(spark):
     rows = spark.createDataFrame([(1, "c"), (2, "a"), (3, "zzz"), (4, "b")], "k long, label string")
     got = {r["k"]: r["idx"] for r in E.apply_label_index(rows, idx, "label").collect()}
     assert got == {1: 0, 4: 1, 2: 2, 3: 3}  # unseen label gets n_labels
+
+
+def test_stop_table_shuffle_path_equals_inline_list(spark):
+    from lexiframe.functions.text import remove_stop_words
+    from lexiframe.operators.shape import remove_stop_words_table
+    rows = [(i, " ".join(("the", "a", "cat", "the", "dog", "x")[j % 6] for j in range(i % 9))) for i in range(60)]
+    rows += [(7, "the the"), (8, None)]
+    df = spark.createDataFrame(rows, "k long, t string")
+    stop = spark.createDataFrame([("the",), ("x",)], "word string")
+    got = sorted(repr((r["k"], r["o"])) for r in remove_stop_words_table(
+        df, "k", "t", stop, out="o", broadcast_limit=0, spaces_only=True).collect())
+    want = sorted(repr((r["k"], r["o"])) for r in df.select(
+        "k", remove_stop_words("t", ["the", "x"], spaces_only=True).alias("o")).collect())
+    assert got == want
