@@ -208,3 +208,27 @@ def test_stop_table_shuffle_path_equals_inline_list(spark):
     want = sorted(repr((r["k"], r["o"])) for r in df.select(
         "k", remove_stop_words("t", ["the", "x"], spaces_only=True).alias("o")).collect())
     assert got == want
+
+
+def test_encode_shuffled_lookup_equals_broadcast(spark):
+    rows = [(i % 50, " ".join(["hot"] * (i % 4) + [f"w{i % 13}", "hot", f"w{i % 7}"])) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, t string").withColumn("tokens", tokenize("t"))
+    vocab = E.build_vocab(df, "tokens", 12)
+    bc = E.encode(df, "k", "tokens", vocab, 7, vocab_size_bound=12)
+    key = lambda r: (r["k"], tuple(r["input_ids"]), tuple(r["attention_mask"]))
+    want = sorted(map(key, bc.collect()))
+    confs = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    old = {c: spark.conf.get(c, None) for c in confs}
+    try:
+        for c in confs:  # no size-based broadcast either: a shuffled join on the token
+            spark.conf.set(c, "-1")
+        sh = E.encode(df, "k", "tokens", vocab, 7, vocab_size_bound=10 ** 9)  # above the broadcast bound
+        assert "BroadcastHashJoin" not in sh._jdf.queryExecution().sparkPlan().toString()
+        got = sorted(map(key, sh.collect()))
+    finally:
+        for c, v in old.items():
+            if v is None:
+                spark.conf.unset(c)
+            else:
+                spark.conf.set(c, v)
+    assert got == want
