@@ -6,12 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, mixing, quality, token_counts
+from . import bpe, mixing, quality, secrets, token_counts, topk
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 UNIGRAM_MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best inner products of every 50th vector with all others."""
+    return topk.search(read_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words taken of every document by the mix with weights 1, 2, 3."""
     return mixing.mix(read_table(spark, sf_dir, "documents")).select(
@@ -23,6 +28,18 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN, "doc_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and digest of the base kinds, and all spans with the linked ones."""
+    def kinds(*names: str):
+        return F.filter("spans", lambda s: s["kind"].isin(*names))
+
+    base = [k for k, *_ in secrets.BASE]
+    return secrets.scan(read_table(spark, sf_dir, "documents")).select(
+        "doc_id", *[F.size(kinds(k)).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(secrets.spans_text(kinds(*base)), 256).alias("base_sha256"),
+        secrets.spans_text(F.col("spans")).alias("spans"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of unigram pieces of every document."""
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), UNIGRAM_MODEL, "doc_id")
@@ -34,8 +51,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_top_k": op1_top_k,
     "op2_mix_sources": op2_mix_sources,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_secrets": op6_secrets,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
@@ -74,4 +93,17 @@ SELECT q.doc_id, CAST(q.size AS BIGINT) AS size, q.source_size, q.target,
 FROM queued q LEFT JOIN took USING (doc_id)
 """
 
-ORACLE_SQL = {"op2_mix_sources": OP2_SQL}
+OP1_SQL = """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))), false)),
+part AS (SELECT vec_id, unnest(v) AS w, generate_subscripts(v, 1) AS term FROM whole),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(sum(q.w * c.w) AS BIGINT) AS score
+  FROM part q JOIN part c ON q.term = c.term AND q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0 GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scored)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+"""
+
+ORACLE_SQL = {"op1_top_k": OP1_SQL, "op2_mix_sources": OP2_SQL}
