@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, mixing, quality, secrets, token_counts, topk
+from . import bpe, fingerprints, html_extract, mixing, near_dedup, quality, secrets, token_counts, topk
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 UNIGRAM_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -23,6 +23,16 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_extract.extract(read_table(spark, sf_dir, "pages"), "page_id", "url")
+
+
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document (five-word shingles, similarity 0.8 and more)."""
+    return near_dedup.near_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encoding and decoding of every document by the 50k byte-level vocabulary."""
     return bpe.round_trip(read_table(spark, sf_dir, "documents"), BPE_RANKS, public_tokenizers.PATTERN, "doc_id")
@@ -40,6 +50,11 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         secrets.spans_text(F.col("spans")).alias("spans"))
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and likeness to that and to the next document."""
+    return fingerprints.against_next(read_table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of unigram pieces of every document."""
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), UNIGRAM_MODEL, "doc_id")
@@ -53,8 +68,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_mix_sources": op2_mix_sources,
+    "op3_html_text": op3_html_text,
+    "op4_near_duplicates": op4_near_duplicates,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secrets": op6_secrets,
+    "op7_fingerprints": op7_fingerprints,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
