@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, fingerprints, html_extract, mixing, near_dedup, quality, secrets, token_counts, topk
+from . import bpe, fingerprints, html_extract, mixing, near_dedup, quality, secrets, suffix_dedup, token_counts, topk
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 UNIGRAM_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -55,6 +55,11 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_next(read_table(spark, sf_dir, "documents"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that a 100-byte string with an earlier start covers, and the digest of the rest."""
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), digest_only=True)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number of unigram pieces of every document."""
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), UNIGRAM_MODEL, "doc_id")
@@ -73,6 +78,7 @@ QUERIES = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_secrets": op6_secrets,
     "op7_fingerprints": op7_fingerprints,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
 }
