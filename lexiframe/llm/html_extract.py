@@ -37,6 +37,7 @@ SAMPLE_PAGES = 200
 SAMPLE_CHARS = 50_000
 DRAWN_PAGES = 500
 N_FEATURES = 22
+PARENT_SHARE, PARENT_LIMIT = 1.0, 4.0
 
 
 # ---- features -------------------------------------------------------------
@@ -268,7 +269,7 @@ class Drawer:
         r = self.r
         title = r.choice(["", f"<h1>{self.prose(2, 12)}</h1>", f"<h1>{self.prose(2, 12)}</h1>",
                           f"<header><h1>{self.prose(2, 12)}</h1></header>"])
-        blocks = [f"<i0>{title}</i0>" if title else ""] + [f"<i0>{self.block()}</i0>" for _ in range(r.choice([1, 2, 3, 5, 8, 13, 20]))]
+        blocks = [f"<i0>{title}</i0>" if title else ""] + [f"<i0>{self.block()}</i0>" for _ in range(r.choice([1, 2, 3, 5, 8, 13, 20] * 3 + [150]))]
         for kinds, share in ((ADS, 0.25), (SIDES, 0.15), (FORMS, 0.1)):
             if r.random() < share:
                 blocks.insert(r.randint(1, len(blocks)), self.boilerplate(kinds))
@@ -279,6 +280,8 @@ class Drawer:
         main = self.wrap(top, "".join(blocks))
         if top == "td":
             main = f"<table><tr>{main}</tr></table>"
+        if r.random() < 0.08:  # a bare fragment
+            return main
         before = [self.boilerplate(k) for k, share in ((NOTICES, 0.3), (HEADERS, 0.5), (MENUS, 0.7), (ADS, 0.4), (FORMS, 0.15))
                   if r.random() < share]
         after = [self.boilerplate(k) for k, share in ((REMARKS, 0.35), (SIDES, 0.4), (ADS, 0.2), (MENUS, 0.15), (FOOTERS, 0.7),
@@ -340,9 +343,13 @@ class Extractor:
 
 
 def decode(page: Page, odds: np.ndarray) -> str:
-    """Text of the best set of nodes in which every kept node's parent is kept."""
+    """Text of the best set of nodes in which every kept node's parent is kept.
+
+    A node's own log odds count with a share of its parent's, so that one block among many like it is not lost."""
     n = len(page.tag)
-    value = odds.tolist()
+    up = np.clip(odds[np.maximum(page.parent, 0)], -PARENT_LIMIT, PARENT_LIMIT)
+    up[[p <= 0 for p in page.parent]] = 0
+    value = (odds + PARENT_SHARE * up).tolist()
     for i in range(n - 1, 0, -1):
         if value[i] > 0:
             value[page.parent[i]] += value[i]
