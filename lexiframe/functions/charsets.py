@@ -39,9 +39,6 @@ class CharSet:
         """Body of a class listing the set, e.g. ``\\x{0041}-\\x{005A}``."""
         return "".join(_fmt(lo, hi) for lo, hi in _merge(self.ranges))
 
-    def negated_class(self) -> str:
-        return f"[^{self.members()}]"
-
     def complement_class(self) -> str:
         """Positive class of every code point outside the set."""
         gaps, nxt = [], 0

@@ -54,7 +54,6 @@ DEFAULT_DROP_CLASS = r"[\p{Nd}\p{P}\p{S}]"
 # Raw news-comment labels are 0 neutral, 1 positive, 2 negative; the engine's
 # coding is 0 negative, 1 positive, 2 neutral. The recode is a swap.
 NEWS_LABEL_SWAP = {0: 2, 1: 1, 2: 0}
-CLASS_NAMES = {0: "Negative", 1: "Positive", 2: "Neutral"}
 
 # --- fixed values: split parameters ---
 TEST_SHARE = 0.15
@@ -65,26 +64,3 @@ VALID_SEED = 1234
 # --- fixed values: encoding parameters ---
 MAX_LEN = 400
 BATCH_SIZE = 32
-
-# --- fixed values: configuration grid of the 13 training runs
-# (run id = encoder-head-classes, dataset, classes, encoder, head, hidden, layers, outputs, max_len,
-#  batch, epochs, optimizer, learning_rate) ---
-RUN_GRID = [
-    ("mbert-cnn-2class", "ProthomAlo", 2, "mbert", "cnn", 0, 0, 3, 400, 32, 10, "Adam", 5e-4),
-    ("mbert-gru-2class", "ProthomAlo", 2, "mbert", "gru", 300, 2, 3, 400, 32, 10, "Adam", 5e-4),
-    ("mbert-lstm-2class", "YouTube", 2, "mbert", "lstm", 100, 3, 3, 400, 32, 10, "Adam", 5e-4),
-    ("mbert-finetune-2class", "YouTube", 2, "mbert", "finetune", 0, 0, 2, 400, 32, 4, "AdamW", 2e-5),
-    ("xlmr-finetune-2class", "ProthomAlo", 2, "xlmr", "finetune", 0, 0, 2, 200, 16, 4, "AdamW", 2e-5),
-    ("xlmr-cnn-2class", "ProthomAlo", 2, "xlmr", "cnn", 0, 0, 3, 400, 16, 10, "Adam", 5e-4),
-    ("xlmr-gru-2class", "ProthomAlo", 2, "xlmr", "gru", 300, 2, 3, 400, 16, 10, "Adam", 5e-4),
-    ("xlmr-lstm-2class", "ProthomAlo", 2, "xlmr", "lstm", 100, 3, 3, 400, 16, 10, "Adam", 5e-4),
-    ("mbert-finetune-3class", "ProthomAlo", 3, "mbert", "finetune", 0, 0, 2, 400, 32, 4, "AdamW", 2e-5),
-    ("xlmr-finetune-3class", "ProthomAlo", 3, "xlmr", "finetune", 0, 0, 3, 400, 32, 4, "AdamW", 2e-5),
-    ("xlmr-cnn-3class", "ProthomAlo", 3, "xlmr", "cnn", 0, 0, 4, 400, 16, 10, "Adam", 5e-4),
-    ("xlmr-gru-3class", "ProthomAlo", 3, "xlmr", "gru", 300, 1, 4, 400, 16, 10, "Adam", 5e-4),
-    ("xlmr-lstm-3class", "ProthomAlo", 3, "xlmr", "lstm", 100, 1, 4, 400, 16, 10, "Adam", 5e-4),
-]
-RUN_GRID_COLUMNS = [
-    "model", "dataset", "classes", "encoder", "head", "hidden", "layers", "outputs",
-    "max_len", "batch_size", "epochs", "optimizer", "learning_rate",
-]

@@ -18,9 +18,11 @@ def argmax(logits: ColumnLike) -> Column:
 
 
 def cross_entropy(logits: ColumnLike, target: ColumnLike) -> Column:
-    """``logsumexp(x) - x[target]`` computed stably (max-shifted), in double."""
+    """``logsumexp(x) - x[target]`` computed stably (max-shifted), in double;
+    NULL for a target outside the logits (-1 marks ignored rows)."""
     x = to_double_array(logits)
     m = F.array_max(x)
     sum_exp = F.aggregate(x, F.lit(0.0), lambda acc, v: acc + F.exp(v - m))
-    picked = F.try_element_at(x, _c(target).cast("int") + 1)
+    t = _c(target).cast("int")
+    picked = F.get(x, F.when((t >= 0) & (t < F.size(x)), t))
     return m + F.log(sum_exp) - picked

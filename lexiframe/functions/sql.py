@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from .charsets import CharSet, as_charset
-from .constants import BENGALI_RANGES, DANDA_CP, DEFAULT_DROP_CLASS
+from .constants import BENGALI_RANGES, DANDA_CP, DEFAULT_DROP_CLASS, PY_WHITESPACE
 from .text import emoji_pattern
 
 
@@ -21,7 +21,7 @@ def register_sql_functions(spark: SparkSession, keep: CharSet = CharSet(BENGALI_
     ``t8_clean_book``, ``t9_clean_comment``, ``a3_argmax``; return their names."""
     keep = as_charset(keep)
     stop_arr = "array(" + ", ".join(_lit(w) for w in (stop or [])) + ")"
-    ws = r"[\\t\\n\\x{000B}\\f\\r\\x{001C}-\\x{001F} \\x{0085}\\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
+    ws = PY_WHITESPACE.replace("\\", "\\\\") + "+"
     defs = {
         "t1_delete_newlines": "(x STRING) RETURNS STRING RETURN regexp_replace(x, '\\n', '')",
         "t2_replace_outside": f"(x STRING) RETURNS STRING RETURN regexp_replace(x, {_lit(keep.complement_class())}, ' ')",

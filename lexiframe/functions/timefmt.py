@@ -38,12 +38,15 @@ def format_count(n: ColumnLike) -> Column:
     return F.format_number(_c(n).cast("long"), 0)
 
 
-def format_percent(num: ColumnLike, den: ColumnLike, decimals: int = 2) -> Column:
+def format_percent(num: ColumnLike, den: ColumnLike | None = None, decimals: int = 2) -> Column:
     """``100*num/den`` as text with ``decimals`` places and a ``%`` sign.
 
     Computed on integers (half-up on the exact ratio) so the text does not
     depend on binary rounding of a double. A zero denominator gives NULL.
+    Without ``den``, ``num`` is a rate and ``100 * num`` is formatted as a double.
     """
+    if den is None:
+        return F.concat(format_decimal(_c(num).cast("double") * 100, decimals), F.lit("%"))
     scale = 10 ** decimals
     n = _c(num).cast("long")
     d = _c(den).cast("long")
@@ -56,7 +59,28 @@ def format_percent(num: ColumnLike, den: ColumnLike, decimals: int = 2) -> Colum
 
 
 def format_decimal(x: ColumnLike, places: int = 3) -> Column:
-    """A double as text with ``places`` decimals (``f"{x:.3f}"`` for a loss),
-    rounded half-up on its shortest decimal form rather than on binary digits."""
-    d = F.round(_c(x).cast("decimal(38,10)"), places)
-    return d.cast(f"decimal(38,{places})").cast("string")
+    """A double as text with ``places`` decimals, as Python's ``f"{x:.3f}"``:
+    the double's exact value is rounded once, an exact half to the even digit.
+
+    ``|x| * 10^places`` and the error of that product (both halves of each
+    factor multiplied apart) give the exact distance to the half.
+    """
+    x = _c(x).cast("double")
+    a, scale = F.abs(x), float(10 ** places)
+
+    def halves(v):
+        high = v * 134217729.0 - (v * 134217729.0 - v)
+        return high, v - high
+
+    (ah, al), (sh, sl) = halves(a), halves(F.lit(scale))
+    p = a * scale
+    error = ((ah * sh - p) + ah * sl + al * sh) + al * sl
+    k = F.floor(p)
+    beyond = (p - k - 0.5) + error
+    units = F.when((beyond > 0) | ((beyond == 0) & (k % 2 == 1)), k + 1).otherwise(k).cast("long")
+    whole = F.floor(units / F.lit(10 ** places)).cast("long") if places else units
+    text = whole.cast("string")
+    if places:
+        text = F.concat(text, F.lit("."), F.lpad((units % 10 ** places).cast("string"), places, "0"))
+    large = F.abs(x).cast(f"decimal(38,{places})").cast("string")  # beyond 2^53 units a double has no fraction
+    return F.concat(F.when(x < 0, F.lit("-")).otherwise(F.lit("")), F.when(p < 2.0 ** 53, text).otherwise(large))

@@ -4,12 +4,25 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+NULL_MARK = r"\N"
+# a text that reads like the mark (backslashes, then N) gets one more backslash on the way out
+LIKE_MARK = r"^\\+N$"
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """K1: CSV with header, no index; quotes doubled, newlines kept inside quotes."""
-    (df.write.mode(mode).option("header", True).option("escape", '"')
-     .option("quoteAll", False).csv(path))
+
+def guard_marks(df: DataFrame) -> DataFrame:
+    """Keep texts that equal the NULL mark apart from NULL."""
+    return df.withColumns({c: F.when(F.col(c).rlike(LIKE_MARK), F.concat(F.lit("\\"), F.col(c))).otherwise(F.col(c))
+                           for c, t in df.dtypes if t == "string"})
+
+
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", header: bool = True, sep: str = ",") -> None:
+    """K1: CSV, no index. All fields quoted, quotes doubled, newlines and outer
+    white space kept; NULL is written as ``\\N``, so empty texts stay empty."""
+    (guard_marks(df).write.mode(mode).option("header", header).option("sep", sep).option("escape", '"')
+     .option("quoteAll", True).option("nullValue", NULL_MARK).option("emptyValue", "")
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def write_csv_indexed(df: DataFrame, path: str, index: str = "row_id", mode: str = "overwrite") -> None:

@@ -17,12 +17,37 @@ from ..functions import text as T
 from ..session import scratch_path, spread
 
 
-def source(spark: SparkSession, sf_dir: str, table: str, schema=None, max_files: int = 1) -> DataFrame:
-    """A file stream over one table of a folder (other tables are filtered out)."""
-    if schema is None:
-        schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-            .option("maxFilesPerTrigger", max_files).parquet(sf_dir))
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` is a folder of part files, asked of the file system that holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
+
+
+def source(spark: SparkSession, sf_dir: str, table: str, schema=None, max_files: int | None = None) -> DataFrame:
+    """A file stream over one table: a folder of part files, or one file beside
+    other tables (a file source reads folders, so the others are filtered out).
+
+    ``max_files`` bounds the files of a micro-batch; unset, one micro-batch takes
+    all that is there and its files are read in parallel."""
+    path = f"{sf_dir}/{table}.parquet"
+    reader = spark.readStream.schema(schema or spark.read.parquet(path).schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if _is_folder(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+
+
+def finish(query: StreamingQuery, timeout_s: float | None = None) -> None:
+    """Wait for a query to end, without limit unless one is given. A failed query
+    raises its error, an unfinished one is stopped and raises."""
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream did not finish in {timeout_s} s")
+    if query.exception() is not None:
+        raise RuntimeError(str(query.exception()))
 
 
 def clean_comment_stream(stream: DataFrame, keys: list[str], keep: str, text: str = "text") -> DataFrame:
@@ -39,7 +64,7 @@ def label_counts_stream(stream: DataFrame, label: str) -> DataFrame:
 
 
 def run_available(df: DataFrame, name: str, mode: str = "append", fmt: str = "parquet",
-                  timeout_s: int = 600) -> str:
+                  timeout_s: float | None = None) -> str:
     """Process everything available now, write it to a fresh folder under the
     checkpoint dir and return the folder. Restarting with the same folder
     resumes from the stored offsets."""
@@ -48,17 +73,12 @@ def run_available(df: DataFrame, name: str, mode: str = "append", fmt: str = "pa
     w = (df.writeStream.outputMode(mode).format(fmt).option("path", out + "/data")
          .option("checkpointLocation", out + "/_checkpoint").trigger(availableNow=True))
     q: StreamingQuery = w.start()
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    finish(q, timeout_s)
     return out + "/data"
 
 
 def run_available_batches(stream: DataFrame, transform, name: str, key: str | Sequence[str] | None = None,
-                          timeout_s: int = 600, out: str | None = None) -> str:
+                          timeout_s: float | None = None, out: str | None = None) -> str:
     """Process everything available now with a batch operator per micro-batch.
 
     ``foreachBatch`` hands each micro-batch over as a plain DataFrame: it is
@@ -81,10 +101,5 @@ def run_available_batches(stream: DataFrame, transform, name: str, key: str | Se
     q: StreamingQuery = (stream.writeStream.foreachBatch(sink)
                          .option("checkpointLocation", out + "/_checkpoint")
                          .trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError(f"stream {name} did not finish in {timeout_s}s")
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+    finish(q, timeout_s)
     return out + "/data"

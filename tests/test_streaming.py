@@ -10,7 +10,7 @@ from lexiframe.functions.constants import LATIN_RANGES
 from lexiframe.operators import splits as D
 from lexiframe.session import read_table
 from lexiframe.streaming.stream import (
-    clean_comment_stream, label_counts_stream, run_available, run_available_batches, source,
+    clean_comment_stream, finish, label_counts_stream, run_available, run_available_batches, source,
 )
 
 
@@ -49,7 +49,7 @@ def test_label_counts_complete_mode(spark):
     name = "lf_counts_" + os.path.basename(tempfile.mkdtemp())
     q = (label_counts_stream(s, "Sentiment").writeStream.outputMode("complete").format("memory")
          .queryName(name).trigger(availableNow=True).start())
-    q.awaitTermination(300)
+    finish(q)
     got = {r["Sentiment"]: r["n_rows"] for r in spark.table(name).collect()}
     want = {r["quality"]: r["count"] for r in read_table(spark, SF01, "labels").groupBy("quality").count().collect()}
     assert got == want
@@ -64,3 +64,29 @@ def test_micro_batch_runner_resumes_without_duplicates(spark):
     again = run_available_batches(s, clean, "t-stream-resume", ["conv_id", "turn"], out=data[: -len("/data")])
     assert again == data
     assert spark.read.parquet(data).count() == first == read_table(spark, SF01, "conversations").count()
+
+
+def test_a_folder_of_part_files_streams_whole(spark, tmp_path):
+    labels = read_table(spark, SF01, "labels").repartition(3)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    read_table(spark, SF01, "documents").limit(5).write.parquet(str(tmp_path / "documents.parquet"))
+    assert len(list((tmp_path / "labels.parquet").glob("part-*"))) == 3
+    out = run_available(source(spark, str(tmp_path), "labels"), "t-stream-folder")
+    streamed = spark.read.parquet(out)
+    assert streamed.count() == labels.count() and streamed.exceptAll(labels).count() == 0
+
+
+def test_failed_and_unfinished_streams_raise(spark):
+    import pytest
+
+    def fail(batch, _):
+        raise ValueError("no")
+
+    s = source(spark, SF01, "labels")
+    with pytest.raises(Exception):
+        finish(s.writeStream.foreachBatch(fail).option("checkpointLocation", tempfile.mkdtemp()).trigger(availableNow=True).start())
+    endless = spark.readStream.format("rate").load().writeStream.format("noop").option(
+        "checkpointLocation", tempfile.mkdtemp()).trigger(processingTime="1 second").start()
+    with pytest.raises(TimeoutError):
+        finish(endless, 2)
+    assert not endless.isActive

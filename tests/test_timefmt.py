@@ -21,10 +21,16 @@ def test_counts_and_percent(spark):
     assert got == [("1,234,567", "12.50%"), ("5", "33.33%")]
 
 
-def test_decimal_text(spark):
+def test_decimal_text_rounds_once_like_python(spark):
+    import random
+
     from lexiframe.functions.timefmt import format_decimal
-    df = spark.createDataFrame([(0.0025,), (1.0005,), (2.0,), (12.3456,)], "x double")
-    assert [r[0] for r in df.select(format_decimal("x", 3)).collect()] == ["0.003", "1.001", "2.000", "12.346"]
+    r = random.Random(1)
+    xs = [0.0124999999999, 0.1235, 2.6745, 0.0025, 1.0005, -0.0001, -1.2345, 0.0, 12.3456, 0.0625, 123456789012.5, 1e17]
+    xs += [r.randrange(10**6) / 2000 for _ in range(500)] + [r.random() * 10 ** r.randrange(-4, 6) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    assert [t[0] for t in df.select(format_decimal("x", 3)).collect()] == [f"{x:.3f}" for x in xs]
+    assert [t[0] for t in df.select(format_percent("x")).collect()] == [f"{x * 100:.2f}%" for x in xs]
 
 
 def test_percent_of_zero_is_null(spark):
