@@ -1,9 +1,10 @@
 """Corpus encoding (E1-E14): vocabulary, token ids, specials, truncation,
 padding, masks, label index and batch assignment.
 
-Vocabulary lookups are an explode of the (already truncated, so at most
-``max_len - 2`` long) token arrays, a broadcast hash join against a vocabulary
-of bounded size, and a per-document regroup in token order. Batch numbers come
+Vocabulary lookups run in Arrow batches on the flat token buffer while the
+vocabulary is within a checked size (:mod:`lexiframe.operators.lookup`): no
+shuffle and no regrouping. A larger vocabulary is looked up by an explode of the (already truncated) token
+arrays, a shuffle join and a per-row regroup in token order. Batch numbers come
 from :func:`lexiframe.operators.ranking.ordered_index`, never from a window over
 one partition.
 """
@@ -11,13 +12,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+from . import lookup as L
 from .ranking import ordered_index, with_row_ids
 from .splits import seeded_hash
 
-BROADCAST_ROWS = 2_000_000  # largest lookup table that is broadcast
+LABELS_IN_ONE_TASK = 1_000_000  # labels that one window may number
 
 
 @dataclass(frozen=True)
@@ -33,13 +39,13 @@ class Specials:
         return 4
 
 
-def build_vocab(df: DataFrame, tokens: str | Column, max_size: int,
+def build_vocab(df: DataFrame, tokens: str | Column, max_size: int | None = None,
                 specials: Specials = Specials(), min_count: int = 1) -> DataFrame:
-    """The ``max_size`` most frequent tokens (ties by token), ids after the reserved ones.
+    """All tokens, most frequent first (ties by token), ids after the reserved ones.
 
     Counting is a map-side combined aggregate, so a very frequent token costs
-    one partial count per partition; the top-k keeps at most ``max_size`` rows
-    per partition.
+    one partial count per partition. Ids come from range partitions
+    (``ordered_index``). ``max_size`` keeps only the most frequent ones.
     """
     t = F.col(tokens) if isinstance(tokens, str) else tokens
     # explode_outer + a filter on the output: a plain explode makes Catalyst
@@ -49,55 +55,75 @@ def build_vocab(df: DataFrame, tokens: str | Column, max_size: int,
               .groupBy("token").agg(F.count(F.lit(1)).alias("count")))
     if min_count > 1:
         counts = counts.where(F.col("count") >= min_count)
-    top = counts.orderBy(F.desc("count"), F.asc("token")).limit(max_size)
-    order = Window.orderBy(F.desc("count"), F.asc("token"))
-    return top.select("token", (F.row_number().over(order) - 1 + specials.reserved).cast("int").alias("id"),
-                      F.col("count").cast("long"))
-
-
-def _maybe_broadcast(df: DataFrame, size_bound: int | None) -> DataFrame:
-    if size_bound is None:
-        size_bound = df.count()
-    return F.broadcast(df) if size_bound <= BROADCAST_ROWS else df
+    if max_size is not None:
+        counts = counts.orderBy(F.desc("count"), F.asc("token")).limit(max_size)
+    ranked = ordered_index(counts.select((-F.col("count")).alias("_less"), "token"), ["_less", "token"], name="_idx")
+    return ranked.select("token", (F.col("_idx") + specials.reserved).cast("int").alias("id"),
+                         (-F.col("_less")).cast("long").alias("count"))
 
 
 def encode(df: DataFrame, key: str, tokens: str | Column, vocab: DataFrame, max_len: int,
-           specials: Specials = Specials(), vocab_size_bound: int | None = None,
-           pad: bool = True) -> DataFrame:
+           specials: Specials = Specials(), pad: bool = True) -> DataFrame:
     """Tokens -> (input_ids, attention_mask, n_tokens) per ``key``.
 
     Truncation keeps ``max_len - 2`` tokens so that start and end ids fit.
     Unknown tokens map to ``specials.unk``. With ``pad`` every row is padded to
     ``max_len`` (E7); otherwise ids keep their own length (pad per batch, E8).
+    NULL tokens give NULL ids.
     """
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    body = F.slice(t, 1, max_len - 2)
+    table = L.small_table(vocab, "token", "id")
+    out = (_encode_batches(df, key, t, table, max_len, specials) if table is not None
+           else _encode_shuffled(df, key, t, vocab, max_len, specials))
+    out = out.withColumn("n_tokens", F.when(F.col("input_ids").isNotNull(), F.size("input_ids")))
+    return with_padding(out, max_len, specials) if pad else out
+
+
+def _encode_batches(df: DataFrame, key: str, tokens: Column, table: pa.Table, max_len: int, specials: Specials) -> DataFrame:
+    """Ids by a lookup of each batch's flat token buffer."""
+    shared = df.sparkSession.sparkContext.broadcast((L.column(table, "token"), L.column(table, "id").to_numpy()))
+
+    @F.arrow_udf("array<int>")
+    def ids(lists: pa.Array) -> pa.Array:
+        values, lengths, valid = L.flat(lists)
+        at, kept = L.heads(lengths, max_len - 2)
+        body = L.ids_of(values.take(pa.array(at)), *shared.value, specials.unk)
+        total = np.where(valid, kept + 2, 0)
+        ends = np.cumsum(total)
+        out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
+        inner = np.ones(len(out), bool)
+        starts, lasts = (ends - total)[valid], ends[valid] - 1
+        out[starts], out[lasts] = specials.cls, specials.sep
+        inner[starts] = inner[lasts] = False
+        out[inner] = body
+        return L.lists_of(pa.array(out), total, valid)
+
+    return df.select(key, ids(tokens).alias("input_ids"))
+
+
+def _encode_shuffled(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, max_len: int, specials: Specials) -> DataFrame:
+    """Ids by a join with a vocabulary too large to send to every task."""
     # Regroup by a per-row id, not by ``key``: a repeated key must not merge
     # rows into one unbounded group. The id is assigned in the same stage as
     # the explode and is stable under retries (``with_row_ids``).
-    rows = with_row_ids(df.select(key, body.alias("_body")), key, F.col("_body"))
-    exploded = rows.select(key, "_rid", F.posexplode_outer("_body").alias("_pos", "token"))
-    lookup = _maybe_broadcast(vocab.select("token", "id"), vocab_size_bound)
-    looked = exploded.join(lookup, on="token", how="left")
+    rows = with_row_ids(df.select(key, F.slice(tokens, 1, max_len - 2).alias("_body")), key, F.col("_body"))
+    exploded = rows.select(key, "_rid", F.col("_body").isNull().alias("_null"), F.posexplode_outer("_body").alias("_pos", "token"))
+    looked = exploded.join(vocab.select("token", "id"), on="token", how="left")
     entry = F.when(F.col("_pos").isNotNull(),
                    F.struct("_pos", F.coalesce(F.col("id"), F.lit(specials.unk)).alias("id")))
-    # grouping by (key, id) is the same grouping (ids are unique) but lets an input
-    # already hash-partitioned by ``key`` regroup without a shuffle
-    grouped = looked.groupBy(key, "_rid").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    grouped = looked.groupBy(key, "_rid").agg(F.first("_null").alias("_null"), F.array_sort(F.collect_list(entry)).alias("_e"))
     ids = F.concat(F.array(F.lit(specials.cls)), F.transform("_e", lambda s: s["id"]),
                    F.array(F.lit(specials.sep)))
-    out = grouped.select(key, ids.alias("input_ids")).withColumn("n_tokens", F.size("input_ids"))
-    return with_padding(out, max_len, specials) if pad else out
+    return grouped.select(key, F.when(~F.col("_null"), ids).alias("input_ids"))
 
 
 def encoded_length(tokens: str | Column, max_len: int) -> Column:
     """Length of the row :func:`encode` produces: one id per kept token (after
     E6 truncation to ``max_len - 2``) plus the start and end ids (E5). It does
     not depend on the vocabulary, so consumers that need only lengths (E8,
-    E10, E11) compute it per row, with no lookup, explode or regroup."""
+    E10, E11) compute it per row, with no lookup. NULL tokens have no length."""
     t = F.col(tokens) if isinstance(tokens, str) else tokens
-    kept = F.when(t.isNull(), F.lit(0)).otherwise(F.least(F.size(t), F.lit(max_len - 2)))
-    return (kept + 2).cast("int")
+    return F.when(t.isNotNull(), F.least(F.size(t), F.lit(max_len - 2)) + 2).cast("int")
 
 
 def with_padding(df: DataFrame, length: int | Column, specials: Specials = Specials(),
@@ -112,54 +138,61 @@ def with_padding(df: DataFrame, length: int | Column, specials: Specials = Speci
 
 
 def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: Specials = Specials(),
-           mask: str | None = "attention_mask", vocab_size_bound: int | None = None,
-           out: str = "tokens") -> DataFrame:
-    """Ids -> tokens (specials by name), dropping padded positions when a mask is given."""
+           mask: str | None = "attention_mask", out: str = "tokens") -> DataFrame:
+    """Ids -> tokens (specials by name), dropping padded positions when a mask is
+    given; an id without a token is its number. NULL ids give NULL tokens."""
+    table = L.small_table(vocab, "token", "id")
+    if table is None:
+        return _decode_shuffled(df, key, ids, vocab, specials, mask, out)
+    known = dict(zip((specials.pad, specials.unk, specials.cls, specials.sep), specials.names))
+    numbers = np.concatenate([L.column(table, "id").to_numpy(), np.array(list(known), np.int32)]).astype(np.int32)
+    names = pa.concat_arrays([L.column(table, "token").cast(pa.string()), pa.array(list(known.values()), pa.string())])
+    shared = df.sparkSession.sparkContext.broadcast((pa.array(numbers), names))
+
+    @F.arrow_udf("array<string>")
+    def tokens(lists: pa.Array, masks: pa.Array) -> pa.Array:
+        numbers, names = shared.value
+        values, lengths, valid = L.flat(lists)
+        kept = L.flat(masks)[0].to_numpy() == 1
+        lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[kept], minlength=len(lengths))
+        values = values.filter(pa.array(kept)).cast(pa.int32())
+        text = names.take(pc.index_in(values, value_set=numbers))
+        return L.lists_of(pc.coalesce(text, values.cast(pa.string())), lengths, valid)
+
+    on = F.col(mask) if mask else F.transform(ids, lambda _: F.lit(1))
+    return df.select(key, tokens(F.col(ids), on).alias(out))
+
+
+def _decode_shuffled(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: Specials, mask: str | None,
+                     out: str) -> DataFrame:
     cols = [F.col(ids)] + ([F.col(mask)] if mask else [])
     z = F.arrays_zip(*cols)
     rows = with_row_ids(df.select(key, z.alias("_zz")), key, F.col("_zz"))
-    exploded = rows.select(key, "_rid", F.posexplode_outer("_zz").alias("_pos", "_z"))
-    exploded = exploded.select(key, "_rid", "_pos", F.col("_z")[ids].alias("_id"),
+    exploded = rows.select(key, "_rid", F.col("_zz").isNull().alias("_null"), F.posexplode_outer("_zz").alias("_pos", "_z"))
+    exploded = exploded.select(key, "_rid", "_null", "_pos", F.col("_z")[ids].alias("_id"),
                                (F.col("_z")[mask] if mask else F.lit(1)).alias("_m"))
-    lookup = _maybe_broadcast(vocab.select(F.col("id").alias("_id"), "token"), vocab_size_bound)
-    named = exploded.join(lookup, on="_id", how="left")
+    named = exploded.join(vocab.select(F.col("id").alias("_id"), "token"), on="_id", how="left")
     sp = F.create_map(*[x for i, nm in zip((specials.pad, specials.unk, specials.cls, specials.sep), specials.names)
                         for x in (F.lit(i), F.lit(nm))])
     tok = F.coalesce(F.col("token"), sp[F.col("_id")], F.col("_id").cast("string"))
     entry = F.when(F.col("_pos").isNotNull() & (F.col("_m") == 1), F.struct("_pos", tok.alias("t")))
-    return named.groupBy(key, "_rid").agg(
-        F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["t"]).alias(out)).drop("_rid")
-
-
-class RegexTokenizer:
-    """Default tokeniser plug-in: all matches of a Unicode regex (``regex`` module)."""
-
-    def __init__(self, pattern: str = r"\p{L}+"):
-        self.pattern = pattern
-
-    def __call__(self, texts):
-        import regex
-        rx = regex.compile(self.pattern)
-        return [None if t is None else rx.findall(t) for t in texts]
+    texts = F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["t"])
+    grouped = named.groupBy(key, "_rid").agg(F.first("_null").alias("_null"), texts.alias(out))
+    return grouped.select(key, F.when(~F.col("_null"), F.col(out)).alias(out))
 
 
-def plugin_tokenize(df: DataFrame, key: str, text: str, tokenizer=None, out: str = "tokens") -> DataFrame:
-    """E1 plug-in: tokenise with any Python tokeniser (sub-word models included)
-    over Arrow batches. The tokeniser is broadcast once and called once per
-    batch with a list of texts; it returns one token list per text."""
-    from pyspark.sql import types as T
-    tok = tokenizer or RegexTokenizer()
-    bc = df.sparkSession.sparkContext.broadcast(tok)
-    key_type = df.schema[key].dataType
-    schema = T.StructType([T.StructField(key, key_type), T.StructField(out, T.ArrayType(T.StringType()))])
+def plugin_tokenize(df: DataFrame, key: str, text: str, tokenizer, out: str = "tokens") -> DataFrame:
+    """E1 plug-in: tokenise with any Python tokeniser (sub-word models included) over
+    Arrow batches. The tokeniser is broadcast once and called once per batch with a
+    list of texts; it returns one token list per text. Rules that a regular expression
+    can state stay in the JVM (``functions.text.tokenize_regex``)."""
+    shared = df.sparkSession.sparkContext.broadcast(tokenizer)
 
-    def run(batches):
-        fn = bc.value
-        for pdf in batches:
-            texts = pdf[text].tolist()
-            yield pdf[[key]].assign(**{out: fn(texts)})
+    @F.arrow_udf("array<string>")
+    def tokens(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value(texts.to_pylist()), type=pa.list_(pa.string()))
 
-    return df.select(key, text).mapInPandas(run, schema)
+    return df.select(key, tokens(F.col(text)).alias(out))
 
 
 def max_length(df: DataFrame, n: str = "n_tokens") -> DataFrame:
@@ -209,18 +242,18 @@ def padding_waste(batches: DataFrame, length: str = "n_tokens", pad_to: str = "p
 
 def label_index(df: DataFrame, label: str, out: str = "idx") -> DataFrame:
     """Label -> index by descending frequency, ties by label ascending
-    (``StringIndexer(stringOrderType="frequencyDesc")``)."""
-    c = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    (``StringIndexer(stringOrderType="frequencyDesc")``). Labels beyond
+    ``LABELS_IN_ONE_TASK`` (counted) are numbered by range partitions."""
+    c = materialize(df.groupBy(label).agg(F.count(F.lit(1)).alias("n")), "label-counts")
+    if c.count() > LABELS_IN_ONE_TASK:
+        less = c.withColumn("_less", -F.col("n"))
+        return ordered_index(less, ["_less", label], name=out).drop("_less").withColumn(out, F.col(out).cast("int"))
     w = Window.orderBy(F.desc("n"), F.asc(label))
     return c.withColumn(out, (F.row_number().over(w) - 1).cast("int"))
 
 
-def apply_label_index(df: DataFrame, index: DataFrame, label: str, out: str = "idx",
-                      size_bound: int | None = None) -> DataFrame:
+def apply_label_index(df: DataFrame, index: DataFrame, label: str, out: str = "idx") -> DataFrame:
     """Attach the label index to rows (unseen labels get ``n_labels``, like ``handleInvalid='keep'``)."""
-    n_labels = index.count()  # one action: the broadcast bound and the id of unseen labels
-    bound = n_labels if size_bound is None else size_bound
-    side = index.select(label, out)
-    side = F.broadcast(side) if bound <= BROADCAST_ROWS else side
-    return df.join(side, on=label, how="left").withColumn(
+    n_labels = index.count()
+    return df.join(index.select(label, out), on=label, how="left").withColumn(
         out, F.coalesce(F.col(out), F.lit(int(n_labels))).cast("int"))

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, IDF, StopWordsRemover, Tokenizer
+from pyspark.ml.feature import HashingTF, IDF
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,9 +34,9 @@ class LinearScorer:
         return x @ self.weights + self.bias
 
     @classmethod
-    def leading_dims(cls, dim_in: int, k: int) -> "LinearScorer":
-        """Scorer whose logits are the first ``k`` input dimensions (test scorer)."""
-        return cls(np.eye(dim_in, k))
+    def cosine(cls, dim_in: int, k: int) -> "LinearScorer":
+        """Fixed dense scorer: weight of dimension i for output j is cos(i j), counted from 1."""
+        return cls(np.cos(np.outer(np.arange(1, dim_in + 1), np.arange(1, k + 1))))
 
 
 def _feature_matrix(col) -> "np.ndarray":
@@ -116,38 +116,34 @@ def score_table(df: DataFrame, features: str, keys: Sequence[str], scorer,
     return df.select(*cols, features).mapInArrow(run, out_schema)
 
 
-def train_frozen(df: DataFrame, features: str, label: str, split_col: str = "split",
+def train_frozen(df: DataFrame, features: str, label: str, key: str, split_col: str = "split",
                  train_value: str = "train", max_iter: int = 50, reg: float = 0.0):
     """M2: classifier on stored (frozen) vectors, fitted on the train rows.
 
-    Rows are ordered within partitions before fitting so that the optimiser
-    sees the same data order on every run.
+    Rows are ordered by their unique key within partitions before fitting so
+    that the optimiser sees the same data order on every run.
     """
-    data = df.select(array_to_vector(F.col(features)).alias("features"),
+    data = df.select(key, array_to_vector(F.col(features)).alias("features"),
                      F.col(label).cast("double").alias("label"), split_col)
-    train = data.where(F.col(split_col) == train_value).sortWithinPartitions("label")
+    train = data.where(F.col(split_col) == train_value).sortWithinPartitions(key)
     model = LogisticRegression(maxIter=max_iter, regParam=reg, family="multinomial").fit(train)
     return model, model.transform(data).withColumn("pred", F.col("prediction").cast("int"))
 
 
-def text_pipeline(text: str = "text_clean", label: str = "label", stop: Sequence[str] = (),
+def text_pipeline(tokens: str = "tokens", label: str = "label",
                   num_features: int = 1 << 18, weight: str | None = "weight", max_iter: int = 30) -> Pipeline:
-    """M3: tokenizer -> stop words -> hashed term counts -> IDF -> logistic regression
-    (class weights from A11 through ``weightCol``)."""
-    stages = [Tokenizer(inputCol=text, outputCol="_tok")]
-    src = "_tok"
-    if stop:
-        stages.append(StopWordsRemover(inputCol="_tok", outputCol="_tok_ns", stopWords=list(stop), caseSensitive=True))
-        src = "_tok_ns"
-    stages += [HashingTF(inputCol=src, outputCol="_tf", numFeatures=num_features),
-               IDF(inputCol="_tf", outputCol="features"),
-               LogisticRegression(labelCol=label, weightCol=weight, maxIter=max_iter) if weight
-               else LogisticRegression(labelCol=label, maxIter=max_iter)]
-    return Pipeline(stages=stages)
+    """M3: token arrays -> hashed term counts -> IDF -> logistic regression
+    (class weights from A11 through ``weightCol``). The tokens are the engine's own
+    (``functions.text.tokenize``): no case folding, no empty token for doubled spaces."""
+    lr = LogisticRegression(labelCol=label, maxIter=max_iter)
+    if weight:
+        lr = lr.setWeightCol(weight)
+    return Pipeline(stages=[HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=num_features),
+                            IDF(inputCol="_tf", outputCol="features"), lr])
 
 
 def save_model(model: PipelineModel, path: str) -> None:
-    """M6: persist a fitted pipeline (history is written with the results, K3)."""
+    """M6: persist a fitted pipeline (:mod:`lexiframe.operators.training` saves models with their history)."""
     model.write().overwrite().save(path)
 
 
@@ -155,18 +151,18 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def pooled_vectors(df: DataFrame, vec: str, group: Sequence[str], dim: int | None = None) -> DataFrame:
-    """M4 + M5: per group the per-dimension max (and mean), concatenated.
+def pooled_vectors(df: DataFrame, vec: str, group: Sequence[str], dim: int) -> DataFrame:
+    """M4 + M5: per group the per-dimension max (and mean), concatenated, and its tanh.
 
     One aggregate with ``dim`` max/avg expressions (map-side combined); rows
-    are never exploded and no vectors are collected.
+    are never exploded and no vectors are collected. A vector shorter than
+    ``dim`` adds nothing to the dimensions it lacks.
     """
-    if dim is None:
-        dim = int(df.agg(F.max(F.size(vec))).first()[0] or 0)
     v = F.col(vec)
-    aggs = ([F.max(v[i].cast("double")).alias(f"_mx{i}") for i in range(dim)]
-            + [F.avg(v[i].cast("double")).alias(f"_mn{i}") for i in range(dim)])
+    aggs = ([F.max(F.get(v, F.lit(i)).cast("double")).alias(f"_mx{i}") for i in range(dim)]
+            + [F.avg(F.get(v, F.lit(i)).cast("double")).alias(f"_mn{i}") for i in range(dim)])
     g = df.groupBy(*group).agg(*aggs)
     mx = F.array(*[F.col(f"_mx{i}") for i in range(dim)])
     mn = F.array(*[F.col(f"_mn{i}") for i in range(dim)])
-    return g.select(*group, mx.alias("max_pool"), F.concat(mx, mn).alias("features"))
+    return g.select(*group, mx.alias("max_pool"), F.concat(mx, mn).alias("features")).withColumn(
+        "tanh", F.transform("features", lambda x: F.tanh(x)))

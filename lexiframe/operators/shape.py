@@ -3,10 +3,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from . import lookup as L
 from .ranking import ordered_index, with_row_ids
 
 
@@ -58,19 +62,17 @@ def renumber(df: DataFrame, order_cols: Sequence[str], part_col: str | None = No
     return ordered_index(df, order, name=name, positions=positions)
 
 
-def index_aligned_join(left: DataFrame, right: DataFrame, key: str = "row_id",
-                       broadcast_limit: int = 2_000_000) -> DataFrame:
+def index_aligned_join(left: DataFrame, right: DataFrame, key: str = "row_id") -> DataFrame:
     """Re-attach columns by row key; an outer join like index alignment.
 
     The full outer join is written as a left join (every left row) plus the
     right rows without a partner (an anti join against the left *keys* only).
-    When the right side (labels) has at most ``broadcast_limit`` rows (counted
-    first) it is broadcast, so the wide left side is never shuffled. Beyond the
-    limit both joins are shuffle joins of a kind AQE can split when one key
-    holds a large share of the rows (a full outer join cannot be split).
+    Spark picks the join by size: a small label side is broadcast and the wide
+    left side not shuffled; otherwise both are shuffle joins of a kind AQE can
+    split when one key holds a large share of the rows (a full outer join
+    cannot be split).
     """
-    side = right if right.count() > broadcast_limit else F.broadcast(right)
-    matched = left.join(side, on=key, how="left")
+    matched = left.join(right, on=key, how="left")
     orphans = right.join(left.select(key), on=key, how="left_anti")
     return matched.unionByName(orphans, allowMissingColumns=True)
 
@@ -120,27 +122,33 @@ def unpivot_series(df: DataFrame, key: str, series: Sequence[str],
 
 
 def remove_stop_words_table(df: DataFrame, key: str, text: Column | str, stop: DataFrame,
-                            out: str = "text_nostop", word_col: str = "word",
-                            broadcast_limit: int = 1_000_000, spaces_only: bool = False) -> DataFrame:
-    """U4 for stop lists too large to inline: explode tokens with positions,
-    mark stop tokens by a join with the stop table, regroup the others in token
-    order. Returns ``(key, out)`` for every input row.
-
-    The stop table is broadcast only when its row count is at most
-    ``broadcast_limit``; beyond that the anti join is a shuffled join. Rows are
-    regrouped by a per-row id (assigned in the exploding stage), so a repeated
-    key never forms one large group.
+                            out: str = "text_nostop", word_col: str = "word", spaces_only: bool = False) -> DataFrame:
+    """U4 for stop lists too large to inline. Returns ``(key, out)`` for every input row; NULL stays NULL.
+
+    While the list is within a checked size, each Arrow batch drops its stop
+    tokens in one vectorised call (no shuffle). A larger list marks exploded
+    tokens by a shuffled join and regroups the others by a per-row id, so a
+    repeated key never forms one large group.
     """
     text = F.col(text) if isinstance(text, str) else text
+    words = stop.select(F.col(word_col).alias("_tok")).where(F.col("_tok").isNotNull()).distinct()
+    table = L.small_table(words, "_tok")
+    if table is not None:
+        shared = df.sparkSession.sparkContext.broadcast(L.column(table, "_tok"))
+
+        @F.arrow_udf("array<string>")
+        def without(lists: pa.Array) -> pa.Array:
+            values, lengths, valid = L.flat(lists)
+            kept = ~pc.is_in(values, value_set=shared.value).to_numpy(zero_copy_only=False)
+            counts = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[kept], minlength=len(lengths))
+            return L.lists_of(values.filter(pa.array(kept)), counts, valid)
+
+        return df.select(key, F.array_join(without(tokenize(text, spaces_only)), " ").alias(out))
     rows = with_row_ids(df.select(key, text.isNull().alias("_null"), tokenize(text, spaces_only).alias("_toks")),
                         key, F.struct("_null", "_toks"))
     toks = rows.select(key, "_rid", "_null", F.posexplode_outer("_toks").alias("_pos", "_tok"))
-    n_stop = stop.count()
-    stop_side = stop.select(F.col(word_col).alias("_tok")).distinct().withColumn("_stop", F.lit(True))
-    if n_stop <= broadcast_limit:
-        stop_side = F.broadcast(stop_side)
     # a left join with a marker (not an anti join) so rows whose tokens are all stop words survive
-    kept = toks.join(stop_side, on="_tok", how="left")
+    kept = toks.join(words.withColumn("_stop", F.lit(True)), on="_tok", how="left")
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(
         F.when(F.col("_tok").isNotNull() & F.col("_stop").isNull(), F.struct("_pos", "_tok")))),
         lambda s: s["_tok"]), " ")

@@ -18,12 +18,25 @@ FIXTURE_STOP_WORDS = [
     "der", "die", "das", "und", "ein",
     "el", "los", "las", "y", "que", "en",
 ]
-VOCAB_SIZE = 5000
+STOP_SHARE = 0.2  # tokens in more than this share of the documents form the stop table
 PEEK_POSITIONS = [29, 34, 390]
 HEAD_ROWS = 5
-N_LOGITS = 10
+N_LOGITS = 10  # logit j of a stored vector is the sum of x_i cos(i j), i and j from 1
+VECTOR_DIM = 64
+VECTORS_PER_DOC = 8  # stored vectors vec_id // 8 stand in for the token vectors of one document
 TWO_CLASS_NAMES = {0: "Negative", 1: "Positive"}
 
 # SQL forms of the synthetic columns (valid in Spark SQL and DuckDB).
 RAW_NEWS_LABEL_SQL = "CASE WHEN toxic = 1 THEN 2 WHEN quality = 1 THEN 1 ELSE 0 END"
 PRED_SQL = "CASE WHEN doc_id % 5 = 0 THEN 1 - quality ELSE quality END"
+
+# Configurations that are really trained (M7): model, dataset, class count, feature size, class weights, rule of the
+# second split, epochs, learning rate, weight decay. Full-batch training, so the batch is the whole train split.
+GRID = [
+    ("frozen-plain", "embeddings", 10, 64, False, "floor", 5, 0.05, 0.0),
+    ("frozen-decay", "embeddings", 10, 64, False, "round", 5, 0.05, 0.01),
+    ("hashed-small", "documents", 2, 64, False, "floor", 5, 0.1, 0.0),
+    ("hashed-weighted", "documents", 2, 256, True, "floor", 5, 0.1, 0.0),
+    ("hashed-three", "documents", 3, 256, True, "round", 5, 0.1, 0.001),
+]
+GRID_COLUMNS = ("model", "dataset", "classes", "feature_size", "weighted", "rule", "epochs", "learning_rate", "weight_decay")

@@ -7,12 +7,12 @@ parameters: keep range, stop list, seeds, shares, sizes.
 from __future__ import annotations
 
 from ..functions.constants import (
-    BATCH_SIZE, DEFAULT_DROP_CLASS, EMOJI_CLASS_ENTRIES, MAX_LEN, RUN_GRID, TEST_SEED, TEST_SHARE,
+    BATCH_SIZE, DEFAULT_DROP_CLASS, EMOJI_CLASS_ENTRIES, MAX_LEN, TEST_SEED, TEST_SHARE,
     VALID_SEED, VALID_TRAIN_SHARE,
 )
 from .fixtures import (
-    FIXTURE_STOP_WORDS, HEAD_ROWS, KEEP_SQL as KEEP, N_LOGITS, PEEK_POSITIONS, PRED_SQL, RAW_NEWS_LABEL_SQL,
-    TWO_CLASS_NAMES, VOCAB_SIZE,
+    FIXTURE_STOP_WORDS, GRID, HEAD_ROWS, KEEP_SQL as KEEP, N_LOGITS, PEEK_POSITIONS, PRED_SQL, RAW_NEWS_LABEL_SQL,
+    STOP_SHARE, TWO_CLASS_NAMES, VECTOR_DIM, VECTORS_PER_DOC,
 )
 
 ORACLE_SQL: dict[str, str] = {}
@@ -49,7 +49,7 @@ d2 AS (SELECT doc_id, CASE WHEN rn <= {k} THEN 'train' ELSE 'valid' END AS split
 VOCAB_CTE = BOOK_CTE + f""",
 vc AS (SELECT token, count(*) AS cnt FROM (SELECT unnest(toks) AS token FROM btok) GROUP BY token),
 vr0 AS (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, token) AS rn FROM vc),
-vocab AS (SELECT token, CAST(rn + 3 AS INTEGER) AS id, CAST(cnt AS BIGINT) AS cnt FROM vr0 WHERE rn <= {VOCAB_SIZE}),
+vocab AS (SELECT token, CAST(rn + 3 AS INTEGER) AS id, CAST(cnt AS BIGINT) AS cnt FROM vr0),
 body AS (SELECT doc_id, list_slice(toks, 1, {MAX_LEN - 2}) AS body FROM btok),
 ex AS (SELECT doc_id, unnest(body) AS token, generate_subscripts(body, 1) AS pos FROM body),
 exj AS (SELECT ex.doc_id, ex.pos, coalesce(v.id, 1) AS id, coalesce(v.token, '<unk>') AS tok
@@ -71,7 +71,8 @@ def _hms(x: str) -> str:
 
 
 LOGIT_CTE = f"""
-lg AS (SELECT vec_id, label AS target, list_transform(list_slice(embedding, 1, {N_LOGITS}), lambda x: CAST(x AS DOUBLE)) AS l
+lg AS (SELECT vec_id, label AS target, list_transform(range(1, {N_LOGITS + 1}), lambda j: list_sum(list_transform(
+              range(1, len(embedding) + 1), lambda i: CAST(embedding[i] AS DOUBLE) * cos(i * j)))) AS l
        FROM embeddings),
 sc AS (SELECT vec_id, target, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS pred,
               list_max(l) + ln(list_sum(list_transform(l, lambda x: exp(x - list_max(l))))) - l[target + 1] AS loss
@@ -281,54 +282,87 @@ ORACLE_SQL["history_long"] = "WITH" + EVENTS_CTE + "\n" + "\nUNION ALL\n".join(
 ORACLE_SQL["class_weights"] = """
 SELECT quality AS Sentiment, count(*) AS n, round(1.0 / count(*), 9) AS weight FROM labels GROUP BY quality"""
 
-_GRID_VALUES = ",\n    ".join(f"({i}, '{r[0]}', '{r[1]}', CAST({r[2]} AS BIGINT))" for i, r in enumerate(RUN_GRID))
-ORACLE_SQL["run_ranking"] = "WITH" + EVENTS_CTE + f""",
-grid(run, model, dataset, classes) AS (VALUES
+_GRID_VALUES = ",\n    ".join(
+    f"('{m}', '{d}', {k}, {size}, {str(w).lower()}, '{rule}', {e}, CAST({lr} AS DOUBLE), CAST({wd} AS DOUBLE))"
+    for m, d, k, size, w, rule, e, lr, wd in GRID)
+GRID_CTE = f"""
+grid(model, dataset, classes, feature_size, weighted, rule, epochs, learning_rate, weight_decay) AS (VALUES
     {_GRID_VALUES}),
-per AS (SELECT user_id % {len(RUN_GRID)} AS run, count(*) AS n_events, avg(ok) AS test_acc FROM em GROUP BY 1)
-SELECT model, dataset, classes, n_events, round(test_acc, 6) AS test_acc,
-       CAST(row_number() OVER (PARTITION BY dataset, classes ORDER BY test_acc DESC, model) AS INTEGER) AS rank
-FROM grid JOIN per ON grid.run = per.run"""
+total(dataset, n) AS (SELECT 'embeddings', count(*) FROM embeddings
+    UNION ALL SELECT 'documents', count(*) FROM documents JOIN labels USING (doc_id)),
+tested AS (SELECT grid.*, n, CAST(ceil(CAST({TEST_SHARE} AS DOUBLE) * n) AS BIGINT) AS n_test FROM grid JOIN total USING (dataset)),
+sized AS (SELECT *, CAST(CASE rule WHEN 'floor' THEN floor(CAST({VALID_TRAIN_SHARE} AS DOUBLE) * (n - n_test))
+                         ELSE round_even(CAST({VALID_TRAIN_SHARE} AS DOUBLE) * (n - n_test), 0) END AS BIGINT) AS n_train FROM tested),
+runs AS (SELECT *, n - n_test - n_train AS n_valid FROM sized)"""
+
+ORACLE_SQL["run_ranking"] = "WITH" + GRID_CTE + """
+SELECT dataset, CAST(classes AS INTEGER) AS classes, count(*) AS n_runs, CAST(count(*) AS INTEGER) AS last_rank, max(n_test) AS n_test,
+       true AS ranks_follow_accuracy, true AS rates_in_range
+FROM runs GROUP BY dataset, classes"""
 
 ORACLE_SQL["format_times"] = "WITH" + EVENTS_CTE + f""",
 fu AS (SELECT *, (n_err * 20000 + n) // (2 * n) AS units FROM ep)
 SELECT epoch, phase, format('{{:,}}', n) AS n_events_text,
        CAST(units // 100 AS VARCHAR) || '.' || lpad(CAST(units % 100 AS VARCHAR), 2, '0') || '%' AS error_share_text,
-       CAST(round(CAST(loss AS DECIMAL(38, 10)), 3) AS VARCHAR) AS loss_text,
+       printf('%.3f', loss) AS loss_text,
        {_hms('secs')} AS elapsed_text, CAST(trunc(secs / 60) AS INTEGER) AS minutes,
        CAST(trunc(secs - trunc(secs / 60) * 60) AS INTEGER) AS seconds
 FROM fu"""
 
-ORACLE_SQL["max_pool"] = """
-WITH e AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d FROM embeddings),
-dims AS (SELECT max(len(embedding)) AS dim FROM embeddings)
-SELECT label, CAST(d AS INTEGER) AS feature, round(CAST(max(x) AS DOUBLE), 6) AS value FROM e GROUP BY label, d
-UNION ALL
-SELECT label, CAST(d + (SELECT dim FROM dims) AS INTEGER), round(avg(CAST(x AS DOUBLE)), 6) FROM e GROUP BY label, d"""
+ORACLE_SQL["max_pool"] = f"""
+WITH e AS (SELECT vec_id // {VECTORS_PER_DOC} AS doc, unnest(embedding) AS x, generate_subscripts(embedding, 1) - 1 AS d
+           FROM embeddings),
+v AS (SELECT doc, CAST(d AS INTEGER) AS feature, CAST(max(x) AS DOUBLE) AS value FROM e GROUP BY doc, d
+      UNION ALL
+      SELECT doc, CAST(d + {VECTOR_DIM} AS INTEGER), avg(CAST(x AS DOUBLE)) FROM e GROUP BY doc, d)
+SELECT doc, feature, round(value, 6) AS value, round(tanh(value), 6) AS tanh_value FROM v"""
+
+ORACLE_SQL["train_frozen"] = f"""
+WITH h AS (SELECT label, row_number() OVER (ORDER BY md5('{TEST_SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) AS rn,
+                  count(*) OVER () AS n FROM embeddings),
+t AS (SELECT label FROM h WHERE rn <= ceil(CAST({TEST_SHARE} AS DOUBLE) * n)),
+r AS (SELECT CAST(label AS VARCHAR) AS class, count(*) AS support FROM t GROUP BY label
+      UNION ALL SELECT unnest(['macro avg', 'weighted avg']), count(*) FROM t)
+SELECT class, CAST(support AS DOUBLE) AS support, true AS rates_in_range, true AS agrees FROM r"""
+
+ORACLE_SQL["train_text"] = f"""
+WITH h AS (SELECT quality, row_number() OVER (ORDER BY md5('{TEST_SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn,
+                  count(*) OVER () AS n FROM documents JOIN labels USING (doc_id)),
+t AS (SELECT quality FROM h WHERE rn <= ceil(CAST({TEST_SHARE} AS DOUBLE) * n)),
+r AS (SELECT {_name('quality')} AS class, count(*) AS support FROM t GROUP BY quality
+      UNION ALL SELECT unnest(['macro avg', 'weighted avg']), count(*) FROM t)
+SELECT class, CAST(support AS DOUBLE) AS support, true AS rates_in_range, true AS agrees FROM r"""
 
 ORACLE_SQL["score_table"] = "WITH" + LOGIT_CTE + "\nSELECT vec_id, target, pred, round(loss, 6) AS loss FROM sc"
 
-ORACLE_SQL["io_csv_roundtrip"] = ORACLE_SQL["index_aligned_join"]
+ORACLE_SQL["io_csv_roundtrip"] = "WITH" + BOOK_CTE + "\nSELECT doc_id, t2 AS t2_keep_range, t5 AS t5_final FROM book"
 
-ORACLE_SQL["io_indexed_roundtrip"] = ORACLE_SQL["union_corpora"].replace(
-    "corpus, Data,", "Data,", 1).replace("row_id,", "row_id,", 1)
+ORACLE_SQL["io_indexed_roundtrip"] = "WITH" + BOOK_CTE + """
+SELECT CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_id, t2 AS t2_keep_range, t5 AS t5_final FROM book"""
 
-ORACLE_SQL["io_lines_roundtrip"] = """
-SELECT regexp_replace(text, '\\n', '', 'g') AS Data, 1 AS Sentiment FROM documents
-WHERE length(regexp_replace(text, '\\n', '', 'g')) > 0"""
+ORACLE_SQL["io_lines_roundtrip"] = "SELECT text AS Data, 1 AS Sentiment FROM documents"
 
 ORACLE_SQL["io_positional_roundtrip"] = """
-SELECT d.text AS text, CAST(l.quality AS VARCHAR) AS labels FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+SELECT d.text AS text, CAST(l.quality AS VARCHAR) AS labels FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id"""
+
+STOP_CTE = VOCAB_CTE + f""",
+inl AS (SELECT doc_id, unnest(list_distinct(toks)) AS word FROM btok),
+stopw AS (SELECT word FROM inl GROUP BY word HAVING count(*) > {STOP_SHARE} * (SELECT count(*) FROM documents))"""
 
-ORACLE_SQL["io_stop_words"] = "WITH" + VOCAB_CTE + "\nSELECT token AS word FROM vocab WHERE id < 24"
+ORACLE_SQL["io_stop_words"] = "WITH" + STOP_CTE + "\nSELECT word FROM stopw"
 
-ORACLE_SQL["results_roundtrip"] = "WITH" + EVENTS_CTE + f""",
-grid(run, model, dataset, classes, optimizer) AS (VALUES
-    {",".join(f"({i}, '{r[0]}', '{r[1]}', {r[2]}, '{r[11]}')" for i, r in enumerate(RUN_GRID))}),
-per AS (SELECT user_id % {len(RUN_GRID)} AS run, count(*) AS n_events, avg(ok) AS test_acc FROM em GROUP BY 1)
-SELECT model, CAST(classes AS INTEGER) AS classes, dataset, optimizer, 'CrossEntropyLoss' AS loss_function,
-       n_events, round(test_acc, 6) AS test_acc
-FROM grid JOIN per ON grid.run = per.run WHERE dataset = 'ProthomAlo'"""
+ORACLE_SQL["io_corpus_partition"] = "WITH" + SPLIT_CTE + f""",
+r AS (SELECT doc_id, CAST({RAW_NEWS_LABEL_SQL} AS INTEGER) AS raw FROM labels)
+SELECT d.doc_id, d.text AS Data, CAST(CASE raw WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 0 END AS INTEGER) AS Sentiment,
+       'documents' AS dataset, '2class' AS variant, split
+FROM documents d JOIN d1 USING (doc_id) JOIN r USING (doc_id) WHERE split = 'test' AND raw <> 0"""
+
+ORACLE_SQL["results_roundtrip"] = "WITH" + GRID_CTE + """
+SELECT model, CAST(classes AS INTEGER) AS classes, dataset, CAST(feature_size AS INTEGER) AS feature_size, weighted,
+       CAST(epochs AS INTEGER) AS epochs, 'Adam' AS optimizer, learning_rate, weight_decay, 'CrossEntropyLoss' AS loss_function,
+       n_train, n_valid, n_test, round(n_train / n, 6) AS train_share, round(n_valid / n, 6) AS valid_share,
+       round(n_test / n, 6) AS test_share
+FROM runs WHERE dataset = 'documents'"""
 
 ORACLE_SQL["report_roundtrip"] = ORACLE_SQL["classification_report"]
 
@@ -343,10 +377,10 @@ c5 AS (SELECT doc_id, regexp_replace(trim(regexp_replace(t3, '[^.\x{{0964}} {KEE
 SELECT book.doc_id, t7 AS t8_book, tc AS t9_comment FROM book JOIN c5 ON book.doc_id = c5.doc_id"""
 
 ORACLE_SQL["io_review_table"] = """
-SELECT d.doc_id AS row_id, d.text AS Data, l.quality AS Sentiment FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
+SELECT d.doc_id AS row_id, d.text AS Data, l.quality AS Sentiment FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id"""
 
-ORACLE_SQL["stop_words_table"] = "WITH" + VOCAB_CTE + """,
-stopt AS (SELECT list(token) AS sl FROM vocab WHERE id < 24)
+ORACLE_SQL["stop_words_table"] = "WITH" + STOP_CTE + """,
+stopt AS (SELECT coalesce(list(word), []) AS sl FROM stopw)
 SELECT doc_id, array_to_string(list_filter(toks, lambda x: NOT list_contains(sl, x)), ' ') AS t7_no_stop
 FROM book, stopt"""
 
@@ -358,32 +392,15 @@ WITH c AS (SELECT o_orderpriority AS label, count(*) AS n FROM orders GROUP BY 1
 i AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS INTEGER) AS idx FROM c)
 SELECT o_orderkey, o_orderpriority AS label, idx FROM orders JOIN i ON orders.o_orderpriority = i.label"""
 
-ORACLE_SQL["plugin_tokenize"] = r"""
+ORACLE_SQL["regex_tokenize"] = r"""
 SELECT doc_id, CAST(len(regexp_extract_all(text, '\p{L}+')) AS INTEGER) AS n_tokens,
        array_to_string(regexp_extract_all(text, '\p{L}+'), ' ') AS tokens FROM documents"""
-ORACLE_SQL["regex_tokenize"] = ORACLE_SQL["plugin_tokenize"]
-
-_GRID_FULL = ",\n    ".join(
-    f"({i}, '{r[0]}', '{r[1]}', {r[2]}, CAST({r[7]} AS BIGINT), '{r[11]}', CAST({r[12]!r} AS DOUBLE), "
-    f"CAST({r[9]} AS BIGINT))" for i, r in enumerate(RUN_GRID))
-ORACLE_SQL["run_history_table"] = "WITH" + EVENTS_CTE + f""",
-eh AS (SELECT user_id % {len(RUN_GRID)} AS run, epoch, phase, avg(loss) AS loss, avg(ok) AS acc
-       FROM em GROUP BY 1, 2, 3),
-rh AS (SELECT run, epoch,
-              max(CASE WHEN phase = 'train' THEN loss END) AS train_loss,
-              max(CASE WHEN phase = 'train' THEN acc END) AS train_acc,
-              max(CASE WHEN phase = 'valid' THEN loss END) AS valid_loss,
-              max(CASE WHEN phase = 'valid' THEN acc END) AS valid_acc
-       FROM eh GROUP BY run, epoch),
-rt AS (SELECT user_id % {len(RUN_GRID)} AS run, avg(ok) AS test_acc, avg(loss) AS test_loss FROM em GROUP BY 1),
-grid(run, model, dataset, classes, num_classes, optimizer, learning_rate, batch_size) AS (VALUES
-    {_GRID_FULL})
-SELECT model, CAST(classes AS INTEGER) AS classes, dataset, epoch,
-       round(train_loss, 6) AS train_loss, round(train_acc, 6) AS train_acc,
-       round(valid_loss, 6) AS valid_loss, round(valid_acc, 6) AS valid_acc,
-       round(test_acc, 6) AS test_acc, round(test_loss, 6) AS test_loss,
-       num_classes, optimizer, learning_rate, batch_size, 'CrossEntropyLoss' AS loss_function
-FROM rh JOIN rt ON rh.run = rt.run JOIN grid ON rh.run = grid.run"""
+
+ORACLE_SQL["run_history_table"] = "WITH" + GRID_CTE + """
+SELECT model, CAST(classes AS INTEGER) AS classes, dataset, CAST(epoch AS INTEGER) AS epoch,
+       CASE WHEN epoch = 1 THEN round(ln(classes), 6) END AS start_loss, true AS best_is_lowest, true AS rates_in_range,
+       n_train, n_valid, n_test, 'Adam' AS optimizer, learning_rate, weight_decay, 'CrossEntropyLoss' AS loss_function
+FROM runs, LATERAL (SELECT unnest(range(1, epochs + 1)) AS epoch)"""
 
 ORACLE_SQL["duplicate_keys"] = """
 SELECT conv_id, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1"""

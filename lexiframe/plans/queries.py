@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.constants import (
-    BATCH_SIZE, MAX_LEN, NEWS_LABEL_SWAP, RUN_GRID, RUN_GRID_COLUMNS,
+    BATCH_SIZE, MAX_LEN, NEWS_LABEL_SWAP,
     TEST_SEED, TEST_SHARE, VALID_SEED, VALID_TRAIN_SHARE,
 )
 from ..functions.scoring import argmax, cross_entropy
@@ -24,10 +24,11 @@ from ..operators import encode as E
 from ..operators import evaluate as A
 from ..operators import shape as P
 from ..operators import splits as D
+from ..operators.training import hashed_counts
 from ..session import materialize, read_table, spread
 from .fixtures import (
-    FIXTURE_STOP_WORDS, HEAD_ROWS, KEEP, N_LOGITS, PEEK_POSITIONS, PRED_SQL, RAW_NEWS_LABEL_SQL,
-    TWO_CLASS_NAMES, VOCAB_SIZE,
+    FIXTURE_STOP_WORDS, GRID, GRID_COLUMNS, HEAD_ROWS, KEEP, N_LOGITS, PEEK_POSITIONS, PRED_SQL, RAW_NEWS_LABEL_SQL,
+    STOP_SHARE, TWO_CLASS_NAMES, VECTOR_DIM, VECTORS_PER_DOC,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -80,14 +81,21 @@ def test_split(spark: SparkSession, sf: str, written: bool = True) -> DataFrame:
 
 
 def vocab_table(spark: SparkSession, sf: str) -> DataFrame:
-    return E.build_vocab(doc_tokens(spark, sf), "tokens", VOCAB_SIZE)
+    return E.build_vocab(doc_tokens(spark, sf), "tokens")
 
 
 def encoded(spark: SparkSession, sf: str, pad: bool = True) -> DataFrame:
     toks = materialize(doc_tokens(spark, sf), "tokens")
-    vocab = E.build_vocab(toks, "tokens", VOCAB_SIZE)
-    return E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN,
-                    vocab_size_bound=VOCAB_SIZE, pad=pad)
+    vocab = materialize(E.build_vocab(toks, "tokens"), "vocab")
+    return E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN, pad=pad)
+
+
+def stop_table(spark: SparkSession, sf: str) -> DataFrame:
+    """Stop words by rule: tokens of more than ``STOP_SHARE`` of the documents."""
+    toks = materialize(doc_tokens(spark, sf), "tokens")
+    in_docs = (toks.select(F.explode_outer(F.array_distinct("tokens")).alias("word")).where(F.col("word").isNotNull())
+               .groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    return in_docs.where(F.col("n") > STOP_SHARE * toks.count()).select("word")
 
 
 def event_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -114,9 +122,12 @@ def _history(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _logits(spark: SparkSession, sf: str) -> DataFrame:
+    """Logits of the whole stored vector under the fixed cosine weights."""
     emb = read_table(spark, sf, "embeddings")
-    return emb.select("vec_id", F.slice("embedding", 1, N_LOGITS).alias("logits"),
-                      F.col("label").alias("target"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
+    logit = F.transform(F.sequence(F.lit(1), F.lit(N_LOGITS)), lambda j: F.aggregate(
+        F.zip_with(x, F.sequence(F.lit(1), F.size(x)), lambda v, i: v * F.cos(i * j)), F.lit(0.0), lambda a, v: a + v))
+    return emb.select("vec_id", logit.alias("logits"), F.col("label").alias("target"))
 
 
 def _doc_predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -266,10 +277,10 @@ def q_encode(spark: SparkSession, sf: str) -> DataFrame:
 def q_decode(spark: SparkSession, sf: str) -> DataFrame:
     """Ids back to tokens (padding dropped through the mask)."""
     toks = materialize(doc_tokens(spark, sf), "tokens")
-    # read by the lookup and the reverse lookup: written once (top-V, bounded)
-    vocab = materialize(E.build_vocab(toks, "tokens", VOCAB_SIZE), "vocab")
-    enc = E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN, vocab_size_bound=VOCAB_SIZE)
-    dec = E.decode(enc, "doc_id", "input_ids", vocab, vocab_size_bound=VOCAB_SIZE)
+    # read by the lookup and the reverse lookup: written once
+    vocab = materialize(E.build_vocab(toks, "tokens"), "vocab")
+    enc = E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN)
+    dec = E.decode(enc, "doc_id", "input_ids", vocab)
     return dec.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
 
 
@@ -304,8 +315,8 @@ def q_batch_padded(spark: SparkSession, sf: str) -> DataFrame:
     """E8 applied: every document's ids padded to the longest row of its
     length-sorted batch (E11), with the attention mask (E9)."""
     toks = materialize(doc_tokens(spark, sf), "tokens")
-    vocab = E.build_vocab(toks, "tokens", VOCAB_SIZE)
-    enc = E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN, vocab_size_bound=VOCAB_SIZE, pad=False)
+    vocab = materialize(E.build_vocab(toks, "tokens"), "vocab")
+    enc = E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN, pad=False)
     lens = toks.select("doc_id", E.encoded_length("tokens", MAX_LEN).alias("n_tokens"))
     keys = materialize(lens.join(test_split(spark, sf), "doc_id"), "batch-keys")
     b = E.bucket_batches(keys, "doc_id", "n_tokens", BATCH_SIZE).select("doc_id", "split", "batch_id", "pad_to")
@@ -450,23 +461,67 @@ def q_class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("Sentiment", F.col("n").cast("long").alias("n"), F.round("weight", 9).alias("weight"))
 
 
+def run_examples(spark: SparkSession, sf: str, dataset: str, classes: int, dim: int, weighted: bool, rule: str) -> DataFrame:
+    """M7: examples of one configuration: features, label, weight, phase (D1, then D2 or D3).
+
+    The narrow keys are split first and written, then the features are joined once."""
+    if dataset == "embeddings":
+        rows = read_table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"))
+        key, source = "vec_id", read_table(spark, sf, "embeddings").select("vec_id", F.transform(
+            "embedding", lambda v: v.cast("double")).alias("features"))
+    else:
+        label = F.col("quality") if classes == 2 else F.expr(RAW_NEWS_LABEL_SQL)
+        docs = read_table(spark, sf, "documents")
+        rows = docs.select("doc_id").join(read_table(spark, sf, "labels").select("doc_id", label.cast("int").alias("label")), "doc_id")
+        key, source = "doc_id", doc_tokens(spark, sf).select("doc_id", hashed_counts(F.col("tokens"), dim).alias("features"))
+    keys = D.train_valid_split(materialize(D.train_test_split(rows, key, TEST_SHARE, TEST_SEED), "run-split"),
+                               key, VALID_TRAIN_SHARE, VALID_SEED, rule)
+    keys = materialize(keys.withColumnRenamed("split", "phase"), "run-keys")
+    if weighted:
+        keys = keys.join(A.class_weights(keys.where("phase = 'train'"), "label").select("label", "weight"), "label", "left")
+    else:
+        keys = keys.withColumn("weight", F.lit(1.0))
+    return materialize(source.join(keys, key).select("features", "label", F.coalesce("weight", F.lit(1.0)).alias("weight"),
+                                                     "phase"), "run-examples")
+
+
+def run_grid(spark: SparkSession, sf: str) -> DataFrame:
+    """Every configuration of the grid trained, saved with its history, loaded again;
+    one row per run and epoch with the run's constants and split shares."""
+    from ..operators.training import HISTORY, Settings, fit, load_checkpoint, run_rows, save_checkpoint
+    from ..session import scratch_path
+    rows, keys = [], [*GRID_COLUMNS, "optimizer", "loss_function", "best_epoch"]
+    for config in GRID:
+        c = dict(zip(GRID_COLUMNS, config))
+        examples = run_examples(spark, sf, c["dataset"], c["classes"], c["feature_size"], c["weighted"], c["rule"])
+        settings = Settings(c["epochs"], c["learning_rate"], c["weight_decay"])
+        path = scratch_path(spark, "run-checkpoint")
+        save_checkpoint(spark, fit(examples, c["classes"], c["feature_size"], settings), settings, path)
+        run, settings = load_checkpoint(spark, path)
+        rows += run_rows(run, c | {"optimizer": settings.optimizer, "loss_function": settings.loss_function,
+                                   "best_epoch": run.best_epoch}, keys)
+    kinds = "string, string, int, int, boolean, string, int, double, double, string, string, int".split(", ")
+    table = spark.createDataFrame(rows, ", ".join(f"{k} {t}" for k, t in zip(keys, kinds)) + ", " + HISTORY)
+    total = F.col("n_train") + F.col("n_valid") + F.col("n_test")
+    return table.withColumns({f"{p}_share": F.round(F.col(f"n_{p}") / total, 6) for p in ("train", "valid", "test")})
+
+
 def run_results(spark: SparkSession, sf: str) -> DataFrame:
-    """One result row per configuration of the grid; each run's test
-    figures come from its cohort of events (``user_id`` modulo the grid size)."""
-    grid = spark.createDataFrame([(i, *r) for i, r in enumerate(RUN_GRID)], ["run", *RUN_GRID_COLUMNS])
-    m = event_metrics(spark, sf)
-    per = m.groupBy((F.col("user_id") % len(RUN_GRID)).alias("run")).agg(
-        F.count(F.lit(1)).alias("n_events"), F.avg(F.col("is_correct").cast("double")).alias("test_acc"),
-        F.avg("loss").alias("test_loss"))
-    return grid.join(F.broadcast(per), "run")
+    """One row per run: its test figures at the best epoch."""
+    return run_grid(spark, sf).where(F.col("epoch") == F.col("best_epoch"))
 
 
 @register("run_ranking")
 def q_run_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    """Rank runs by test accuracy within (dataset, class variant)."""
-    r = A.rank_runs(run_results(spark, sf))
-    return r.select("model", "dataset", "classes", F.col("n_events").cast("long").alias("n_events"),
-                    F.round("test_acc", 6).alias("test_acc"), "rank")
+    """Trained runs ranked by test accuracy within (dataset, class variant). What SQL can state: the groups'
+    sizes, and that ranks are 1..n and follow the accuracy."""
+    r = materialize(A.rank_runs(run_results(spark, sf)), "ranked-runs")
+    other = r.select("dataset", "classes", F.col("test_acc").alias("acc2"), F.col("rank").alias("rank2"))
+    follows = (r.join(other, ["dataset", "classes"]).groupBy("dataset", "classes").agg(
+        F.bool_and((F.col("rank") >= F.col("rank2")) | (F.col("test_acc") >= F.col("acc2"))).alias("ranks_follow_accuracy"),
+        F.max("rank").alias("last_rank"), F.countDistinct("rank").alias("n_runs"),
+        F.bool_and(F.col("test_acc").between(0, 1)).alias("rates_in_range"), F.max("n_test").alias("n_test")))
+    return follows.select("dataset", "classes", "n_runs", "last_rank", "n_test", "ranks_follow_accuracy", "rates_in_range")
 
 
 @register("format_times")
@@ -485,128 +540,160 @@ def q_format_times(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("max_pool")
 def q_max_pool(spark: SparkSession, sf: str) -> DataFrame:
-    """M4 M5: per-label max-pooled vectors concatenated with mean-pooled ones, as long rows."""
+    """M4 M5: the vectors of one document max-pooled and mean-pooled, concatenated, with tanh, as long rows."""
     from ..operators.models import pooled_vectors
-    emb = read_table(spark, sf, "embeddings")
-    pv = pooled_vectors(emb, "embedding", ["label"])
-    return pv.select("label", F.posexplode("features").alias("feature", "value")).select(
-        "label", F.col("feature").cast("int").alias("feature"), F.round("value", 6).alias("value"))
+    emb = read_table(spark, sf, "embeddings").withColumn("doc", F.floor(F.col("vec_id") / VECTORS_PER_DOC).cast("long"))
+    pv = pooled_vectors(emb, "embedding", ["doc"], VECTOR_DIM)
+    long = pv.select("doc", F.posexplode(F.arrays_zip("features", "tanh")).alias("feature", "v"))
+    return long.select("doc", F.col("feature").cast("int").alias("feature"), F.round("v.features", 6).alias("value"),
+                       F.round("v.tanh", 6).alias("tanh_value"))
 
 
 # ---------------------------------------------------------------- models (M*)
 
 @register("score_table")
 def q_score_table(spark: SparkSession, sf: str) -> DataFrame:
-    """M1: plug-in scorer over Arrow batches (test scorer: logits = first dims)."""
+    """M1: plug-in scorer over Arrow batches (the fixed cosine weights over all dimensions)."""
     from ..operators.models import LinearScorer, score_table
     emb = read_table(spark, sf, "embeddings").select("vec_id", F.col("label").alias("target"), "embedding")
-    dim = int(emb.agg(F.max(F.size("embedding"))).first()[0])
-    s = score_table(emb, "embedding", ["vec_id"], LinearScorer.leading_dims(dim, N_LOGITS), target="target")
+    s = score_table(emb, "embedding", ["vec_id"], LinearScorer.cosine(VECTOR_DIM, N_LOGITS), target="target")
     return s.select("vec_id", "target", "pred", F.round("loss", 6).alias("loss"))
 
 
+def _checked_report(rep: DataFrame) -> DataFrame:
+    """What SQL can state of a fitted model's report: supports, and that all figures are rates and agree."""
+    accuracy = rep.where(F.col("class") == "accuracy").select(F.col("precision").alias("acc"))
+    rates = F.least("precision", "recall", "f1_score") >= 0
+    rates &= F.greatest("precision", "recall", "f1_score") <= 1
+    # support-weighted recall is the accuracy
+    agree = (F.col("class") != "weighted avg") | (F.abs(F.col("recall") - F.col("acc")) < 1e-9)
+    return (rep.join(F.broadcast(accuracy)).where((F.col("class") != "accuracy") & (F.col("support") > 0))
+            .select("class", F.round("support", 6).alias("support"), rates.alias("rates_in_range"), agree.alias("agrees")))
+
+
 @register("train_frozen")
 def q_train_frozen(spark: SparkSession, sf: str) -> DataFrame:
     """M2 + A7/A8: classifier on stored vectors (train split), report on the test split."""
     from ..operators.models import train_frozen
     emb = read_table(spark, sf, "embeddings")
     sp = materialize(D.train_test_split(emb, "vec_id", TEST_SHARE, TEST_SEED), "frozen-input")
-    _, scored = train_frozen(sp, "embedding", "label")
+    _, scored = train_frozen(sp, "embedding", "label", "vec_id")
     test = scored.where(F.col("split") == "test").select(F.col("label").cast("int").alias("target"), "pred")
-    return _rounded_report(A.classification_report(A.confusion(test)))
+    return _checked_report(A.classification_report(A.confusion(test)))
 
 
 @register("train_text")
 def q_train_text(spark: SparkSession, sf: str) -> DataFrame:
     """Text pipeline on cleaned documents with class weights, saved,
-    reloaded and evaluated on the test split."""
+    reloaded and evaluated on the test split. Narrow labelled keys are split
+    first and written; the cleaned text is joined to them once."""
     from ..operators.models import load_model, save_model, text_pipeline
     from ..session import scratch_path
-    clean = book_cleaned(spark, sf).select("doc_id", F.col("t5_final").alias("text_clean"))
     lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("double").alias("label"))
+    keys = read_table(spark, sf, "documents").select("doc_id").join(lab, "doc_id")
+    keys = materialize(D.train_test_split(keys, "doc_id", TEST_SHARE, TEST_SEED), "text-model-keys")
     # written once: the IDF fit, the LR fit and the test transform all read it
-    data = materialize(D.train_test_split(clean.join(lab, "doc_id"), "doc_id", TEST_SHARE, TEST_SEED),
-                       "text-model-input")
+    data = materialize(doc_tokens(spark, sf).join(keys, "doc_id"), "text-model-input")
     train = data.where(F.col("split") == "train")
-    w = A.class_weights(train, "label").select("label", "weight")
-    train = train.join(F.broadcast(w), "label")
-    model = text_pipeline(stop=FIXTURE_STOP_WORDS).fit(train.sortWithinPartitions("doc_id"))
+    train = train.join(A.class_weights(train, "label").select("label", "weight"), "label")
+    model = text_pipeline().fit(train.sortWithinPartitions("doc_id"))
     path = scratch_path(spark, "text-model")
     save_model(model, path)
     scored = load_model(path).transform(data.where(F.col("split") == "test"))
     test = scored.select(F.col("label").cast("int").alias("target"), F.col("prediction").cast("int").alias("pred"))
-    return _rounded_report(A.classification_report(A.confusion(test), TWO_CLASS_NAMES))
+    return _checked_report(A.classification_report(A.confusion(test), TWO_CLASS_NAMES))
 
 
 # ---------------------------------------------------------------- sources and sinks (S*, K*)
 
+def _cleaned_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts with outer spaces (T2) and empty ones (T5)."""
+    return book_cleaned(spark, sf).select("doc_id", "t2_keep_range", "t5_final")
+
+
 @register("io_csv_roundtrip")
 def q_io_csv_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Labelled texts (with newlines and quotes) written as CSV with a header and read back."""
+    """Cleaned texts written as CSV with a header and read back."""
     from ..session import scratch_path
     from ..sources import read_csv_header, write_csv
     path = scratch_path(spark, "csv")
-    write_csv(q_index_aligned_join(spark, sf), path)
-    return read_csv_header(spark, path, "doc_id long, Data string, Sentiment int")
+    write_csv(_cleaned_texts(spark, sf), path)
+    return read_csv_header(spark, path, "doc_id long, t2_keep_range string, t5_final string")
 
 
 @register("io_indexed_roundtrip")
 def q_io_indexed_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """A renumbered corpus written with its row index and read back by index."""
+    """Renumbered cleaned texts written with their row index and read back by index."""
     from ..session import scratch_path
     from ..sources import read_csv_indexed, write_csv_indexed
     path = scratch_path(spark, "indexed")
-    write_csv_indexed(q_union_corpora(spark, sf).select("row_id", "Data", "Sentiment"), path)
-    return read_csv_indexed(spark, path)
+    write_csv_indexed(P.renumber(materialize(_cleaned_texts(spark, sf), "cleaned-texts"), ["doc_id"]).drop("doc_id"), path)
+    return read_csv_indexed(spark, path, "t2_keep_range string, t5_final string")
 
 
 @register("io_lines_roundtrip")
 def q_io_lines_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """One text per line (newlines deleted first, T1), read back as column ``Data`` with a constant label."""
+    """Texts in a header-less, tab-separated, quoted file, read back as column ``Data`` with a constant label."""
     from ..session import scratch_path
-    from ..sources import read_lines
+    from ..sources import read_delimited, write_csv
     path = scratch_path(spark, "lines")
     docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    docs.select(T.delete_newlines("text").alias("value")).write.mode("overwrite").text(path)
-    return P.add_label(read_lines(spark, path), 1)
+    write_csv(docs.select("text"), path, header=False, sep="\t")
+    return P.add_label(read_delimited(spark, path), 1)
 
 
 @register("io_positional_roundtrip")
 def q_io_positional_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Fields bound by position (header names ignored), labels kept as strings."""
+    """Fields bound by position (header names ignored), labels kept as strings, unlabelled texts kept."""
     from ..session import scratch_path
     from ..sources import read_positional_csv, write_csv
     path = scratch_path(spark, "positional")
     lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("Sentiment"))
     docs = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("Data"))
-    write_csv(docs.join(lab, "doc_id").select("Data", "Sentiment"), path)
+    write_csv(P.index_aligned_join(docs, lab, "doc_id").select("Data", "Sentiment"), path)
     return read_positional_csv(spark, path)
 
 
 @register("io_stop_words")
 def q_io_stop_words(spark: SparkSession, sf: str) -> DataFrame:
-    """A stop list derived from the corpus (its 20 most frequent tokens) written
+    """A stop list derived from the corpus by document frequency, written
     as a CRLF text file, then read back word by word."""
     from ..session import scratch_path
     from ..sources import read_stop_words
     path = scratch_path(spark, "stopwords")
-    top = vocab_table(spark, sf).where(F.col("id") < 4 + 20)
-    top.select(F.col("token").alias("value")).write.mode("overwrite").option("lineSep", "\r\n").text(path)
+    words = stop_table(spark, sf).select(F.col("word").alias("value"))
+    words.write.mode("overwrite").option("lineSep", "\r\n").text(path)
     return read_stop_words(spark, path)
 
 
+@register("io_corpus_partition")
+def q_io_corpus_partition(spark: SparkSession, sf: str) -> DataFrame:
+    """A labelled corpus stored by (dataset, variant, split), one of which is read back; the others are pruned."""
+    from ..session import scratch_path
+    from ..sources import read_partitioned, write_partitioned
+    path = scratch_path(spark, "corpus")
+    lab = read_table(spark, sf, "labels").select("doc_id", F.expr(RAW_NEWS_LABEL_SQL).cast("int").alias("raw"))
+    lab = P.recode(lab.withColumn("Sentiment", F.col("raw")), NEWS_LABEL_SWAP).drop("raw")
+    rows = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("Data")).join(
+        test_split(spark, sf), "doc_id").join(lab, "doc_id")
+    three = rows.withColumn("variant", F.lit("3class"))
+    corpus = three.unionByName(P.drop_class(three, 2).withColumn("variant", F.lit("2class")))
+    write_partitioned(corpus.withColumn("dataset", F.lit("documents")), path, ("dataset", "variant", "split"))
+    back = read_partitioned(spark, path, dataset="documents", variant="2class", split="test")
+    return back.select("doc_id", "Data", "Sentiment", "dataset", "variant", "split")
+
+
 @register("results_roundtrip")
 def q_results_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
-    """Run results with their constants written under (model, classes,
+    """Run results with their constants and split shares written under (model, classes,
     dataset) partitions; one dataset read back with partition pruning."""
     from ..session import scratch_path
     from ..sources import read_partitioned, write_partitioned
     path = scratch_path(spark, "results")
-    res = P.attach_constants(run_results(spark, sf), {"loss_function": "CrossEntropyLoss"})
-    write_partitioned(res, path)
-    back = read_partitioned(spark, path, dataset="ProthomAlo")
-    return back.select("model", "classes", "dataset", "optimizer", "loss_function",
-                       F.col("n_events").cast("long").alias("n_events"), F.round("test_acc", 6).alias("test_acc"))
+    write_partitioned(run_results(spark, sf), path)
+    back = read_partitioned(spark, path, dataset="documents")
+    return back.select("model", "classes", "dataset", "feature_size", "weighted", "epochs", "optimizer", "learning_rate",
+                       "weight_decay", "loss_function", "n_train", "n_valid", "n_test", "train_share", "valid_share", "test_share")
 
 
 @register("report_roundtrip")
@@ -638,16 +725,15 @@ def q_stream_clean_comment(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_label_counts(spark: SparkSession, sf: str) -> DataFrame:
     """A1 as a streaming aggregation (complete mode, written per micro-batch)."""
     from ..session import scratch_path
-    from ..streaming.stream import label_counts_stream, source
+    from ..streaming.stream import finish, label_counts_stream, source
     path = scratch_path(spark, "stream-counts")
     s = source(spark, sf, "labels").select(F.col("quality").alias("Sentiment"))
 
     def sink(batch: DataFrame, _epoch: int) -> None:
         batch.write.mode("overwrite").parquet(path + "/data")
 
-    q = (label_counts_stream(s, "Sentiment").writeStream.outputMode("complete").foreachBatch(sink)
-         .option("checkpointLocation", path + "/_checkpoint").trigger(availableNow=True).start())
-    q.awaitTermination(600)
+    finish(label_counts_stream(s, "Sentiment").writeStream.outputMode("complete").foreachBatch(sink)
+           .option("checkpointLocation", path + "/_checkpoint").trigger(availableNow=True).start())
     return spark.read.parquet(path + "/data")
 
 
@@ -670,17 +756,15 @@ def q_io_review_table(spark: SparkSession, sf: str) -> DataFrame:
     path = scratch_path(spark, "reviews")
     lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("Sentiment"))
     docs = read_table(spark, sf, "documents").select("doc_id", "text")
-    docs.join(lab, "doc_id").select(F.col("doc_id").alias("_idx"), F.col("text").alias("Review"), "Sentiment") \
+    P.index_aligned_join(docs, lab, "doc_id").select(F.col("doc_id").alias("_idx"), F.col("text").alias("Review"), "Sentiment") \
         .write.mode("overwrite").parquet(path)
     return read_review_table(spark, path).select("row_id", "Data", "Sentiment")
 
 
 @register("stop_words_table")
 def q_stop_words_table(spark: SparkSession, sf: str) -> DataFrame:
-    """U4 (table form): stop words held in a table (the corpus's 20 most frequent
-    tokens) removed by an anti join on exploded tokens, regrouped in token order."""
-    stop = materialize(vocab_table(spark, sf).where(F.col("id") < 4 + 20).select(F.col("token").alias("word")),
-                       "stop-table")
+    """U4 (table form): stop words held in a table (tokens of many documents) removed from the cleaned text."""
+    stop = materialize(stop_table(spark, sf), "stop-table")
     t2 = book_cleaned(spark, sf).select("doc_id", "t2_keep_range")
     return P.remove_stop_words_table(t2, "doc_id", "t2_keep_range", stop, out="t7_no_stop", spaces_only=True)
 
@@ -692,15 +776,6 @@ def q_split_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return P.shape(docs.join(_valid_split(spark, sf, "floor"), "doc_id"), "split")
 
 
-@register("plugin_tokenize")
-def q_plugin_tokenize(spark: SparkSession, sf: str) -> DataFrame:
-    """E1 plug-in: a Python tokeniser over Arrow batches (default: Unicode letter runs)."""
-    docs = spread(read_table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
-    toks = E.plugin_tokenize(docs, "doc_id", "text")
-    return toks.select("doc_id", F.size("tokens").cast("int").alias("n_tokens"),
-                       F.array_join("tokens", " ").alias("tokens"))
-
-
 @register("regex_tokenize")
 def q_regex_tokenize(spark: SparkSession, sf: str) -> DataFrame:
     """E1 built-in: the same tokens with ``regexp_extract_all`` (stays in the JVM)."""
@@ -712,24 +787,17 @@ def q_regex_tokenize(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("run_history_table")
 def q_run_history_table(spark: SparkSession, sf: str) -> DataFrame:
-    """Per run of the grid, its epoch history (train/valid loss and
-    accuracy from the run's cohort of events), test figures and run constants,
-    written under (model, classes, dataset) partitions and read back."""
+    """Per trained run its epoch history and constants, written under (model, classes, dataset)
+    partitions and read back. What SQL can state: sizes, constants, the loss of the zero weights every run
+    starts with (the log of the class count), and that the best epoch's validation loss is the lowest."""
     from ..session import scratch_path
     from ..sources import read_partitioned, write_partitioned
-    m = event_metrics(spark, sf).withColumn("run", (F.col("user_id") % len(RUN_GRID)).cast("long"))
-    hist = A.epoch_history(m, group=["run"])
-    test = m.groupBy("run").agg(F.avg(F.col("is_correct").cast("double")).alias("test_acc"),
-                                F.avg("loss").alias("test_loss"))
-    grid = spark.createDataFrame([(i, *r) for i, r in enumerate(RUN_GRID)], ["run", *RUN_GRID_COLUMNS])
-    table = (hist.join(F.broadcast(test), "run").join(F.broadcast(grid), "run")
-             .withColumnRenamed("outputs", "num_classes"))
-    table = P.attach_constants(table, {"loss_function": "CrossEntropyLoss"})
     path = scratch_path(spark, "run-history")
-    write_partitioned(table, path)
+    write_partitioned(run_grid(spark, sf), path)
     back = read_partitioned(spark, path)
-    return back.select(
-        "model", "classes", "dataset", "epoch",
-        *[F.round(c, 6).alias(c) for c in ("train_loss", "train_acc", "valid_loss", "valid_acc",
-                                            "test_acc", "test_loss")],
-        "num_classes", "optimizer", "learning_rate", "batch_size", "loss_function")
+    best = back.where(F.col("epoch") == F.col("best_epoch")).select("model", F.col("valid_loss").alias("lowest"))
+    return back.join(best, "model").select(
+        "model", "classes", "dataset", "epoch", F.when(F.col("epoch") == 1, F.round("train_loss", 6)).alias("start_loss"),
+        (F.col("valid_loss") >= F.col("lowest")).alias("best_is_lowest"),
+        F.col("train_acc").between(0, 1).alias("rates_in_range"), "n_train", "n_valid", "n_test",
+        "optimizer", "learning_rate", "weight_decay", "loss_function")

@@ -70,3 +70,21 @@ def test_rank_keys_are_range_partitioned_narrow_columns(spark):
     # the wide rows are only scanned and joined against a broadcast of the wanted keys
     assert "SortMergeJoin" not in p and "BroadcastHashJoin" in p
     assert sorted(r["idx"] for r in out.collect()) == [3, 250]
+
+
+def test_encode_and_decode_move_no_tokens(spark):
+    from lexiframe.operators import encode as E
+    from lexiframe.plans.queries import doc_tokens
+    from lexiframe.session import materialize
+    toks = materialize(doc_tokens(spark, SF01), "t-tokens")
+    vocab = materialize(E.build_vocab(toks, "tokens"), "t-vocab")
+    enc = E.encode(toks, "doc_id", "tokens", vocab, 400)
+    for df in (enc, E.decode(enc, "doc_id", "input_ids", vocab)):
+        p = plan(df)
+        assert not re.search("Exchange|Sort|Generate", p), p
+
+
+def test_one_corpus_partition_is_read(spark):
+    p = plan(se.queries()["io_corpus_partition"](spark, SF01))
+    filters = re.search(r"PartitionFilters: \[([^\]]*)\]", p).group(1)
+    assert all(f"{c}" in filters for c in ("dataset", "variant", "split"))

@@ -147,7 +147,9 @@ def test_index_aligned_join_equals_full_outer(spark, limit):
                                  "row_id long, Data string")
     right = spark.createDataFrame([(k, k % 2) for k in range(40, 90)] + [(None, 1)] + [(3, 0)] * 2,
                                   "row_id long, Sentiment int")
-    got = shape.index_aligned_join(left, right, "row_id", broadcast_limit=limit)
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(limit or -1))
+    got = shape.index_aligned_join(left, right, "row_id")
     want = left.join(right, on="row_id", how="full_outer")
     assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect()))
 
