@@ -25,7 +25,7 @@ which of several fully equal rows gets a count.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -34,6 +34,7 @@ from .common import running_total
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (1, 2, 3)
 MAX_REPEATS = 3
+SOURCES_IN_ONE_TASK = 100_000
 SEED = "mix-1"
 
 
@@ -42,14 +43,24 @@ def words(text: str | Column) -> Column:
     return F.coalesce(F.regexp_count(F.col(text) if isinstance(text, str) else text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def cycled_weights(sources: DataFrame, weights=WEIGHTS) -> DataFrame:
-    """Add ``weight``: ``weights`` repeated over the sources by code point, null last."""
-    ranked = running_total(sources.withColumn("__one", F.lit(1).cast("long"))
-                           .withColumn("__null", F.col("source").isNull()),
-                           ["__null", "source"], "__one", "__rank", "mix-sources")
+def ordered_sources(sizes: DataFrame, weights=WEIGHTS) -> DataFrame:
+    """Add ``weight`` (``weights`` repeated over the sources by code point, null last) and ``start``, the
+    size of the sources before, to rows of (source, source_size).
+
+    Sources are names, few beside documents: up to SOURCES_IN_ONE_TASK of them (counted) are ordered by
+    one window, more by range partitions."""
+    sizes = materialize(sizes, "mix-sources").withColumn("__null", F.col("source").isNull())
+    order = ["__null", "source"]
+    if sizes.count() <= SOURCES_IN_ONE_TASK:
+        upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        ranked = (sizes.withColumn("__rank", F.row_number().over(Window.orderBy(*order)))
+                  .withColumn("__upto", F.sum("source_size").over(upto)))
+    else:
+        ranked = running_total(sizes.withColumn("__one", F.lit(1).cast("long")), order, "__one", "__rank", "mix-ranks")
+        ranked = running_total(ranked, order, "source_size", "__upto", "mix-starts")
     cycle = F.array(*[F.lit(float(w)) for w in weights])
-    return (ranked.withColumn("weight", F.get(cycle, ((F.col("__rank") - 1) % len(weights)).cast("int")))
-            .drop("__one", "__null", "__rank"))
+    return ranked.select("source", "source_size", F.get(cycle, ((F.col("__rank") - 1) % len(weights)).cast("int")).alias("weight"),
+                         (F.col("__upto") - F.col("source_size")).alias("start"))
 
 
 def water_fill(sources: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -79,20 +90,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed:
     return queue(narrow, weights, max_repeats)
 
 
-def queue(narrow: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) -> DataFrame:
-    """The mix of rows of (doc_id, source, size, hash)."""
+def queue(narrow: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, *keep: str) -> DataFrame:
+    """The mix of rows of (doc_id, source, size, hash), with the columns ``keep``."""
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
-    targets = water_fill(materialize(cycled_weights(sizes, weights), "mix-weights"), max_repeats)
+    targets = water_fill(materialize(ordered_sources(sizes, weights), "mix-weights"), max_repeats)
     rows = narrow.withColumn("__null", F.col("source").isNull())
     order = ["__null", "source", "hash", "doc_id", "size"]
     queued = running_total(rows, order, "size", "__queue", "mix-queues")
-    # where each source's queue starts: sizes of the sources before it
-    starts = running_total(targets.withColumn("__null", F.col("source").isNull()),
-                           ["__null", "source"], "source_size", "__upto", "mix-starts").withColumn(
-        "__start", F.col("__upto") - F.col("source_size")).drop("__null", "__upto").withColumnRenamed("source", "__source")
+    # a document's place in its own queue: the running total less the sources before it
+    starts = targets.select(F.col("source").alias("__source"), "source_size", "target", "start")
     queued = materialize(
-        queued.join(starts, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "__null")
-        .withColumn("__done", F.col("__queue") - F.col("__start")), "mix-queued")
+        queued.join(starts, F.col("source").eqNullSafe(F.col("__source")))
+        .select(*keep, "doc_id", "source", "size", "hash", "source_size", "target",
+                (F.col("__queue") - F.col("start")).alias("__done")), "mix-queued")
     finish = (F.col("__epoch") * F.col("source_size") + F.col("__done")) / F.col("target")
     copies = (queued.where(F.col("size") > 0)
               .select("doc_id", "source", "size", "hash", "source_size", "target", "__done",
@@ -108,5 +118,5 @@ def queue(narrow: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS) ->
     n = sum(((F.col("size") > 0) & (k <= F.col("__last"))).cast("int") for k in key)
     return (queued.join(F.broadcast(last))
             .withColumn("copies", F.coalesce(n, F.lit(0)))
-            .select("doc_id", "source", "size", "source_size", "target", "copies",
+            .select(*keep, "doc_id", "source", "size", "source_size", "target", "copies",
                     (F.col("copies") * F.col("size")).cast("long").alias("taken")))
