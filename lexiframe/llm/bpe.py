@@ -214,24 +214,27 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, *keep: str) -> Data
     return encoded.select(*keep, data(F.col("ids")).alias("data"))
 
 
-def round_trip(docs: DataFrame, rank_file: str, pattern: str, *keep: str) -> DataFrame:
-    """``keep`` columns, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every whole text.
+def round_trip(docs: DataFrame, rank_file: str, pattern: str, *keep: str, with_ids: bool = False) -> DataFrame:
+    """``keep`` columns, ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` of every whole text, and ``ids`` on request.
 
-    Encoding and decoding run in one pass, so the ids never leave the worker."""
+    Encoding and decoding run in one pass."""
     spark = docs.sparkSession
     text_batches(spark)
     shared = spark.sparkContext.broadcast(read_rank_file(rank_file))
-    kind = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+    fields = "n_tokens: long, ids_sha256: string, decoded_sha256: string" + (", ids: array<int>" if with_ids else "")
 
-    @F.arrow_udf("struct<n_tokens: long, ids_sha256: string, decoded_sha256: string>")
+    @F.arrow_udf(f"struct<{fields}>")
     def digest(text: pa.Array) -> pa.Array:
         codec = _codec(shared.value, pattern)
-        rows = []
-        for t in strings(text):
-            packed = codec.encode(t)
-            back = codec.decode(np.frombuffer(packed, "<u4"))
-            rows.append({"n_tokens": len(packed) // 4, "ids_sha256": hashlib.sha256(packed).hexdigest(),
-                         "decoded_sha256": hashlib.sha256(back).hexdigest()})
-        return pa.array(rows, type=kind)
-
-    return docs.select(*keep, digest(F.col("text")).alias("d")).select(*keep, "d.*")
+        packed = [codec.encode(t) for t in strings(text)]
+        sizes = [len(p) // 4 for p in packed]
+        out = [pa.array(sizes, type=pa.int64()), pa.array([hashlib.sha256(p).hexdigest() for p in packed], type=pa.string()),
+               pa.array([hashlib.sha256(codec.decode(np.frombuffer(p, "<u4"))).hexdigest() for p in packed], type=pa.string())]
+        names = ["n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            out.append(pa.ListArray.from_arrays(np.cumsum([0, *sizes]).astype(np.int32),
+                                                pa.array(np.frombuffer(b"".join(packed), "<i4"))))
+            names.append("ids")
+        return pa.StructArray.from_arrays(out, names=names)
+
+    return docs.select(*keep, digest(F.col("text")).alias("__d")).select(*keep, "__d.*")

@@ -49,3 +49,16 @@ def test_odd_rows(documents):
 
 def test_words_split_at_ascii_white_space_only(documents):
     assert mixed(documents([(1, " a b \t\x0b c d\n", "s")]))[0]["size"] == 2
+
+
+def test_resample_repeats_whole_rows(documents):
+    rows = [(i, f"w{i} " * (1 + i % 7), f"s{i % 4}") for i in range(200)] + [(3, "w3 " * 4, "s3")]
+    df = documents(rows)
+    out = mixing.resample(df)
+    assert out.columns == df.columns
+    counts = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert set(counts) <= {(r[0], r[1]) for r in rows} and max(counts.values()) <= 6
+    words = sum(len(t.split()) * n for (_, t), n in counts.items())
+    total = sum(len(r[1].split()) for r in rows)
+    assert total - 8 <= words <= total
+    assert mixing.resample(documents([])).count() == 0
