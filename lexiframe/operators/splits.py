@@ -41,12 +41,18 @@ def _first_count(n: Column, share: float, rule: str) -> Column:
 
 
 def exact_split(df: DataFrame, key: str, seed: int, share: float, rule: str,
-                first: str, second: str, out: str = "split", only: Column | None = None) -> DataFrame:
+                first: str, second: str, out: str = "split", only: Column | None = None,
+                unique: bool = False) -> DataFrame:
     """Add ``out`` = ``first`` for the first ``k = rule(share * n)`` rows in hash order, else ``second``.
 
     With ``only``, just the rows satisfying it are split (and counted); the
-    others keep their value of ``out``.
+    others keep their value of ``out``. A repeated key cannot be cut through,
+    so it raises; ``unique`` says that the caller has checked.
     """
+    if not unique:
+        repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key).first()
+        if repeated is not None:
+            raise ValueError(f"split key {key} is not unique: {repeated[0]!r}")
     h = seeded_hash(key, seed)
     keys = df.where(only) if only is not None else df
     keys = keys.select(key, h.alias("_h")).withColumn("_b", F.substring("_h", 1, HASH_PREFIX))
@@ -78,20 +84,20 @@ def exact_split(df: DataFrame, key: str, seed: int, share: float, rule: str,
 
 
 def train_test_split(df: DataFrame, key: str, test_share: float = 0.15, seed: int = 42,
-                     out: str = "split") -> DataFrame:
+                     out: str = "split", unique: bool = False) -> DataFrame:
     """test = the first ceil(test_share * n) rows in seeded hash order."""
-    return exact_split(df, key, seed, test_share, "ceil", "test", "train", out)
+    return exact_split(df, key, seed, test_share, "ceil", "test", "train", out, unique=unique)
 
 
 def train_valid_split(df: DataFrame, key: str, train_share: float = 0.85, seed: int = 1234,
                       rule: str = "floor", split_col: str = "split", train_value: str = "train",
-                      valid_value: str = "valid") -> DataFrame:
+                      valid_value: str = "valid", unique: bool = False) -> DataFrame:
     """D2 (rule ``floor``) / D3 (rule ``round``): split the train rows again into train/valid.
 
     Rows whose ``split_col`` is not ``train_value`` are left as they are.
     """
     return exact_split(df, key, seed, train_share, rule, train_value, valid_value, split_col,
-                       only=F.col(split_col) == F.lit(train_value))
+                       only=F.col(split_col) == F.lit(train_value), unique=unique)
 
 
 def hash_split(df: DataFrame, key: str, share: float = 0.15, seed: int = 42,

@@ -231,7 +231,7 @@ def q_split_train_test(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _valid_split(spark: SparkSession, sf: str, rule: str) -> DataFrame:
-    return D.train_valid_split(test_split(spark, sf), "doc_id", VALID_TRAIN_SHARE, VALID_SEED, rule)
+    return D.train_valid_split(test_split(spark, sf), "doc_id", VALID_TRAIN_SHARE, VALID_SEED, rule, unique=True)
 
 
 @register("split_valid_floor")
@@ -475,7 +475,7 @@ def run_examples(spark: SparkSession, sf: str, dataset: str, classes: int, dim:
         rows = docs.select("doc_id").join(read_table(spark, sf, "labels").select("doc_id", label.cast("int").alias("label")), "doc_id")
         key, source = "doc_id", doc_tokens(spark, sf).select("doc_id", hashed_counts(F.col("tokens"), dim).alias("features"))
     keys = D.train_valid_split(materialize(D.train_test_split(rows, key, TEST_SHARE, TEST_SEED), "run-split"),
-                               key, VALID_TRAIN_SHARE, VALID_SEED, rule)
+                               key, VALID_TRAIN_SHARE, VALID_SEED, rule, unique=True)
     keys = materialize(keys.withColumnRenamed("split", "phase"), "run-keys")
     if weighted:
         keys = keys.join(A.class_weights(keys.where("phase = 'train'"), "label").select("label", "weight"), "label", "left")

@@ -59,11 +59,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_scratch: list[str] = []  # folders handed out and not dropped yet
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the checkpoint folder (never machine-local on a cluster)."""
     base = checkpoint_dir(spark)
     sep = "" if base.endswith("/") else "/"
-    return f"{base}{sep}{name}-{uuid.uuid4().hex[:12]}"
+    _scratch.append(f"{base}{sep}{name}-{uuid.uuid4().hex[:12]}")
+    return _scratch[-1]
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Delete the intermediate tables of this process. Results read them lazily, so the
+    caller does this once it has consumed what it asked for."""
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table_path(sf_dir: str, name: str) -> str:
@@ -77,19 +89,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str):
 def spread(df, key, *more: str):
     """Hash-partition ``df`` by its row key only when its scan yields fewer
     partitions than the cluster runs tasks at once (a single large file or
-    row group). Large inputs keep their scan partitioning: no extra shuffle.
+    row group); meant for plain scans, whose partitions are known without work. Large inputs keep their scan partitioning: no extra shuffle.
     Hash partitioning (not round-robin) keeps retries deterministic. Pass the
     whole unique row key (e.g. conversation and turn): hashing by a column
     that one value dominates would put that value's rows in one task."""
-    spark = df.sparkSession
-    try:
-        target = spark.sparkContext.defaultParallelism
-        current = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access keep the scan partitioning
-        return df
-    if current < target:
-        return df.repartition(target, key, *more)
-    return df
+    target = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(target, key, *more) if df.rdd.getNumPartitions() < target else df
 
 
 def materialize(df, name: str):

@@ -190,3 +190,11 @@ def test_ordered_index_property_against_row_number(spark):
             sorted(map(tuple, want.select("g", "lead", "k", "idx").collect()))
 
     check()
+
+
+def test_a_repeated_split_key_raises(spark):
+    from lexiframe.operators import splits as D
+    df = spark.createDataFrame([(i % 10,) for i in range(100)], "k long")
+    with pytest.raises(ValueError):
+        D.train_test_split(df, "k")
+    assert D.train_test_split(df.distinct(), "k").count() == 10
