@@ -20,8 +20,9 @@ that any repeat must contain:
    decide, byte for byte, for each of the BACK + 1 windows through an anchor,
    whether an earlier one is equal.
 3. *Hot leads.* A lead with more than ``GROUP`` anchors is not held in one task:
-   its windows go out as digests, whose earliest place is found by a partially
-   aggregated minimum and joined back.
+   its windows are digested; a task passes on the earliest place of each digest
+   it meets (the others are repeats), and a partially aggregated minimum, joined
+   back, finds the earliest of all.
 4. The repeated windows through one anchor overlap, so each anchor gives one
    interval; a document's intervals are merged where its text is cut.
 
@@ -56,6 +57,8 @@ GROUP = 100_000
 BITMAP_WORDS = 1 << 20  # 64 bits each
 PIECE = 1 << 19
 ROWS_OUT = 8192
+DECIDE = 16_384  # rows of a bucket decided together, at least
+DIGESTS = 300_000  # window digests and repeats a task holds
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -207,13 +210,15 @@ def repeated_windows(ctx: np.ndarray, doc: np.ndarray, pos: np.ndarray, after: n
 
 
 def _bucket_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts ordered by lead -> (id, start, end) of repeated bytes; groups of one lead are decided together."""
+    """Contexts ordered by lead -> (id, start, end) of repeated bytes; groups of one lead are decided together,
+    as many groups at a time as fill DECIDE rows."""
     held: list[tuple[np.ndarray, ...]] = []
+    rows = 0
 
-    def decide(cols: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        ctx, doc, pos, after, before = cols
-        rows, low, high = repeated_windows(ctx, doc, pos, after, before)
-        return pa.RecordBatch.from_arrays([pa.array(doc[rows]), pa.array(pos[rows] - high), pa.array(pos[rows] - low + WIDTH)],
+    def decide(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        ctx, doc, pos, after, before = (np.concatenate(c) for c in zip(*parts))
+        at, low, high = repeated_windows(ctx, doc, pos, after, before)
+        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(pos[at] - high), pa.array(pos[at] - low + WIDTH)],
                                           names=["id", "start", "end"])
 
     for b in batches:
@@ -221,40 +226,66 @@ def _bucket_intervals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             continue
         raw, _ = utf8(b.column(0))
         held.append((raw.reshape(b.num_rows, WIDTH + BACK), *(b.column(i).to_numpy() for i in range(1, 5))))
-        ctx = held[-1][0]
+        rows += b.num_rows
+        if rows < DECIDE:
+            continue
         # everything before the last lead of this batch is complete
-        done = b.num_rows - 1
+        ctx = held[-1][0]
         changed = np.flatnonzero((ctx[1:, :LEAD] != ctx[:-1, :LEAD]).any(axis=1))
-        done = int(changed[-1]) + 1 if len(changed) else 0
-        if done == 0 and len(held) > 1 and (held[-2][0][-1, :LEAD] != ctx[0, :LEAD]).any():
-            yield decide(tuple(np.concatenate(c) for c in zip(*held[:-1])))
-            held = held[-1:]
-        elif done:
-            parts = held[:-1] + [tuple(c[:done] for c in held[-1])]
-            yield decide(tuple(np.concatenate(c) for c in zip(*parts)))
+        if len(changed):
+            done = int(changed[-1]) + 1
+            yield decide(held[:-1] + [tuple(c[:done] for c in held[-1])])
             held = [tuple(c[done:] for c in held[-1])]
+        elif len(held) > 1 and (held[-2][0][-1, :LEAD] != ctx[0, :LEAD]).any():
+            yield decide(held[:-1])
+            held = held[-1:]
+        rows = sum(len(h[1]) for h in held)
     if held:
-        yield decide(tuple(np.concatenate(c) for c in zip(*held)))
-
+        yield decide(held)
+
+
+def _window_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Contexts -> per digest of a window its earliest place in this task, and the other places, known to
+    be repeats, as merged intervals without a digest. The table of digests is bounded."""
+    schema = pa.schema([("digest", pa.binary()), ("id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    earliest: dict[bytes, tuple[int, int]] = {}
+    again: list[tuple[int, int]] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        places = list(earliest.values())
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(earliest), pa.binary()), pa.array([i for i, _ in places], pa.int64()),
+             pa.array([s for _, s in places], pa.int64()), pa.array([s + WIDTH for _, s in places], pa.int64())], schema=schema)
+        merged: list[list[int]] = []
+        for i, start in sorted(set(again)):
+            if merged and merged[-1][0] == i and start <= merged[-1][2]:
+                merged[-1][2] = start + WIDTH
+            else:
+                merged.append([i, start, start + WIDTH])
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(merged), pa.binary()), *(pa.array([m[k] for m in merged], pa.int64()) for k in range(3))], schema=schema)
+        earliest.clear()
+        again.clear()
 
-def _window_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts -> digest, id, start of every window through the anchor."""
     for b in batches:
         raw, _ = utf8(b.column(0))
         ctx = raw.reshape(-1, WIDTH + BACK)
         line = np.concatenate([ctx[:, WIDTH:][:, ::-1], ctx[:, :WIDTH]], axis=1)  # back to text order
-        doc, pos, after, before = (b.column(i).to_numpy() for i in range(1, 5))
-        for k in range(0, len(doc), 256):
-            digest, ids, starts = [], [], []
-            for i in range(k, min(k + 256, len(doc))):
-                whole = line[i].tobytes()
-                for o in range(max(0, WIDTH - int(after[i])), int(before[i]) + 1):
-                    digest.append(hashlib.md5(whole[BACK - o:BACK - o + WIDTH]).digest())
-                    ids.append(doc[i])
-                    starts.append(pos[i] - o)
-            if ids:
-                yield pa.RecordBatch.from_pydict({"digest": pa.array(digest, pa.binary()), "id": pa.array(ids, pa.int64()),
-                                                  "start": pa.array(starts, pa.int64())})
+        doc, pos, after, before = (b.column(i).to_pylist() for i in range(1, 5))
+        for i in range(len(doc)):
+            whole = line[i].tobytes()
+            for o in range(max(0, WIDTH - after[i]), before[i] + 1):
+                place = (doc[i], pos[i] - o)
+                digest = hashlib.md5(whole[BACK - o:BACK - o + WIDTH]).digest()
+                first = earliest.setdefault(digest, place)
+                if place < first:
+                    earliest[digest] = place
+                    again.append(first)
+                elif place > first:
+                    again.append(place)
+            if len(earliest) + len(again) > DIGESTS:
+                yield from flush()
+    yield from flush()
 
 
 # ---- the corpus -----------------------------------------------------------------
@@ -305,11 +336,14 @@ def intervals(docs: DataFrame, copies: DataFrame, group: int = GROUP) -> DataFra
            .mapInArrow(_bucket_intervals, "id long, start long, end long"))
     hot = found.where(F.col("n") > group)
     if not hot.isEmpty():
-        windows = materialize(_contexts(docs, hot).mapInArrow(_window_digests, "digest binary, id long, start long"),
+        windows = materialize(_contexts(docs, hot).mapInArrow(_window_places, "digest binary, id long, start long, end long"),
                               "suffix-windows")
-        first = windows.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first"))
-        again = windows.join(first, "digest").where(F.struct("id", "start") > F.col("first"))
-        out = out.unionByName(again.select("id", "start", (F.col("start") + WIDTH).alias("end")))
+        places = windows.where(F.col("digest").isNotNull())
+        first = materialize(places.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first")).where(
+            F.col("first").isNotNull()), "suffix-first")
+        again = places.join(first, "digest").where(F.struct("id", "start") > F.col("first"))
+        out = (out.unionByName(again.select("id", "start", "end"))
+               .unionByName(windows.where(F.col("digest").isNull()).select("id", "start", "end")))
     return out
 
 
@@ -342,7 +376,7 @@ def remove_repeats(docs: DataFrame, group: int = GROUP, digest_only: bool = Fals
                                    F.sha2("text", 256).alias("sha")), "suffix-rows")
     first = rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = materialize(rows.join(first, "digest").where(F.col("id") != F.col("first")).select("id", "n_bytes"), "suffix-copies")
-    spans = materialize(intervals(docs.select("id", "text"), copies.select("id"), group).distinct(), "suffix-spans")
+    spans = materialize(intervals(docs.select("id", "text"), copies.select("id"), group), "suffix-spans")
     per_doc = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = (_marked(docs.select("id", "text"), spans).join(per_doc, "id").select("id", "text", "spans")
            .mapInArrow(_cut, "id long, kept binary, n_removed long, n_spans long"))
