@@ -34,7 +34,6 @@ from ..session import materialize
 SCALE = 256
 BLOCK_ROWS = 2048
 BLOCK_TERMS = 1 << 20  # entries of a block at most (unless one row has more)
-PAD = np.iinfo(np.int64).min
 
 
 def _postings(rows: np.ndarray, terms: np.ndarray, weights: np.ndarray):
@@ -101,11 +100,38 @@ def _numbered(blocks: DataFrame, name: str, column: str) -> tuple[DataFrame, int
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k highest scores, ties to the smaller id, best first."""
-    real = np.flatnonzero(scores != PAD)
-    if len(real) > k:
-        kth = np.partition(scores[real], len(real) - k)[len(real) - k]
-        real = real[scores[real] >= kth]  # all ties of the k-th stay until ids decide
-    return real[np.lexsort((ids[real], -scores[real]))][:k]
+    some = np.arange(len(scores))
+    if len(scores) > k:
+        kth = np.partition(scores, len(scores) - k)[len(scores) - k]
+        some = np.flatnonzero(scores >= kth)  # all ties of the k-th stay until ids decide
+    return some[np.lexsort((ids[some], -scores[some].astype(np.int64)))][:k]
+
+
+def accumulate(queries, candidates, n_q: int, n_c: int) -> np.ndarray:
+    """(n_c, n_q) inner products, term at a time: the postings of a term, times the queries' weights for it, are
+    scattered into the score rows of its candidates. Both arguments are (rows, terms, weights).
+
+    Scores are 32-bit while no partial sum can leave that range, else 64-bit."""
+    q_terms, q_ends, q_rows, q_weights = _postings(*queries)
+    c_terms, c_ends, c_rows, c_weights = _postings(*candidates)
+    most = float(np.abs(q_weights).max(initial=0)) * float(np.abs(c_weights).max(initial=0)) * min(len(q_terms), len(c_terms))
+    kind = np.int32 if most < 2**31 - 1 else np.int64
+    q_weights, c_weights = q_weights.astype(kind), c_weights.astype(kind)
+    scores = np.zeros((n_c, n_q), kind)
+    _, in_q, in_c = np.intersect1d(q_terms, c_terms, assume_unique=True, return_indices=True)
+    for i, j in zip(in_q, in_c):
+        at_q, at_c = slice(q_ends[i], q_ends[i + 1]), slice(c_ends[j], c_ends[j + 1])
+        rows, weights = c_rows[at_c], c_weights[at_c, None]
+        if 2 * (at_q.stop - at_q.start) >= n_q:  # most queries have the term: whole score rows
+            full = np.zeros(n_q, kind)
+            full[q_rows[at_q]] = q_weights[at_q]
+            if len(rows) == n_c:
+                scores += weights[np.argsort(rows)] * full
+            else:
+                scores[rows] += weights * full
+        else:
+            scores[rows[:, None], q_rows[at_q]] += weights * q_weights[at_q]
+    return scores
 
 
 def _search(k: int):
@@ -114,25 +140,21 @@ def _search(k: int):
         for b in batches:
             for r in range(b.num_rows):
                 col = {n: b.column(i)[r] for i, n in enumerate(b.schema.names)}
-                qb = col["qb"].as_py()
-                q_ids, q_rows, q_terms, q_weights = (np.asarray(col[n].values) for n in ("q_ids", "q_rows", "q_terms", "q_weights"))
-                c_ids = np.asarray(col["ids"].values)
-                terms, ends, c_rows, c_weights = _postings(*(np.asarray(col[n].values) for n in ("rows", "terms", "weights")))
-                where = {int(t): i for i, t in enumerate(terms)}
-                q_ends = np.searchsorted(q_rows, np.arange(len(q_ids) + 1))
+                arrays = {n: np.asarray(c.values) for n, c in col.items() if n != "qb"}
+                qb, q_ids, c_ids = col["qb"].as_py(), arrays["q_ids"], arrays["ids"]
+                scores = accumulate(*([arrays[p + n] for n in ("rows", "terms", "weights")] for p in ("q_", "")),
+                                    len(q_ids), len(c_ids)).T.copy()
                 mine = best.setdefault(qb, (q_ids, [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in q_ids]))[1]
+                own = np.isin(q_ids, c_ids)
                 for q in range(len(q_ids)):
-                    score = np.zeros(len(c_ids), np.int64)
-                    for e in range(q_ends[q], q_ends[q + 1]):
-                        i = where.get(int(q_terms[e]))
-                        if i is not None:
-                            lo, hi = ends[i], ends[i + 1]
-                            score[c_rows[lo:hi]] += q_weights[e] * c_weights[lo:hi]
-                    score[c_ids == q_ids[q]] = PAD
-                    top = _best(score, c_ids, k)
-                    ids, scores = np.r_[mine[q][0], c_ids[top]], np.r_[mine[q][1], score[top]]
-                    top = _best(scores, ids, k)
-                    mine[q] = ids[top], scores[top]
+                    ids, score = c_ids, scores[q]
+                    if own[q]:
+                        other = c_ids != q_ids[q]
+                        ids, score = ids[other], score[other]
+                    top = _best(score, ids, k)
+                    ids, score = np.r_[mine[q][0], ids[top]], np.r_[mine[q][1], score[top].astype(np.int64)]
+                    top = _best(score, ids, k)
+                    mine[q] = ids[top], score[top]
         for qb, (q_ids, lists) in best.items():
             n = [len(i) for i, _ in lists]
             if sum(n):

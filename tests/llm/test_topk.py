@@ -41,3 +41,13 @@ def test_few_or_no_candidates(spark):
 def test_repeated_query_is_answered_once_per_row_and_never_by_itself(spark):
     got = run(spark, [(50, [1.0]), (50, [1.0]), (3, [2.0])])
     assert got == [(50, 1, 3, 256 * 512)] * 2
+
+
+def test_accumulation_of_sparse_dense_and_large_weights():
+    import numpy as np
+    rng = np.random.default_rng(0)
+    for density, scale in ((1.0, 900), (0.3, 900), (0.02, 900), (0.5, 2**40)):
+        q, c = (rng.integers(-scale, scale, (n, 30)) * (rng.random((n, 30)) < density) for n in (17, 43))
+        parts = [(*np.nonzero(m), m[np.nonzero(m)]) for m in (q, c)]
+        with np.errstate(over="ignore"):
+            assert (topk.accumulate(*parts, 17, 43) == c @ q.T).all()
