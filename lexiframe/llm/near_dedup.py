@@ -312,7 +312,7 @@ def classes(docs: DataFrame, weights: str = "presence", least: float = SIMILARIT
     rows = materialize(signatures(docs, weights), "near-rows")
     distinct = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.any_value("buckets").alias("buckets"))
     distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "near-texts")
-    listed = distinct.select("node", F.explode("buckets").alias("bucket")).distinct()
+    listed = distinct.select("node", F.explode("buckets").alias("bucket"))  # keys hold the band: a text has each once
     shared = listed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     members = materialize(listed.join(shared, "bucket"), "near-members")
     # hubs: the text of each bucket that meets most others in all its buckets

@@ -75,15 +75,12 @@ def test_odd_rows(documents):
 
 
 def test_keep_one_keeps_the_smallest_id_with_all_columns(documents):
-    rows = [(i, t) for i, t in enumerate(family(5, 12, edits=2))] + [(3, "p q r s t u"), (90, "p q r s t u"), (3, "p q r s t u"), (91, None)]
+    rows = [(i, t) for i, t in enumerate(family(5, 12, edits=2))] + [(20, "p q r s t u"), (90, "p q r s t u"), (20, "p q r s t u"), (91, None)]
     df = documents(rows)
     out = N.keep_one(df)
     assert out.columns == df.columns
-    kept = sorted((r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect() if r["text"])
-    assert (3, "p q r s t u") in kept and all(i != 90 for i, _ in kept)
-    classes = {c for _, c in brute(rows)}
-    assert out.count() == len(brute([r for r in rows])) - (len(rows) - len({(r[0], r[1]) for r in rows})) - (
-        len({(r[0], r[1]) for r in rows}) - out.count()) and len(classes) <= out.count()
+    kept = [str(r["doc_id"]) for r in out.select("doc_id").collect()]
+    assert sorted(kept) == sorted({c for _, c in brute(rows)}) and "20" in kept and "90" not in kept and "91" in kept
 
 
 def test_signatures_estimate_weighted_similarity():
