@@ -12,6 +12,7 @@ from ..operators.ranking import range_partitions
 from ..session import materialize
 
 TEXT_BATCH_ROWS = 512
+BITMAP_WORDS = 1 << 20
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
@@ -50,6 +51,20 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
+def may_hold(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """The rows of ``df`` whose ``column`` may be among that of ``keys``: none is missed, few others stay.
+
+    A bitmap of hashed keys (at most BITMAP_WORDS rows of 64 bits, whatever the
+    input) is broadcast, so that a following join moves few wide rows."""
+    def bit(c: str):
+        return F.pmod(F.xxhash64(c), F.lit(BITMAP_WORDS * 64))
+
+    words = (keys.select(bit(column).alias("__bit")).groupBy(F.shiftright("__bit", 6).alias("__word"))
+             .agg(F.expr("bit_or(shiftleft(1L, cast(__bit & 63 as int)))").alias("__bits")))
+    held = df.withColumn("__bit", bit(column)).join(F.broadcast(words), F.shiftright("__bit", 6) == F.col("__word"))
+    return held.where(F.expr("__bits & shiftleft(1L, cast(__bit & 63 as int))") != 0).drop("__bit", "__word", "__bits")
+
+
 def running_total(df: DataFrame, order_by: Sequence[str], value: str, out: str, name: str) -> DataFrame:
     """Add ``out`` = the sum of ``value`` (long, not null) over all rows up to
     and including this one in ``order_by`` order, without a single-task window.

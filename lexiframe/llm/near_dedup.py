@@ -25,7 +25,8 @@ that share a bucket can be missed: it is either found or its ends already are
 in one class.
 
 Equal texts are collapsed first (partial aggregation), so copies cost nothing.
-Hubs with many partners are salted. Intermediate tables are written under the
+Hubs with many partners are salted. Only texts with a partner move (a bounded
+bitmap of digests leaves out the others). Intermediate tables are written under the
 shared checkpoint folder.
 
 Defined results: class id is the smallest doc_id of the class; a null text
@@ -43,7 +44,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import mix64, text_batches, utf8
+from .common import may_hold, mix64, text_batches, utf8
 from .shingles import weighted_sets
 
 WORDS = 5
@@ -323,7 +324,8 @@ def classes(docs: DataFrame, weights: str = "presence", least: float = SIMILARIT
     pairs = materialize(members.join(hubs, "bucket").where(F.col("node") != F.col("hub")).select("hub", "node").distinct(),
                         "near-pairs")
     involved = distinct.join(members.select("node").distinct(), "node").select("digest", "node", "first_id")
-    texts = docs.select("doc_id", "text", digest().alias("digest"))
+    involved = materialize(involved, "near-involved")
+    texts = may_hold(docs.select("doc_id", "text", digest().alias("digest")), involved, "digest")
     texts = materialize(texts.join(involved, (texts["digest"] == involved["digest"])
                                    & F.col("doc_id").eqNullSafe(F.col("first_id"))).select("node", "text"), "near-compared")
     links = materialize(_compare_with_hubs(pairs, texts, weights, least), "near-links")

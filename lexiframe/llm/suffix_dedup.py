@@ -27,7 +27,7 @@ that any repeat must contain:
    interval; a document's intervals are merged where its text is cut.
 
 Only documents that have something to compare or to cut move their text: a
-bitmap of hashed ids (at most ``BITMAP_WORDS`` rows, whatever the input) is
+bitmap of hashed ids (a bounded number of rows, whatever the input) is
 broadcast to leave out the others.
 
 Results are judged on the input, not on what is left. Defined results: a null
@@ -42,19 +42,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import range_partitions
 from ..session import materialize
-from .common import mix64, text_batches, utf8
+from .common import may_hold, mix64, text_batches, utf8
 
 WIDTH = 100
 LEAD = 32
 BACK = WIDTH - LEAD  # offsets of a window's start before an anchor: 0..BACK
 SPAN = BACK + 1  # hashes per window
 GROUP = 100_000
-BITMAP_WORDS = 1 << 20  # 64 bits each
 PIECE = 1 << 19
 ROWS_OUT = 8192
 DECIDE = 16_384  # rows of a bucket decided together, at least
@@ -290,21 +289,9 @@ def _window_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 # ---- the corpus -----------------------------------------------------------------
 
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents that may be among ``ids``: a bitmap of at most BITMAP_WORDS rows, broadcast."""
-    def bit(c: str) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(BITMAP_WORDS * 64))
-
-    words = (ids.select(bit("id").alias("b")).groupBy(F.shiftright("b", 6).alias("__word"))
-             .agg(F.expr("bit_or(shiftleft(1L, cast(b & 63 as int)))").alias("__bits")))
-    at = F.shiftright(bit("id"), 6) == F.col("__word")
-    on = F.expr("__bits & shiftleft(1L, cast(pmod(xxhash64(id), 64) as int))") != 0
-    return docs.join(F.broadcast(words), at).where(on).drop("__word", "__bits")
-
-
 def _contexts(docs: DataFrame, found: DataFrame) -> DataFrame:
     per_doc = found.groupBy("id").agg(F.collect_list("pos").alias("positions"))
-    return (_marked(docs, found).join(per_doc, "id").select("id", "text", "positions")
+    return (may_hold(docs, found, "id").join(per_doc, "id").select("id", "text", "positions")
             .mapInArrow(_context_rows, CONTEXT))
 
 
@@ -378,7 +365,7 @@ def remove_repeats(docs: DataFrame, group: int = GROUP, digest_only: bool = Fals
     copies = materialize(rows.join(first, "digest").where(F.col("id") != F.col("first")).select("id", "n_bytes"), "suffix-copies")
     spans = materialize(intervals(docs.select("id", "text"), copies.select("id"), group), "suffix-spans")
     per_doc = spans.groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    cut = (_marked(docs.select("id", "text"), spans).join(per_doc, "id").select("id", "text", "spans")
+    cut = (may_hold(docs.select("id", "text"), spans, "id").join(per_doc, "id").select("id", "text", "spans")
            .mapInArrow(_cut, "id long, kept binary, n_removed long, n_spans long"))
     if digest_only:
         cut = cut.select("id", F.sha2("kept", 256).alias("kept"), "n_removed", "n_spans")
