@@ -57,7 +57,7 @@ GROUP = 100_000
 PIECE = 1 << 19
 ROWS_OUT = 8192
 DECIDE = 16_384  # rows of a bucket decided together, at least
-DIGESTS = 300_000  # window digests and repeats a task holds
+DIGESTS = 100_000  # window digests and repeats a task holds
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -108,6 +108,9 @@ def anchors(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) -> anchors, to meet by hash and salt. A hash that occurs several times in one stretch of
+    documents is known to repeat (its positions go out inverted); one of its anchors stands for all there
+    (salt 0), the others get salts of their own, so a hot hash costs the exchange one row a stretch."""
     for b in batches:
         ids = b.column(0).to_numpy()
         raw, off = utf8(b.column(1))
@@ -119,10 +122,16 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held += len(at)
             if held >= ROWS_OUT or i == len(ids) - 1:
                 h, d, at = (np.concatenate(c) for c in zip(*out))
+                _, first, place, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                stands = np.zeros(len(h), bool)
+                stands[first] = True
+                own = mix64(d.view(np.uint64) + mix64(at.astype(np.uint64))) >> np.uint64(34)
+                salt = np.where(stands, 0, own.astype(np.int32) + 1).astype(np.int32)
+                at = np.where((times > 1)[place], ~at, at)
                 for k in range(0, len(h), 8 * ROWS_OUT):
                     s = slice(k, k + 8 * ROWS_OUT)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(d[s]), pa.array(at[s])],
-                                                     names=["h", "id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[s].view(np.int64)), pa.array(salt[s]), pa.array(d[s]), pa.array(at[s])],
+                                                     names=["h", "salt", "id", "pos"])
                 out, held = [], 0
 
 
@@ -312,19 +321,21 @@ def _identified(docs: DataFrame) -> DataFrame:
 
 def intervals(docs: DataFrame, copies: DataFrame, group: int = GROUP) -> DataFrame:
     """(id, start, end): repeated bytes of documents (id, text) that are not among ``copies`` (id); intervals may overlap."""
-    spark = docs.sparkSession
-    n = Window.partitionBy("h")
-    found = docs.select("id", "text").mapInArrow(_anchor_rows, "h long, id long, pos long")
-    found = materialize(found.withColumn("n", F.count("*").over(n)).where("n > 1"), "suffix-anchors")
-    found = found.join(copies, "id", "left_anti")
+    found = docs.select("id", "text").mapInArrow(_anchor_rows, "h long, salt int, id long, pos long")
+    met = F.count("*").over(Window.partitionBy("h", "salt")) > 1
+    found = found.withColumn("met", met).where("met or pos < 0").select(
+        "h", "id", F.when(F.col("pos") < 0, F.bitwise_not("pos")).otherwise(F.col("pos")).alias("pos"))
+    found = materialize(found, "suffix-anchors")
+    hot = materialize(found.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > group), "suffix-hot")
+    found = found.join(copies, "id", "left_anti").join(hot, "h", "left")
     lead = F.substring("ctx", 1, LEAD)
-    usual = _contexts(docs, found.where(F.col("n") <= group))
+    usual = _contexts(docs, found.where(F.col("n").isNull()))
     out = (usual.repartitionByRange(range_partitions(docs), lead).sortWithinPartitions(lead)
            .mapInArrow(_bucket_intervals, "id long, start long, end long"))
-    hot = found.where(F.col("n") > group)
     if not hot.isEmpty():
-        windows = materialize(_contexts(docs, hot).mapInArrow(_window_places, "digest binary, id long, start long, end long"),
-                              "suffix-windows")
+        windows = _contexts(docs, found.where(F.col("n").isNotNull())).mapInArrow(
+            _window_places, "digest binary, id long, start long, end long")
+        windows = materialize(windows, "suffix-windows")
         places = windows.where(F.col("digest").isNotNull())
         first = materialize(places.groupBy("digest").agg(F.min(F.struct("id", "start")).alias("first")).where(
             F.col("first").isNotNull()), "suffix-first")
