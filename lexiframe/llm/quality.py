@@ -6,7 +6,7 @@ a Gaussian whose covariance is shrunk twice: towards the pooled covariance
 the posterior of label 1: the difference of the two Mahalanobis log densities,
 computed with the Cholesky factors kept in the model.
 
-Texts are read once: the statistics table is narrow (18 doubles a row), class
+Texts are read once: the statistics table is narrow (17 doubles a row), class
 counts, means and covariances are sums over all labelled rows made by Spark
 (one partial moment vector per task, added up by position), and only the two
 fixed-size moment vectors reach the driver.
