@@ -10,7 +10,7 @@ the first of equals) and of the last one; a checkpoint keeps all of it.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -134,23 +134,25 @@ HISTORY = ("epoch int, train_loss double, train_acc double, n_train long, valid_
 
 
 def save_checkpoint(spark: SparkSession, run: Run, settings: Settings, path: str) -> None:
-    """M6: weights of the best and the last epoch, the optimiser's settings and the history."""
-    rows = [(name, epoch, s.weights.reshape(-1).tolist(), s.bias.tolist())
+    """M6: weights of the best and the last epoch, each with the optimiser's settings, and the history."""
+    names = list(asdict(settings))
+    rows = [(name, epoch, s.weights.reshape(-1).tolist(), s.bias.tolist(), *asdict(settings).values())
             for name, epoch, s in (("best", run.best_epoch, run.best), ("last", run.last_epoch, run.last))]
-    spark.createDataFrame(rows, "name string, epoch int, weights array<double>, bias array<double>").coalesce(1).write.mode(
-        "overwrite").parquet(f"{path}/weights")
+    kinds = ["long" if isinstance(v, int) else "double" if isinstance(v, float) else "string" for v in asdict(settings).values()]
+    schema = "name string, epoch int, weights array<double>, bias array<double>, " + ", ".join(
+        f"{n} {k}" for n, k in zip(names, kinds))
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("overwrite").parquet(f"{path}/weights")
     columns = [c.split()[0] for c in HISTORY.split(", ")]
     spark.createDataFrame([tuple(r[c] for c in columns) for r in run.history], HISTORY).coalesce(1).write.mode(
         "overwrite").parquet(f"{path}/history")
-    spark.createDataFrame([settings]).coalesce(1).write.mode("overwrite").parquet(f"{path}/settings")
 
 
 def load_checkpoint(spark: SparkSession, path: str) -> tuple[Run, Settings]:
     """What :func:`save_checkpoint` wrote (a few rows)."""
     rows = {r["name"]: r for r in spark.read.parquet(f"{path}/weights").collect()}
     scorer = {k: LinearScorer(np.array(r["weights"]).reshape(-1, len(r["bias"])), np.array(r["bias"])) for k, r in rows.items()}
-    history = [r.asDict() for r in spark.read.parquet(f"{path}/history").orderBy("epoch").collect()]
-    settings = Settings(**spark.read.parquet(f"{path}/settings").first().asDict())
+    history = [r.asDict() for r in spark.read.schema(HISTORY).parquet(f"{path}/history").orderBy("epoch").collect()]
+    settings = Settings(**{n: rows["last"][n] for n in asdict(Settings())})
     return Run(history, scorer["best"], scorer["last"], rows["best"]["epoch"], rows["last"]["epoch"]), settings
 
 

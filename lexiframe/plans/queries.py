@@ -461,39 +461,45 @@ def q_class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("Sentiment", F.col("n").cast("long").alias("n"), F.round("weight", 9).alias("weight"))
 
 
-def run_examples(spark: SparkSession, sf: str, dataset: str, classes: int, dim: int, weighted: bool, rule: str) -> DataFrame:
-    """M7: examples of one configuration: features, label, weight, phase (D1, then D2 or D3).
-
-    The narrow keys are split first and written, then the features are joined once."""
+def run_keys(spark: SparkSession, sf: str, dataset: str, rule: str) -> DataFrame:
+    """Narrow keys of a dataset with their phase (D1, then D2 or D3), written once; both class variants' labels."""
     if dataset == "embeddings":
-        rows = read_table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("int").alias("label"))
-        key, source = "vec_id", read_table(spark, sf, "embeddings").select("vec_id", F.transform(
-            "embedding", lambda v: v.cast("double")).alias("features"))
+        rows, key = read_table(spark, sf, "embeddings").select("vec_id", F.col("label").cast("int").alias("label10")), "vec_id"
     else:
-        label = F.col("quality") if classes == 2 else F.expr(RAW_NEWS_LABEL_SQL)
-        docs = read_table(spark, sf, "documents")
-        rows = docs.select("doc_id").join(read_table(spark, sf, "labels").select("doc_id", label.cast("int").alias("label")), "doc_id")
-        key, source = "doc_id", doc_tokens(spark, sf).select("doc_id", hashed_counts(F.col("tokens"), dim).alias("features"))
-    keys = D.train_valid_split(materialize(D.train_test_split(rows, key, TEST_SHARE, TEST_SEED), "run-split"),
-                               key, VALID_TRAIN_SHARE, VALID_SEED, rule, unique=True)
-    keys = materialize(keys.withColumnRenamed("split", "phase"), "run-keys")
+        lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("label2"),
+                                                     F.expr(RAW_NEWS_LABEL_SQL).cast("int").alias("label3"))
+        rows, key = read_table(spark, sf, "documents").select("doc_id").join(lab, "doc_id"), "doc_id"
+    first = materialize(D.train_test_split(rows, key, TEST_SHARE, TEST_SEED), "run-split")
+    return materialize(D.train_valid_split(first, key, VALID_TRAIN_SHARE, VALID_SEED, rule, unique=True)
+                       .withColumnRenamed("split", "phase"), "run-keys")
+
+
+def run_examples(source: DataFrame, keys: DataFrame, classes: int, dim: int, weighted: bool) -> DataFrame:
+    """M7: examples of one configuration: features, label, weight, phase; the features are joined once and written."""
+    key = source.columns[0]
+    features = source if "features" in source.columns else source.select(key, hashed_counts(F.col("tokens"), dim).alias("features"))
+    keys = keys.select(key, F.col(f"label{classes}").alias("label"), "phase")
     if weighted:
         keys = keys.join(A.class_weights(keys.where("phase = 'train'"), "label").select("label", "weight"), "label", "left")
     else:
         keys = keys.withColumn("weight", F.lit(1.0))
-    return materialize(source.join(keys, key).select("features", "label", F.coalesce("weight", F.lit(1.0)).alias("weight"),
-                                                     "phase"), "run-examples")
+    return materialize(features.join(keys, key).select("features", "label", F.coalesce("weight", F.lit(1.0)).alias("weight"),
+                                                       "phase"), "run-examples")
 
 
 def run_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Every configuration of the grid trained, saved with its history, loaded again;
-    one row per run and epoch with the run's constants and split shares."""
+    one row per run and epoch with the run's constants and split shares. Tokens and splits are shared by the runs."""
     from ..operators.training import HISTORY, Settings, fit, load_checkpoint, run_rows, save_checkpoint
     from ..session import scratch_path
     rows, keys = [], [*GRID_COLUMNS, "optimizer", "loss_function", "best_epoch"]
+    tokens = doc_tokens(spark, sf).join(read_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    source = {"embeddings": read_table(spark, sf, "embeddings").select("vec_id", F.transform(
+        "embedding", lambda v: v.cast("double")).alias("features")), "documents": materialize(tokens, "run-tokens")}
+    split = {(d, rule): run_keys(spark, sf, d, rule) for d, rule in dict.fromkeys((c[1], c[5]) for c in GRID)}
     for config in GRID:
         c = dict(zip(GRID_COLUMNS, config))
-        examples = run_examples(spark, sf, c["dataset"], c["classes"], c["feature_size"], c["weighted"], c["rule"])
+        examples = run_examples(source[c["dataset"]], split[c["dataset"], c["rule"]], c["classes"], c["feature_size"], c["weighted"])
         settings = Settings(c["epochs"], c["learning_rate"], c["weight_decay"])
         path = scratch_path(spark, "run-checkpoint")
         save_checkpoint(spark, fit(examples, c["classes"], c["feature_size"], settings), settings, path)
