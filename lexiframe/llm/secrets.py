@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 REACH = 400
-BROADCAST_SPANS = 100_000  # weak spans that redaction may broadcast (counted first)
+BROADCAST_SPANS = 100_000  # spans that redaction may broadcast (counted first)
+CHUNK = 1000  # code points of a text that redaction cuts at a time
 MASK = "[SECRET]"
 
 # kind, pattern, group whose length counts, least length; in the order of the report
@@ -54,18 +55,20 @@ ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "identif
 
 
 def _hits(text: Column, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Per match: length and scope breaks of the text before it, its own length, whether it is long enough."""
+    """Per match: length and scope breaks of the text before it, its own and its counted length, whether that is enough."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     sized = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     before = F.slice(F.split(text, pattern, -1), 1, F.size(found))
     hits = F.transform(F.arrays_zip(before.alias("p"), found.alias("m"), sized.alias("v")), lambda x: F.struct(
         F.length(x["p"]).alias("gap"), F.regexp_count(x["p"], F.lit(SCOPE_BREAK)).alias("breaks"),
-        F.length(x["m"]).alias("size"), (F.length(x["v"]) >= least).alias("ok"), F.lit(KINDS.index(kind)).alias("kind")))
+        F.length(x["m"]).alias("size"), F.length(x["v"]).alias("counted"), (F.length(x["v"]) >= least).alias("ok"),
+        F.lit(KINDS.index(kind)).alias("kind")))
     return F.when(text.rlike(pattern), hits)
 
 
 def _spans(texts: DataFrame) -> DataFrame:
-    """digest, kind, start, end, scope of every match that is long enough; ``texts`` has one row per digest."""
+    """digest, kind, start, end, scope of every match that is long enough, and where its counted part starts
+    (``cut``; it goes on to the end); ``texts`` has one row per digest."""
     hits = None
     for c in KINDS:
         rows = texts.where(F.col(c).isNotNull()).select("digest", F.posexplode(c).alias("i", "h")).select("digest", "i", "h.*")
@@ -73,7 +76,8 @@ def _spans(texts: DataFrame) -> DataFrame:
     upto = Window.partitionBy("digest", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.sum(F.col("gap") + F.col("size")).over(upto)
     return (hits.select("digest", "kind", end.cast("long").alias("end"), (end - F.col("size")).cast("long").alias("start"),
-                        F.sum("breaks").over(upto).cast("long").alias("scope"), "ok")
+                        F.sum("breaks").over(upto).cast("long").alias("scope"),
+                        (end - F.col("counted")).cast("long").alias("cut"), "ok")
             .where("ok").drop("ok"))
 
 
@@ -104,7 +108,7 @@ def _link(spans: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest of every row; digest, kind, start, end of every reported span)."""
+    """(doc_id, digest of every row; digest, kind, start, end, cut of every reported span)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).select(
         "doc_id", F.md5("text").alias("digest"), *[_hits(F.col("text"), *p).alias(p[0]) for p in BASE + WEAK])
@@ -112,7 +116,7 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = (rows.where(F.coalesce(*[F.size(k) for k in KINDS]) > 0)
              .groupBy("digest").agg(*[F.any_value(k).alias(k) for k in KINDS]))
     spans = materialize(_spans(texts), "secret-parts")
-    return rows.select("doc_id", "digest"), _link(spans).select("digest", "kind", "start", "end")
+    return rows.select("doc_id", "digest"), _link(spans).select("digest", "kind", "start", "end", "cut")
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -130,36 +134,43 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def _mask(text: Column, pattern: str, group: int, least: int) -> Column:
-    """``text`` with the counted part of every long enough match masked."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    counted = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    shown = F.zip_with(found, counted, lambda m, v: F.when(F.length(v) >= least, F.concat(
-        F.left(m, F.length(m) - F.length(v)), F.lit(MASK)))
-        .otherwise(m))
-    masked = F.array_join(F.zip_with(F.split(text, pattern, -1), shown,
-                                     lambda p, m: F.concat(p, F.coalesce(m, F.lit("")))), "")
-    return F.when(text.rlike(pattern), masked).otherwise(text)
+def _cuts(spans: DataFrame) -> DataFrame:
+    """__key (a digest) and ``__cuts``: the union of the counted parts of the text's spans, as (start, end) in order."""
+    upto = Window.partitionBy("digest").orderBy("cut", "end")
+    before = F.max("end").over(upto.rowsBetween(Window.unboundedPreceding, -1))
+    parts = spans.select("digest", "cut", "end", F.coalesce(F.col("cut") >= before, F.lit(True)).cast("int").alias("new"))
+    parts = parts.withColumn("part", F.sum("new").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    whole = parts.groupBy("digest", "part").agg(F.min("cut").alias("start"), F.max("end").alias("end"))
+    return whole.groupBy(F.col("digest").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
+
+
+def _masked(text: Column, cuts: Column) -> Column:
+    """``text`` with ``cuts`` masked. It is read in pieces of CHUNK code points, so many cuts in a long text stay linear."""
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        first, last = F.floor(a / CHUNK).cast("int"), F.floor(b / CHUNK).cast("int")
+        return F.substring(F.array_join(F.slice(chunks, first + 1, last - first + 1), ""),
+                           (a % CHUNK + 1).cast("int"), (b - a).cast("int"))
+
+    zero, size = F.lit(0).cast("long"), F.length(text).cast("long")
+    kept = F.arrays_zip(F.concat(F.array(zero), cuts["end"]).alias("a"), F.concat(cuts["start"], F.array(size)).alias("b"))
+    chunks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))
+    # the outer array binds the pieces once
+    return F.array_join(F.flatten(F.transform(F.array(F.struct(chunks.alias("c"), kept.alias("k"))), lambda x: F.transform(
+        x["k"], lambda g: between(x["c"], g["a"], g["b"])))), MASK)
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, with every reported secret masked in ``text`` (null stays null).
+    """The documents, all columns, with every reported span masked in ``text`` (null stays null).
 
-    Linked ``key`` spans are cut by position, base kinds where they match."""
+    Spans are those of the unchanged text and are cut by position, all at once: of ``assign`` and ``ident`` the
+    value, of the other kinds the whole span; spans that overlap are masked as one."""
     _, spans = find(docs)
-    keys = spans.where(F.col("kind") == KINDS.index("key"))
-    keys = materialize(keys.groupBy(F.col("digest").alias("__key")).agg(
-        F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__spans")), "secret-keys")
-    n = keys.agg(F.coalesce(F.sum(F.size("__spans")), F.lit(0))).first()[0]
+    cuts = materialize(_cuts(spans), "secret-cuts")
+    n = cuts.agg(F.coalesce(F.sum(F.size("__cuts")), F.lit(0))).first()[0]
+    if not n:
+        return docs
     text = F.col("text")
-    out = docs
-    if n:
-        marked = docs.withColumn("__key", F.md5(F.coalesce(text, F.lit(""))))
-        marked = marked.join(F.broadcast(keys) if n <= BROADCAST_SPANS else keys, "__key", "left")
-        cut = F.aggregate("__spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), lambda a, s: F.struct(
-            F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(MASK)).alias("out"),
-            s["end"].alias("at")), lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-        out = marked.withColumn("text", F.when(F.col("__spans").isNotNull(), cut).otherwise(text)).select(docs.columns)
-    for _, pattern, group, least in BASE:
-        out = out.withColumn("text", _mask(F.col("text"), pattern, group, least))
-    return out
+    marked = docs.withColumn("__key", F.md5(F.coalesce(text, F.lit(""))))
+    marked = marked.join(F.broadcast(cuts) if n <= BROADCAST_SPANS else cuts, "__key", "left")
+    return marked.withColumn("text", F.when(F.col("__cuts").isNotNull(), _masked(text, F.col("__cuts"))).otherwise(text)).select(
+        docs.columns)
