@@ -39,7 +39,8 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document: counts and digest of the base kinds, and all spans with the linked ones."""
+    """Secrets of every document: counts and digest of the base kinds, all spans with the linked ones, and those
+    linked by their scope alone."""
     def kinds(*names: str):
         return F.filter("spans", lambda s: s["kind"].isin(*names))
 
@@ -47,7 +48,7 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(read_table(spark, sf_dir, "documents")).select(
         "doc_id", *[F.size(kinds(k)).cast("long").alias(f"n_{k}") for k in base],
         F.sha2(secrets.spans_text(kinds(*base)), 256).alias("base_sha256"),
-        secrets.spans_text(F.col("spans")).alias("spans"))
+        secrets.spans_text(F.col("spans")).alias("spans"), secrets.spans_text(F.col("far")).alias("far_spans"))
 
 
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,16 +7,19 @@ more characters, ``hex`` runs of 24 or more lower-case hexadecimal digits.
 
 Weak parts say little alone: ``key`` (a stand-alone run of 40 base64
 characters with a digit), ``ident`` (a client, account, user or login name
-assigned) and ``endpoint`` (a URL). They are linked by an interval join: two
-parts are complementary when they stand in the same scope (a block of text
-between blank lines) at most ``REACH`` characters apart. A ``key`` is reported
-with an identifier (``access`` or ``ident``) in reach, an ``ident`` with a
-secret (``assign``, ``hex`` or ``key``), an ``endpoint`` with both.
+assigned) and ``endpoint`` (a URL). Two parts are complementary when they
+stand in the same scope (a block of text between blank lines). A ``key`` is
+reported with an identifier (``access`` or ``ident``) in its scope, an
+``ident`` with a secret (``assign``, ``hex`` or ``key``), an ``endpoint`` with
+both. Distance only grades the report: a weak part that finds its complements
+at most ``REACH`` characters away is a plain span, any other one is ``far``, a
+weaker mark; both are reported and masked.
 
 Positions come from the text between matches: match i starts after pieces 0..i
 and matches 0..i-1, a running sum in a window over one text's matches. The
-join is a left semi join on (text, scope, cell of ``REACH`` characters), so no
-pairs come out, and a key holds at most the parts that fit in one cell.
+links are left semi joins, so no pairs come out: on (text, scope) with the
+distinct scopes that hold a role, and for the grade on (text, scope, cell of
+``REACH`` characters), where a key holds at most the parts that fit in one cell.
 
 Everything is keyed by the text's digest: equal texts are scanned into one set
 of spans, which all their rows share, and a hot text is one key of narrow rows.
@@ -95,20 +98,30 @@ def _in_reach(parts: DataFrame, others: DataFrame) -> DataFrame:
     return near.join(far, met, "left_semi").drop("cell").distinct()
 
 
+def _in_scope(parts: DataFrame, others: DataFrame) -> DataFrame:
+    """Rows of ``parts`` with one of ``others`` in the same scope."""
+    return parts.join(others.select("digest", "scope").distinct(), ["digest", "scope"], "left_semi").select(parts.columns)
+
+
 def _link(spans: DataFrame) -> DataFrame:
-    """The base spans and the weak ones whose complementary parts are in reach."""
+    """The base spans and the weak ones whose complementary parts are in their scope; ``far``: not all in reach."""
     def of(*kinds: str) -> DataFrame:
         return spans.where(F.col("kind").isin([KINDS.index(k) for k in kinds]))
 
     secrets = of(*[k for k, role in ROLE.items() if role == "secret"])
     identifiers = of(*[k for k, role in ROLE.items() if role == "identifier"])
-    linked = _in_reach(of("key"), identifiers).unionByName(_in_reach(of("ident"), secrets))
-    linked = linked.unionByName(_in_reach(_in_reach(of("endpoint"), identifiers), secrets))
-    return of(*[k for k, *_ in BASE]).unionByName(linked)
+
+    def met(within) -> DataFrame:
+        linked = within(of("key"), identifiers).unionByName(within(of("ident"), secrets))
+        return linked.unionByName(within(within(of("endpoint"), identifiers), secrets))
+
+    weak = met(_in_scope).withColumn("far", F.lit(True)).unionByName(met(_in_reach).withColumn("far", F.lit(False)))
+    return of(*[k for k, *_ in BASE]).withColumn("far", F.lit(False)).unionByName(
+        weak.groupBy(spans.columns).agg(F.min("far").alias("far")))
 
 
 def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest of every row; digest, kind, start, end, cut of every reported span)."""
+    """(doc_id, digest of every row; digest, kind, start, end, cut, far of every reported span)."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).select(
         "doc_id", F.md5("text").alias("digest"), *[_hits(F.col("text"), *p).alias(p[0]) for p in BASE + WEAK])
@@ -116,17 +129,21 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = (rows.where(F.coalesce(*[F.size(k) for k in KINDS]) > 0)
              .groupBy("digest").agg(*[F.any_value(k).alias(k) for k in KINDS]))
     spans = materialize(_spans(texts), "secret-parts")
-    return rows.select("doc_id", "digest"), _link(spans).select("digest", "kind", "start", "end", "cut")
+    return rows.select("doc_id", "digest"), _link(spans).select("digest", "kind", "start", "end", "cut", "far")
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and ``spans`` (array of start, kind, end in order) of every document row."""
+    """doc_id, ``spans`` (array of start, kind, end in order) of every document row, and ``far``, the same of the
+    weak parts that are linked by their scope alone."""
     rows, spans = find(docs)
-    per_text = spans.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end"))).alias("spans"))
+    per_text = spans.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "far"))).alias("spans"))
     names = F.array(*[F.lit(k) for k in KINDS])
-    named = F.transform(F.coalesce("spans", F.array()), lambda s: F.struct(
-        s["start"].alias("start"), F.get(names, s["kind"]).alias("kind"), s["end"].alias("end")))
-    return rows.join(per_text, "digest", "left").select("doc_id", named.alias("spans"))
+
+    def named(far: bool) -> Column:
+        return F.transform(F.filter(F.coalesce("spans", F.array()), lambda s: s["far"] == far), lambda s: F.struct(
+            s["start"].alias("start"), F.get(names, s["kind"]).alias("kind"), s["end"].alias("end")))
+
+    return rows.join(per_text, "digest", "left").select("doc_id", named(False).alias("spans"), named(True).alias("far"))
 
 
 def spans_text(spans: Column) -> Column:
