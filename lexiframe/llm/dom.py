@@ -4,21 +4,33 @@ Inline elements belong to the run they stand in, so a run is what a reader
 sees as one block of text. Scripts, styles, titles, comments and the like have
 no visible text and leave nothing. Unclosed elements end where the usual rules
 end them (a new paragraph ends the one before, an outer end tag ends all inner
-elements); stray end tags are ignored; an unclosed page is a page.
+elements); stray end tags are ignored; an unclosed page is a page. A quoted
+string stands right after ``=``; any other quote in a tag is an ordinary
+character. Only raw text (scripts, styles and the like) goes on to the end of
+the page when it is not closed: svg and math end at the next HTML element or
+outer end tag, of other unseen elements the start tag is ignored.
 """
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>", re.S)
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)"
+    r"(?P<attrs>(?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>]*+))?+)*+)>", re.S)
 _ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 UNSEEN = frozenset("script style title template noscript svg math iframe object canvas audio video select textarea".split())
+RAW = frozenset("script style title textarea iframe".split())  # text up to their own end tag, whatever stands in it
+# HTML elements that end svg and math, and elements of svg and math with HTML inside
+_BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing "
+                      "menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var "
+                      "article aside footer header main nav section".split())
+_HOLDS_HTML = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp "
                    "small span strike strong sub sup time tt u var wbr".split())
@@ -59,6 +71,33 @@ def attribute_tokens(tag: str, attrs: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
+def _foreign_end(source: str, at: int, tag: str, open_tags: dict[str, int]) -> int:
+    """Where the svg or math whose start tag ends at ``at`` ends."""
+    own: Counter[str] = Counter()
+    holds = 0
+    first = None  # HTML that ends it if what holds HTML is never closed
+    for m in _TOKEN.finditer(source, at):
+        if m["tag"] is None:
+            continue
+        t = m["tag"].lower()
+        if m["end"]:
+            if own[t]:
+                own[t] -= 1
+                holds -= t in _HOLDS_HTML
+            elif t == tag:
+                return m.end()
+            elif not holds and (t in INLINE or t in ("p", "br") or open_tags.get(t)):
+                return m.start()
+        elif t in _BREAKOUT:
+            if not holds:
+                return m.start()
+            first = m.start() if first is None else first
+        elif not m["attrs"].endswith("/"):
+            own[t] += 1
+            holds += t in _HOLDS_HTML
+    return len(source) if first is None else first
+
+
 def parse(source: str) -> Page:
     """The block tree of a whole page (iterative, any depth)."""
     page = Page()
@@ -66,6 +105,7 @@ def parse(source: str) -> Page:
     open_tags: dict[str, int] = {}
     pieces: list[str] = []
     links = linked = 0
+    unclosed: set[str] = set()  # unseen elements without an end tag in the rest of the page
 
     def flush() -> None:
         nonlocal linked
@@ -116,9 +156,14 @@ def parse(source: str) -> Page:
             continue
         closed = m["attrs"].endswith("/")
         if tag in UNSEEN:
-            if not closed or tag in ("script", "style", "title", "textarea"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
-                at = end.end() if end else size
+            if tag in ("svg", "math"):
+                at = at if closed else _foreign_end(source, at, tag, open_tags)
+            elif tag not in unclosed and (not closed or tag in ("script", "style", "title", "textarea")):
+                end = re.compile(rf"</{tag}(?:[\s/][^>]*+)?>", re.I).search(source, at)
+                if end or tag in RAW:
+                    at = end.end() if end else size
+                else:
+                    unclosed.add(tag)
             if tag not in ("svg", "math"):
                 flush()
         elif tag == "a":

@@ -17,6 +17,25 @@ def test_reader_blocks_and_references():
     assert runs("") == [] and runs("plain") == ["plain"] and runs("<<<>>>") == ["<<<>>>"]
 
 
+def test_reader_keeps_the_text_after_malformed_tags():
+    assert runs("<a title=it's>Read</a><p>Main text don't stop</p>") == ["Read", "Main text don't stop"]
+    assert runs('<img alt="5" monitor"><p>x "a <b>b</b>" y</p>') == ['x "a b" y']
+    assert runs("<p class='a'b' c>x</p><p title = \"d > e\"f='>'>y") == ["x", "y"]
+    assert runs("<p '>x</p><p =\">y</p><p title=>z</p><p title=\"w>v") == ["x", "y", "z", "v"]
+    assert runs("<br/><a href='/x'/>l</a><div/>m") == ["l", "m"]
+    assert runs("<script>a</script x>b<style>c</style/>d") == ["b", "d"]
+
+
+def test_reader_ends_unclosed_unseen_elements():
+    assert runs("<svg><path d='M0'><text>t</text><p>Main</p><svg><text>t</text></svg>") == ["Main"]
+    assert runs("<div><svg><g><text>t</g></div>Main<math><mi>x</mi><h2>Head</h2>") == ["Main", "Head"]
+    assert runs("<span><svg><a>t</a></span>Main") == ["Main"] and runs("<svg/>Main") == ["Main"]
+    assert runs("<svg><foreignObject><p>t</p></foreignObject><title>t</title><svg><text>t</svg></svg>Main") == ["Main"]
+    assert runs("<svg><title>t<p>Main</p>") == ["Main"] and runs("a<math><mtext><b>t</b></mtext></math>b") == ["ab"]
+    assert runs("<video src=x><p>Main</p><canvas><p>Other</p>") == ["Main", "Other"]
+    assert runs("<video src=x>t</video>Main<textarea>t <p>t</p>") == ["Main"]
+
+
 def test_reader_closes_what_is_left_open():
     page = parse("<ul><li>a<li>b<ul><li>c</ul><li>d</ul><table><tr><td>e<td>f<tr><td>g</table>")
     assert [t for t in page.text if t] == list("abcdefg")
