@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, fingerprints, html_extract, mixing, near_dedup, quality, secrets, suffix_dedup, token_counts, topk
+from . import bpe, fingerprints, html_extract, mixing, near_dedup, quality, secrets, suffix_dedup, token_counts, topk, whitening
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 UNIGRAM_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -71,6 +71,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every embedding on the 16 whitened components of greatest variance."""
+    return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_top_k": op1_top_k,
     "op2_mix_sources": op2_mix_sources,
@@ -82,6 +87,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op13_whitening": op13_whitening,
 }
 
 OP2_SQL = r"""
