@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, fingerprints, html_extract, mixing, near_dedup, quality, secrets, suffix_dedup, token_counts, topk, whitening
+from . import (bpe, fingerprints, html_extract, mixing, near_dedup, quality, secrets, spelling, suffix_dedup, token_counts,
+               topk, whitening)
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 UNIGRAM_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -71,6 +72,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the documents with its form and root."""
+    return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every embedding on the 16 whitened components of greatest variance."""
     return whitening.whiten(read_table(spark, sf_dir, "embeddings"))
@@ -87,6 +93,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op12_spelling": op12_spelling,
     "op13_whitening": op13_whitening,
 }
 
@@ -137,4 +144,45 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
 """
 
-ORACLE_SQL = {"op1_top_k": OP1_SQL, "op2_mix_sources": OP2_SQL}
+# crc32 over the UTF-8 bytes of '<doc_id>:<run>': its table from the polynomial, then one step a byte
+OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS steps FROM (
+    SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x:
+             CASE WHEN a % 2 = 1 THEN xor(3988292384::BIGINT, a // 2) ELSE a // 2 END) AS v FROM range(256) AS r(i))),
+found AS (
+  SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS n FROM found GROUP BY ALL),
+hashed AS (
+  SELECT run, n, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(
+           string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''), lambda c:
+             CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+                  ELSE [192 + unicode(c)::BIGINT // 64, 128 + unicode(c)::BIGINT % 64] END))),
+         lambda a, b: xor(a // 256, steps[1 + xor(a % 256, b)]))) AS h FROM runs, crc),
+words AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT n, CASE WHEN h % 97 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM hashed) GROUP BY word HAVING length(word) >= 5 AND sum(n) >= 3),
+skips AS (
+  SELECT word, i, left(word, i) || substr(word, i + 2) AS rest
+  FROM (SELECT word, unnest(range(length(word))) AS i FROM words)),
+near AS (
+  SELECT a.word, b.word AS other FROM skips a JOIN skips b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT word, rest FROM skips WHERE rest IN (SELECT word FROM words)
+  UNION SELECT rest, word FROM skips WHERE rest IN (SELECT word FROM words)),
+best AS (
+  SELECT near.word, count(*) AS n_near, arg_min(other, (-o.n, other)) AS other, max(o.n) AS other_n
+  FROM near JOIN words o ON o.word = near.other GROUP BY near.word),
+formed AS (
+  SELECT w.word, w.n, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near,
+         CASE WHEN other_n >= 2 * w.n THEN other END AS form, CASE WHEN other_n >= 2 * w.n THEN other_n END AS form_n
+  FROM words w LEFT JOIN best USING (word)),
+steps AS (
+  SELECT word, word AS root, 0 AS step FROM formed
+  UNION ALL SELECT s.word, f.form, step + 1 FROM steps s JOIN formed f ON f.word = s.root WHERE f.form IS NOT NULL),
+ends AS (SELECT word, arg_max(root, step) AS root FROM steps GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN ends USING (word)
+"""
+
+ORACLE_SQL = {"op1_top_k": OP1_SQL, "op2_mix_sources": OP2_SQL, "op12_spelling": OP12_SQL}
