@@ -5,6 +5,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from ..session import materialize
 
 TEXT_BATCH_ROWS = 512
 BITMAP_WORDS = 1 << 20
+STEP_BYTES = 4 << 20  # text bytes of a numpy step
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_BATCH_ROWS) -> None:
@@ -42,6 +44,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0]:off[-1]], off - off[0]
 
 
+def byte_slices(column: pa.Array, most: int = STEP_BYTES) -> Iterator[pa.Array]:
+    """Consecutive rows of a text column, at most ``most`` bytes at a time (a longer text alone)."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most, side="right")))
+        yield column.slice(at, stop - at)
+        at = stop
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 (murmur-style constants): spreads every input bit."""
     h = h ^ (h >> np.uint64(33))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import (bpe, fingerprints, html_extract, mixing, near_dedup, quality, secrets, spelling, suffix_dedup, token_counts,
-               topk, whitening)
+from . import (bpe, fingerprints, html_extract, mixing, near_dedup, quality, secrets, spelling, suffix_dedup, suffix_tree,
+               token_counts, topk, whitening)
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 UNIGRAM_MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -72,6 +72,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op11_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document by the suffix tree of nine tenths of them, and by its root."""
+    return suffix_tree.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every word of the documents with its form and root."""
     return spelling.spelling_variants(read_table(spark, sf_dir, "documents"))
@@ -93,6 +98,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_token_counts": op9_token_counts,
     "op10_quality": op10_quality,
+    "op11_suffix_tree": op11_suffix_tree,
     "op12_spelling": op12_spelling,
     "op13_whitening": op13_whitening,
 }

@@ -20,6 +20,7 @@ COLUMNS = {
     "op8_suffix_dedup": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
     "op9_token_counts": ["doc_id", "n_tokens"],
     "op10_quality": ["doc_id", "held_out", "score", "predicted"],
+    "op11_suffix_tree": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op12_spelling": ["word", "form", "root", "n", "n_near", "form_n"],
     "op13_whitening": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
 }
