@@ -265,10 +265,20 @@ def _level(pairs: DataFrame, upper: DataFrame, min_context: int, discount: float
     return values, judged.select("key", "n", F.coalesce("own", "above").alias("p"))
 
 
-def _sorted(table: pa.Table, value: str) -> tuple[np.ndarray, np.ndarray]:
-    keys = table.column("key").to_numpy().view(np.uint64)
-    order = np.argsort(keys, kind="stable")
-    return keys[order], table.column(value).to_numpy()[order]
+def _collected(df: DataFrame, value: str, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``size`` rows of ``df`` (key, ``value``) as arrays by rising key, fetched by key ranges of about a million rows
+    so that the driver holds little beside them."""
+    keys, values, at = np.empty(size, np.int64), None, 0
+    step = -(-(1 << 64) // max(1, size >> 20))
+    for low in range(-1 << 63, 1 << 63, step):
+        table = df.where((F.col("key") >= low) & (F.col("key") <= min(low + step, 1 << 63) - 1)).select("key", value).toArrow()
+        found = table.column("key").to_numpy()
+        order = np.argsort(found, kind="stable")
+        numbers = table.column(value).to_numpy()
+        values = np.empty(size, numbers.dtype) if values is None else values
+        keys[at:at + len(found)], values[at:at + len(found)] = found[order], numbers[order]
+        at += len(found)
+    return keys, values
 
 
 def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarray:
@@ -276,7 +286,7 @@ def _look_up(table: tuple[np.ndarray, np.ndarray], keys: np.ndarray) -> np.ndarr
     known, values = table
     if not len(known) or not len(keys):
         return np.zeros(len(keys), values.dtype)
-    some, back = np.unique(keys, return_inverse=True)
+    some, back = np.unique(keys.view(np.int64), return_inverse=True)
     at = np.minimum(np.searchsorted(known, some), len(known) - 1)
     return np.where(known[at] == some, values[at], 0)[back]
 
@@ -296,22 +306,24 @@ def _kept(keep: tuple[str, ...]) -> tuple[Column, list[str]]:
 def score(docs: DataFrame, tree: SuffixTree, keep: tuple[str, ...] = (), limit: int = BROADCAST_KEYS) -> DataFrame:
     """``keep`` columns of ``docs`` (text), n_tokens, n_known, base_score (the root's) and score: log10 probabilities."""
     values = materialize(tree.values, "tree-values")
-    if tree.distinct + values.count() <= limit:
-        return _score_in_place(docs, tree, values, keep)
+    sizes = {r["kind"]: r["count"] for r in values.groupBy("kind").count().collect()}  # two rows
+    if tree.distinct + sum(sizes.values()) <= limit:
+        return _score_in_place(docs, tree, values, sizes, keep)
     return _score_by_join(docs, tree, values, keep)
 
 
-def _score_in_place(docs: DataFrame, tree: SuffixTree, values: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    tables = [_sorted(tree.words.select("key", F.col("n").cast("long")).toArrow(), "n")]
-    tables += [_sorted(values.where(F.col("kind") == kind).select("key", "value").toArrow(), "value") for kind in (PAIR, STATE)]
-    shared = docs.sparkSession.sparkContext.broadcast(tables)
+def _score_in_place(docs: DataFrame, tree: SuffixTree, values: DataFrame, sizes: dict[int, int], keep: tuple[str, ...]) -> DataFrame:
+    context = docs.sparkSession.sparkContext
+    counts = tree.words.withColumn("n", F.col("n").cast("int")) if tree.n < 1 << 31 else tree.words
+    words = context.broadcast(_collected(counts, "n", tree.distinct))
+    pairs, states = (context.broadcast(_collected(values.where(F.col("kind") == kind), "value", sizes.get(kind, 0)))
+                     for kind in (PAIR, STATE))
     depth, root = tree.depth, SuffixTree(None, None, tree.depth, tree.n, tree.distinct).root  # the frames stay on the driver
 
     def texts(column: pa.Array) -> Iterator[list[np.ndarray]]:
-        words, pairs, states = shared.value
         for part in byte_slices(column):
             w, off = symbols(part)
-            n = _look_up(words, w)
+            n = _look_up(words.value, w)
             every = np.arange(len(w))
             base = _per_text(off, every, root(n))
             total = base.copy()
@@ -320,7 +332,7 @@ def _score_in_place(docs: DataFrame, tree: SuffixTree, values: DataFrame, keep:
             for k in range(1, depth + 1):
                 before[chain[k - 1][0]] = chain[k - 1][1]
                 at, keys = chain[k]
-                total += _per_text(off, at, _look_up(pairs, keys).astype(np.float64) + _look_up(states, before[at - 1]))
+                total += _per_text(off, at, _look_up(pairs.value, keys).astype(np.float64) + _look_up(states.value, before[at - 1]))
             yield [np.diff(off), _per_text(off, every, n > 0).astype(np.int64), base, total]
 
     @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base_score:double,score:double>")
