@@ -15,10 +15,10 @@ state and perhaps one of the pair, a text's log probability is a sum of looked-u
 its pairs'.
 
 Symbols and sequences are 64-bit hashes: two of V symbols meet with probability V^2 / 2^65. All counts cover all
-training texts. Per level one scan counts the sequences whose context is frequent enough: a task sorts and adds up
-what it holds and sends it on as sorted, delta-coded packs, one a hash range, so a range's reducer is bounded whatever
-single keys weigh. A second scan gives the context and suffix of the counted pairs. Scans are narrowed by bitmaps of a
-fixed size (8 MB), which miss nothing; joins then are exact.
+training texts. Per level one scan counts the sequences whose context is frequent enough, each as the pair (sequence without its
+last symbol, sequence without its first): a task sorts and adds up what it holds and sends it on as sorted, delta-coded
+packs, one a hash range, so a range's reducer is bounded whatever single sequences weigh. Scans are narrowed by a bitmap
+of a fixed size (8 MB), which misses nothing; joins then are exact.
 
 The model grows with the corpus. While its keys are within ``BROADCAST_KEYS`` (measured first) scoring texts look them up
 in their own tasks; beyond it each text's distinct keys join the model by shuffle. Both give the same sums.
@@ -47,7 +47,7 @@ from .shingles import word_hashes
 DEPTH, MIN_CONTEXT, MIN_NEXT, DISCOUNT, GAIN = 2, 32, 4, 0.75, 4.0
 BROADCAST_KEYS = 1 << 24  # 12 bytes a key in every worker
 BITS = 26  # of a bitmap
-HELD = 4_000_000  # keys a task adds up at a time
+HELD = 2_000_000  # sequences a task adds up at a time
 BUCKET_KEYS = 4_000_000
 WORD, PAIR, STATE = 0, 1, 2  # kinds of looked-up numbers
 END = np.uint64(0x51AFE11E57E2D0E5)
@@ -71,17 +71,24 @@ def symbols(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, at + np.arange(len(at))
 
 
-def chains(w: np.ndarray, off: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per level 0..depth: (positions with that many symbols before them in their text, hash of those and their own)."""
+def _longer(context: np.ndarray, lower: np.ndarray, level: int) -> np.ndarray:
+    """Hash of the sequences of ``level`` + 1 symbols, from those without their last and without their first symbol."""
+    return mix64(context * _CHAIN + lower + np.uint64(level))
+
+
+def chains(w: np.ndarray, off: np.ndarray, depth: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Per level 0..depth: positions with that many symbols before them in their text; and for each the hash of those
+    and its own symbol, of those alone (the context), and of the sequence without its first symbol."""
     place = np.arange(len(w)) - np.repeat(off[:-1], np.diff(off))
-    out = [(np.arange(len(w)), w)]
+    none = np.zeros(len(w), np.uint64)
+    out = [(np.arange(len(w)), w, none, w)]
     whole = w
     for k in range(1, depth + 1):
-        longer = np.zeros(len(w), np.uint64)
-        longer[1:] = mix64(whole[:-1] * _CHAIN + w[1:] + np.uint64(k))
-        whole = longer
         at = np.flatnonzero(place >= k)
-        out.append((at, whole[at]))
+        context, lower = whole[at - 1], whole[at]
+        whole = none.copy()
+        whole[at] = _longer(context, lower, k)
+        out.append((at, whole[at], context, lower))
     return out
 
 
@@ -110,101 +117,61 @@ def _values(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(np.uint64)
 
 
-def pack(keys: np.ndarray, counts: np.ndarray) -> tuple[bytes, bytes]:
-    return _planes(np.diff(keys, prepend=np.uint64(0))), _planes(counts)
-
+def pack(context: np.ndarray, lower: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """Sequences by rising context, as differences of the contexts, suffixes and counts."""
+    return [_planes(np.diff(context, prepend=np.uint64(0))), _planes(lower), _planes(counts)]
 
-def unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    return np.cumsum(_values(keys), dtype=np.uint64), _values(counts).astype(np.int64)
 
-
-def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    order = np.argsort(keys, kind="stable")
-    keys, counts = keys[order], counts[order]
-    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+def unpack(context: bytes, lower: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.cumsum(_values(context), dtype=np.uint64), _values(lower), _values(counts).astype(np.int64)
 
 
 def count_sequences(texts: DataFrame, level: int, least: int, buckets: int, contexts: Bitmap | None = None) -> DataFrame:
-    """key, n: sequences of ``level`` + 1 symbols in ``texts`` (text) that occur at least ``least`` times and whose
-    first ``level`` symbols may be in ``contexts``."""
+    """key, context, lower, n: sequences of ``level`` + 1 symbols in ``texts`` (text) that occur at least ``least`` times
+    and whose first ``level`` symbols may be in ``contexts``."""
     bits = max(1, (buckets - 1).bit_length())
     shared = texts.sparkSession.sparkContext.broadcast(contexts)
 
-    def packs(keys: list[np.ndarray]) -> pa.RecordBatch:
-        found, counts = np.unique(np.concatenate(keys), return_counts=True)
-        of = (found >> np.uint64(64 - bits)).astype(np.int32)
+    def packs(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, context, lower = np.concatenate(held, axis=1)
+        _, at, counts = np.unique(key, return_index=True, return_counts=True)
+        of, context, lower = (key[at] >> np.uint64(64 - bits)).astype(np.int32), context[at], lower[at]
+        order = np.lexsort((context, of))
+        of, context, lower, counts = of[order], context[order], lower[order], counts[order]
         first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-        ends = np.r_[first[1:], len(of)]
-        packed = [pack(found[a:b], counts[a:b]) for a, b in zip(first, ends)]
-        return pa.RecordBatch.from_pydict({"bucket": of[first], "keys": [k for k, _ in packed], "counts": [c for _, c in packed]})
+        packed = [pack(context[a:b], lower[a:b], counts[a:b]) for a, b in zip(first, np.r_[first[1:], len(of)])]
+        return pa.RecordBatch.from_arrays([pa.array(of[first]), *[pa.array(c, pa.binary()) for c in zip(*packed)]],
+                                          names=["bucket", "context", "lower", "counts"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, held = [], 0
+        held, size = [], 0
         for b in batches:
             for part in byte_slices(b.column(0)):
-                chain = chains(*symbols(part), level)
-                at, found = chain[level]
+                found = np.stack(chains(*symbols(part), level)[level][1:])
                 if shared.value is not None:
-                    context = np.zeros(len(chain[0][1]), np.uint64)
-                    context[chain[level - 1][0]] = chain[level - 1][1]
-                    found = found[shared.value(context[at - 1])]
-                if len(found):
-                    keys.append(found)
-                    held += len(found)
-                if held >= HELD:
-                    yield packs(keys)
-                    keys, held = [], 0
-        if held:
-            yield packs(keys)
+                    found = found[:, shared.value(found[1])]
+                if found.shape[1]:
+                    held.append(found)
+                    size += found.shape[1]
+                if size >= HELD:
+                    yield packs(held)
+                    held, size = [], 0
+        if size:
+            yield packs(held)
 
     def merge(table: pa.Table) -> pa.Table:
-        parts = [unpack(k, c) for k, c in zip(table.column("keys").to_pylist(), table.column("counts").to_pylist())]
-        keys, counts = add_up(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-        on = counts >= least
-        return pa.table({"key": keys[on].view(np.int64), "n": counts[on]})
-
-    return (texts.select("text").mapInArrow(scan, "bucket int, keys binary, counts binary")
-            .groupBy("bucket").applyInArrow(merge, "key long, n long"))
-
+        rows = zip(*(table.column(c).to_pylist() for c in ("context", "lower", "counts")))
+        context, lower, counts = (np.concatenate(c) for c in zip(*(unpack(*r) for r in rows)))
+        key = lower if level == 0 else _longer(context, lower, level)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        n = np.add.reduceat(counts[order], first)
+        at, n = order[first][n >= least], n[n >= least]
+        return pa.table([*(pa.array(c[at].view(np.int64)) for c in (key, context, lower)), pa.array(n)],
+                        names=["key", "context", "lower", "n"])
 
-def sequence_links(texts: DataFrame, pairs: dict[int, Bitmap]) -> DataFrame:
-    """level, key, context, lower: of every sequence that may be in ``pairs``, the hashes of what precedes its last
-    symbol and of the sequence without its first; one row a sequence."""
-    shared = texts.sparkSession.sparkContext.broadcast(pairs)
-    depth = max(pairs)
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[np.ndarray]] = {k: [np.zeros((3, 0), np.uint64)] for k in shared.value}
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            for k, parts in held.items():
-                m = np.concatenate(parts, axis=1)
-                m = m[:, np.unique(m[0], return_index=True)[1]].view(np.int64)
-                held[k] = [np.zeros((3, 0), np.uint64)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(m.shape[1], k, np.int32)), *map(pa.array, m)],
-                                                 names=["level", "key", "context", "lower"])
-
-        size = 0
-        for b in batches:
-            for part in byte_slices(b.column(0)):
-                chain = chains(*symbols(part), depth)
-                before = np.zeros(len(chain[0][1]), np.uint64)
-                for k in range(1, depth + 1):
-                    before[chain[k - 1][0]] = chain[k - 1][1]  # the sequence of k symbols that ends at a position
-                    at, keys = chain[k]
-                    on = shared.value[k](keys)
-                    at, keys = at[on], keys[on]
-                    some = np.unique(keys, return_index=True)[1]
-                    held[k].append(np.stack([keys, before[at - 1], before[at]])[:, some])
-                    size += len(some)
-                if size >= HELD // 4:
-                    yield from rows()
-                    size = 0
-        yield from rows()
-
-    links = texts.select("text").mapInArrow(scan, "level int, key long, context long, lower long")
-    return links.groupBy("level", "key").agg(F.any_value("context").alias("context"), F.any_value("lower").alias("lower"))
+    return (texts.select("text").mapInArrow(scan, "bucket int, context binary, lower binary, counts binary")
+            .groupBy("bucket").applyInArrow(merge, "key long, context long, lower long, n long"))
 
 
 @dataclass(frozen=True)
@@ -225,21 +192,19 @@ def fit(texts: DataFrame, depth: int = DEPTH, min_context: int = MIN_CONTEXT, mi
         discount: float = DISCOUNT, gain: float = GAIN) -> SuffixTree:
     """The tree of the training ``texts`` (text). ``min_next`` is at most ``min_context``."""
     tasks = max(range_partitions(texts), texts.rdd.getNumPartitions())
-    words = materialize(count_sequences(texts, 0, 1, 4 * tasks), "tree-words")
+    words = materialize(count_sequences(texts, 0, 1, 4 * tasks).select("key", "n"), "tree-words")
     n, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     buckets = max(tasks, -(-n // BUCKET_KEYS))
     counted, above = {}, words
     for k in range(1, depth + 1):
         contexts = Bitmap(above.where(F.col("n") >= min_context))
         counted[k] = above = materialize(count_sequences(texts, k, min_next, buckets, contexts), f"tree-counts-{k}")
-    known = reduce(DataFrame.unionAll, [c.select(F.lit(k).alias("level"), "key", "n") for k, c in counted.items()])
-    pairs = materialize(sequence_links(texts, {k: Bitmap(c) for k, c in counted.items()}).join(known, ["level", "key"]), "tree-pairs")
 
     # the sequences of the level above: as contexts (n) and as suffixes (p, the probability under the longest kept state)
     upper = words.select("key", "n", ((F.col("n") + 0.1) / (n + 0.1 * (distinct + 1))).alias("p"))
     values = []
     for k in range(1, depth + 1):
-        level, upper = _level(pairs.where(F.col("level") == k), upper, min_context, discount, gain, k)
+        level, upper = _level(counted[k], upper, min_context, discount, gain, k)
         values.append(level)
     return SuffixTree(words, reduce(DataFrame.unionAll, values), depth, n, distinct)
 
@@ -327,12 +292,8 @@ def _score_in_place(docs: DataFrame, tree: SuffixTree, values: DataFrame, sizes:
             every = np.arange(len(w))
             base = _per_text(off, every, root(n))
             total = base.copy()
-            chain = chains(w, off, depth)
-            before = np.zeros(len(w), np.uint64)
-            for k in range(1, depth + 1):
-                before[chain[k - 1][0]] = chain[k - 1][1]
-                at, keys = chain[k]
-                total += _per_text(off, at, _look_up(pairs.value, keys).astype(np.float64) + _look_up(states.value, before[at - 1]))
+            for at, keys, contexts, _ in chains(w, off, depth)[1:]:
+                total += _per_text(off, at, _look_up(pairs.value, keys).astype(np.float64) + _look_up(states.value, contexts))
             yield [np.diff(off), _per_text(off, every, n > 0).astype(np.int64), base, total]
 
     @F.arrow_udf("struct<n_tokens:bigint,n_known:bigint,base_score:double,score:double>")
@@ -358,13 +319,9 @@ def _score_by_join(docs: DataFrame, tree: SuffixTree, values: DataFrame, keep: t
             at_row = 0
             for part in byte_slices(b.column(1)):
                 w, off = symbols(part)
-                chain = chains(w, off, depth)
-                before = np.zeros(len(w), np.uint64)
                 found = [(WORD, np.arange(len(w)), w)]
-                for k in range(1, depth + 1):
-                    before[chain[k - 1][0]] = chain[k - 1][1]
-                    at, keys = chain[k]
-                    for kind, some in ((PAIR, keys), (STATE, before[at - 1])):
+                for at, keys, contexts, _ in chains(w, off, depth)[1:]:
+                    for kind, some in ((PAIR, keys), (STATE, contexts)):
                         on = may_be.value[kind](some)
                         found.append((kind, at[on], some[on]))
                 ids = b.column(0).slice(at_row, len(part)).to_numpy()
