@@ -55,6 +55,46 @@ def _feature_matrix(col) -> "np.ndarray":
     return np.vstack([np.asarray(v, dtype=np.float64) for v in col.to_pylist()])
 
 
+class ModularScorer:
+    """Fixed scorer over padded ids and their mask: logit j is a tenth of the mean over the masked-in ids of
+    ((id + j + 1) (2 j + 1)) mod 101, 0 without ids."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def __call__(self, ids: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        n = np.maximum(mask.sum(axis=1), 1)
+        return np.stack([((ids + j + 1) * (2 * j + 1) % 101 * mask).sum(axis=1) / n / 10 for j in range(self.k)], axis=1)
+
+
+def _scored_schema(df: DataFrame, cols: Sequence[str]) -> T.StructType:
+    return T.StructType([T.StructField(c, df.schema[c].dataType, True) for c in cols]
+                        + [T.StructField("logits", T.ArrayType(T.DoubleType())), T.StructField("pred", T.IntegerType()),
+                           T.StructField("loss", T.DoubleType())])
+
+
+def _scored(columns: list, names: list[str], ok: np.ndarray, z_ok: np.ndarray | None, target) -> "pa.RecordBatch":
+    """A batch of key columns with logits, prediction and loss; rows that are not ``ok`` and targets outside the logits get nulls."""
+    import pyarrow as pa
+    n = len(ok)
+    if z_ok is None:
+        nulls = [pa.nulls(n, pa.list_(pa.float64())), pa.nulls(n, pa.int32()), pa.nulls(n, pa.float64())]
+        return pa.RecordBatch.from_arrays(columns + nulls, names=names + ["logits", "pred", "loss"])
+    k = z_ok.shape[1]
+    z = np.zeros((n, k))
+    z[ok] = z_ok
+    loss, has_loss = np.zeros(n), np.zeros(n, bool)
+    if target is not None:
+        t = target.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        has_loss = ok & (t >= 0) & (t < k)
+        m = z.max(axis=1)
+        loss = m + np.log(np.exp(z - m[:, None]).sum(axis=1)) - z[np.arange(n), np.clip(t, 0, k - 1)]
+    logits = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)), pa.array(z.reshape(-1)), mask=pa.array(~ok))
+    return pa.RecordBatch.from_arrays(
+        columns + [logits, pa.array(z.argmax(axis=1).astype(np.int32), mask=~ok), pa.array(loss, mask=~has_loss)],
+        names=names + ["logits", "pred", "loss"])
+
+
 def score_table(df: DataFrame, features: str, keys: Sequence[str], scorer,
                 target: str | None = None) -> DataFrame:
     """M1: score every row with a plug-in scorer; prediction, loss and correctness per row.
@@ -66,54 +106,67 @@ def score_table(df: DataFrame, features: str, keys: Sequence[str], scorer,
     through as Arrow arrays untouched.
     """
     import pyarrow as pa
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(scorer)
+    bc = df.sparkSession.sparkContext.broadcast(scorer)
     cols = list(keys) + ([target] if target else [])
-    key_fields = [f for f in df.schema.fields if f.name in cols]
-    out_schema = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in sorted(key_fields, key=lambda f: cols.index(f.name))]
-        + [T.StructField("logits", T.ArrayType(T.DoubleType())), T.StructField("pred", T.IntegerType()),
-           T.StructField("loss", T.DoubleType())])
 
     def run(batches):
-        sc = bc.value
         for rb in batches:
-            n = rb.num_rows
-            if n == 0:
+            if rb.num_rows == 0:
                 continue
             fcol = rb.column(features)
             ok = ~fcol.is_null().to_numpy(zero_copy_only=False)  # null vectors score to nulls
-            if not ok.any():
-                yield pa.RecordBatch.from_arrays(
-                    [rb.column(c) for c in cols] + [pa.nulls(n, pa.list_(pa.float64())),
-                                                    pa.nulls(n, pa.int32()), pa.nulls(n, pa.float64())],
-                    names=cols + ["logits", "pred", "loss"])
+            z_ok = None
+            if ok.any():
+                z_ok = np.asarray(bc.value(_feature_matrix(fcol if ok.all() else fcol.filter(pa.array(ok)))), dtype=np.float64)
+            yield _scored([rb.column(c) for c in cols], cols, ok, z_ok, rb.column(target) if target else None)
+
+    return df.select(*cols, features).mapInArrow(run, _scored_schema(df, cols))
+
+
+def _micro_batches(lengths: np.ndarray, cells: int):
+    """Row numbers by rising length, in runs whose padded matrix has at most ``cells`` cells (a longer row alone)."""
+    order = np.argsort(lengths, kind="stable")
+    at = 0
+    while at < len(order):
+        widths = np.maximum(lengths[order[at:]], 1)
+        fits = int(np.searchsorted(widths * np.arange(1, len(widths) + 1), cells, side="right"))
+        yield order[at:at + max(fits, 1)]
+        at += max(fits, 1)
+
+
+def score_encoded(df: DataFrame, keys: Sequence[str], scorer, ids: str = "input_ids", target: str | None = None,
+                  pad: int = 0, cells: int = 1 << 20) -> DataFrame:
+    """M1 over encoded rows (E2 without E7): a plug-in scorer called with padded ids and their attention mask.
+
+    ``scorer(ids, mask)`` gets two int64 matrices (rows x longest row) and returns logits (rows x classes). Within a
+    task, the rows of an Arrow batch are grouped by length into micro-batches padded to their own longest row, bounded
+    in cells (not rows), and put back in order: long rows do not widen short ones, and memory does not depend on
+    the batch. A scorer that heeds the mask gives the same scores however rows are batched. NULL ids score to nulls, a row
+    without ids is all padding; a target that is NULL or outside the logits has no loss."""
+    bc = df.sparkSession.sparkContext.broadcast(scorer)
+    cols = list(keys) + ([target] if target else [])
+    ids_at = len(cols)
+
+    def run(batches):
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            z_ok = np.asarray(sc(_feature_matrix(fcol if ok.all() else fcol.filter(pa.array(ok)))),
-                              dtype=np.float64)
-            k = z_ok.shape[1]
-            z = np.zeros((n, k))
-            z[ok] = z_ok
-            pred = z.argmax(axis=1).astype(np.int32)
-            loss = np.zeros(n)
-            has_loss = ok.copy()
-            if target:
-                tcol = rb.column(target)
-                t = tcol.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-                has_loss &= (t >= 0) & (t < k)
-                m = z.max(axis=1)
-                lse = m + np.log(np.exp(z - m[:, None]).sum(axis=1))
-                loss = lse - z[np.arange(n), np.clip(t, 0, k - 1)]
-            else:
-                has_loss[:] = False
-            logits = pa.ListArray.from_arrays(pa.array(np.arange(0, n * k + 1, k, dtype=np.int32)),
-                                              pa.array(z.reshape(-1)), mask=pa.array(~ok))
-            yield pa.RecordBatch.from_arrays(
-                [rb.column(c) for c in cols]
-                + [logits, pa.array(pred, mask=~ok), pa.array(loss, mask=~has_loss)],
-                names=cols + ["logits", "pred", "loss"])
-
-    return df.select(*cols, features).mapInArrow(run, out_schema)
+            lists = rb.column(ids_at)
+            ok = lists.is_valid().to_numpy(zero_copy_only=False)
+            lengths = lists.value_lengths().drop_null().to_numpy().astype(np.int64)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(lengths)
+            z_ok = None
+            for rows in _micro_batches(lengths, cells):
+                width = max(int(lengths[rows].max()), 1)
+                mask = (np.arange(width) < lengths[rows][:, None])
+                matrix = np.full(mask.shape, pad, np.int64)
+                matrix[mask] = flat[np.concatenate([np.arange(ends[r] - lengths[r], ends[r]) for r in rows])]
+                z = np.asarray(bc.value(matrix, mask.astype(np.int64)), dtype=np.float64)
+                z_ok = np.zeros((len(lengths), z.shape[1])) if z_ok is None else z_ok
+                z_ok[rows] = z
+            yield _scored(rb.columns[:ids_at], cols, ok, z_ok, rb.column(ids_at - 1) if target else None)
+
+    return df.select(*cols, ids).mapInArrow(run, _scored_schema(df, cols))
 
 
 def train_frozen(df: DataFrame, features: str, label: str, key: str, split_col: str = "split",

@@ -323,7 +323,7 @@ WITH h AS (SELECT label, row_number() OVER (ORDER BY md5('{TEST_SEED}:' || CAST(
 t AS (SELECT label FROM h WHERE rn <= ceil(CAST({TEST_SHARE} AS DOUBLE) * n)),
 r AS (SELECT CAST(label AS VARCHAR) AS class, count(*) AS support FROM t GROUP BY label
       UNION ALL SELECT unnest(['macro avg', 'weighted avg']), count(*) FROM t)
-SELECT class, CAST(support AS DOUBLE) AS support, true AS rates_in_range, true AS agrees FROM r"""
+SELECT class, CAST(support AS DOUBLE) AS support, true AS rates_in_range, true AS agrees, true AS learned FROM r"""
 
 ORACLE_SQL["train_text"] = f"""
 WITH h AS (SELECT quality, row_number() OVER (ORDER BY md5('{TEST_SEED}:' || CAST(doc_id AS VARCHAR)), doc_id) AS rn,
@@ -331,7 +331,7 @@ WITH h AS (SELECT quality, row_number() OVER (ORDER BY md5('{TEST_SEED}:' || CAS
 t AS (SELECT quality FROM h WHERE rn <= ceil(CAST({TEST_SHARE} AS DOUBLE) * n)),
 r AS (SELECT {_name('quality')} AS class, count(*) AS support FROM t GROUP BY quality
       UNION ALL SELECT unnest(['macro avg', 'weighted avg']), count(*) FROM t)
-SELECT class, CAST(support AS DOUBLE) AS support, true AS rates_in_range, true AS agrees FROM r"""
+SELECT class, CAST(support AS DOUBLE) AS support, true AS rates_in_range, true AS agrees, true AS learned FROM r"""
 
 ORACLE_SQL["score_table"] = "WITH" + LOGIT_CTE + "\nSELECT vec_id, target, pred, round(loss, 6) AS loss FROM sc"
 
@@ -397,11 +397,24 @@ SELECT doc_id, CAST(len(regexp_extract_all(text, '\p{L}+')) AS INTEGER) AS n_tok
        array_to_string(regexp_extract_all(text, '\p{L}+'), ' ') AS tokens FROM documents"""
 
 ORACLE_SQL["run_history_table"] = "WITH" + GRID_CTE + """
-SELECT model, CAST(classes AS INTEGER) AS classes, dataset, CAST(epoch AS INTEGER) AS epoch,
+SELECT true AS learned, model, CAST(classes AS INTEGER) AS classes, dataset, CAST(epoch AS INTEGER) AS epoch,
        CASE WHEN epoch = 1 THEN round(ln(classes), 6) END AS start_loss, true AS best_is_lowest, true AS rates_in_range,
        n_train, n_valid, n_test, 'Adam' AS optimizer, learning_rate, weight_decay, 'CrossEntropyLoss' AS loss_function
 FROM runs, LATERAL (SELECT unnest(range(1, epochs + 1)) AS epoch)"""
 
+ORACLE_SQL["run_resume"] = "WITH" + GRID_CTE + """
+SELECT model, CAST(epoch AS INTEGER) AS epoch, n_train, n_valid, CAST(0 AS DOUBLE) AS train_difference,
+       CAST(0 AS DOUBLE) AS valid_difference, true AS same_weights
+FROM runs, LATERAL (SELECT unnest(range(1, epochs + 1)) AS epoch) WHERE dataset = 'documents'"""
+
+ORACLE_SQL["score_encoded"] = "WITH" + VOCAB_CTE + """,
+each AS (SELECT doc_id, unnest(ids) AS id FROM enc),
+z AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_tokens, sum((id + 1) % 101) / count(*) / 10 AS z0,
+             sum((id + 2) * 3 % 101) / count(*) / 10 AS z1, sum((id + 3) * 5 % 101) / count(*) / 10 AS z2 FROM each GROUP BY doc_id),
+scored AS (SELECT z.*, CAST(quality AS INTEGER) AS target, greatest(z0, z1, z2) AS top FROM z LEFT JOIN labels USING (doc_id))
+SELECT doc_id, n_tokens, target, CAST(CASE top WHEN z0 THEN 0 WHEN z1 THEN 1 ELSE 2 END AS INTEGER) AS pred,
+       round(ln(exp(z0) + exp(z1) + exp(z2)) - CASE target WHEN 0 THEN z0 WHEN 1 THEN z1 END, 6) AS loss FROM scored"""
+
 ORACLE_SQL["duplicate_keys"] = """
 SELECT conv_id, count(*)::BIGINT AS n FROM conversations GROUP BY conv_id HAVING count(*) > 1"""
 

@@ -24,7 +24,7 @@ from ..operators import encode as E
 from ..operators import evaluate as A
 from ..operators import shape as P
 from ..operators import splits as D
-from ..operators.training import hashed_counts
+from ..operators.training import token_hashes
 from ..session import materialize, read_table, spread
 from .fixtures import (
     FIXTURE_STOP_WORDS, GRID, GRID_COLUMNS, HEAD_ROWS, KEEP, N_LOGITS, PEEK_POSITIONS, PRED_SQL, RAW_NEWS_LABEL_SQL,
@@ -474,38 +474,53 @@ def run_keys(spark: SparkSession, sf: str, dataset: str, rule: str) -> DataFrame
                        .withColumnRenamed("split", "phase"), "run-keys")
 
 
-def run_examples(source: DataFrame, keys: DataFrame, classes: int, dim: int, weighted: bool) -> DataFrame:
-    """M7: examples of one configuration: features, label, weight, phase; the features are joined once and written."""
-    key = source.columns[0]
-    features = source if "features" in source.columns else source.select(key, hashed_counts(F.col("tokens"), dim).alias("features"))
-    keys = keys.select(key, F.col(f"label{classes}").alias("label"), "phase")
-    if weighted:
-        keys = keys.join(A.class_weights(keys.where("phase = 'train'"), "label").select("label", "weight"), "label", "left")
+def run_examples(spark: SparkSession, sf: str, dataset: str) -> DataFrame:
+    """M7: the examples that all configurations of a dataset share, written once: features (embeddings) or token hashes
+    (documents), the labels of every class count, phase_<rule> per rule of the second split and weight_<classes>_<rule>
+    for the weighted ones."""
+    configs = [dict(zip(GRID_COLUMNS, c)) for c in GRID if c[1] == dataset]
+    keys = None
+    for rule in dict.fromkeys(c["rule"] for c in configs):
+        one = run_keys(spark, sf, dataset, rule)
+        key = one.columns[0]
+        for k in sorted({c["classes"] for c in configs if c["rule"] == rule and c["weighted"]}):
+            weights = A.class_weights(one.where("phase = 'train'"), f"label{k}").select(f"label{k}", F.col("weight").alias(f"weight_{k}_{rule}"))
+            one = one.join(F.broadcast(weights), f"label{k}", "left").fillna(1.0, [f"weight_{k}_{rule}"])
+        one = one.withColumnRenamed("phase", f"phase_{rule}")
+        keys = one if keys is None else keys.join(one.drop(*[c for c in one.columns if c.startswith("label")]), key)
+    if dataset == "embeddings":
+        source = read_table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("features"))
     else:
-        keys = keys.withColumn("weight", F.lit(1.0))
-    return materialize(features.join(keys, key).select("features", "label", F.coalesce("weight", F.lit(1.0)).alias("weight"),
-                                                       "phase"), "run-examples")
+        labelled = doc_tokens(spark, sf).join(read_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+        source = labelled.select("doc_id", token_hashes(F.col("tokens")).alias("hashes"))
+    return materialize(source.join(keys, key).drop(key), "run-examples")
+
+
+def grid_heads(dataset: str) -> tuple[list[str], list]:
+    """Names and heads of a dataset's configurations over the columns of :func:`run_examples`."""
+    from ..operators.training import Head, Settings
+    configs = [dict(zip(GRID_COLUMNS, c)) for c in GRID if c[1] == dataset]
+    return [c["model"] for c in configs], [
+        Head(f"label{c['classes']}", c["classes"], c["feature_size"], Settings(c["epochs"], c["learning_rate"], c["weight_decay"]),
+             f"weight_{c['classes']}_{c['rule']}" if c["weighted"] else None, f"phase_{c['rule']}") for c in configs]
 
 
 def run_grid(spark: SparkSession, sf: str) -> DataFrame:
     """Every configuration of the grid trained, saved with its history, loaded again;
-    one row per run and epoch with the run's constants and split shares. Tokens and splits are shared by the runs."""
-    from ..operators.training import HISTORY, Settings, fit, load_checkpoint, run_rows, save_checkpoint
+    one row per run and epoch with the run's constants and split shares. The configurations of a dataset advance
+    together: one scan of its examples an epoch."""
+    from ..operators.training import HISTORY, fit_many, load_checkpoint, run_rows, save_checkpoint
     from ..session import scratch_path
     rows, keys = [], [*GRID_COLUMNS, "optimizer", "loss_function", "best_epoch"]
-    tokens = doc_tokens(spark, sf).join(read_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
-    source = {"embeddings": read_table(spark, sf, "embeddings").select("vec_id", F.transform(
-        "embedding", lambda v: v.cast("double")).alias("features")), "documents": materialize(tokens, "run-tokens")}
-    split = {(d, rule): run_keys(spark, sf, d, rule) for d, rule in dict.fromkeys((c[1], c[5]) for c in GRID)}
-    for config in GRID:
-        c = dict(zip(GRID_COLUMNS, config))
-        examples = run_examples(source[c["dataset"]], split[c["dataset"], c["rule"]], c["classes"], c["feature_size"], c["weighted"])
-        settings = Settings(c["epochs"], c["learning_rate"], c["weight_decay"])
-        path = scratch_path(spark, "run-checkpoint")
-        save_checkpoint(spark, fit(examples, c["classes"], c["feature_size"], settings), settings, path)
-        run, settings = load_checkpoint(spark, path)
-        rows += run_rows(run, c | {"optimizer": settings.optimizer, "loss_function": settings.loss_function,
-                                   "best_epoch": run.best_epoch}, keys)
+    for dataset in dict.fromkeys(c[1] for c in GRID):
+        configs = [dict(zip(GRID_COLUMNS, c)) for c in GRID if c[1] == dataset]
+        heads = grid_heads(dataset)[1]
+        for c, head, run in zip(configs, heads, fit_many(run_examples(spark, sf, dataset), heads)):
+            path = scratch_path(spark, "run-checkpoint")
+            save_checkpoint(spark, run, head.settings, path)
+            run, settings = load_checkpoint(spark, path)
+            rows += run_rows(run, c | {"optimizer": settings.optimizer, "loss_function": settings.loss_function,
+                                       "best_epoch": run.best_epoch}, keys)
     kinds = "string, string, int, int, boolean, string, int, double, double, string, string, int".split(", ")
     table = spark.createDataFrame(rows, ", ".join(f"{k} {t}" for k, t in zip(keys, kinds)) + ", " + HISTORY)
     total = F.col("n_train") + F.col("n_valid") + F.col("n_test")
@@ -566,15 +581,51 @@ def q_score_table(spark: SparkSession, sf: str) -> DataFrame:
     return s.select("vec_id", "target", "pred", F.round("loss", 6).alias("loss"))
 
 
-def _checked_report(rep: DataFrame) -> DataFrame:
-    """What SQL can state of a fitted model's report: supports, and that all figures are rates and agree."""
+@register("score_encoded")
+def q_score_encoded(spark: SparkSession, sf: str) -> DataFrame:
+    """M1 over E2: every document's ids and mask through a plug-in scorer, in micro-batches of near-equal length."""
+    from ..operators.models import ModularScorer, score_encoded
+    toks = materialize(doc_tokens(spark, sf), "tokens")
+    enc = E.encode(toks, "doc_id", "tokens", E.build_vocab(toks, "tokens"), MAX_LEN, pad=False)
+    lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("target"))
+    s = score_encoded(enc.join(lab, "doc_id", "left"), ["doc_id", "n_tokens"], ModularScorer(3), target="target")
+    return s.select("doc_id", "n_tokens", "target", "pred", F.round("loss", 6).alias("loss"))
+
+
+@register("run_resume")
+def q_run_resume(spark: SparkSession, sf: str) -> DataFrame:
+    """M6 M7: the runs of the documents stopped after two epochs, saved with the optimiser's state, loaded and resumed,
+    against the same runs without a stop: differences of every epoch's losses, and of the last weights."""
+    import numpy as np
+    from ..operators.training import fit_many, load_checkpoint, save_checkpoint
+    from ..session import scratch_path
+    names, heads = grid_heads("documents")
+    examples = run_examples(spark, sf, "documents")
+    back, rows = [], []
+    for head, run in zip(heads, fit_many(examples, heads, until=2)):
+        path = scratch_path(spark, "run-stopped")
+        save_checkpoint(spark, run, head.settings, path)
+        back.append(load_checkpoint(spark, path)[0])
+    for name, a, b in zip(names, fit_many(examples, heads), fit_many(examples, heads, back)):
+        same = np.array_equal(a.next.weights, b.next.weights) and np.array_equal(a.next.second, b.next.second)
+        rows += [(name, x["epoch"], x["n_train"], y["n_valid"], x["train_loss"] - y["train_loss"], x["valid_loss"] - y["valid_loss"],
+                  same) for x, y in zip(a.history, b.history)]
+    return spark.createDataFrame(rows, "model string, epoch int, n_train long, n_valid long, train_difference double, "
+                                       "valid_difference double, same_weights boolean")
+
+
+def _checked_report(rep: DataFrame, trained: DataFrame) -> DataFrame:
+    """What SQL can state of a fitted model's report: supports, that all figures are rates and agree, and that the model
+    learned: on its ``trained`` rows (target, pred) the mean recall of the classes is above that of any constant guess."""
     accuracy = rep.where(F.col("class") == "accuracy").select(F.col("precision").alias("acc"))
     rates = F.least("precision", "recall", "f1_score") >= 0
     rates &= F.greatest("precision", "recall", "f1_score") <= 1
     # support-weighted recall is the accuracy
     agree = (F.col("class") != "weighted avg") | (F.abs(F.col("recall") - F.col("acc")) < 1e-9)
-    return (rep.join(F.broadcast(accuracy)).where((F.col("class") != "accuracy") & (F.col("support") > 0))
-            .select("class", F.round("support", 6).alias("support"), rates.alias("rates_in_range"), agree.alias("agrees")))
+    recalls = trained.groupBy("target").agg(F.avg((F.col("pred") == F.col("target")).cast("int")).alias("recall"))
+    learned = recalls.agg((F.avg("recall") > 1 / F.count(F.lit(1))).alias("learned"))
+    return (rep.join(F.broadcast(accuracy)).join(F.broadcast(learned)).where((F.col("class") != "accuracy") & (F.col("support") > 0))
+            .select("class", F.round("support", 6).alias("support"), rates.alias("rates_in_range"), agree.alias("agrees"), "learned"))
 
 
 @register("train_frozen")
@@ -584,8 +635,8 @@ def q_train_frozen(spark: SparkSession, sf: str) -> DataFrame:
     emb = read_table(spark, sf, "embeddings")
     sp = materialize(D.train_test_split(emb, "vec_id", TEST_SHARE, TEST_SEED), "frozen-input")
     _, scored = train_frozen(sp, "embedding", "label", "vec_id")
-    test = scored.where(F.col("split") == "test").select(F.col("label").cast("int").alias("target"), "pred")
-    return _checked_report(A.classification_report(A.confusion(test)))
+    judged = materialize(scored.select("split", F.col("label").cast("int").alias("target"), "pred"), "frozen-scored")
+    return _checked_report(A.classification_report(A.confusion(judged.where("split = 'test'"))), judged.where("split = 'train'"))
 
 
 @register("train_text")
@@ -605,9 +656,10 @@ def q_train_text(spark: SparkSession, sf: str) -> DataFrame:
     model = text_pipeline().fit(train.sortWithinPartitions("doc_id"))
     path = scratch_path(spark, "text-model")
     save_model(model, path)
-    scored = load_model(path).transform(data.where(F.col("split") == "test"))
-    test = scored.select(F.col("label").cast("int").alias("target"), F.col("prediction").cast("int").alias("pred"))
-    return _checked_report(A.classification_report(A.confusion(test), TWO_CLASS_NAMES))
+    judged = materialize(load_model(path).transform(data).select(
+        "split", F.col("label").cast("int").alias("target"), F.col("prediction").cast("int").alias("pred")), "text-model-scored")
+    return _checked_report(A.classification_report(A.confusion(judged.where("split = 'test'")), TWO_CLASS_NAMES),
+                           judged.where("split = 'train'"))
 
 
 # ---------------------------------------------------------------- sources and sinks (S*, K*)
@@ -802,8 +854,10 @@ def q_run_history_table(spark: SparkSession, sf: str) -> DataFrame:
     write_partitioned(run_grid(spark, sf), path)
     back = read_partitioned(spark, path)
     best = back.where(F.col("epoch") == F.col("best_epoch")).select("model", F.col("valid_loss").alias("lowest"))
-    return back.join(best, "model").select(
-        "model", "classes", "dataset", "epoch", F.when(F.col("epoch") == 1, F.round("train_loss", 6)).alias("start_loss"),
+    first = back.where(F.col("epoch") == 1).select("model", F.col("train_loss").alias("first_loss"))
+    last = back.where(F.col("epoch") == F.col("epochs")).select("model", F.col("train_loss").alias("last_loss"))
+    return back.join(best, "model").join(first, "model").join(last, "model").select(
+        (F.col("last_loss") < F.col("first_loss")).alias("learned"), "model", "classes", "dataset", "epoch", F.when(F.col("epoch") == 1, F.round("train_loss", 6)).alias("start_loss"),
         (F.col("valid_loss") >= F.col("lowest")).alias("best_is_lowest"),
         F.col("train_acc").between(0, 1).alias("rates_in_range"), "n_train", "n_valid", "n_test",
         "optimizer", "learning_rate", "weight_decay", "loss_function")

@@ -262,3 +262,94 @@ def test_training_learns_and_a_checkpoint_returns_its_history(spark, tmp_path):
     assert (again.best_epoch, again.last_epoch) == (run.best_epoch, 12)
     assert again.best_epoch == min(range(12), key=lambda i: run.history[i]["valid_loss"]) + 1
     assert np.array_equal(again.best.weights, run.best.weights) and np.array_equal(again.last.bias, run.last.bias)
+
+
+def _grid_examples(spark):
+    import numpy as np
+    rng = np.random.default_rng(7)
+    rows = [([int(v) for v in rng.integers(0, 40, 6) * (1 + i % 3)], i % 3, i % 2 if i % 11 else None,
+             ("train", "train", "valid", "test")[i % 4], ("train", "valid")[i % 5 == 0], 0.5 + i % 3) for i in range(500)]
+    df = spark.createDataFrame(rows + [(None, 1, 1, "train", "train", 1.0)],
+                               "hashes array<long>, label3 int, label2 int, phase string, other string, weight double")
+    return df.repartition(4)
+
+
+def test_heads_trained_together_equal_separate_runs(spark):
+    import numpy as np
+    from lexiframe.operators.training import Head, Settings, fit_many
+    heads = [Head("label3", 3, 16, Settings(4, 0.2)), Head("label3", 3, 32, Settings(3, 0.1, 0.01), "weight"),
+             Head("label2", 2, 16, Settings(5, 0.3), None, "other")]
+    df = _grid_examples(spark).persist()
+    together = fit_many(df, heads)
+    assert [r.last_epoch for r in together] == [4, 3, 5]
+    for head, run in zip(heads, together):
+        alone = fit_many(df, [head])[0]
+        assert [list(r) for r in alone.history] == [list(r) for r in run.history]
+        for a, b in zip(alone.history, run.history):
+            assert all(a[k] == b[k] or abs(a[k] - b[k]) < 1e-9 for k in a)
+        assert np.allclose(alone.last.weights, run.last.weights, atol=1e-9)
+        assert run.history[0]["train_loss"] == pytest.approx(np.log(head.classes))
+        assert head.classes == 2 or run.history[-1]["train_loss"] < run.history[0]["train_loss"]  # label2 is noise
+    assert together[2].history[0]["n_test"] == 0 and together[2].history[0]["test_loss"] is None
+    assert together[2].history[0]["n_train"] + together[2].history[0]["n_valid"] == 500 - len(range(0, 500, 11))
+
+
+def test_a_resumed_run_equals_an_uninterrupted_one_bit_for_bit(spark, tmp_path):
+    import numpy as np
+    from lexiframe.operators.training import Head, Settings, fit_many, load_checkpoint, save_checkpoint
+    heads = [Head("label3", 3, 16, Settings(5, 0.2)), Head("label2", 2, 32, Settings(3, 0.4, 0.01), "weight")]
+    path = str(tmp_path / "examples")
+    _grid_examples(spark).write.parquet(path)
+    df = spark.read.parquet(path)
+    whole = fit_many(df, heads)
+    for stop in range(0, 5):
+        for i, run in enumerate(fit_many(df, heads, until=stop)):
+            save_checkpoint(spark, run, heads[i].settings, str(tmp_path / f"{stop}-{i}"))
+        back = [load_checkpoint(spark, str(tmp_path / f"{stop}-{i}"))[0] for i in range(len(heads))]
+        again = fit_many(df, heads, back)
+        for a, b in zip(whole, again):
+            assert a.history == b.history and (a.best_epoch, a.last_epoch) == (b.best_epoch, b.last_epoch)
+            for x, y in ((a.best.weights, b.best.weights), (a.last.bias, b.last.bias), (a.next.weights, b.next.weights),
+                         (a.next.first, b.next.first), (a.next.second, b.next.second)):
+                assert np.array_equal(x, y)
+
+
+def test_encoded_scores_do_not_depend_on_batches(spark):
+    import numpy as np
+    from lexiframe.operators.models import ModularScorer, score_encoded
+    rng = np.random.default_rng(3)
+    rows = [(i, [int(v) for v in rng.integers(1, 999, int(rng.integers(0, 40)))], i % 4 - 1, "x") for i in range(200)]
+    rows += [(500, None, 1, "x"), (501, [], 2, "x"), (502, [7] * 3000, 0, "x"), (503, [5], None, "x")]
+    df = spark.createDataFrame(rows, "k long, input_ids array<int>, target int, logits string").repartition(3)
+
+    def run(scorer, cells, size=None):
+        if size:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        try:
+            got = score_encoded(df, ["k"], scorer, target="target", cells=cells)
+            return {r["k"]: (r["logits"], r["pred"], r["loss"]) for r in got.collect()}
+        finally:
+            spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    whole = run(ModularScorer(3), 1 << 20)
+    assert whole == run(ModularScorer(3), 256, 17) and len(whole) == 204
+    assert whole[500] == (None, None, None) and whole[503][2] is None and whole[501][0] == [0.0, 0.0, 0.0]
+    for k, ids, target, _ in rows:
+        if ids:
+            z = [sum((i + j + 1) * (2 * j + 1) % 101 for i in ids) / len(ids) / 10 for j in range(3)]
+            assert whole[k][0] == pytest.approx(z) and whole[k][1] == z.index(max(z))
+            if target is not None and 0 <= target < 3:
+                assert whole[k][2] == pytest.approx(np.log(np.exp(z).sum()) - z[target])
+            else:
+                assert whole[k][2] is None
+
+
+def test_micro_batches_are_bounded_in_cells():
+    import numpy as np
+    from lexiframe.operators.models import _micro_batches
+    lengths = np.r_[np.random.default_rng(4).integers(0, 60, 500), 5000, 0]
+    for cells in (1, 100, 4096, 1 << 20):
+        parts = list(_micro_batches(lengths, cells))
+        assert sorted(np.concatenate(parts)) == list(range(len(lengths)))
+        assert all(len(p) == 1 or len(p) * max(lengths[p].max(), 1) <= cells for p in parts)
+    assert list(_micro_batches(np.zeros(0, np.int64), 10)) == []
