@@ -47,7 +47,7 @@ from .shingles import word_hashes
 DEPTH, MIN_CONTEXT, MIN_NEXT, DISCOUNT, GAIN = 2, 32, 4, 0.75, 4.0
 BROADCAST_KEYS = 1 << 24  # 12 bytes a key in every worker
 BITS = 26  # of a bitmap
-HELD = 2_000_000  # sequences a task adds up at a time
+HELD = 1_500_000  # sequences a task adds up at a time
 BUCKET_KEYS = 4_000_000
 WORD, PAIR, STATE = 0, 1, 2  # kinds of looked-up numbers
 END = np.uint64(0x51AFE11E57E2D0E5)
@@ -132,10 +132,15 @@ def count_sequences(texts: DataFrame, level: int, least: int, buckets: int, cont
     bits = max(1, (buckets - 1).bit_length())
     shared = texts.sparkSession.sparkContext.broadcast(contexts)
 
-    def packs(held: list[np.ndarray]) -> pa.RecordBatch:
-        key, context, lower = np.concatenate(held, axis=1)
+    def packs(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        key = np.concatenate([h[0] for h in held])
         _, at, counts = np.unique(key, return_index=True, return_counts=True)
-        of, context, lower = (key[at] >> np.uint64(64 - bits)).astype(np.int32), context[at], lower[at]
+        lower = key[at]
+        of = (lower >> np.uint64(64 - bits)).astype(np.int32)
+        context = np.zeros(len(at), np.uint64)
+        if level:
+            del key
+            context, lower = (np.concatenate([h[i] for h in held])[at] for i in (1, 2))
         order = np.lexsort((context, of))
         of, context, lower, counts = of[order], context[order], lower[order], counts[order]
         first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
@@ -147,12 +152,13 @@ def count_sequences(texts: DataFrame, level: int, least: int, buckets: int, cont
         held, size = [], 0
         for b in batches:
             for part in byte_slices(b.column(0)):
-                found = np.stack(chains(*symbols(part), level)[level][1:])
+                found = chains(*symbols(part), level)[level][1:] if level else symbols(part)[:1]
                 if shared.value is not None:
-                    found = found[:, shared.value(found[1])]
-                if found.shape[1]:
+                    on = shared.value(found[1])
+                    found = tuple(f[on] for f in found)
+                if len(found[0]):
                     held.append(found)
-                    size += found.shape[1]
+                    size += len(found[0])
                 if size >= HELD:
                     yield packs(held)
                     held, size = [], 0
@@ -204,30 +210,34 @@ def fit(texts: DataFrame, depth: int = DEPTH, min_context: int = MIN_CONTEXT, mi
     upper = words.select("key", "n", ((F.col("n") + 0.1) / (n + 0.1 * (distinct + 1))).alias("p"))
     values = []
     for k in range(1, depth + 1):
-        level, upper = _level(counted[k], upper, min_context, discount, gain, k)
+        level, upper = _level(counted[k], upper, min_context, min_next, discount, gain, k)
         values.append(level)
     return SuffixTree(words, reduce(DataFrame.unionAll, values), depth, n, distinct)
 
 
-def _level(pairs: DataFrame, upper: DataFrame, min_context: int, discount: float, gain: float, k: int) -> tuple[DataFrame, DataFrame]:
+def _level(pairs: DataFrame, upper: DataFrame, min_context: int, min_next: int, discount: float, gain: float,
+           k: int) -> tuple[DataFrame, DataFrame]:
     """(values of the states and pairs that level k keeps; key, n, p of its pairs)."""
     contexts = upper.where(F.col("n") >= min_context).select(F.col("key").alias("context"), F.col("n").alias("total"))
-    suffixes = upper.select(F.col("key").alias("lower"), F.col("p").alias("above"))
-    held = materialize(pairs.join(contexts, "context").join(suffixes, "lower").select("key", "context", "n", "total", "above"),
-                       f"tree-held-{k}")
-    left = held.groupBy("context").agg((1 - F.sum(F.col("n") - discount) / F.first("total")).alias("left"))
-    both = held.join(left, "context").withColumn("own", (F.col("n") - discount) / F.col("total") + F.col("left") * F.col("above"))
+    # a sequence is at most as frequent as the one without its first symbol
+    suffixes = upper.where(F.col("n") >= min_next).select(F.col("key").alias("lower"), F.col("p").alias("above"))
+    left = (pairs.groupBy("context").agg(F.sum(F.col("n") - discount).alias("explicit")).join(contexts, "context")
+            .select("context", "total", (1 - F.col("explicit") / F.col("total")).alias("left")))
+    own = (F.col("n") - discount) / F.col("total") + F.col("left") * F.col("above")
+    held = materialize(pairs.join(left, "context").join(suffixes, "lower").select(
+        "key", "context", "n", "total", "left", "above", own.alias("own")), f"tree-held-{k}")
     saved = (F.sum(F.col("n") * F.log2(F.col("own") / F.col("above")))
              + (F.first("total") - F.sum("n")) * F.log2(F.first("left")))
-    states = materialize(both.groupBy("context").agg(saved.alias("saved"), F.count(F.lit(1)).alias("stored"), F.first("left").alias("left"))
+    states = materialize(held.groupBy("context").agg(saved.alias("saved"), F.count(F.lit(1)).alias("stored"), F.first("left").alias("left"))
                          .where(F.col("saved") >= gain * (F.col("stored") + 1)).select("context", "left"), f"tree-states-{k}")
-    judged = held.join(states, "context", "left").withColumn(
-        "own", (F.col("n") - discount) / F.col("total") + F.col("left") * F.col("above"))
-    judged = materialize(judged.select("key", "n", "above", "own", "left"), f"tree-judged-{k}")
-    kept = judged.where(F.col("left").isNotNull())
-    values = (kept.select(F.lit(PAIR).alias("kind"), "key", F.log10(F.col("own") / F.col("above") / F.col("left")).cast("float").alias("value"))
+    marks = states.select("context", F.lit(True).alias("kept"))
+    judged = held.select("key", "context", "n", "left", "above", "own").join(marks, "context", "left").select(
+        "key", "n", F.when(F.col("kept"), F.col("own")).otherwise(F.col("above")).alias("p"),
+        F.when(F.col("kept"), F.log10(F.col("own") / F.col("above") / F.col("left"))).cast("float").alias("value"))
+    judged = materialize(judged, f"tree-judged-{k}")
+    values = (judged.where(F.col("value").isNotNull()).select(F.lit(PAIR).alias("kind"), "key", "value")
               .unionAll(states.select(F.lit(STATE).alias("kind"), F.col("context").alias("key"), F.log10("left").cast("float").alias("value"))))
-    return values, judged.select("key", "n", F.coalesce("own", "above").alias("p"))
+    return values, judged.select("key", "n", "p")
 
 
 def _collected(df: DataFrame, value: str, size: int) -> tuple[np.ndarray, np.ndarray]:
