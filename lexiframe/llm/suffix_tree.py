@@ -17,7 +17,8 @@ its pairs'.
 Symbols and sequences are 64-bit hashes: two of V symbols meet with probability V^2 / 2^65. All counts cover all
 training texts. Per level one scan counts the sequences whose context is frequent enough, each as the pair (sequence without its
 last symbol, sequence without its first): a task sorts and adds up what it holds and sends it on as sorted, delta-coded
-packs, one a hash range, so a range's reducer is bounded whatever single sequences weigh. Scans are narrowed by a bitmap
+packs, one a bucket. A bucket holds whole contexts, but the sequences of a context that alone fills an eighth of a bucket
+(at most eight per bucket are) are dealt one by one, so buckets are bounded. Scans are narrowed by a bitmap
 of a fixed size (8 MB), which misses nothing; joins then are exact.
 
 The model grows with the corpus. While its keys are within ``BROADCAST_KEYS`` (measured first) scoring texts look them up
@@ -47,7 +48,7 @@ from .shingles import word_hashes
 DEPTH, MIN_CONTEXT, MIN_NEXT, DISCOUNT, GAIN = 2, 32, 4, 0.75, 4.0
 BROADCAST_KEYS = 1 << 24  # 12 bytes a key in every worker
 BITS = 26  # of a bitmap
-HELD = 1_500_000  # sequences a task adds up at a time
+HELD = 1_000_000  # sequences a task adds up at a time
 BUCKET_KEYS = 4_000_000
 WORD, PAIR, STATE = 0, 1, 2  # kinds of looked-up numbers
 END = np.uint64(0x51AFE11E57E2D0E5)
@@ -126,9 +127,10 @@ def unpack(context: bytes, lower: bytes, counts: bytes) -> tuple[np.ndarray, np.
     return np.cumsum(_values(context), dtype=np.uint64), _values(lower), _values(counts).astype(np.int64)
 
 
-def count_sequences(texts: DataFrame, level: int, least: int, buckets: int, contexts: Bitmap | None = None) -> DataFrame:
+def count_sequences(texts: DataFrame, level: int, least: int, buckets: int, contexts: Bitmap | None = None,
+                    hot: np.ndarray | None = None) -> DataFrame:
     """key, context, lower, n: sequences of ``level`` + 1 symbols in ``texts`` (text) that occur at least ``least`` times
-    and whose first ``level`` symbols may be in ``contexts``."""
+    and whose first ``level`` symbols may be in ``contexts``; ``hot`` ones of these are spread over the buckets."""
     bits = max(1, (buckets - 1).bit_length())
     shared = texts.sparkSession.sparkContext.broadcast(contexts)
 
@@ -136,11 +138,12 @@ def count_sequences(texts: DataFrame, level: int, least: int, buckets: int, cont
         key = np.concatenate([h[0] for h in held])
         _, at, counts = np.unique(key, return_index=True, return_counts=True)
         lower = key[at]
-        of = (lower >> np.uint64(64 - bits)).astype(np.int32)
-        context = np.zeros(len(at), np.uint64)
+        deal, context = lower, np.zeros(len(at), np.uint64)
         if level:
             del key
             context, lower = (np.concatenate([h[i] for h in held])[at] for i in (1, 2))
+            deal = np.where(np.isin(context, hot), deal, mix64(context))
+        of = (deal >> np.uint64(64 - bits)).astype(np.int32)
         order = np.lexsort((context, of))
         of, context, lower, counts = of[order], context[order], lower[order], counts[order]
         first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
@@ -204,7 +207,9 @@ def fit(texts: DataFrame, depth: int = DEPTH, min_context: int = MIN_CONTEXT, mi
     counted, above = {}, words
     for k in range(1, depth + 1):
         contexts = Bitmap(above.where(F.col("n") >= min_context))
-        counted[k] = above = materialize(count_sequences(texts, k, min_next, buckets, contexts), f"tree-counts-{k}")
+        # at most eight a bucket: their counts add up to n or less
+        hot = above.where(F.col("n") * 8 * buckets > n).select("key").toArrow().column("key").to_numpy().view(np.uint64)
+        counted[k] = above = materialize(count_sequences(texts, k, min_next, buckets, contexts, hot), f"tree-counts-{k}")
 
     # the sequences of the level above: as contexts (n) and as suffixes (p, the probability under the longest kept state)
     upper = words.select("key", "n", ((F.col("n") + 0.1) / (n + 0.1 * (distinct + 1))).alias("p"))
