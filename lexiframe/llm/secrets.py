@@ -11,9 +11,9 @@ assigned) and ``endpoint`` (a URL). Two parts are complementary when they
 stand in the same scope (a block of text between blank lines). A ``key`` is
 reported with an identifier (``access`` or ``ident``) in its scope, an
 ``ident`` with a secret (``assign``, ``hex`` or ``key``), an ``endpoint`` with
-both. Distance only grades the report: a weak part that finds its complements
-at most ``REACH`` characters away is a plain span, any other one is ``far``, a
-weaker mark; both are reported and masked.
+both. Distance only grades the report: a weak part that does not find its
+complements at most ``REACH`` characters away is marked ``far`` besides; all are
+reported and masked.
 
 Positions come from the text between matches: match i starts after pieces 0..i
 and matches 0..i-1, a running sum in a window over one text's matches. The
@@ -26,7 +26,9 @@ of spans, which all their rows share, and a hot text is one key of narrow rows.
 
 Defined results: a null text counts as empty and has no spans; repeated rows
 and repeated or null ids keep their rows; offsets are code points, end
-exclusive; nothing is dropped from a very long text.
+exclusive; nothing is dropped from a very long text; blank lines may end in LF or
+CRLF; extra columns, whatever their names, come back unchanged from ``redact``
+and are not read by ``scan``; an empty table gives no rows.
 """
 from __future__ import annotations
 
@@ -52,7 +54,7 @@ WEAK = (
     ("endpoint", r"""(?i:https?|ftp|amqp|redis|mongodb|mysql|postgres(?:ql)?|s3)://[^\s"'<>|]+""", 0, 8),
 )
 KINDS = tuple(k for k, *_ in BASE + WEAK)
-SCOPE_BREAK = r"\n[ \t]*\n"
+SCOPE_BREAK = r"\r?\n[ \t]*\r?\n"
 ROLE = {"assign": "secret", "hex": "secret", "key": "secret", "access": "identifier", "ident": "identifier",
         "endpoint": "endpoint"}
 
@@ -133,17 +135,19 @@ def find(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, ``spans`` (array of start, kind, end in order) of every document row, and ``far``, the same of the
-    weak parts that are linked by their scope alone."""
+    """doc_id, ``spans`` (array of start, kind, end in order) of every document row, and ``far``, those among them
+    that are linked by their scope alone."""
     rows, spans = find(docs)
     per_text = spans.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "kind", "end", "far"))).alias("spans"))
     names = F.array(*[F.lit(k) for k in KINDS])
+    found = F.coalesce("spans", F.array())
 
-    def named(far: bool) -> Column:
-        return F.transform(F.filter(F.coalesce("spans", F.array()), lambda s: s["far"] == far), lambda s: F.struct(
+    def named(some: Column) -> Column:
+        return F.transform(some, lambda s: F.struct(
             s["start"].alias("start"), F.get(names, s["kind"]).alias("kind"), s["end"].alias("end")))
 
-    return rows.join(per_text, "digest", "left").select("doc_id", named(False).alias("spans"), named(True).alias("far"))
+    return rows.join(per_text, "digest", "left").select(
+        "doc_id", named(found).alias("spans"), named(F.filter(found, lambda s: s["far"])).alias("far"))
 
 
 def spans_text(spans: Column) -> Column:
@@ -152,13 +156,13 @@ def spans_text(spans: Column) -> Column:
 
 
 def _cuts(spans: DataFrame) -> DataFrame:
-    """__key (a digest) and ``__cuts``: the union of the counted parts of the text's spans, as (start, end) in order."""
+    """digest and ``cuts``: the union of the counted parts of the text's spans, as (start, end) in order."""
     upto = Window.partitionBy("digest").orderBy("cut", "end")
     before = F.max("end").over(upto.rowsBetween(Window.unboundedPreceding, -1))
     parts = spans.select("digest", "cut", "end", F.coalesce(F.col("cut") >= before, F.lit(True)).cast("int").alias("new"))
     parts = parts.withColumn("part", F.sum("new").over(upto.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     whole = parts.groupBy("digest", "part").agg(F.min("cut").alias("start"), F.max("end").alias("end"))
-    return whole.groupBy(F.col("digest").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("__cuts"))
+    return whole.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("cuts"))
 
 
 def _masked(text: Column, cuts: Column) -> Column:
@@ -183,11 +187,12 @@ def redact(docs: DataFrame) -> DataFrame:
     value, of the other kinds the whole span; spans that overlap are masked as one."""
     _, spans = find(docs)
     cuts = materialize(_cuts(spans), "secret-cuts")
-    n = cuts.agg(F.coalesce(F.sum(F.size("__cuts")), F.lit(0))).first()[0]
+    n = cuts.agg(F.coalesce(F.sum(F.size("cuts")), F.lit(0))).first()[0]
     if not n:
         return docs
-    text = F.col("text")
-    marked = docs.withColumn("__key", F.md5(F.coalesce(text, F.lit(""))))
-    marked = marked.join(F.broadcast(cuts) if n <= BROADCAST_SPANS else cuts, "__key", "left")
-    return marked.withColumn("text", F.when(F.col("__cuts").isNotNull(), _masked(text, F.col("__cuts"))).otherwise(text)).select(
-        docs.columns)
+    # the document's columns stand in one, so that no name of theirs meets one of this join
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("digest"))
+    marked = rows.join(F.broadcast(cuts) if n <= BROADCAST_SPANS else cuts, "digest", "left")
+    text = F.col("row")["text"]
+    masked = F.when(F.col("cuts").isNotNull(), _masked(text, F.col("cuts"))).otherwise(text)
+    return marked.select(*[(masked if c == "text" else F.col("row")[c]).alias(c) for c in docs.columns])
