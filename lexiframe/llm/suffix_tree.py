@@ -48,6 +48,7 @@ from .shingles import word_hashes
 DEPTH, MIN_CONTEXT, MIN_NEXT, DISCOUNT, GAIN = 2, 32, 4, 0.75, 4.0
 BROADCAST_KEYS = 1 << 24  # 12 bytes a key in every worker
 BITS = 26  # of a bitmap
+STEP = 1 << 20  # text bytes of a numpy step
 HELD = 1_000_000  # sequences a task adds up at a time
 BUCKET_KEYS = 4_000_000
 WORD, PAIR, STATE = 0, 1, 2  # kinds of looked-up numbers
@@ -154,7 +155,7 @@ def count_sequences(texts: DataFrame, level: int, least: int, buckets: int, cont
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for part in byte_slices(b.column(0)):
+            for part in byte_slices(b.column(0), STEP):
                 found = chains(*symbols(part), level)[level][1:] if level else symbols(part)[:1]
                 if shared.value is not None:
                     on = shared.value(found[1])
@@ -301,7 +302,7 @@ def _score_in_place(docs: DataFrame, tree: SuffixTree, values: DataFrame, sizes:
     depth, root = tree.depth, SuffixTree(None, None, tree.depth, tree.n, tree.distinct).root  # the frames stay on the driver
 
     def texts(column: pa.Array) -> Iterator[list[np.ndarray]]:
-        for part in byte_slices(column):
+        for part in byte_slices(column, STEP):
             w, off = symbols(part)
             n = _look_up(words.value, w)
             every = np.arange(len(w))
@@ -332,7 +333,7 @@ def _score_by_join(docs: DataFrame, tree: SuffixTree, values: DataFrame, keep: t
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             at_row = 0
-            for part in byte_slices(b.column(1)):
+            for part in byte_slices(b.column(1), STEP):
                 w, off = symbols(part)
                 found = [(WORD, np.arange(len(w)), w)]
                 for at, keys, contexts, _ in chains(w, off, depth)[1:]:
