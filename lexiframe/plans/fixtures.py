@@ -39,4 +39,5 @@ GRID = [
     ("hashed-weighted", "documents", 2, 256, True, "floor", 5, 0.1, 0.0),
     ("hashed-three", "documents", 3, 256, True, "round", 5, 0.1, 0.001),
 ]
+BATCH_EPOCHS = 3  # epochs of the mini-batch run
 GRID_COLUMNS = ("model", "dataset", "classes", "feature_size", "weighted", "rule", "epochs", "learning_rate", "weight_decay")

@@ -11,7 +11,7 @@ from ..functions.constants import (
     VALID_SEED, VALID_TRAIN_SHARE,
 )
 from .fixtures import (
-    FIXTURE_STOP_WORDS, GRID, HEAD_ROWS, KEEP_SQL as KEEP, N_LOGITS, PEEK_POSITIONS, PRED_SQL, RAW_NEWS_LABEL_SQL,
+    BATCH_EPOCHS, FIXTURE_STOP_WORDS, GRID, HEAD_ROWS, KEEP_SQL as KEEP, N_LOGITS, PEEK_POSITIONS, PRED_SQL, RAW_NEWS_LABEL_SQL,
     STOP_SHARE, TWO_CLASS_NAMES, VECTOR_DIM, VECTORS_PER_DOC,
 )
 
@@ -407,6 +407,18 @@ SELECT model, CAST(epoch AS INTEGER) AS epoch, n_train, n_valid, CAST(0 AS DOUBL
        CAST(0 AS DOUBLE) AS valid_difference, true AS same_weights
 FROM runs, LATERAL (SELECT unnest(range(1, epochs + 1)) AS epoch) WHERE dataset = 'documents'"""
 
+ORACLE_SQL["run_batch_metrics"] = f"""
+WITH h AS (SELECT vec_id, md5('{VALID_SEED}:' || CAST(vec_id AS VARCHAR)) AS hv,
+                  row_number() OVER (ORDER BY md5('{TEST_SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) AS rn, count(*) OVER () AS n
+           FROM embeddings),
+o AS (SELECT *, row_number() OVER (ORDER BY hv, vec_id) AS rv, count(*) OVER () AS nv FROM h
+      WHERE rn > ceil(CAST({TEST_SHARE} AS DOUBLE) * n)),
+p AS (SELECT vec_id, hv, CASE WHEN rv <= floor(CAST({VALID_TRAIN_SHARE} AS DOUBLE) * nv) THEN 'train' ELSE 'valid' END AS phase FROM o),
+b AS (SELECT vec_id, phase, CAST((row_number() OVER (PARTITION BY phase ORDER BY hv, vec_id) - 1) // {BATCH_SIZE} AS BIGINT) AS batch_id FROM p)
+SELECT CAST(epoch AS INTEGER) AS epoch, phase, batch_id, count(*) AS n_rows, CAST(sum(vec_id) AS BIGINT) AS key_sum,
+       true AS rate_in_range, true AS learned
+FROM b, LATERAL (SELECT unnest(range(1, {BATCH_EPOCHS} + 1)) AS epoch) GROUP BY ALL"""
+
 ORACLE_SQL["score_encoded"] = "WITH" + VOCAB_CTE + """,
 each AS (SELECT doc_id, unnest(ids) AS id FROM enc),
 z AS (SELECT doc_id, CAST(count(*) AS INTEGER) AS n_tokens, sum((id + 1) % 101) / count(*) / 10 AS z0,

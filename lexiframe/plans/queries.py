@@ -27,7 +27,7 @@ from ..operators import splits as D
 from ..operators.training import token_hashes
 from ..session import materialize, read_table, spread
 from .fixtures import (
-    FIXTURE_STOP_WORDS, GRID, GRID_COLUMNS, HEAD_ROWS, KEEP, N_LOGITS, PEEK_POSITIONS, PRED_SQL, RAW_NEWS_LABEL_SQL,
+    BATCH_EPOCHS, FIXTURE_STOP_WORDS, GRID, GRID_COLUMNS, HEAD_ROWS, KEEP, N_LOGITS, PEEK_POSITIONS, PRED_SQL, RAW_NEWS_LABEL_SQL,
     STOP_SHARE, TWO_CLASS_NAMES, VECTOR_DIM, VECTORS_PER_DOC,
 )
 
@@ -614,6 +614,24 @@ def q_run_resume(spark: SparkSession, sf: str) -> DataFrame:
                                        "valid_difference double, same_weights boolean")
 
 
+@register("run_batch_metrics")
+def q_run_batch_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """A run over mini-batches in seeded random order, one row per epoch and batch. What SQL can state: which rows
+    are in which batch, how often each batch is seen, and that the A5 mean of the train batches' losses falls."""
+    from ..operators.minibatch import deal_batches, epoch_means, fit_batches
+    from ..operators.training import Head, Settings
+    vectors = read_table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda v: v.cast("double")).alias("features"))
+    examples = vectors.join(run_keys(spark, sf, "embeddings", "floor"), "vec_id")
+    head = Head("label10", 10, VECTOR_DIM, Settings(BATCH_EPOCHS, 0.01))
+    batches = deal_batches(examples, "vec_id", head, BATCH_SIZE, VALID_SEED)
+    run = fit_batches(batches, head, seed=VALID_SEED)
+    means = epoch_means(run.metrics).where("phase = 'train'")
+    learned = means.agg((F.max_by("mean_batch_loss", "epoch") < F.min_by("mean_batch_loss", "epoch")).alias("learned"))  # one row
+    keys = batches.select("phase", "batch_id", F.aggregate("rows", F.lit(0).cast("long"), lambda a, r: a + r["k"]).alias("key_sum"))
+    seen = run.metrics.where("phase <> 'test'").join(keys, ["phase", "batch_id"]).join(F.broadcast(learned))
+    return seen.select("epoch", "phase", "batch_id", "n_rows", "key_sum", F.col("accuracy").between(0, 1).alias("rate_in_range"), "learned")
+
+
 def _checked_report(rep: DataFrame, trained: DataFrame) -> DataFrame:
     """What SQL can state of a fitted model's report: supports, that all figures are rates and agree, and that the model
     learned: on its ``trained`` rows (target, pred) the mean recall of the classes is above that of any constant guess."""
