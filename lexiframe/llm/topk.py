@@ -16,8 +16,9 @@ Blocks are written once under the shared checkpoint folder.
 
 Defined results: a vector that is null, or has a null or non-finite component,
 takes no part, nor does a row without id; vectors of other lengths share the
-terms they have; an empty vector scores 0; scores are 64-bit integers; rows with the query's
-own id are its own; a repeated query id is answered once per row; ties go to
+terms they have; an empty vector scores 0; scores are exact 64-bit integers: products whose sums might leave that range
+are added up as Python integers, and a component or a listed score that no long can hold raises OverflowError; rows with
+the query's own id are its own; a repeated query id is answered once per row; ties go to
 the smaller id; no queries or no candidates give no rows.
 """
 from __future__ import annotations
@@ -73,8 +74,10 @@ def _pack(vectors: DataFrame, block: int) -> DataFrame:
                 ok = np.ones(len(lens), bool)
                 ok[row[~np.isfinite(values)]] = False
                 with np.errstate(invalid="ignore", over="ignore"):
-                    whole = np.clip(np.floor(values * SCALE), -2.0**62, 2.0**62)
+                    whole = np.floor(values * SCALE)
                 keep = ok[row] & (whole != 0)
+                if (np.abs(whole[keep]) >= 2.0**63).any():
+                    raise OverflowError("a component of a vector times 256 does not fit a long")
                 place = np.cumsum(ok) - 1
                 if held and (held + ok.sum() > block or entries + keep.sum() > BLOCK_TERMS):
                     yield flush()
@@ -100,22 +103,33 @@ def _numbered(blocks: DataFrame, name: str, column: str) -> tuple[DataFrame, int
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k highest scores, ties to the smaller id, best first."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     some = np.arange(len(scores))
     if len(scores) > k:
         kth = np.partition(scores, len(scores) - k)[len(scores) - k]
         some = np.flatnonzero(scores >= kth)  # all ties of the k-th stay until ids decide
-    return some[np.lexsort((ids[some], -scores[some].astype(np.int64)))][:k]
+    return some[np.lexsort((ids[some], ~scores[some].astype(np.int64)))][:k]
+
+
+def _longs(scores: np.ndarray) -> np.ndarray:
+    if scores.dtype == object and any(not -2**63 <= s < 2**63 for s in scores):
+        raise OverflowError("a score does not fit a long")
+    return scores.astype(np.int64)
 
 
 def accumulate(queries, candidates, n_q: int, n_c: int) -> np.ndarray:
     """(n_c, n_q) inner products, term at a time: the postings of a term, times the queries' weights for it, are
     scattered into the score rows of its candidates. Both arguments are (rows, terms, weights).
 
-    Scores are 32-bit while no partial sum can leave that range, else 64-bit."""
+    Scores are 32-bit while no partial sum can leave that range, then 64-bit, then Python integers."""
     q_terms, q_ends, q_rows, q_weights = _postings(*queries)
     c_terms, c_ends, c_rows, c_weights = _postings(*candidates)
-    most = float(np.abs(q_weights).max(initial=0)) * float(np.abs(c_weights).max(initial=0)) * min(len(q_terms), len(c_terms))
-    kind = np.int32 if most < 2**31 - 1 else np.int64
+    def largest(w: np.ndarray) -> int:
+        return max(int(w.max(initial=0)), -int(w.min(initial=0)))
+
+    most = largest(q_weights) * largest(c_weights) * min(len(q_terms), len(c_terms))
+    kind = np.int32 if most < 2**31 else np.int64 if most < 2**63 else object
     q_weights, c_weights = q_weights.astype(kind), c_weights.astype(kind)
     scores = np.zeros((n_c, n_q), kind)
     _, in_q, in_c = np.intersect1d(q_terms, c_terms, assume_unique=True, return_indices=True)
@@ -152,7 +166,7 @@ def _search(k: int):
                         other = c_ids != q_ids[q]
                         ids, score = ids[other], score[other]
                     top = _best(score, ids, k)
-                    ids, score = np.r_[mine[q][0], ids[top]], np.r_[mine[q][1], score[top].astype(np.int64)]
+                    ids, score = np.r_[mine[q][0], ids[top]], np.r_[mine[q][1], _longs(score[top])]
                     top = _best(score, ids, k)
                     mine[q] = ids[top], score[top]
         for qb, (q_ids, lists) in best.items():

@@ -1,5 +1,6 @@
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiframe.llm import topk
@@ -46,8 +47,21 @@ def test_repeated_query_is_answered_once_per_row_and_never_by_itself(spark):
 def test_accumulation_of_sparse_dense_and_large_weights():
     import numpy as np
     rng = np.random.default_rng(0)
-    for density, scale in ((1.0, 900), (0.3, 900), (0.02, 900), (0.5, 2**40)):
+    for density, scale in ((1.0, 900), (0.3, 900), (0.02, 900), (0.5, 2**29), (1.0, 2**40), (0.1, 2**62)):
         q, c = (rng.integers(-scale, scale, (n, 30)) * (rng.random((n, 30)) < density) for n in (17, 43))
         parts = [(*np.nonzero(m), m[np.nonzero(m)]) for m in (q, c)]
-        with np.errstate(over="ignore"):
-            assert (topk.accumulate(*parts, 17, 43) == c @ q.T).all()
+        assert (topk.accumulate(*parts, 17, 43) == c.astype(object) @ q.T.astype(object)).all()
+
+
+def test_scores_near_and_beyond_the_range_of_a_long(spark):
+    # partial sums leave the range, the scores do not
+    rows = [(50, [2.0**25, 2.0**25, 1.0]), (1, [2.0**25, -2.0**25, 3.0]), (2, [2.0**21, 2.0**20, 0.0]), (3, [0.0, 0.0, 7.0]),
+            (4, [-2.0**20, -2.0**20, 0.0])]
+    assert run(spark, rows) == brute(rows, 5)
+    # 2^62 a component and negative scores at the end of the range
+    rows = [(50, [1 / 256]), (1, [2.0**54]), (2, [-2.0**54]), (3, [-2.0**54]), (4, [0.0]), (5, [1.0])]
+    assert run(spark, rows) == brute(rows, 5)
+    with pytest.raises(Exception, match="does not fit a long"):  # a listed score of 2^67
+        run(spark, [(50, [2.0**25, 2.0**25]), (1, [2.0**25, 2.0**25])])
+    with pytest.raises(Exception, match="does not fit a long"):
+        run(spark, [(50, [1.0]), (1, [1e300])])
