@@ -9,10 +9,12 @@ a subtree is its own log odds and the positive values below it (one pass from
 the leaves, exact), and no kept run stands in a rejected ancestor.
 
 The model is fitted on the driver from a bounded sample: ``SAMPLE_PAGES`` pages
-of the table (the smallest hashes of page_id, at most ``SAMPLE_CHARS`` long)
+of the table (those of the smallest hashes of page_id, at most ``SAMPLE_CHARS``
+long; rows of one id by the digest of their html, so that reruns agree)
 whose single article or main element marks the main text, and
 ``DRAWN_PAGES`` pages drawn from a grammar of page layouts filled with the
-sample's words. All pages are extracted whole, in one pass without a shuffle.
+sample's words (at most ``SAMPLE_WORDS`` different ones, those of the smallest
+digests; parameters ``sample_words``, ``sample_pages``, ``sample_chars``). All pages are extracted whole, in one pass without a shuffle.
 
 Text: character references decoded, white space within a block made one
 space, blocks joined by one space in page order.
@@ -22,7 +24,9 @@ text gives an empty text; repeated rows and repeated or null ids keep their rows
 """
 from __future__ import annotations
 
+import hashlib
 import random
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,6 +39,7 @@ from .dom import TEXT, Page, parse
 
 SAMPLE_PAGES = 200
 SAMPLE_CHARS = 50_000
+SAMPLE_WORDS = 20_000
 DRAWN_PAGES = 500
 N_FEATURES = 22
 PARENT_SHARE, PARENT_LIMIT = 1.0, 4.0
@@ -364,11 +369,18 @@ def decode(page: Page, odds: np.ndarray) -> str:
 PLAIN_WORDS = "the of and to in is that for it as was with be by on not he his but at are this have from or had an they which".split()
 
 
-def train(sample: list[str], drawn_pages: int = DRAWN_PAGES) -> Extractor:
+def sampled_words(texts: Iterable[str], limit: int = SAMPLE_WORDS) -> list[str]:
+    """The different words of all texts, sorted; beyond ``limit`` those of the smallest digests."""
+    words = {w for t in texts for w in t.split()}
+    if len(words) > limit:
+        words = sorted(words, key=lambda w: (hashlib.md5(w.encode()).digest(), w))[:limit]
+    return sorted(words)
+
+
+def train(sample: list[str], drawn_pages: int = DRAWN_PAGES, sample_words: int = SAMPLE_WORDS) -> Extractor:
     """Fit token weights and trees on the sample's marked pages and on drawn ones."""
     marked = [(p, y) for p in map(parse, sample) if (y := silver(p)) is not None]
-    words = sorted({w for p, _ in marked for t in p.text for w in t.split()[:200]})[:20_000] or PLAIN_WORDS
-    drawer = Drawer(words)
+    drawer = Drawer(sampled_words((t for p, _ in marked for t in p.text), sample_words) or PLAIN_WORDS)
     pages = marked + [drawn(drawer.page()) for _ in range(drawn_pages)]
     weights = token_weights(pages)
     x = np.concatenate([features(p, weights)[1:] for p, _ in pages])
@@ -376,12 +388,21 @@ def train(sample: list[str], drawn_pages: int = DRAWN_PAGES) -> Extractor:
     return Extractor(weights, boost(x, y))
 
 
-def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> Extractor:
+def sampled(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> list[str]:
+    """At most ``sample_pages`` different pages of at most ``sample_chars`` characters, the same whatever the order of rows."""
+    rows = pages.where(F.col("page_id").isNotNull()).select("page_id", "html")
+    place = F.xxhash64("page_id")
+    ids = [r[0] for r in rows.select("page_id").distinct().orderBy(place, "page_id").limit(sample_pages).collect()]
+    short = rows.where(F.col("page_id").isin(ids) & (F.length("html") <= sample_chars))
+    # at most sample_pages short pages a task, then in all
+    best = short.orderBy(place, "page_id", F.md5("html")).limit(sample_pages)
+    return sorted({r["html"] for r in best.collect()})
+
+
+def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS,
+        sample_words: int = SAMPLE_WORDS) -> Extractor:
     """Model from a bounded, repeatable sample of the table."""
-    rows = pages.where(F.col("page_id").isNotNull())
-    ids = [r[0] for r in rows.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(sample_pages).collect()]
-    short = rows.where(F.col("page_id").isin(ids) & (F.length("html") <= sample_chars)).select("html").limit(sample_pages)
-    return train(sorted(r[0] for r in short.collect()))
+    return train(sampled(pages, sample_pages, sample_chars), sample_words=sample_words)
 
 
 def extract(pages: DataFrame, *keep: str, model: Extractor | None = None) -> DataFrame:

@@ -109,6 +109,24 @@ def test_odd_rows(spark):
     assert H.extract(df.limit(0), "page_id").collect() == []
 
 
+def test_sample_is_the_same_whatever_the_order_of_rows(spark):
+    rows = [(7, f"<article><p>copy {i}</p></article>") for i in range(300)] + [(i, f"<p>{i}</p>") for i in range(100, 140)]
+    rows += [(None, "<p>no id</p>"), (8, None), (9, "<p>" + "long " * 20_000 + "</p>"), (100, "<p>100</p>")]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    one, two = H.sampled(df.repartition(1), 30), H.sampled(spark.createDataFrame(rows[::-1], df.schema).repartition(7), 30)
+    assert one == two and 0 < len(one) <= 30 and len(set(one)) == len(one)
+    whole = H.sampled(df, 1000)
+    assert len(whole) == 340 and max(map(len, whole)) <= H.SAMPLE_CHARS
+
+
+def test_words_of_whole_texts_are_drawn_by_digest():
+    texts = [" ".join(f"w{i}" for i in range(a, a + 700)) for a in range(0, 7000, 700)]
+    assert H.sampled_words(texts) == sorted(f"w{i}" for i in range(7000))  # no prefix of a text is enough
+    some = H.sampled_words(texts, 1000)
+    assert len(some) == 1000 and some == H.sampled_words(texts[::-1], 1000)
+    assert sum(w > "w5" for w in some) > 300  # spread over the alphabet
+
+
 def test_boosting_learns_an_interaction():
     import numpy as np
     x = np.random.default_rng(0).random((2000, 3))
