@@ -23,7 +23,7 @@ PEEK_POSITIONS = [29, 34, 390]
 HEAD_ROWS = 5
 N_LOGITS = 10  # logit j of a stored vector is the sum of x_i cos(i j), i and j from 1
 VECTOR_DIM = 64
-TOKEN_DIM = 16  # token vectors: entry i of id t is ((t (2 i + 1) + i) mod 101 - 50) / 50
+TOKEN_DIM = 16  # token vectors: entry i of id t is ((t (2 i + 1) + i) mod 101 - 50) / 64
 VECTORS_PER_DOC = 8  # stored vectors vec_id // 8 stand in for the token vectors of one document
 TWO_CLASS_NAMES = {0: "Negative", 1: "Positive"}
 

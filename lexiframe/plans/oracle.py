@@ -320,12 +320,12 @@ SELECT doc, feature, round(value, 6) AS value, round(tanh(value), 6) AS tanh_val
 ORACLE_SQL["pooled_tokens"] = "WITH" + VOCAB_CTE + f""",
 u AS (SELECT doc_id, unnest(ids) AS id FROM enc),
 c AS (SELECT doc_id, id, count(*) AS c FROM u GROUP BY ALL),
-x AS (SELECT doc_id, c, i, ((CAST(id AS BIGINT) * (2 * i + 1) + i) % 101 - 50) / CAST(50 AS DOUBLE) AS x
+x AS (SELECT doc_id, c, i, ((CAST(id AS BIGINT) * (2 * i + 1) + i) % 101 - 50) / CAST(64 AS DOUBLE) AS x
       FROM c, LATERAL (SELECT unnest(range({TOKEN_DIM})) AS i)),
 g AS (SELECT doc_id, i, CAST(sum(c) AS BIGINT) AS n_pooled, max(x) AS mx, sum(c * x) / sum(c) AS mn FROM x GROUP BY doc_id, i),
 v AS (SELECT doc_id, n_pooled, CAST(i AS INTEGER) AS feature, mx AS value FROM g
       UNION ALL SELECT doc_id, n_pooled, CAST(i + {TOKEN_DIM} AS INTEGER), mn FROM g)
-SELECT doc_id, n_pooled, feature, round(value, 6) AS value, round(tanh(value), 6) AS tanh_value FROM v"""
+SELECT doc_id, n_pooled, feature, value, round(tanh(value), 6) AS tanh_value FROM v"""
 
 ORACLE_SQL["train_frozen"] = f"""
 WITH h AS (SELECT label, row_number() OVER (ORDER BY md5('{TEST_SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) AS rn,

@@ -572,7 +572,7 @@ def q_max_pool(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("pooled_tokens")
 def q_pooled_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """M4 M5 over E2: every document's ids looked up in a table of token vectors (a formula of the id), max- and mean-pooled
+    """M4 M5 over E2: every document's ids looked up in a table of token vectors (a formula of the id; its 64ths add up exactly, so the means need no rounding), max- and mean-pooled
     where the mask is 1, with tanh, as long rows."""
     from ..operators.pooling import pooled_tokens
     toks = materialize(doc_tokens(spark, sf), "tokens")
@@ -580,10 +580,10 @@ def q_pooled_tokens(spark: SparkSession, sf: str) -> DataFrame:
     enc = E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN)
     ids = vocab.select("id").unionByName(spark.range(E.Specials().reserved).select(F.col("id").cast("int").alias("id")))
     table = ids.select("id", F.transform(F.sequence(F.lit(0), F.lit(TOKEN_DIM - 1)), lambda i: (
-        (F.col("id").cast("long") * (2 * i + 1) + i) % 101 - 50) / F.lit(50.0)).alias("vector"))
+        (F.col("id").cast("long") * (2 * i + 1) + i) % 101 - 50) / F.lit(64.0)).alias("vector"))
     pv = pooled_tokens(enc, "doc_id", table, TOKEN_DIM)
     long = pv.select("doc_id", "n_pooled", F.posexplode(F.arrays_zip("features", "tanh")).alias("feature", "v"))
-    return long.select("doc_id", "n_pooled", F.col("feature").cast("int").alias("feature"), F.round("v.features", 6).alias("value"),
+    return long.select("doc_id", "n_pooled", F.col("feature").cast("int").alias("feature"), F.col("v.features").alias("value"),
                        F.round("v.tanh", 6).alias("tanh_value"))
 
 
