@@ -81,13 +81,13 @@ def encode(df: DataFrame, key: str, tokens: str | Column, vocab: DataFrame, max_
 
 def _encode_batches(df: DataFrame, key: str, tokens: Column, table: pa.Table, max_len: int, specials: Specials) -> DataFrame:
     """Ids by a lookup of each batch's flat token buffer."""
-    shared = df.sparkSession.sparkContext.broadcast((L.column(table, "token"), L.column(table, "id").to_numpy()))
+    shared = df.sparkSession.sparkContext.broadcast(L.TokenTable(L.column(table, "token"), L.column(table, "id").to_numpy()))
 
     @F.arrow_udf("array<int>")
     def ids(lists: pa.Array) -> pa.Array:
         values, lengths, valid = L.flat(lists)
         at, kept = L.heads(lengths, max_len - 2)
-        body = L.ids_of(values.take(pa.array(at)), *shared.value, specials.unk)
+        body = shared.value.ids_of(values.take(pa.array(at)), specials.unk)
         total = np.where(valid, kept + 2, 0)
         ends = np.cumsum(total)
         out = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
@@ -147,16 +147,15 @@ def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: Specia
     known = dict(zip((specials.pad, specials.unk, specials.cls, specials.sep), specials.names))
     numbers = np.concatenate([L.column(table, "id").to_numpy(), np.array(list(known), np.int32)]).astype(np.int32)
     names = pa.concat_arrays([L.column(table, "token").cast(pa.string()), pa.array(list(known.values()), pa.string())])
-    shared = df.sparkSession.sparkContext.broadcast((pa.array(numbers), names))
+    shared = df.sparkSession.sparkContext.broadcast(L.IdTable(numbers, names))
 
     @F.arrow_udf("array<string>")
     def tokens(lists: pa.Array, masks: pa.Array) -> pa.Array:
-        numbers, names = shared.value
         values, lengths, valid = L.flat(lists)
         kept = L.flat(masks)[0].to_numpy() == 1
         lengths = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[kept], minlength=len(lengths))
         values = values.filter(pa.array(kept)).cast(pa.int32())
-        text = names.take(pc.index_in(values, value_set=numbers))
+        text = shared.value.names_of(values)
         return L.lists_of(pc.coalesce(text, values.cast(pa.string())), lengths, valid)
 
     on = F.col(mask) if mask else F.transform(ids, lambda _: F.lit(1))

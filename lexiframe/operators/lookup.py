@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +50,43 @@ def heads(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(kept.sum()) - (np.cumsum(kept) - kept)[row] + starts[row], kept
 
 
-def ids_of(tokens: pa.Array, table_tokens: pa.Array, table_ids: np.ndarray, unknown: int) -> np.ndarray:
-    at = pc.index_in(tokens, value_set=table_tokens)
-    found = at.is_valid().to_numpy(zero_copy_only=False)
-    out = np.full(len(tokens), unknown, np.int32)
-    out[found] = table_ids[at.drop_null().to_numpy()]
-    return out
+class TokenTable:
+    """token -> id. The hash table is built at the first look-up of a worker and kept with the broadcast
+    value, so later batches and tasks of that worker only hash their own tokens."""
+
+    def __init__(self, tokens: pa.Array, ids: np.ndarray):
+        self.tokens, self.ids, self._known = tokens, np.asarray(ids, np.int32), None
+
+    def __getstate__(self) -> dict:
+        return {"tokens": self.tokens, "ids": self.ids, "_known": None}
+
+    def ids_of(self, tokens: pa.Array, unknown: int) -> np.ndarray:
+        """Ids of ``tokens``; a token that is not in the table, or NULL, gives ``unknown``."""
+        if self._known is None:
+            self._known = dict(zip(self.tokens.to_pylist(), self.ids.tolist()))
+        coded = tokens.dictionary_encode()
+        known = self._known
+        of = np.array([known.get(t, unknown) for t in coded.dictionary.to_pylist()] + [unknown], np.int32)
+        return of[coded.indices.fill_null(len(of) - 1).to_numpy()]
+
+
+class IdTable:
+    """id -> name by binary search over ids that a worker sorts once."""
+
+    def __init__(self, ids: np.ndarray, names: pa.Array):
+        self.ids, self.names, self._order = np.asarray(ids, np.int32), names, None
+
+    def __getstate__(self) -> dict:
+        return {"ids": self.ids, "names": self.names, "_order": None}
+
+    def names_of(self, ids: pa.Array) -> pa.Array:
+        """Names of ``ids``; NULL for an id that is not in the table, or NULL."""
+        if self._order is None:
+            self._order = np.argsort(self.ids, kind="stable")
+            self._sorted = self.ids[self._order]
+        wanted = ids.fill_null(0).to_numpy(zero_copy_only=False)
+        at = np.minimum(np.searchsorted(self._sorted, wanted), max(len(self._sorted) - 1, 0))
+        if not len(self._sorted):
+            return pa.nulls(len(wanted), pa.string())
+        found = (self._sorted[at] == wanted) & ids.is_valid().to_numpy(zero_copy_only=False)
+        return self.names.take(pa.array(self._order[at], mask=~found))

@@ -5,7 +5,6 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,12 +133,12 @@ def remove_stop_words_table(df: DataFrame, key: str, text: Column | str, stop: D
     words = stop.select(F.col(word_col).alias("_tok")).where(F.col("_tok").isNotNull()).distinct()
     table = L.small_table(words, "_tok")
     if table is not None:
-        shared = df.sparkSession.sparkContext.broadcast(L.column(table, "_tok"))
+        shared = df.sparkSession.sparkContext.broadcast(L.TokenTable(L.column(table, "_tok"), np.zeros(table.num_rows, np.int32)))
 
         @F.arrow_udf("array<string>")
         def without(lists: pa.Array) -> pa.Array:
             values, lengths, valid = L.flat(lists)
-            kept = ~pc.is_in(values, value_set=shared.value).to_numpy(zero_copy_only=False)
+            kept = shared.value.ids_of(values, -1) < 0
             counts = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[kept], minlength=len(lengths))
             return L.lists_of(values.filter(pa.array(kept)), counts, valid)
 

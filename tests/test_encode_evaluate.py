@@ -353,3 +353,24 @@ def test_micro_batches_are_bounded_in_cells():
         assert sorted(np.concatenate(parts)) == list(range(len(lengths)))
         assert all(len(p) == 1 or len(p) * max(lengths[p].max(), 1) <= cells for p in parts)
     assert list(_micro_batches(np.zeros(0, np.int64), 10)) == []
+
+
+def test_look_up_tables_agree_with_plain_dictionaries():
+    import pickle
+
+    import numpy as np
+    import pyarrow as pa
+    from lexiframe.operators.lookup import IdTable, TokenTable
+    words, ids = ["b", "", "a", "অ", "zz"], np.array([7, 4, 9, 5, 6], np.int32)
+    table = TokenTable(pa.array(words), ids)
+    asked = pa.array(["a", None, "zz", "missing", "", "a", "অ"])
+    plain = dict(zip(words, ids.tolist()))
+    want = [plain.get(t, 1) for t in asked.to_pylist()]
+    assert table.ids_of(asked, 1).tolist() == want
+    again = pickle.loads(pickle.dumps(table))  # the hash table does not travel
+    assert again._known is None and again.ids_of(asked, 1).tolist() == want
+    assert table.ids_of(pa.array([], pa.string()), 1).tolist() == []
+    back = IdTable(ids, pa.array(words))
+    assert back.names_of(pa.array([9, None, 0, 100, 4], pa.int32())).to_pylist() == ["a", None, None, None, ""]
+    assert pickle.loads(pickle.dumps(back)).names_of(pa.array([6], pa.int32())).to_pylist() == ["zz"]
+    assert IdTable(np.array([], np.int32), pa.array([], pa.string())).names_of(pa.array([3], pa.int32())).to_pylist() == [None]
