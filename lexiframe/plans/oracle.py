@@ -355,6 +355,13 @@ ORACLE_SQL["io_lines_roundtrip"] = "SELECT text AS Data, 1 AS Sentiment FROM doc
 ORACLE_SQL["io_positional_roundtrip"] = """
 SELECT d.text AS text, CAST(l.quality AS VARCHAR) AS labels FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id"""
 
+ORACLE_SQL["io_fields"] = "WITH" + VOCAB_CTE + """,
+li AS (SELECT q, CAST(row_number() OVER (ORDER BY n DESC, q) - 1 AS INTEGER) AS idx
+       FROM (SELECT CAST(quality AS VARCHAR) AS q, count(*) AS n FROM labels JOIN documents USING (doc_id)
+             WHERE quality IS NOT NULL GROUP BY 1))
+SELECT e.doc_id, array_to_string(list_transform(e.ids, lambda x: CAST(x AS VARCHAR)), ' ') AS input_ids, li.idx AS label
+FROM enc e LEFT JOIN labels l ON e.doc_id = l.doc_id LEFT JOIN li ON li.q = CAST(l.quality AS VARCHAR)"""
+
 STOP_CTE = VOCAB_CTE + f""",
 inl AS (SELECT doc_id, unnest(list_distinct(toks)) AS word FROM btok),
 stopw AS (SELECT word FROM inl GROUP BY word HAVING count(*) > {STOP_SHARE} * (SELECT count(*) FROM documents))"""
@@ -380,6 +387,14 @@ ORACLE_SQL["stream_clean_comment"] = ORACLE_SQL["clean_comment"]
 
 ORACLE_SQL["stream_label_counts"] = "SELECT quality AS Sentiment, count(*) AS n_rows FROM labels GROUP BY quality"
 
+ORACLE_SQL["stream_confusion"] = ORACLE_SQL["confusion"]
+
+ORACLE_SQL["stream_report"] = ORACLE_SQL["classification_report"]
+
+ORACLE_SQL["stream_profile"] = ORACLE_SQL["table_profile"] + """
+UNION ALL
+SELECT 'longest text', 'bigint', CAST(max(length(text)) AS BIGINT), count(*) FROM j"""
+
 ORACLE_SQL["sql_functions"] = "WITH" + BOOK_CTE + rf""",
 c3 AS (SELECT doc_id, regexp_replace(text, '{_EMOJI}', '', 'g') AS t3 FROM documents),
 c5 AS (SELECT doc_id, regexp_replace(trim(regexp_replace(t3, '[^.\x{{0964}} {KEEP}]', '', 'g')),

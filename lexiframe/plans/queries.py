@@ -747,6 +747,25 @@ def q_io_positional_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_positional_csv(spark, path)
 
 
+@register("io_fields")
+def q_io_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """S4 with processing: a positional CSV read as key, encoded cleaned text and indexed label, vocabulary and
+    label index learned from the file."""
+    from ..session import scratch_path
+    from ..sources import Field, LabelField, TextField, learn_fields, read_fields, write_csv
+    path = scratch_path(spark, "fields")
+    lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("Sentiment"))
+    docs = spread(read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("Data")), "doc_id")
+    write_csv(docs.join(lab, "doc_id", "left").select("doc_id", "Data", "Sentiment"), path)
+    fields = learn_fields(spark, path, {
+        "doc_id": Field(0, "long"),
+        "input_ids": TextField(1, lambda c: T.drop_chars(T.clean_book(c, KEEP, FIXTURE_STOP_WORDS)),
+                               lambda c: T.tokenize(c, spaces_only=True), MAX_LEN),
+        "label": LabelField(2)})
+    rows = read_fields(spark, path, fields)
+    return rows.select("doc_id", _ids_text(F.col("input_ids")).alias("input_ids"), "label")
+
+
 @register("io_stop_words")
 def q_io_stop_words(spark: SparkSession, sf: str) -> DataFrame:
     """A stop list derived from the corpus by document frequency, written
@@ -896,3 +915,42 @@ def q_run_history_table(spark: SparkSession, sf: str) -> DataFrame:
         (F.col("valid_loss") >= F.col("lowest")).alias("best_is_lowest"),
         F.col("train_acc").between(0, 1).alias("rates_in_range"), "n_train", "n_valid", "n_test",
         "optimizer", "learning_rate", "weight_decay", "loss_function")
+
+
+def _streamed(spark: SparkSession, table: DataFrame, key: str, tables, name: str) -> str:
+    """``table`` as several files, streamed one file a micro-batch into ``tables``; the last micro-batch is replayed."""
+    from ..session import scratch_path
+    from ..streaming.partials import forget_last_commit, run_partials
+    from ..streaming.stream import source
+    folder = scratch_path(spark, name)
+    table.repartition(4, key).write.parquet(f"{folder}/rows.parquet")
+    stream = source(spark, folder, "rows", table.schema, max_files=1)
+    out = run_partials(stream, tables, f"{name}-state")
+    forget_last_commit(spark, out)
+    return run_partials(stream, tables, name, out)
+
+
+@register("stream_confusion")
+def q_stream_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """A7 on a stream: confusion counts merged over micro-batches, one of them replayed."""
+    from ..streaming.partials import confusion_partials, state
+    rows = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("target"), F.expr(PRED_SQL).cast("int").alias("pred"))
+    part = confusion_partials()
+    return state(spark, _streamed(spark, rows, "doc_id", {"confusion": part}, "stream-confusion"), "confusion", part, rows)
+
+
+@register("stream_report")
+def q_stream_report(spark: SparkSession, sf: str) -> DataFrame:
+    """A8 on a stream: the classification report of the merged confusion counts."""
+    return _rounded_report(A.classification_report(q_stream_confusion(spark, sf), TWO_CLASS_NAMES))
+
+
+@register("stream_profile")
+def q_stream_profile(spark: SparkSession, sf: str) -> DataFrame:
+    """P10 P11 E10 on a stream: rows, non-null values per column and the longest row of documents with their labels."""
+    from ..streaming.partials import profile_partials, profile_rows, state
+    rows = read_table(spark, sf, "labels").join(read_table(spark, sf, "documents"), "doc_id", "right")
+    part = profile_partials(rows.columns, F.length("text").cast("long"))
+    merged = state(spark, _streamed(spark, rows, "doc_id", {"profile": part}, "stream-profile"), "profile", part, rows)
+    longest = merged.select(F.lit("longest text").alias("column_name"), F.lit("bigint").alias("dtype"), F.col("max_len").alias("non_null"), "n_rows")
+    return profile_rows(merged, rows.dtypes).unionByName(longest)
