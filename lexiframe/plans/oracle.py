@@ -355,6 +355,8 @@ ORACLE_SQL["io_lines_roundtrip"] = "SELECT text AS Data, 1 AS Sentiment FROM doc
 ORACLE_SQL["io_positional_roundtrip"] = """
 SELECT d.text AS text, CAST(l.quality AS VARCHAR) AS labels FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id"""
 
+ORACLE_SQL["io_csv_ranges"] = "SELECT doc_id, text, source FROM documents"
+
 ORACLE_SQL["io_fields"] = "WITH" + VOCAB_CTE + """,
 li AS (SELECT q, CAST(row_number() OVER (ORDER BY n DESC, q) - 1 AS INTEGER) AS idx
        FROM (SELECT CAST(quality AS VARCHAR) AS q, count(*) AS n FROM labels JOIN documents USING (doc_id)

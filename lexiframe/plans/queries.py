@@ -747,6 +747,17 @@ def q_io_positional_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return read_positional_csv(spark, path)
 
 
+@register("io_csv_ranges")
+def q_io_csv_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """S1-S4 on large files: quoted CSV whose texts hold newlines, read by ranges with one quote bit each."""
+    from ..session import scratch_path
+    from ..sources import write_csv
+    from ..sources.ranges import read_csv_ranges
+    path = scratch_path(spark, "ranges")
+    write_csv(spread(read_table(spark, sf, "documents").select("doc_id", "text", "source"), "doc_id"), path)
+    return read_csv_ranges(spark, path, "doc_id long, text string, source string")
+
+
 @register("io_fields")
 def q_io_fields(spark: SparkSession, sf: str) -> DataFrame:
     """S4 with processing: a positional CSV read as key, encoded cleaned text and indexed label, vocabulary and
