@@ -21,7 +21,8 @@ The model file is a sentencepiece model, read on the driver (under 1 MB) and
 broadcast: its normal pieces and their scores are the vocabulary.
 
 Defined results: a null text counts as empty, an empty text has 0 tokens; a
-null or repeated ``doc_id`` keeps its rows.
+null or repeated ``doc_id`` keeps its rows; a very long text, also without any space, takes a few copies of
+itself in memory and a state of the longest piece's length. Other columns of any name play no part.
 """
 from __future__ import annotations
 
@@ -112,6 +113,7 @@ class Counter:
         if len(self.matcher):
             self.matcher.make_automaton()
         self.known = set("".join(pieces))
+        self.longest = max(map(len, pieces), default=1)
         # one segment: a run of spaces and what follows it, cut around unknown white space
         inner = any(SPACE in p.lstrip(SPACE) for p in pieces)
         stops = "".join(c for c in "\n\t\r" if c not in self.known and byte_fallback)
@@ -129,33 +131,37 @@ class Counter:
         return sum(map(self.memo.__getitem__, self.cut.findall(text)))
 
     def count_segment(self, s: str) -> int:
-        """Best path's piece count: state per end position is (score, pieces, ends in an unknown run)."""
-        n = len(s)
-        ending: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        if len(self.matcher):
-            for end, (size, score) in self.matcher.iter(s):
-                ending[end + 1].append((size, score))
-        best = [0.0] * (n + 1)
-        count = [0] * (n + 1)
-        in_unknown = [False] * (n + 1)
-        for end in range(1, n + 1):
+        """Best path's piece count: state per end position is (score, pieces, ends in an unknown run).
+
+        A path looks back no further than the longest piece, so only that many states are kept."""
+        ring = self.longest + 1
+        best, count, in_unknown = [0.0] * ring, [0] * ring, [False] * ring
+        matches = iter(self.matcher.iter(s)) if len(self.matcher) else iter(())
+        last, found = next(matches, (-1, None))
+        for end in range(1, len(s) + 1):
+            ending = []
+            while last == end - 1:
+                ending.append(found)
+                last, found = next(matches, (-1, None))
             top = None
             single = False
-            for size, score in sorted(ending[end], reverse=True):  # ascending start: a tie keeps the longest
+            for size, score in sorted(ending, reverse=True):  # ascending start: a tie keeps the longest
                 single |= size == 1
-                total = best[end - size] + score
+                total = best[(end - size) % ring] + score
                 if top is None or total > top:
-                    top, pieces, unknown = total, count[end - size] + 1, False
+                    top, pieces, unknown = total, count[(end - size) % ring] + 1, False
             if not single:
-                total = best[end - 1] + self.unknown
+                before = (end - 1) % ring
+                total = best[before] + self.unknown
                 if top is None or total > top:
                     if self.byte_fallback:
-                        pieces = count[end - 1] + len(s[end - 1].encode("utf-8"))
+                        pieces = count[before] + len(s[end - 1].encode("utf-8"))
                     else:
-                        pieces = count[end - 1] + (0 if in_unknown[end - 1] else 1)
+                        pieces = count[before] + (0 if in_unknown[before] else 1)
                     top, unknown = total, True
-            best[end], count[end], in_unknown[end] = top, pieces, unknown
-        return count[n]
+            at = end % ring
+            best[at], count[at], in_unknown[at] = top, pieces, unknown
+        return count[len(s) % ring]
 
 
 @lru_cache(maxsize=2)

@@ -69,3 +69,16 @@ def test_rows(documents):
     got = {str(r["doc_id"]): r["n_tokens"] for r in T.count_tokens(documents(rows), PATH, "doc_id").collect()}
     assert got["1"] == got["2"] == 0 and got["3"] > 50_000 and len(got) == 4
     assert T.count_tokens(documents([]), PATH, "doc_id").collect() == []
+
+
+def test_a_long_text_without_spaces_needs_little_memory():
+    import tracemalloc
+    from lexiframe.llm.token_counts import Counter
+    counter = Counter({"a": -1.0, "ab": -1.5, "b": -1.2, "abba": -2.0}, True)
+    text = "abbaab" * 100_000
+    assert counter.count_segment(text) == 100_000 * counter.count_segment("abbaab")
+    tracemalloc.start()
+    counter.count_segment(text)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8_000_000  # not a list a character
