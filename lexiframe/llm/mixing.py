@@ -123,20 +123,20 @@ def queue(narrow: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, *k
 
 
 def resample(docs: DataFrame, weights=WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """The mixed documents, all columns: every document as many times as the mix takes it.
+    """The mixed documents, all columns (of any name): every document as many times as the mix takes it.
 
     Rows of one id, source and text are one document here, taken as often as all of them together."""
-    key = [F.xxhash64(F.coalesce(F.col("text"), F.lit(""))), F.col("doc_id"), F.col("source")]
-    names = ["__text", "__doc", "__source"]
+    text = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     narrow = materialize(docs.select(
-        *[k.alias(n) for k, n in zip(key, names)], "doc_id", "source", words("text").alias("size"),
+        text.alias("__text"), "doc_id", "source", words("text").alias("size"),
         F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")),
                           F.xxhash64("text").cast("string"))).alias("hash")), "mix-sizes")
-    copies = (queue(narrow.drop(*names[1:]), weights, max_repeats, "__text").where("copies > 0")
-              .groupBy("__text", F.col("doc_id").alias("__doc"), F.col("source").alias("__source"))
-              .agg(F.sum("copies").cast("int").alias("__copies")))
-    marked = docs.withColumn("__key", key[0])
-    met = marked.join(copies, (F.col("__key") == F.col("__text")) & F.col("doc_id").eqNullSafe(F.col("__doc"))
-                      & F.col("source").eqNullSafe(F.col("__source")))
-    once = met.dropDuplicates(["__key", "doc_id", "source"])
-    return once.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    copies = (queue(narrow, weights, max_repeats, "__text").where("copies > 0")
+              .groupBy(F.col("__text").alias("its_text"), F.col("doc_id").alias("its_id"), F.col("source").alias("its_source"))
+              .agg(F.sum("copies").cast("int").alias("copies")))
+    # the document's columns stand in one, so that no name of theirs meets one of this join
+    rows = docs.select(F.struct(*docs.columns).alias("row"), text.alias("key"), F.col("doc_id").alias("id"), F.col("source").alias("src"))
+    met = rows.join(copies, (F.col("key") == F.col("its_text")) & F.col("id").eqNullSafe(F.col("its_id"))
+                    & F.col("src").eqNullSafe(F.col("its_source")))
+    once = met.dropDuplicates(["key", "id", "src"])
+    return once.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -347,11 +347,12 @@ def near_classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, all columns, one of each class: the one with the smallest doc_id."""
+    """The documents, all columns (of any name), one of each class: the one with the smallest doc_id."""
     table = classes(docs)
     kept = (table.where((F.col("digest") == F.col("keep_digest")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
-            .groupBy(F.col("digest").alias("__digest")).agg(F.any_value("first_id").alias("__id")))
-    marked = docs.withColumn("__key", digest())
-    met = marked.join(kept, (F.col("__key") == F.col("__digest")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+            .groupBy(F.col("digest").alias("kept_digest")).agg(F.any_value("first_id").alias("kept_id")))
+    # the document's columns stand in one, so that no name of theirs meets one of this join
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest().alias("key"), F.col("doc_id").alias("id"))
+    met = rows.join(kept, (F.col("key") == F.col("kept_digest")) & F.col("id").eqNullSafe(F.col("kept_id")))
     # repeated rows of one id and text: any one of them
-    return met.dropDuplicates(["__key"]).select(*docs.columns)
+    return met.dropDuplicates(["key"]).select("row.*")

@@ -62,3 +62,15 @@ def test_resample_repeats_whole_rows(documents):
     total = sum(len(r[1].split()) for r in rows)
     assert total - 8 <= words <= total
     assert mixing.resample(documents([])).count() == 0
+
+
+def test_resample_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "__key", "__copies", "__text", "__copy", "copies", "row", "key", "id", "src", "its_id", "col"]
+    rows = [tuple([i, f"w{i} " * (1 + i % 4), f"s{i % 2}"] + [f"{n}{i}" for n in names[3:]]) for i in range(40)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = mixing.resample(df)
+    assert out.columns == names
+    got = [tuple(r) for r in out.collect()]
+    assert got and set(got) <= set(rows)
+    plain = mixing.resample(df.select("doc_id", "text", "source")).collect()
+    assert sorted(r[:3] for r in got) == sorted(map(tuple, plain))

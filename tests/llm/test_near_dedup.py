@@ -106,3 +106,14 @@ def test_shingles_are_the_words_of_the_text():
     h, ends = shingle_hashes(raw, off, 5)
     parts = [h[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
     assert parts[0] == parts[1] and parts[0][0] == parts[5][0] and [len(p) for p in parts] == [2, 2, 1, 0, 1, 1]
+
+
+def test_keep_one_keeps_columns_of_any_name(spark):
+    from lexiframe.llm.near_dedup import keep_one
+    names = ["doc_id", "text", "__key", "__digest", "__id", "digest", "row", "key", "id", "kept_id", "kept_digest"]
+    texts = ["one two three four five six seven eight", "another text that is not like the first at all"]
+    rows = [tuple([i, texts[i % 2]] + [f"{n}{i}" for n in names[2:]]) for i in range(6)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} {'long' if n == 'doc_id' else 'string'}" for n in names))
+    out = keep_one(df)
+    assert out.columns == names
+    assert sorted(map(tuple, out.collect())) == rows[:2]
