@@ -3,8 +3,8 @@ padding, masks, label index and batch assignment.
 
 Vocabulary lookups run in Arrow batches on the flat token buffer while the
 vocabulary is within a checked size (:mod:`lexiframe.operators.lookup`): no
-shuffle and no regrouping. A larger vocabulary is looked up by an explode of the (already truncated) token
-arrays, a shuffle join and a per-row regroup in token order. Batch numbers come
+shuffle and no regrouping. Of a larger vocabulary the most frequent entries are looked up the same way; only what
+they lack is exploded, joined by shuffle and put back, and a row moves once, as its ids. Batch numbers come
 from :func:`lexiframe.operators.ranking.ordered_index`, never from a window over
 one partition.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import lookup as L
-from .ranking import ordered_index, with_row_ids
+from .ranking import ordered_index
 from .splits import seeded_hash
 
 LABELS_IN_ONE_TASK = 1_000_000  # labels that one window may number
@@ -74,7 +74,7 @@ def encode(df: DataFrame, key: str, tokens: str | Column, vocab: DataFrame, max_
     t = F.col(tokens) if isinstance(tokens, str) else tokens
     table = L.small_table(vocab, "token", "id")
     out = (_encode_batches(df, key, t, table, max_len, specials) if table is not None
-           else _encode_shuffled(df, key, t, vocab, max_len, specials))
+           else _encode_large(df, key, t, vocab, max_len, specials))
     out = out.withColumn("n_tokens", F.when(F.col("input_ids").isNotNull(), F.size("input_ids")))
     return with_padding(out, max_len, specials) if pad else out
 
@@ -101,20 +101,47 @@ def _encode_batches(df: DataFrame, key: str, tokens: Column, table: pa.Table, ma
     return df.select(key, ids(tokens).alias("input_ids"))
 
 
-def _encode_shuffled(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, max_len: int, specials: Specials) -> DataFrame:
-    """Ids by a join with a vocabulary too large to send to every task."""
-    # Regroup by a per-row id, not by ``key``: a repeated key must not merge
-    # rows into one unbounded group. The id is assigned in the same stage as
-    # the explode and is stable under retries (``with_row_ids``).
-    rows = with_row_ids(df.select(key, F.slice(tokens, 1, max_len - 2).alias("_body")), key, F.col("_body"))
-    exploded = rows.select(key, "_rid", F.col("_body").isNull().alias("_null"), F.posexplode_outer("_body").alias("_pos", "token"))
-    looked = exploded.join(vocab.select("token", "id"), on="token", how="left")
-    entry = F.when(F.col("_pos").isNotNull(),
-                   F.struct("_pos", F.coalesce(F.col("id"), F.lit(specials.unk)).alias("id")))
-    grouped = looked.groupBy(key, "_rid").agg(F.first("_null").alias("_null"), F.array_sort(F.collect_list(entry)).alias("_e"))
-    ids = F.concat(F.array(F.lit(specials.cls)), F.transform("_e", lambda s: s["id"]),
-                   F.array(F.lit(specials.sep)))
-    return grouped.select(key, F.when(~F.col("_null"), ids).alias("input_ids"))
+def _rare_found(rare: DataFrame, vocab: DataFrame, bound: int | None, on: str, value: str) -> DataFrame:
+    """_rid, _at, _found: a row's looked-up entries of ``rare`` (_rid, _pos, ``on``) beyond the hot part, in any order."""
+    cold = vocab if bound is None else vocab.where(F.col("id") > bound)
+    looked = rare.join(cold.select(F.col("token").alias("_token"), F.col("id").alias("_id")), on)
+    found = looked.groupBy("_rid").agg(F.collect_list(F.struct("_pos", F.col(value).alias("v"))).alias("_f"))
+    return found.select("_rid", F.col("_f._pos").alias("_at"), F.col("_f.v").alias("_found"))
+
+
+def _encode_large(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, max_len: int, specials: Specials) -> DataFrame:
+    """Ids with a vocabulary too large to send to every task: its most frequent tokens by batches, the others by a join.
+
+    Rows are told apart by a number that is written with them, not by ``key``: a repeated key must not merge rows into
+    one unbounded group."""
+    bound, table = L.hot_part(vocab, "token", "id")
+    shared = df.sparkSession.sparkContext.broadcast(L.TokenTable(L.column(table, "token"), L.column(table, "id").to_numpy()))
+    absent = np.iinfo(np.int32).min
+
+    @F.arrow_udf("struct<ids: array<int>, rare: array<string>>")
+    def hot(lists: pa.Array) -> pa.Array:
+        values, lengths, valid = L.flat(lists)
+        ids = shared.value.ids_of(values, absent)
+        open_ = ids == absent
+        each = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[open_], minlength=len(lengths))
+        return pa.StructArray.from_arrays([L.lists_of(pa.array(ids, mask=open_), lengths, valid),
+                                           L.lists_of(values.filter(pa.array(open_)), each, valid)], ["ids", "rare"])
+
+    @F.arrow_udf("array<int>")
+    def filled(lists: pa.Array, at: pa.Array, found: pa.Array) -> pa.Array:
+        values, lengths, valid = L.flat(lists)
+        missing = values.is_null().to_numpy(zero_copy_only=False)
+        ids = values.fill_null(specials.unk).to_numpy(zero_copy_only=False).astype(np.int32)
+        ids[L.gaps(missing, lengths, at)] = L.flat(found)[0].to_numpy(zero_copy_only=False)
+        return L.lists_of(pa.array(ids), lengths, valid)
+
+    first = df.select(key, hot(F.slice(tokens, 1, max_len - 2)).alias("_e"))
+    first = materialize(first.withColumn("_rid", F.monotonically_increasing_id()), "encoded-hot")
+    rare = first.select("_rid", F.posexplode("_e.rare").alias("_pos", "_token")).where(F.col("_token").isNotNull())
+    found = _rare_found(rare, vocab, bound, "_token", "_id")
+    rows = first.select(key, "_rid", F.col("_e.ids").alias("_ids")).join(found, "_rid", "left")
+    body = rows.select(key, filled("_ids", "_at", "_found").alias("_body"))
+    return body.select(key, F.concat(F.array(F.lit(specials.cls)), "_body", F.array(F.lit(specials.sep))).alias("input_ids"))
 
 
 def encoded_length(tokens: str | Column, max_len: int) -> Column:
@@ -143,7 +170,7 @@ def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: Specia
     given; an id without a token is its number. NULL ids give NULL tokens."""
     table = L.small_table(vocab, "token", "id")
     if table is None:
-        return _decode_shuffled(df, key, ids, vocab, specials, mask, out)
+        return _decode_large(df, key, ids, vocab, specials, mask, out)
     known = dict(zip((specials.pad, specials.unk, specials.cls, specials.sep), specials.names))
     numbers = np.concatenate([L.column(table, "id").to_numpy(), np.array(list(known), np.int32)]).astype(np.int32)
     names = pa.concat_arrays([L.column(table, "token").cast(pa.string()), pa.array(list(known.values()), pa.string())])
@@ -162,22 +189,33 @@ def decode(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: Specia
     return df.select(key, tokens(F.col(ids), on).alias(out))
 
 
-def _decode_shuffled(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: Specials, mask: str | None,
-                     out: str) -> DataFrame:
-    cols = [F.col(ids)] + ([F.col(mask)] if mask else [])
-    z = F.arrays_zip(*cols)
-    rows = with_row_ids(df.select(key, z.alias("_zz")), key, F.col("_zz"))
-    exploded = rows.select(key, "_rid", F.col("_zz").isNull().alias("_null"), F.posexplode_outer("_zz").alias("_pos", "_z"))
-    exploded = exploded.select(key, "_rid", "_null", "_pos", F.col("_z")[ids].alias("_id"),
-                               (F.col("_z")[mask] if mask else F.lit(1)).alias("_m"))
-    named = exploded.join(vocab.select(F.col("id").alias("_id"), "token"), on="_id", how="left")
-    sp = F.create_map(*[x for i, nm in zip((specials.pad, specials.unk, specials.cls, specials.sep), specials.names)
-                        for x in (F.lit(i), F.lit(nm))])
-    tok = F.coalesce(F.col("token"), sp[F.col("_id")], F.col("_id").cast("string"))
-    entry = F.when(F.col("_pos").isNotNull() & (F.col("_m") == 1), F.struct("_pos", tok.alias("t")))
-    texts = F.transform(F.array_sort(F.collect_list(entry)), lambda s: s["t"])
-    grouped = named.groupBy(key, "_rid").agg(F.first("_null").alias("_null"), texts.alias(out))
-    return grouped.select(key, F.when(~F.col("_null"), F.col(out)).alias(out))
+def _decode_large(df: DataFrame, key: str, ids: str, vocab: DataFrame, specials: Specials, mask: str | None,
+                  out: str) -> DataFrame:
+    """Tokens with a vocabulary too large to send to every task: the smallest ids by batches, the others by a join. Rows
+    move as ids; their texts are put together after the join."""
+    bound, table = L.hot_part(vocab, "token", "id")
+    known = dict(zip((specials.pad, specials.unk, specials.cls, specials.sep), specials.names))
+    numbers = np.concatenate([L.column(table, "id").to_numpy(), np.array(list(known), np.int32)]).astype(np.int32)
+    names = pa.concat_arrays([L.column(table, "token").cast(pa.string()), pa.array(list(known.values()), pa.string())])
+    shared = df.sparkSession.sparkContext.broadcast(L.IdTable(numbers, names))
+    least = np.iinfo(np.int64).min if bound is None else bound
+
+    @F.arrow_udf("array<string>")
+    def texts(lists: pa.Array, at: pa.Array, found: pa.Array) -> pa.Array:
+        values, lengths, valid = L.flat(lists)
+        values = values.cast(pa.int32())
+        rare = pc.greater(values.cast(pa.int64()), least).fill_null(False).to_numpy(zero_copy_only=False)
+        which = np.full(len(values), -1)
+        which[L.gaps(rare, lengths, at)] = np.arange(len(at.flatten()))
+        joined = L.flat(found)[0].take(pa.array(which, mask=which < 0))
+        return L.lists_of(pc.coalesce(joined, shared.value.names_of(values), values.cast(pa.string())), lengths, valid)
+
+    zipped = F.arrays_zip(F.col(ids).alias("i"), *([F.col(mask).alias("m")] if mask else []))
+    kept = F.transform(F.filter(zipped, lambda z: z["m"] == 1) if mask else zipped, lambda z: z["i"])
+    first = materialize(df.select(key, kept.alias("_ids")).withColumn("_rid", F.monotonically_increasing_id()), "decoded-ids")
+    rare = first.select("_rid", F.posexplode(F.filter("_ids", lambda i: i > F.lit(int(least)))).alias("_pos", "_id"))
+    found = _rare_found(rare, vocab, bound, "_id", "_token")
+    return first.join(found, "_rid", "left").select(key, texts("_ids", "_at", "_found").alias(out))
 
 
 def plugin_tokenize(df: DataFrame, key: str, text: str, tokenizer, out: str = "tokens") -> DataFrame:

@@ -2,7 +2,10 @@
 
 The flat value buffer of a list column is looked up in one vectorised call per
 batch and the list offsets are kept, so a row's tokens never leave their row:
-no explode, no shuffle, no regrouping.
+no explode, no shuffle, no regrouping. Of a larger vocabulary the part with the
+smallest ids (:func:`hot_part`; the most frequent tokens, as ``build_vocab``
+numbers them) is looked up this way, and only the entries that it lacks are
+joined by shuffle and put back at their places (:func:`gaps`).
 """
 from __future__ import annotations
 
@@ -13,6 +16,7 @@ from pyspark.sql import functions as F
 
 BROADCAST_TOKENS = 2_000_000
 BROADCAST_BYTES = 64 << 20
+HOT_TOKENS = 500_000  # entries of a larger vocabulary that are sent to the tasks
 
 
 def small_table(df: DataFrame, token: str, *more: str) -> pa.Table | None:
@@ -24,6 +28,21 @@ def small_table(df: DataFrame, token: str, *more: str) -> pa.Table | None:
     return df.select(token, *more).toArrow().combine_chunks()
 
 
+def hot_part(vocab: DataFrame, token: str, number: str) -> tuple[int | None, pa.Table]:
+    """(largest id, columns) of the part of ``vocab`` with the smallest ids, about ``HOT_TOKENS`` rows and within
+    ``BROADCAST_BYTES`` (both measured); (None, no rows) if there is none. The rest has larger ids."""
+    n = vocab.agg(F.count(number)).first()[0]
+    share = min(1.0, HOT_TOKENS / max(n, 1))
+    while n and share * n >= 1:
+        bound = vocab.agg(F.percentile_approx(number, share)).first()[0]
+        part = vocab.where(F.col(number) <= bound)
+        rows, size = part.agg(F.count(F.lit(1)), F.sum(F.octet_length(token))).first()
+        if rows <= 2 * HOT_TOKENS and (size or 0) <= BROADCAST_BYTES:
+            return bound, part.select(token, number).toArrow().combine_chunks()
+        share /= 4
+    return None, vocab.limit(0).select(token, number).toArrow().combine_chunks()
+
+
 def column(table: pa.Table, name: str) -> pa.Array:
     c = table.column(name)
     return c.combine_chunks() if c.num_chunks != 1 else c.chunk(0)
@@ -50,6 +69,15 @@ def heads(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(kept.sum()) - (np.cumsum(kept) - kept)[row] + starts[row], kept
 
 
+def gaps(missing: np.ndarray, lengths: np.ndarray, at: pa.Array) -> np.ndarray:
+    """Places in the flat values that rows' entries fill: ``missing`` marks the open places, ``lengths`` are the rows'
+    lengths, ``at`` lists per row the numbers of its open places, from 0, that its entries belong to."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    each = np.bincount(row[missing], minlength=len(lengths))
+    numbers, entries, _ = flat(at)
+    return np.flatnonzero(missing)[np.repeat(np.cumsum(each) - each, entries) + numbers.to_numpy(zero_copy_only=False)]
+
+
 class TokenTable:
     """token -> id. The hash table is built at the first look-up of a worker and kept with the broadcast
     value, so later batches and tasks of that worker only hash their own tokens."""

@@ -242,6 +242,50 @@ def test_shuffled_lookups_equal_those_in_batches(spark, monkeypatch):
     assert both() == small
 
 
+@pytest.mark.parametrize("hot", [2, 5, 0])
+def test_only_rare_tokens_are_joined_by_shuffle(spark, monkeypatch, hot):
+    from lexiframe.operators import lookup
+    rows = [(i % 50 if i % 9 else None, " ".join(["hot"] * (i % 4) + [f"w{i % 13}", "hot", f"w{i % 7}"])) for i in range(300)]
+    df = spark.createDataFrame(rows + [(99, None), (98, "")], "k long, t string").withColumn("tokens", tokenize("t"))
+    df = df.unionByName(df.where("k = 3").withColumn("tokens", F.array(F.lit("w1"), F.lit(None).cast("string"), F.lit("hot"))))
+    vocab = E.build_vocab(df, "tokens", 12)
+
+    def ids():
+        return sorted(str((r["k"], r["input_ids"])) for r in E.encode(df, "k", "tokens", vocab, 7, pad=False).collect())
+
+    small, written = ids(), []
+    monkeypatch.setattr(lookup, "BROADCAST_TOKENS", 0)
+    monkeypatch.setattr(lookup, "HOT_TOKENS", hot)
+    keep = E.materialize
+    monkeypatch.setattr(E, "materialize", lambda d, name: written.append(keep(d, name)) or written[-1])
+    assert ids() == small
+    first = written[-1].select(F.sum(F.size("_e.rare")).alias("rare"), F.sum(F.when(F.col("_e").isNotNull(), F.size("_e.ids"))).alias("all")).first()
+    found = {t for r in written[-1].select("_e.rare").collect() for t in r["rare"] or []}
+    known = {r["token"] for r in vocab.collect() if r["id"] < 4 + hot}
+    assert len(known) == hot and not found & known and (first["rare"] < first["all"] if hot else first["rare"] > 0)
+
+
+@pytest.mark.parametrize("hot", [2, 5, 0])
+def test_only_rare_ids_are_joined_by_shuffle(spark, monkeypatch, hot):
+    from lexiframe.operators import lookup
+    vocab = spark.createDataFrame([(f"t{i}", i + 4, 100 - i) for i in range(12)], "token string, id int, count long")
+    ids = [[2, 4 + i % 12, 5, None, 1, 77, 4 + i % 5, 3, 0, 0] for i in range(80)]
+    rows = [(i % 7, x, [1] * 8 + [0, 0]) for i, x in enumerate(ids)] + [(None, ids[0], [1] * 10), (5, [], []), (6, None, None)]
+    df = spark.createDataFrame(rows, "k long, input_ids array<int>, attention_mask array<int>").repartition(3)
+
+    def texts(mask):
+        return sorted(str((r["k"], r["tokens"])) for r in E.decode(df, "k", "input_ids", vocab, mask=mask).collect())
+
+    small, bare = texts("attention_mask"), texts(None)
+    monkeypatch.setattr(lookup, "BROADCAST_TOKENS", 0)
+    monkeypatch.setattr(lookup, "HOT_TOKENS", hot)
+    written, keep = [], E.materialize
+    monkeypatch.setattr(E, "materialize", lambda d, name: written.append((name, keep(d, name))) or written[-1][1])
+    assert texts("attention_mask") == small and texts(None) == bare
+    kept = dict(written[:1])["decoded-ids"].select(F.sum(F.size("_ids"))).first()[0]
+    assert kept == 8 * 80 + 10  # masked places take no part
+
+
 def test_training_learns_and_a_checkpoint_returns_its_history(spark, tmp_path):
     import numpy as np
     from lexiframe.operators.training import Settings, fit, load_checkpoint, save_checkpoint
