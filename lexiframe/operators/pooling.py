@@ -1,10 +1,9 @@
 """M4 M5 over looked-up token vectors: encoded rows -> a vector table -> maximum and mean per row, and their tanh.
 
 A table within ``BROADCAST_BYTES`` (counted first) is sent to the tasks as one matrix; a batch's flat id buffer is looked up
-and reduced row by row in steps of bounded cells, and nothing is shuffled. A larger table is joined by shuffle: a row's ids are
-counted first, so that an id moves once a row, and the reduction is one aggregate per dimension, combined per row and
-token block before it moves. Ids that hold more than one in ``HOT_SHARE`` of the (row, id) pairs (so fewer than ``HOT_SHARE`` ids)
-are joined by broadcast instead.
+and reduced row by row in steps of bounded cells, and nothing is shuffled. Of a larger table the vectors of the ids that the
+rows use most (counted first) are sent, as many as fit, and always those of ids that hold more than one in ``HOT_SHARE`` of all
+entries (so fewer than ``HOT_SHARE`` ids). Only the other ids are joined by shuffle, summed up per row, and added to what a batch finds.
 
 Every row gives one row, rows of equal or NULL keys each their own. Ids that are NULL, masked or without a vector take no part; a table
 row with a NULL id, or a vector that is NULL, of another size or with NULL entries, is none (ids of the table are unique). A row
@@ -21,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from . import lookup as L
-from .ranking import with_row_ids
 
 BROADCAST_BYTES = 64 << 20
 STEP_CELLS = 1 << 21  # cells of looked-up vectors a task holds at a time
@@ -56,14 +54,25 @@ def segment_pool(rows: np.ndarray, at: np.ndarray, matrix: np.ndarray, n: int) -
     return most, total
 
 
-def _pooled_in_batches(df: DataFrame, key: str, ids: Column, table: DataFrame, dim: int) -> DataFrame:
+def _sent(table: DataFrame, dim: int):
+    """The table as a broadcast (ids, matrix), by rising id."""
     got = table.toArrow().combine_chunks()
     known = L.column(got, "id").to_numpy() if got.num_rows else np.zeros(0, np.int32)
     matrix = L.column(got, "vec").flatten().to_numpy().reshape(-1, dim) if got.num_rows else np.zeros((0, dim))
     order = np.argsort(known, kind="stable")
-    shared = df.sparkSession.sparkContext.broadcast((known[order], matrix[order]))
-    inner = df.select(F.col(key).alias("key"), ids.cast("array<int>").alias("ids"))
+    return table.sparkSession.sparkContext.broadcast((known[order], matrix[order]))
 
+
+def _looked_up(values: pa.Array, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of ``known``, whether it is there) of each id."""
+    wanted = values.fill_null(0).to_numpy(zero_copy_only=False)
+    at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
+    ok = values.is_valid().to_numpy(zero_copy_only=False)
+    return at, ok & (known[at] == wanted if len(known) else False)
+
+
+def _pooled_in_batches(inner: DataFrame, shared, dim: int) -> DataFrame:
+    """key, n_pooled, mx, mn of ``inner``: key, ids and, if there are more columns, the number, maximum and sum of vectors found before."""
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, matrix = shared.value
         size = max(1, STEP_CELLS // dim)
@@ -72,12 +81,14 @@ def _pooled_in_batches(df: DataFrame, key: str, ids: Column, table: DataFrame, d
                 b = whole.slice(a, size)
                 values, lengths, _ = L.flat(b.column(1))
                 rows = np.repeat(np.arange(b.num_rows), lengths)
-                wanted = values.fill_null(0).to_numpy(zero_copy_only=False)
-                at = np.minimum(np.searchsorted(known, wanted), max(len(known) - 1, 0))
-                ok = values.is_valid().to_numpy(zero_copy_only=False)
-                ok &= known[at] == wanted if len(known) else False
+                at, ok = _looked_up(values, known)
                 most, total = segment_pool(rows[ok], at[ok], matrix, b.num_rows)
                 n = np.bincount(rows[ok], minlength=b.num_rows)
+                if b.num_columns > 2:
+                    some = b.column(2).is_valid().to_numpy(zero_copy_only=False)
+                    n[some] += b.column(2).drop_null().to_numpy()
+                    most[some] = np.maximum(most[some], b.column(3).flatten().to_numpy().reshape(-1, dim))
+                    total[some] += b.column(4).flatten().to_numpy().reshape(-1, dim)
                 offsets = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * dim)
                 lists = [pa.ListArray.from_arrays(offsets, pa.array(m.reshape(-1)), mask=pa.array(n == 0))
                          for m in (most, total / np.maximum(n, 1)[:, None])]
@@ -87,24 +98,36 @@ def _pooled_in_batches(df: DataFrame, key: str, ids: Column, table: DataFrame, d
     return inner.mapInArrow(pool, f"key {kind}, n_pooled long, mx array<double>, mn array<double>")
 
 
-def _pooled_by_shuffle(df: DataFrame, key: str, ids: Column, table: DataFrame, dim: int) -> DataFrame:
-    rows = with_row_ids(df.select(F.col(key).alias("key"), ids.cast("array<int>").alias("ids")), "key", F.col("ids"))
-    each = rows.select("key", "_rid", F.explode_outer("ids").alias("id"))
-    tokens = materialize(each.groupBy("key", "_rid", "id").agg(F.count(F.lit(1)).alias("c")), "row-tokens")
-    total = tokens.where("id IS NOT NULL").count()
-    hot = [r["id"] for r in tokens.where("id IS NOT NULL").groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-           .where(F.col("n") * HOT_SHARE > total).select("id").collect()]  # fewer than HOT_SHARE ids
-    is_hot = F.col("id").isin(hot) if hot else F.lit(False)
-    cold = tokens.where(F.col("id").isNotNull() & ~is_hot).join(table.where(~is_hot), "id", "left")
-    other = tokens.where(F.col("id").isNull() | is_hot).join(F.broadcast(table.where(is_hot)), "id", "left")
+def _most_used(rows: DataFrame, most: int) -> DataFrame:
+    """The ids that the rows hold most often: about ``most``, and all with more than one in ``HOT_SHARE`` of the entries."""
+    counts = materialize(rows.select(F.explode("ids").alias("id")).where("id IS NOT NULL").groupBy("id").agg(
+        F.count(F.lit(1)).alias("n")), "id-counts")
+    ids, total = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    least = total // HOT_SHARE
+    if ids <= most:
+        least = 0
+    elif most > 0:
+        least = min(least, counts.agg(F.percentile_approx("n", 1 - most / ids)).first()[0])
+    return counts.where(F.col("n") > least).select("id")
+
+
+def _pooled_large(inner: DataFrame, table: DataFrame, dim: int, limit: int) -> DataFrame:
+    rows = materialize(inner.withColumn("_rid", F.monotonically_increasing_id()), "pooled-ids")
+    shared = _sent(table.join(_most_used(rows, limit // (8 * dim + 4)), "id", "left_semi"), dim)
+
+    @F.arrow_udf("array<int>")
+    def rare(lists: pa.Array) -> pa.Array:
+        values, lengths, valid = L.flat(lists)
+        other = ~_looked_up(values, shared.value[0])[1] & values.is_valid().to_numpy(zero_copy_only=False)
+        each = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[other], minlength=len(lengths))
+        return L.lists_of(values.filter(pa.array(other)), each, valid)
+
+    looked = rows.select("_rid", F.explode(rare("ids")).alias("id")).join(table, "id")
     v = [F.get("vec", F.lit(i)) for i in range(dim)]
-    looked = cold.unionByName(other)
-    pooled = looked.groupBy("key", "_rid").agg(
-        F.sum(F.when(F.col("vec").isNotNull(), F.col("c")).otherwise(F.lit(0))).alias("n_pooled"),
-        *[F.max(x).alias(f"mx{i}") for i, x in enumerate(v)], *[F.sum(x * F.col("c")).alias(f"sm{i}") for i, x in enumerate(v)])
-    some = F.col("n_pooled") > 0
-    return pooled.select("key", "n_pooled", F.when(some, F.array(*[F.col(f"mx{i}") for i in range(dim)])).alias("mx"),
-                         F.when(some, F.array(*[F.col(f"sm{i}") / F.col("n_pooled") for i in range(dim)])).alias("mn"))
+    found = looked.groupBy("_rid").agg(F.count(F.lit(1)).alias("n"), *[F.max(x).alias(f"mx{i}") for i, x in enumerate(v)],
+                                       *[F.sum(x).alias(f"sm{i}") for i, x in enumerate(v)])
+    found = found.select("_rid", "n", *[F.array(*[F.col(f"{m}{i}") for i in range(dim)]).alias(m) for m in ("mx", "sm")])
+    return _pooled_in_batches(rows.join(found, "_rid", "left").select("key", "ids", "n", "mx", "sm"), shared, dim)
 
 
 def pooled_tokens(df: DataFrame, key: str, table: DataFrame, dim: int, ids: str = "input_ids", mask: str | None = "attention_mask",
@@ -112,6 +135,7 @@ def pooled_tokens(df: DataFrame, key: str, table: DataFrame, dim: int, ids: str
     """key, n_pooled, max_pool, features (maximum, then mean), tanh of each row's token vectors; ``table``: id, vector."""
     vectors = _vectors(table, dim)
     small = vectors.count() * (8 * dim + 4) <= limit
-    pooled = (_pooled_in_batches if small else _pooled_by_shuffle)(df, key, _kept(ids, mask), vectors, dim)
+    inner = df.select(F.col(key).alias("key"), _kept(ids, mask).cast("array<int>").alias("ids"))
+    pooled = _pooled_in_batches(inner, _sent(vectors, dim), dim) if small else _pooled_large(inner, vectors, dim, limit)
     out = pooled.select(F.col("key").alias(key), "n_pooled", F.col("mx").alias("max_pool"), F.concat("mx", "mn").alias("features"))
     return out.withColumn("tanh", F.transform("features", lambda x: F.tanh(x)))

@@ -85,3 +85,18 @@ def test_steps_cut_rows_anywhere(monkeypatch):
 def test_small_table_moves_no_rows(spark):
     plan = P.pooled_tokens(encoded(spark, drawn()).coalesce(1), "k", tables(spark), DIM)._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate" not in plan and "Join" not in plan
+
+
+def test_only_rarely_used_vectors_are_joined_by_shuffle(spark):
+    rows = drawn()
+    used = {}
+    for _, ids, mask in rows:
+        for i, m in zip(ids or [], mask or []):
+            used[i] = used.get(i, 0) + (m == 1 and i is not None)
+    few = 20 * (8 * DIM + 4)
+    assert few < len(VECTORS) * (8 * DIM + 4)
+    assert pooled(spark, rows, few) == plain(rows)
+    inner = encoded(spark, rows).select(P._kept("input_ids", "attention_mask").alias("ids"))
+    ids = {r["id"] for r in P._most_used(inner, 20).collect()}
+    assert 7 in ids and 0 < len(ids) <= 21
+    assert min(used[i] for i in ids) >= max(n for i, n in used.items() if i is not None and i not in ids)
