@@ -11,6 +11,7 @@ equals one that was not.
 """
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
@@ -78,12 +79,27 @@ def token_hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda t: F.xxhash64(t))
 
 
-STEP_CELLS = 1 << 22  # feature cells a task holds at a time
+STEP_CELLS = 1 << 20  # feature cells, and entries of lists, that a task counts at a time
 
 
 def _row_steps(lists: pa.Array, dim: int) -> Iterator[tuple[int, int]]:
-    step = max(1, STEP_CELLS // dim)
-    return ((a, min(a + step, len(lists))) for a in range(0, len(lists), step))
+    """Row ranges of at most ``STEP_CELLS`` feature cells and as many list entries each (a longer row alone)."""
+    rows = max(1, STEP_CELLS // dim)
+    ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy().astype(np.int64))
+    a = 0
+    while a < len(ends):
+        fits = int(np.searchsorted(ends, (ends[a - 1] if a else 0) + STEP_CELLS, side="right"))
+        b = min(max(fits, a + 1), a + rows)
+        yield a, b
+        a = b
+
+
+def _buckets(dims: Sequence[int]) -> Column:
+    """The hashes modulo the least common multiple of ``dims``, as the smallest type that holds them: every head counts them
+    in the same buckets as the hashes, and a task's batches are a quarter or half as large."""
+    most = math.lcm(*dims)
+    kind = "short" if most < 1 << 15 else "int" if most < 1 << 31 else None
+    return F.transform("hashes", lambda h: F.pmod(h, F.lit(most)).cast(kind)) if kind else F.col("hashes")
 
 
 def _head_sums(x: np.ndarray, y: np.ndarray, weight: np.ndarray, phase: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -132,7 +148,10 @@ def _pass(examples: DataFrame, heads: Sequence[Head], weights: Sequence[np.ndarr
         yield pa.RecordBatch.from_pydict({"head": pa.array(np.arange(len(heads), dtype=np.int32)),
                                           "t": pa.array(total, pa.list_(pa.float64()))})
 
-    parts = examples.where(F.col(source).isNotNull()).select(*columns).mapInArrow(sums, "head int, t array<double>")
+    read = examples.where(F.col(source).isNotNull()).select(*columns)
+    if source == "hashes":
+        read = read.withColumn("hashes", _buckets([h.dim for h in heads]))
+    parts = read.mapInArrow(sums, "head int, t array<double>")
     rows = (parts.select("head", F.posexplode("t").alias("i", "v")).groupBy("head", "i")
             .agg(F.sum(F.col("v").cast("decimal(38,18)")).alias("v")).collect())  # a fixed number of sums per head
     out = [np.zeros(4 * len(PHASES) + (h.dim + 1) * h.classes) for h in heads]

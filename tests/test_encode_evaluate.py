@@ -286,6 +286,30 @@ def test_only_rare_ids_are_joined_by_shuffle(spark, monkeypatch, hot):
     assert kept == 8 * 80 + 10  # masked places take no part
 
 
+def test_training_steps_are_bounded_in_list_entries(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+    from lexiframe.operators import training as R
+    monkeypatch.setattr(R, "STEP_CELLS", 64)
+    lengths = [0, 3, 70, 10, 30, 30, 30, 0, 0, 5] + [1] * 40
+    steps = list(R._row_steps(pa.array([list(range(n)) for n in lengths]), 4))
+    assert [a for a, _ in steps] == [0] + [b for _, b in steps[:-1]] and steps[-1][1] == len(lengths)
+    assert all(b - a == 1 or (sum(lengths[a:b]) <= 64 and b - a <= 16) for a, b in steps)
+
+
+def test_training_batches_hold_small_buckets(spark):
+    import numpy as np
+    from lexiframe.operators import training as R
+    hashes = [-2**63, 2**63 - 1, -1, 0, 255, 256, -257]
+    df = spark.createDataFrame([(hashes,)], "hashes array<long>")
+    for dims, kind in (((64, 256), "array<smallint>"), ((3, 32768), "array<int>"), ((2**31, 3), "array<bigint>")):
+        out = df.select(R._buckets(dims).alias("b"))
+        assert out.dtypes == [("b", kind)]
+        got = np.array(out.first()["b"])
+        for d in dims:
+            assert (np.mod(got, d) == np.mod(np.array(hashes), d)).all()
+
+
 def test_training_learns_and_a_checkpoint_returns_its_history(spark, tmp_path):
     import numpy as np
     from lexiframe.operators.training import Settings, fit, load_checkpoint, save_checkpoint
