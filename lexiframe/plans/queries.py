@@ -928,14 +928,19 @@ def q_run_history_table(spark: SparkSession, sf: str) -> DataFrame:
         "optimizer", "learning_rate", "weight_decay", "loss_function")
 
 
-def _streamed(spark: SparkSession, table: DataFrame, key: str, tables, name: str) -> str:
-    """``table`` as several files, streamed one file a micro-batch into ``tables``; the last micro-batch is replayed."""
+STREAM_BATCHES = 4  # micro-batches that a streamed table is dealt into
+
+
+def _streamed(spark: SparkSession, table: DataFrame, key: str, tables, name: str, sources: list[DataFrame]) -> str:
+    """``table`` as files, streamed in ``STREAM_BATCHES`` micro-batches into ``tables``; the last micro-batch is replayed.
+    The files are as many as the scans of ``sources``, which it is made of, have partitions, so that none grows with the input."""
     from ..session import scratch_path
     from ..streaming.partials import forget_last_commit, run_partials
     from ..streaming.stream import source
     folder = scratch_path(spark, name)
-    table.repartition(4, key).write.parquet(f"{folder}/rows.parquet")
-    stream = source(spark, folder, "rows", table.schema, max_files=1)
+    each = -(-sum(t.rdd.getNumPartitions() for t in sources) // STREAM_BATCHES)  # files of a micro-batch
+    table.repartition(STREAM_BATCHES * each, key).write.parquet(f"{folder}/rows.parquet")
+    stream = source(spark, folder, "rows", table.schema, max_files=each)
     out = run_partials(stream, tables, f"{name}-state")
     forget_last_commit(spark, out)
     return run_partials(stream, tables, name, out)
@@ -947,7 +952,7 @@ def q_stream_confusion(spark: SparkSession, sf: str) -> DataFrame:
     from ..streaming.partials import confusion_partials, state
     rows = read_table(spark, sf, "labels").select("doc_id", F.col("quality").alias("target"), F.expr(PRED_SQL).cast("int").alias("pred"))
     part = confusion_partials()
-    return state(spark, _streamed(spark, rows, "doc_id", {"confusion": part}, "stream-confusion"), "confusion", part, rows)
+    return state(spark, _streamed(spark, rows, "doc_id", {"confusion": part}, "stream-confusion", [rows]), "confusion", part, rows)
 
 
 @register("stream_report")
@@ -960,8 +965,9 @@ def q_stream_report(spark: SparkSession, sf: str) -> DataFrame:
 def q_stream_profile(spark: SparkSession, sf: str) -> DataFrame:
     """P10 P11 E10 on a stream: rows, non-null values per column and the longest row of documents with their labels."""
     from ..streaming.partials import profile_partials, profile_rows, state
-    rows = read_table(spark, sf, "labels").join(read_table(spark, sf, "documents"), "doc_id", "right")
+    scans = [read_table(spark, sf, "labels"), read_table(spark, sf, "documents")]
+    rows = scans[0].join(scans[1], "doc_id", "right")
     part = profile_partials(rows.columns, F.length("text").cast("long"))
-    merged = state(spark, _streamed(spark, rows, "doc_id", {"profile": part}, "stream-profile"), "profile", part, rows)
+    merged = state(spark, _streamed(spark, rows, "doc_id", {"profile": part}, "stream-profile", scans), "profile", part, rows)
     longest = merged.select(F.lit("longest text").alias("column_name"), F.lit("bigint").alias("dtype"), F.col("max_len").alias("non_null"), "n_rows")
     return profile_rows(merged, rows.dtypes).unionByName(longest)

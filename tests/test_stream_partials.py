@@ -75,3 +75,16 @@ def test_measures_are_checked():
         Partials({}, {"x": ("avg", F.lit(1))})
     with pytest.raises(ValueError):
         Partials({}, {})
+
+
+def test_streamed_files_grow_in_number_with_the_scans(spark, monkeypatch):
+    from lexiframe import session
+    from lexiframe.plans import queries as Q
+    df = spark.createDataFrame(ROWS, SCHEMA)
+    part = tables()["confusion"]
+    folders, keep = [], session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda s, name: folders.append(keep(s, name)) or folders[-1])
+    out = Q._streamed(spark, df, "k", {"confusion": part}, "streamed", [df.repartition(9), df.repartition(2)])
+    assert rows_of(state(spark, out, "confusion", part, df)) == rows_of(A.confusion(df))
+    files = spark.read.parquet(f"{folders[0]}/rows.parquet").select("_metadata.file_name").distinct().count()
+    assert files == 12 and versions(spark, f"{out}/confusion") == [2, 3]  # 4 micro-batches of 3 files
