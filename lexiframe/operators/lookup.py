@@ -11,12 +11,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_TOKENS = 2_000_000
+BROADCAST_TOKENS = 6_000_000
 BROADCAST_BYTES = 64 << 20
-HOT_TOKENS = 500_000  # entries of a larger vocabulary that are sent to the tasks
+HOT_TOKENS = 4_000_000  # entries of a larger vocabulary that are sent to the tasks
 
 
 def small_table(df: DataFrame, token: str, *more: str) -> pa.Table | None:
@@ -79,23 +80,23 @@ def gaps(missing: np.ndarray, lengths: np.ndarray, at: pa.Array) -> np.ndarray:
 
 
 class TokenTable:
-    """token -> id. The hash table is built at the first look-up of a worker and kept with the broadcast
-    value, so later batches and tasks of that worker only hash their own tokens."""
+    """token -> id. A look-up hashes the distinct tokens of its batch and runs the table past them: a worker holds the
+    table's text and ids, and no hash table of its size."""
 
-    def __init__(self, tokens: pa.Array, ids: np.ndarray):
-        self.tokens, self.ids, self._known = tokens, np.asarray(ids, np.int32), None
+    _known = None  # nothing is kept from one look-up to the next
 
-    def __getstate__(self) -> dict:
-        return {"tokens": self.tokens, "ids": self.ids, "_known": None}
+    def __init__(self, tokens: pa.Array, ids: np.ndarray):
+        self.tokens, self.ids = tokens, np.asarray(ids, np.int32)
 
     def ids_of(self, tokens: pa.Array, unknown: int) -> np.ndarray:
         """Ids of ``tokens``; a token that is not in the table, or NULL, gives ``unknown``."""
-        if self._known is None:
-            self._known = dict(zip(self.tokens.to_pylist(), self.ids.tolist()))
         coded = tokens.dictionary_encode()
-        known = self._known
-        of = np.array([known.get(t, unknown) for t in coded.dictionary.to_pylist()] + [unknown], np.int32)
-        return of[coded.indices.fill_null(len(of) - 1).to_numpy()]
+        words = coded.dictionary.cast(self.tokens.type)
+        at = pc.index_in(self.tokens, value_set=words, skip_nulls=True)  # of each table entry, its place among the words
+        hit = at.is_valid()
+        of = np.full(len(words) + 1, unknown, np.int32)
+        of[at.filter(hit).to_numpy()] = self.ids[hit.to_numpy(zero_copy_only=False)]
+        return of[coded.indices.fill_null(len(words)).to_numpy()]
 
 
 class IdTable:

@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.scoring import cross_entropy
+
 
 class LinearScorer:
     """logits = X @ W + b. Small enough to ship to every task once (broadcast)."""
@@ -135,14 +137,22 @@ def _micro_batches(lengths: np.ndarray, cells: int):
 
 
 def score_encoded(df: DataFrame, keys: Sequence[str], scorer, ids: str = "input_ids", target: str | None = None,
-                  pad: int = 0, cells: int = 1 << 20) -> DataFrame:
+                  pad: int = 0, cells: int = 1 << 20, labels: DataFrame | None = None, on: str | None = None) -> DataFrame:
     """M1 over encoded rows (E2 without E7): a plug-in scorer called with padded ids and their attention mask.
 
     ``scorer(ids, mask)`` gets two int64 matrices (rows x longest row) and returns logits (rows x classes). Within a
     task, the rows of an Arrow batch are grouped by length into micro-batches padded to their own longest row, bounded
     in cells (not rows), and put back in order: long rows do not widen short ones, and memory does not depend on
     the batch. A scorer that heeds the mask gives the same scores however rows are batched. NULL ids score to nulls, a row
-    without ids is all padding; a target that is NULL or outside the logits has no loss."""
+    without ids is all padding; a target that is NULL or outside the logits has no loss.
+
+    With ``labels``, a table of ``on`` (one of the keys) and ``target``, the targets are joined to the scores by ``on``
+    instead of being a column of ``df``: if that join shuffles, it moves keys and logits, not ids. A row without a label has
+    a NULL target, one with several has a row for each."""
+    if labels is not None:
+        scored = score_encoded(df, keys, scorer, ids, pad=pad, cells=cells).drop("loss")
+        return scored.join(labels.select(on, target), on, "left").select(
+            *keys, target, "logits", "pred", cross_entropy("logits", target).alias("loss"))
     bc = df.sparkSession.sparkContext.broadcast(scorer)
     cols = list(keys) + ([target] if target else [])
     ids_at = len(cols)

@@ -605,7 +605,7 @@ def q_score_encoded(spark: SparkSession, sf: str) -> DataFrame:
     toks = materialize(doc_tokens(spark, sf), "tokens")
     enc = E.encode(toks, "doc_id", "tokens", E.build_vocab(toks, "tokens"), MAX_LEN, pad=False)
     lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("target"))
-    s = score_encoded(enc.join(lab, "doc_id", "left"), ["doc_id", "n_tokens"], ModularScorer(3), target="target")
+    s = score_encoded(enc, ["doc_id", "n_tokens"], ModularScorer(3), target="target", labels=lab, on="doc_id")
     return s.select("doc_id", "n_tokens", "target", "pred", F.round("loss", 6).alias("loss"))
 
 

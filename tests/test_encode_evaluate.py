@@ -412,6 +412,71 @@ def test_encoded_scores_do_not_depend_on_batches(spark):
                 assert whole[k][2] is None
 
 
+def test_labels_are_joined_to_scores_not_to_ids(spark):
+    from lexiframe.operators.models import ModularScorer, score_encoded
+    rows = [(i % 40 if i % 9 else None, [i % 7, 3 * i, 5], 3) for i in range(120)] + [(50, None, None), (51, [], 0), (52, [9], 1)]
+    df = spark.createDataFrame(rows, "k long, input_ids array<int>, n int")
+    labels = spark.createDataFrame([(i, i % 5 - 1, "x") for i in range(0, 60, 2)] + [(4, 0, "x"), (6, None, "x"), (None, 1, "x")],
+                                   "k long, target int, more string")
+    want = score_encoded(df.join(labels.select("k", "target"), "k", "left"), ["k", "n"], ModularScorer(3), target="target")
+    got = score_encoded(df, ["k", "n"], ModularScorer(3), target="target", labels=labels, on="k")
+    assert got.dtypes == want.dtypes
+    plain = lambda d: sorted(str((r["k"], r["n"], r["target"], r["logits"], r["pred"], r["loss"] and round(r["loss"], 9)))
+                             for r in d.collect())
+    assert plain(got) == plain(want) and got.count() > df.count()
+
+
+def test_score_encoded_shuffles_scores_for_the_labels(spark, tmp_path):
+    from lexiframe.plans.queries import QUERIES
+    docs = [(i, " ".join(f"Wort{'abcdefg'[j % 7]}" for j in range(i % 30))) for i in range(90)] + [(3, "noch eins"), (None, "ohne"), (7, None)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, i % 2) for i in range(0, 90, 3)] + [(3, 0), (None, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = QUERIES["score_encoded"](spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("MapInArrow")  # the join is above the scorer
+    got = [(r["doc_id"], r["target"]) for r in out.collect()]
+    quality = {}
+    for k, q in labels:
+        quality.setdefault(k, []).append(q)
+    want = [(k, q) for k, _ in docs for q in (quality.get(k) if k is not None and k in quality else [None])]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_a_token_table_keeps_nothing_of_its_own_size():
+    import numpy as np
+    import pyarrow as pa
+    from lexiframe.operators.lookup import TokenTable
+    words = [f"w{i}" for i in range(5000)]
+    table = TokenTable(pa.array(words), np.arange(5000) + 4)
+    held = set(vars(table))
+    asked = pa.array(["w4999", None, "w", "w0", "w4999"] + [f"v{i}" for i in range(300)], pa.large_string())
+    assert table.ids_of(asked, 1).tolist() == [5003, 1, 1, 4, 5003] + [1] * 300
+    assert set(vars(table)) == held == {"tokens", "ids"}
+    assert TokenTable(pa.array([], pa.string()), np.array([])).ids_of(pa.array(["a", None]), -5).tolist() == [-5, -5]
+
+
+def test_a_vocabulary_within_the_bytes_moves_no_rows(spark, monkeypatch):
+    """Three million short tokens are within 64 MB: looked up in batches, not joined."""
+    from lexiframe.operators import lookup
+    vocab = spark.range(3_000_000).select(F.col("id").cast("string").alias("token"), (F.col("id") + 4).cast("int").alias("id"))
+    df = spark.createDataFrame([(1, ["5", "2999999", "x", None]), (2, None), (3, [])], "k long, tokens array<string>")
+    out = E.encode(df, "k", "tokens", vocab, 9, pad=False)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "ArrowEval" in plan
+    assert {r["k"]: r["input_ids"] for r in out.collect()} == {1: [2, 9, 3000003, 1, 1, 3], 2: None, 3: [2, 3]}
+
+
+def test_written_intermediate_tables_are_packed_with_zstd(spark):
+    import glob
+
+    import pyarrow.parquet as pq
+    from lexiframe.session import materialize
+    df = materialize(spark.range(50), "packed")
+    files = [f for d in df.inputFiles() for f in glob.glob(d.replace("file://", ""))]
+    assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files)
+
+
 def test_micro_batches_are_bounded_in_cells():
     import numpy as np
     from lexiframe.operators.models import _micro_batches
