@@ -118,20 +118,20 @@ def _encode_large(df: DataFrame, key: str, tokens: Column, vocab: DataFrame, max
     shared = df.sparkSession.sparkContext.broadcast(L.TokenTable(L.column(table, "token"), L.column(table, "id").to_numpy()))
     absent = np.iinfo(np.int32).min
 
-    @F.arrow_udf("struct<ids: array<int>, rare: array<string>>")
+    @F.arrow_udf("struct<ids: array<tinyint>, rare: array<string>>")
     def hot(lists: pa.Array) -> pa.Array:
         values, lengths, valid = L.flat(lists)
         ids = shared.value.ids_of(values, absent)
         open_ = ids == absent
         each = np.bincount(np.repeat(np.arange(len(lengths)), lengths)[open_], minlength=len(lengths))
-        return pa.StructArray.from_arrays([L.lists_of(pa.array(ids, mask=open_), lengths, valid),
+        return pa.StructArray.from_arrays([L.packed(np.where(open_, 0, ids + (ids >= 0)), lengths, valid),
                                            L.lists_of(values.filter(pa.array(open_)), each, valid)], ["ids", "rare"])
 
     @F.arrow_udf("array<int>")
     def filled(lists: pa.Array, at: pa.Array, found: pa.Array) -> pa.Array:
-        values, lengths, valid = L.flat(lists)
-        missing = values.is_null().to_numpy(zero_copy_only=False)
-        ids = values.fill_null(specials.unk).to_numpy(zero_copy_only=False).astype(np.int32)
+        numbers, lengths, valid = L.unpacked(lists)
+        missing = numbers == 0
+        ids = np.where(missing, specials.unk, numbers - ((numbers > 0) | (numbers == absent))).astype(np.int32)
         ids[L.gaps(missing, lengths, at)] = L.flat(found)[0].to_numpy(zero_copy_only=False)
         return L.lists_of(pa.array(ids), lengths, valid)
 

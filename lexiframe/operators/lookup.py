@@ -70,6 +70,36 @@ def heads(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(kept.sum()) - (np.cumsum(kept) - kept)[row] + starts[row], kept
 
 
+def packed(ids: np.ndarray, lengths: np.ndarray, valid: np.ndarray) -> pa.Array:
+    """Rows of ids as lists of bytes: an id takes one to five, 7 bits in each, the lowest first, the last one below 128. The
+    most frequent tokens have the smallest ids, so rows that are written or moved take half the bytes of int lists."""
+    numbers = ids.astype(np.int32).view(np.uint32)
+    sizes = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.empty(ends[-1], np.uint8)
+    for k in range(int(sizes.max(initial=0))):
+        long = sizes > k
+        out[ends[:-1][long] + k] = (numbers[long] >> 7 * k & 127) | np.where(sizes[long] > k + 1, 128, 0)
+    rows = np.concatenate([[0], np.cumsum(lengths)])
+    return lists_of(pa.array(out.view(np.int8)), np.diff(ends[rows]), valid)
+
+
+def unpacked(lists: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids of all rows end to end, row lengths, which rows are not null) of :func:`packed` rows."""
+    values, sizes, valid = flat(lists)
+    data = values.to_numpy(zero_copy_only=False).view(np.uint8)
+    last = data < 128
+    ends = np.flatnonzero(last) + 1
+    starts = np.concatenate([[0], ends])[:-1]
+    numbers = np.zeros(len(ends), np.uint32)
+    for k in range(int((ends - starts).max(initial=0))):
+        long = ends - starts > k
+        numbers[long] |= (data[starts[long] + k] & 127).astype(np.uint32) << 7 * k
+    before = np.concatenate([[0], np.cumsum(last)])
+    rows = np.concatenate([[0], np.cumsum(sizes)])
+    return numbers.view(np.int32), np.diff(before[rows]), valid
+
+
 def gaps(missing: np.ndarray, lengths: np.ndarray, at: pa.Array) -> np.ndarray:
     """Places in the flat values that rows' entries fill: ``missing`` marks the open places, ``lengths`` are the rows'
     lengths, ``at`` lists per row the numbers of its open places, from 0, that its entries belong to."""

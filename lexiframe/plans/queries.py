@@ -72,6 +72,13 @@ def doc_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return book_cleaned(spark, sf).select("doc_id", T.tokenize("t5_final", spaces_only=True).alias("tokens"))
 
 
+def written_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """``doc_tokens`` for several readers: the texts are cleaned once and written as text, which packs into fewer bytes
+    than lists of tokens; each reader splits them."""
+    texts = materialize(book_cleaned(spark, sf).select("doc_id", "t5_final"), "clean-texts")
+    return texts.select("doc_id", T.tokenize("t5_final", spaces_only=True).alias("tokens"))
+
+
 def test_split(spark: SparkSession, sf: str, written: bool = True) -> DataFrame:
     """(doc_id, split) of D1. Consumers get it written once (a narrow key
     table) instead of recomputing the split plan in every branch that reads it."""
@@ -85,7 +92,7 @@ def vocab_table(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, sf: str, pad: bool = True) -> DataFrame:
-    toks = materialize(doc_tokens(spark, sf), "tokens")
+    toks = written_tokens(spark, sf)
     vocab = materialize(E.build_vocab(toks, "tokens"), "vocab")
     return E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN, pad=pad)
 
@@ -276,7 +283,7 @@ def q_encode(spark: SparkSession, sf: str) -> DataFrame:
 @register("decode")
 def q_decode(spark: SparkSession, sf: str) -> DataFrame:
     """Ids back to tokens (padding dropped through the mask)."""
-    toks = materialize(doc_tokens(spark, sf), "tokens")
+    toks = written_tokens(spark, sf)
     # read by the lookup and the reverse lookup: written once
     vocab = materialize(E.build_vocab(toks, "tokens"), "vocab")
     enc = E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN)
@@ -314,7 +321,7 @@ def q_bucket_batches(spark: SparkSession, sf: str) -> DataFrame:
 def q_batch_padded(spark: SparkSession, sf: str) -> DataFrame:
     """E8 applied: every document's ids padded to the longest row of its
     length-sorted batch (E11), with the attention mask (E9)."""
-    toks = materialize(doc_tokens(spark, sf), "tokens")
+    toks = written_tokens(spark, sf)
     vocab = materialize(E.build_vocab(toks, "tokens"), "vocab")
     enc = E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN, pad=False)
     lens = toks.select("doc_id", E.encoded_length("tokens", MAX_LEN).alias("n_tokens"))
@@ -575,7 +582,7 @@ def q_pooled_tokens(spark: SparkSession, sf: str) -> DataFrame:
     """M4 M5 over E2: every document's ids looked up in a table of token vectors (a formula of the id; its 64ths add up exactly, so the means need no rounding), max- and mean-pooled
     where the mask is 1, with tanh, as long rows."""
     from ..operators.pooling import pooled_tokens
-    toks = materialize(doc_tokens(spark, sf), "tokens")
+    toks = written_tokens(spark, sf)
     vocab = materialize(E.build_vocab(toks, "tokens"), "vocab")
     enc = E.encode(toks, "doc_id", "tokens", vocab, MAX_LEN)
     ids = vocab.select("id").unionByName(spark.range(E.Specials().reserved).select(F.col("id").cast("int").alias("id")))
@@ -602,7 +609,7 @@ def q_score_table(spark: SparkSession, sf: str) -> DataFrame:
 def q_score_encoded(spark: SparkSession, sf: str) -> DataFrame:
     """M1 over E2: every document's ids and mask through a plug-in scorer, in micro-batches of near-equal length."""
     from ..operators.models import ModularScorer, score_encoded
-    toks = materialize(doc_tokens(spark, sf), "tokens")
+    toks = written_tokens(spark, sf)
     enc = E.encode(toks, "doc_id", "tokens", E.build_vocab(toks, "tokens"), MAX_LEN, pad=False)
     lab = read_table(spark, sf, "labels").select("doc_id", F.col("quality").cast("int").alias("target"))
     s = score_encoded(enc, ["doc_id", "n_tokens"], ModularScorer(3), target="target", labels=lab, on="doc_id")

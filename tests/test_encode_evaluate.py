@@ -477,6 +477,56 @@ def test_written_intermediate_tables_are_packed_with_zstd(spark):
     assert files and all(pq.ParquetFile(f).metadata.row_group(0).column(0).compression == "ZSTD" for f in files)
 
 
+def test_packed_ids_come_back_and_small_ones_take_a_byte():
+    import numpy as np
+    import pyarrow as pa
+    from lexiframe.operators import lookup as L
+    rows = [[0, 1, 127, 128], None, [], [16383, 16384, 2**21 - 1, 2**21, 2**28, 2**31 - 1, -1, -2**31], [5] * 300]
+    valid = np.array([r is not None for r in rows])
+    flat, lengths = np.array([i for r in rows for i in r or []], np.int64), np.array([len(r or []) for r in rows])
+    lists = L.packed(flat, lengths, valid)
+    assert lists.value_lengths().to_pylist() == [5, None, 0, 2 + 3 + 3 + 4 + 5 + 5 + 5 + 5, 300] and lists.type == pa.list_(pa.int8())
+    for part in (lists, pa.concat_arrays([lists, lists])[5:], lists[1:4], lists[:0], lists[1:3]):
+        ids, n, ok = L.unpacked(part)
+        whole = [r for r in (rows if len(part) == 5 else rows[1:4] if len(part) == 3 else rows[1:3] if len(part) == 2 else [])]
+        assert ok.tolist() == [r is not None for r in whole] and n.tolist() == [len(r or []) for r in whole]
+        assert ids.tolist() == [i for r in whole for i in r or []]
+
+
+def test_rows_of_a_large_vocabulary_are_written_and_moved_packed(spark, monkeypatch):
+    from lexiframe.operators import lookup
+    vocab = spark.range(400).select(F.concat(F.lit("w"), F.col("id")).alias("token"), (F.col("id") + 4).cast("int").alias("id"))
+    vocab = vocab.unionByName(spark.createDataFrame([("far", 2**31 - 1), ("below", -7), ("next", -1)], "token string, id int"))
+    rows = [(i % 9 if i % 5 else None, [f"w{(i * j) % 450}" for j in range(i % 40)] + ["far", "below", None, "nowhere", "next"]) for i in range(80)]
+    df = spark.createDataFrame(rows + [(1, None), (2, []), (2, [])], "k long, tokens array<string>")
+
+    def ids():
+        out = E.encode(df, "k", "tokens", vocab, 90, pad=False)
+        return out, sorted(str((r["k"], r["input_ids"], r["n_tokens"])) for r in out.collect())
+
+    small, written, keep = ids()[1], [], E.materialize
+    monkeypatch.setattr(lookup, "BROADCAST_TOKENS", 0)
+    monkeypatch.setattr(lookup, "HOT_TOKENS", 150)
+    monkeypatch.setattr(E, "materialize", lambda d, name: written.append(keep(d, name)) or written[-1])
+    out, large = ids()
+    assert large == small
+    assert dict(written[-1].select("_e.ids").dtypes)["ids"] == "array<tinyint>"  # int lists took twice the bytes
+    moved = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in moved and moved.index("filled(") < moved.index("Join LeftOuter")  # unpacked after the move
+
+
+def test_cleaned_texts_are_written_as_text(spark, tmp_path, monkeypatch):
+    from lexiframe.plans import queries as Q
+    docs = [(i, " ".join(f"Wort{'abcdefg'[j % 7]}," for j in range(i % 30))) for i in range(40)] + [(3, "noch  eins"), (None, "x\ny"), (7, None), (8, " ")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    written, keep = [], Q.materialize
+    monkeypatch.setattr(Q, "materialize", lambda d, name: written.append(d) or keep(d, name))
+    toks = Q.written_tokens(spark, str(tmp_path))
+    want = Q.doc_tokens(spark, str(tmp_path))
+    assert [t for _, t in written[0].dtypes] == ["bigint", "string"] and toks.dtypes == want.dtypes
+    assert sorted(map(str, toks.collect())) == sorted(map(str, want.collect()))
+
+
 def test_micro_batches_are_bounded_in_cells():
     import numpy as np
     from lexiframe.operators.models import _micro_batches
