@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 
 from lexiframe.llm import suffix_tree as S
+from lexiframe.session import _scratch
 
 END = object()
 SMALL = {"depth": 3, "min_context": 4, "min_next": 2, "gain": 1.0}
@@ -112,6 +113,27 @@ def test_few_rows(spark, documents, limit):
     check(spark, documents, [(None, "only held out"), (None, None)], SMALL, limit)
 
 
+@pytest.mark.parametrize("limit", [1, 100])
+def test_some_keys_in_place_the_others_asked_for(spark, documents, monkeypatch, limit):
+    monkeypatch.setattr(S, "BUCKET_KEYS", 500)  # several buckets
+    tree, _ = check(spark, documents, prose(150, 5) + ODD, SMALL, limit)
+    assert len(tree.c) + len(tree.states) + sum(len(own) for _, own in tree.states.values()) > 100
+
+
+def test_no_copy_of_the_texts_is_written(spark, documents):
+    def written():
+        paths = [spark._jvm.org.apache.hadoop.fs.Path(p) for p in _scratch]
+        found = [(p, p.getFileSystem(spark._jsc.hadoopConfiguration())) for p in paths]
+        return sum(s.getContentSummary(p).getLength() for p, s in found if s.exists(p))
+
+    rng = random.Random(6)
+    words = [f"{rng.getrandbits(80):x}" for _ in range(3000)]
+    rows = [(i, " ".join(rng.choices(words, k=500))) for i in range(800)]
+    before = written()
+    assert len(S.score_documents(documents(rows), limit=0).collect()) == len(rows)
+    assert written() - before < 0.1 * sum(len(t) for _, t in rows)
+
+
 def test_distributions_sum_to_one():
     tree = Tree([t for _, t in prose(80, 9)], **SMALL)
     unseen = "never"
