@@ -117,6 +117,15 @@ def _written(df: DataFrame, name: str) -> DataFrame:
             conf.unset(key) if value is None else conf.set(key, value)
 
 
+def _drop(*tables: DataFrame) -> None:
+    """Delete tables that ``_written`` made, once what is made of them is written."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Bitmap:
     """Which hashes may be among some: 2^``size`` bits whatever their number."""
 
@@ -128,6 +137,7 @@ class Bitmap:
         for low in range(0, len(self.bits), 1 << 20):  # rows fetched at most
             some = words.where((F.col("at") >= low) & (F.col("at") < low + (1 << 20))).toArrow()
             self.bits[some.column("at").to_numpy()] = some.column("bits").to_numpy().view(np.uint64)
+        _drop(words)
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         low = keys & np.uint64((1 << self.size) - 1)
@@ -239,16 +249,20 @@ def fit(texts: DataFrame, depth: int = DEPTH, min_context: int = MIN_CONTEXT, mi
 
     # the sequences of the level above: as contexts (n) and as suffixes (p, the probability under the longest kept state)
     upper = words.select("key", "n", ((F.col("n") + 0.1) / (n + 0.1 * (distinct + 1))).alias("p"))
-    values = []
+    values, tables = [], []
     for k in range(1, depth + 1):
-        level, upper = _level(counted[k], upper, min_context, min_next, discount, gain, k)
+        level, upper, made = _level(counted[k], upper, min_context, min_next, discount, gain, k)
         values.append(level)
-    return SuffixTree(words, reduce(DataFrame.unionAll, values), depth, n, distinct)
+        tables += made
+    whole = _written(reduce(DataFrame.unionAll, values), "tree-values")
+    _drop(*tables)
+    return SuffixTree(words, whole, depth, n, distinct)
 
 
 def _level(pairs: DataFrame, upper: DataFrame, min_context: int, min_next: int, discount: float, gain: float,
-           k: int) -> tuple[DataFrame, DataFrame]:
-    """(values of the states and pairs that level k keeps; key, n, p of its pairs)."""
+           k: int) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """(values of the states and pairs that level k keeps; key, n, p of its pairs; the tables behind these).
+    ``pairs`` is deleted."""
     contexts = upper.where(F.col("n") >= min_context).select(F.col("key").alias("context"), F.col("n").alias("total"))
     # a sequence is at most as frequent as the one without its first symbol
     suffixes = upper.where(F.col("n") >= min_next).select(F.col("key").alias("lower"), F.col("p").alias("above"))
@@ -257,6 +271,7 @@ def _level(pairs: DataFrame, upper: DataFrame, min_context: int, min_next: int,
     own = (F.col("n") - discount) / F.col("total") + F.col("left") * F.col("above")
     held = _written(pairs.join(left, "context").join(suffixes, "lower").select(
         "key", "context", "n", "total", "left", "above", own.alias("own")), f"tree-held-{k}")
+    _drop(pairs)
     saved = (F.sum(F.col("n") * F.log2(F.col("own") / F.col("above")))
              + (F.first("total") - F.sum("n")) * F.log2(F.first("left")))
     states = _written(held.groupBy("context").agg(saved.alias("saved"), F.count(F.lit(1)).alias("stored"), F.first("left").alias("left"), F.first("total").alias("total"))
@@ -266,10 +281,11 @@ def _level(pairs: DataFrame, upper: DataFrame, min_context: int, min_next: int,
         "key", "n", F.when(F.col("kept"), F.col("own")).otherwise(F.col("above")).alias("p"),
         F.when(F.col("kept"), F.log10(F.col("own") / F.col("above") / F.col("left"))).cast("float").alias("value"))
     judged = _written(judged, f"tree-judged-{k}")
+    _drop(held)
     values = (judged.where(F.col("value").isNotNull()).select(F.lit(PAIR).alias("kind"), "key", "value", "n")
               .unionAll(states.select(F.lit(STATE).alias("kind"), F.col("context").alias("key"),
                                       F.log10("left").cast("float").alias("value"), F.col("total").alias("n"))))
-    return values, judged.select("key", "n", "p")
+    return values, judged.select("key", "n", "p"), [states, judged]
 
 
 def _collected(df: DataFrame, value: str, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -317,7 +333,7 @@ def _kept(keep: tuple[str, ...]) -> tuple[Column, list[str]]:
 
 def score(docs: DataFrame, tree: SuffixTree, keep: tuple[str, ...] = (), limit: int = BROADCAST_KEYS) -> DataFrame:
     """``keep`` columns of ``docs`` (text), n_tokens, n_known, base_score (the root's) and score: log10 probabilities."""
-    values = _written(tree.values, "tree-values")
+    values = tree.values
     sizes = {r["kind"]: r["count"] for r in values.groupBy("kind").count().collect()}  # two rows
     if tree.distinct + sum(sizes.values()) <= limit:
         return _score_in_place(docs, tree, values, sizes, keep)
@@ -466,10 +482,10 @@ def _score_by_asking(docs: DataFrame, tree: SuffixTree, values: DataFrame, keep:
             yield flush()
 
     def answer(table: pa.Table) -> pa.Table:
-        rows = list(zip(*(table.column(c).to_pylist() for c in names)))
+        rows = list(zip(*(table.column(c).to_pylist() for c in names[:3]), table.column("keys"), table.column("more")))
         told = {}
         for kind in (WORD, PAIR, STATE):
-            mine = [(np.cumsum(_values(keys), dtype=np.uint64), _values(more).view(np.float64)) for _, chunk, k, keys, more in rows if chunk < 0 and k == kind]
+            mine = [(np.cumsum(_values(keys.as_py()), dtype=np.uint64), _values(more.as_py()).view(np.float64)) for _, chunk, k, keys, more in rows if chunk < 0 and k == kind]
             key, value = (np.concatenate(c) for c in zip(*mine)) if mine else (np.zeros(0, np.uint64), np.zeros(0))
             order = np.argsort(key, kind="stable")
             key, value = key[order], value[order]
@@ -479,12 +495,12 @@ def _score_by_asking(docs: DataFrame, tree: SuffixTree, values: DataFrame, keep:
             if chunk < 0:
                 continue
             if kind == TEXTS:
-                out.append((bucket, chunk, kind, keys, b"", b""))
+                out.append((bucket, chunk, kind, keys.as_py(), b"", b""))
                 continue
             key, value = told[kind]
             if not len(key):
                 continue
-            asked, text = np.cumsum(_values(keys), dtype=np.uint64), _values(more)
+            asked, text = np.cumsum(_values(keys.as_py()), dtype=np.uint64), _values(more.as_py())
             at = np.minimum(np.searchsorted(key, asked), len(key) - 1)
             hit = key[at] == asked
             some, back, many = np.unique(text[hit], return_inverse=True, return_counts=True)
